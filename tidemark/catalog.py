@@ -1,0 +1,60 @@
+"""Every registered query: a Spark job over the test tables, and its SQL twin where one exists."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.fixtures import Tables
+from tidemark.functions import signals
+from tidemark.operators import collapse, flatten, sessions
+from tidemark.oracle import with_ctes
+from tidemark.plans import events as event_plans
+from tidemark.plans import panel as panel_plans
+from tidemark.schemas import EVENT_COLUMNS, HORIZONS
+from tidemark.session import tune
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a job that takes the mapped tables and returns a DataFrame."""
+
+    def register(job: Callable[[Tables], DataFrame]):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return job(Tables(tune(spark), folder))
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE[name] = with_ctes(sql)
+        return job
+
+    return register
+
+
+def all_events(t: Tables) -> DataFrame:
+    return event_plans.purchase_events(
+        t.submissions(), t.owners(), t.transactions(), t.footnotes()
+    )
+
+
+def study_events(t: Tables) -> DataFrame:
+    return signals.eligible_events(signals.drop_planned(all_events(t)))
+
+
+def study_panel(t: Tables, **options) -> DataFrame:
+    return panel_plans.abnormal_returns(study_events(t), t.prices(), t.benchmark(), **options)
+
+
+@query("v2_panel", "SELECT accession, txn_sk, ticker, filing_date, entry_date, entry_close, priced, "
+       + ", ".join(f"ret_{h}, abn_{h}" for h in HORIZONS) + " FROM wide")
+def v2_panel(t: Tables) -> DataFrame:
+    return study_panel(t)
+
+
+@query("v5_events", "SELECT * FROM ev")
+def v5_events(t: Tables) -> DataFrame:
+    return signals.drop_planned(all_events(t))
