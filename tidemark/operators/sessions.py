@@ -97,3 +97,19 @@ def first_tradable_session(events: DataFrame, calendar: DataFrame) -> DataFrame:
         F.col("cal_date").alias("entry_date"),
     )
     return with_entry(events, sessions, days)
+
+
+def exit_ladder(events: DataFrame, calendar: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """Per event and horizon the exit session; past the calendar's end it is null."""
+    sessions = numbered_sessions(calendar)
+    flat = calendar.select("date", F.lit(1.0).alias("close"))
+    placed = with_entry(events, sessions, entry_calendar(sessions, flat, horizons))
+    steps = [
+        F.struct(
+            F.lit(h).alias("horizon"),
+            (F.col("entry_t") + n).cast("long").alias("exit_t"),
+            F.col(f"exit_date_{h}").alias("exit_date"),
+        )
+        for h, n in horizons.items()
+    ]
+    return placed.select(*events.columns, "entry_date", F.inline(F.array(*steps)))

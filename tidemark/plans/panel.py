@@ -26,8 +26,8 @@ def abnormal_returns(
 
     Entry is the first session on or after the filing date (plus ``entry_lag`` sessions), exit
     is that many sessions later. Events without a price stay, unpriced. Every event is
-    shuffled once, for the ladder lookup; ``carry`` names event columns to keep beside it, which
-    spares a later join back.
+    shuffled once, for the ladder lookup; ``carry`` names event columns (or ``entry_t``) to keep
+    beside it, which spares a later join back.
     """
     horizons = horizons or HORIZONS
     numbered = sessions.numbered_sessions(
@@ -50,7 +50,8 @@ def abnormal_returns(
     placed = sessions.with_entry(
         events.select(
             "accession", "txn_sk", "ticker",
-            F.col("filing_date").cast("date").alias("filing_date"), *carry,
+            F.col("filing_date").cast("date").alias("filing_date"),
+            *[c for c in carry if c != "entry_t"],
         ),
         numbered,
         entries.drop(*[f"exit_date_{h}" for h in horizons]),
