@@ -183,12 +183,12 @@ def _net(t: Tables) -> DataFrame:
 
 @query(
     "b2_net_returns",
-    "SELECT accession, txn_sk, round(adv, 6) AS adv, round(cost, 9) AS cost, round(net_1m, 9) AS net_1m FROM net",
+    "SELECT accession, txn_sk, round(cost, 9) AS cost, round(net_1m, 9) AS net_1m FROM net",
     **_COST,
 )
 def b2_net_returns(t: Tables) -> DataFrame:
     return _net(t).select(
-        *EVENT_KEY, F.round("adv", 6).alias("adv"), r9("cost"), r9("net_1m")
+        *EVENT_KEY, r9("cost"), r9("net_1m")
     )
 
 

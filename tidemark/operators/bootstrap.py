@@ -74,7 +74,8 @@ def _draw_sums(seed: int):
             ):
                 values = np.asarray(values, dtype=float)
                 rng = _seed(seed, group, 1, chunk, block)
-                sums = [values[rng.integers(0, len(values), k)].sum() for k in draws]
+                size = len(values)
+                sums = [values[rng.integers(0, size, k, dtype=np.int32)].sum() for k in draws]
                 yield pd.DataFrame(
                     {
                         "boot_group": group,
@@ -105,6 +106,7 @@ def resampled_means(
     if n_rows is None:
         n_rows = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     n_chunks = max(1, math.ceil(n_rows / chunk_rows))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     blocks = math.ceil(n_boot / BLOCK_REPLICATES)
     keyed = rows.select(
         *by,
@@ -113,8 +115,10 @@ def resampled_means(
         F.col(value).cast("double").alias("value"),
     )
     # A chunk is packed into one bounded array; sorting makes it independent of arrival order.
-    packed = keyed.groupBy(*by, "boot_group", "chunk").agg(
-        F.array_sort(F.collect_list("value")).alias("values")
+    packed = (
+        keyed.groupBy("boot_group", "chunk")
+        .agg(F.array_sort(F.collect_list("value")).alias("values"))
+        .repartition(4 * cores, "boot_group", "chunk")
     )
     sizes = keyed.groupBy("boot_group", "chunk").agg(F.count(F.lit(1)).alias("size"))
     splits = (
@@ -132,11 +136,12 @@ def resampled_means(
             "boot_group string, chunk long, block long, draws array<long>",
         )
     )
-    tasks = (
-        splits.join(packed.drop(*by), ["boot_group", "chunk"])
-        .repartition("boot_group", "chunk", "block")
-        .select("boot_group", "chunk", "block", "values", "draws")
+    tasks = splits.join(packed, ["boot_group", "chunk"]).select(
+        "boot_group", "chunk", "block", "values", "draws"
     )
+    # Few chunks would leave cores idle, so their replicate blocks are spread out as well.
+    if n_chunks < cores:
+        tasks = tasks.repartition(4 * cores, "boot_group", "chunk", "block")
     sums = tasks.mapInPandas(_draw_sums(seed), "boot_group string, replicate long, part double")
     totals = keyed.groupBy(*by, "boot_group").agg(F.count(F.lit(1)).alias("n"))
     return (
