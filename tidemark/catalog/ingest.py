@@ -10,7 +10,6 @@ from tidemark.catalog.registry import (
     flat_rows,
     query,
     study_events,
-    study_panel,
     unplanned_events,
 )
 from tidemark.fixtures import Tables
@@ -18,6 +17,8 @@ from tidemark.functions import signals
 from tidemark.operators import collapse, flatten, quality, sample
 from tidemark.plans import events as event_plans
 from tidemark.plans import reports
+from tidemark.plans.panel import abnormal_returns
+from tidemark.session import materialize
 
 
 @query(
@@ -247,7 +248,7 @@ _SANITY = {
     "WHERE filing_date IS NOT NULL GROUP BY year(filing_date)",
 )
 def a4_sanity(t: Tables) -> DataFrame:
-    return reports.sanity_report(unplanned_events(t), t.transactions())
+    return reports.sanity_report(materialize(unplanned_events(t)), t.transactions())
 
 
 @query(
@@ -316,9 +317,12 @@ def _repeat_rule(rule: str, source: str, key: str) -> str:
     ),
 )
 def q1_contract(t: Tables) -> DataFrame:
+    events = materialize(all_events(t))
+    chosen = signals.eligible_events(signals.drop_planned(events))
+    panel = abnormal_returns(chosen, t.prices(), t.benchmark())
     return (
-        quality.event_contract(all_events(t))
-        .unionByName(quality.panel_contract(study_panel(t)))
+        quality.event_contract(events)
+        .unionByName(quality.panel_contract(panel))
         .unionByName(quality.raw_key_contract(t.submissions(), t.owners(), t.transactions()))
         .unionByName(quality.price_contract(t.prices()))
     )

@@ -65,7 +65,7 @@ _SIZED = {
     **_SIZED,
 )
 def g3_company_size(t: Tables) -> DataFrame:
-    return segments.with_market_cap(unplanned_events(t), t.issuer_sizes(), BANDS).select(
+    return segments.with_market_cap(materialize(unplanned_events(t)), t.issuer_sizes(), BANDS).select(
         *EVENT_KEY, "value_vs_company"
     )
 
@@ -119,7 +119,7 @@ def g5_routine(t: Tables) -> DataFrame:
     **_SIZED,
 )
 def g6_cap_band(t: Tables) -> DataFrame:
-    return segments.with_market_cap(unplanned_events(t), t.issuer_sizes(), BANDS).select(
+    return segments.with_market_cap(materialize(unplanned_events(t)), t.issuer_sizes(), BANDS).select(
         *EVENT_KEY, "market_cap", "cap_band"
     )
 
@@ -131,10 +131,8 @@ def g6_cap_band(t: Tables) -> DataFrame:
     "AND q.date BETWEEN p.date - 365 AND p.date GROUP BY 1, 2, 3) h ON h.ticker = e.ticker AND h.date = e.entry_date",
 )
 def g7_year_high(t: Tables) -> DataFrame:
-    placed = sessions.first_tradable_session(
-        study_events(t), sessions.trading_calendar(t.benchmark())
-    ).withColumn("entry_t", F.col("entry_t").cast("long"))
-    return segments.with_year_high(placed, _px(t)).select(*EVENT_KEY, "high_52w", "vs_high")
+    panel = study_panel(t, price_features=segments.year_high_features())
+    return panel.select(*EVENT_KEY, "high_52w", "vs_high")
 
 
 @query(
@@ -177,8 +175,7 @@ _COST = {
 
 
 def _net(t: Tables) -> DataFrame:
-    panel = study_panel(t, carry=("entry_t",))
-    return basket.net_returns(panel, _px(t), "1m")
+    return basket.net_returns(study_panel(t, price_features=basket.turnover_feature()), "1m")
 
 
 @query(

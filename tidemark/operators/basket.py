@@ -25,14 +25,10 @@ def monthly_cohorts(panel: DataFrame, horizon: str, value: str | None = None) ->
     )
 
 
-def trailing_turnover(px: DataFrame, sessions: int = ADV_SESSIONS) -> DataFrame:
-    """(ticker, entry_t, adv): mean daily turnover over the sessions before this one."""
+def turnover_feature(sessions: int = ADV_SESSIONS) -> dict[str, Column]:
+    """Price feature ``adv``: mean daily turnover over the sessions before this one."""
     before = Window.partitionBy("ticker").orderBy("t").rangeBetween(-sessions, -1)
-    return px.select(
-        "ticker",
-        F.col("t").alias("entry_t"),
-        F.avg(F.col("close") * F.col("volume")).over(before).alias("adv"),
-    )
+    return {"adv": F.avg(F.col("close") * F.col("volume")).over(before)}
 
 
 def spread(adv: Column) -> Column:
@@ -51,12 +47,11 @@ def trading_cost(adv: Column, position: float) -> Column:
     return spread(adv) + F.lit(2 * COMMISSION) + F.lit(IMPACT) * participation
 
 
-def net_returns(panel: DataFrame, px: DataFrame, horizon: str, position: float = 10_000.0) -> DataFrame:
-    """Panel rows (which carry entry_t) with turnover, cost and the horizon's net return."""
-    costed = panel.join(trailing_turnover(px), ["ticker", "entry_t"], "left")
+def net_returns(panel: DataFrame, horizon: str, position: float = 10_000.0) -> DataFrame:
+    """Panel rows (which carry ``adv``) with their cost and the horizon's net return."""
     cost = trading_cost(F.col("adv"), position)
-    return costed.withColumns(
-        {"cost": cost, f"net_{horizon}": F.col(f"ret_{horizon}") - cost}
+    return panel.withColumn("cost", cost).withColumn(
+        f"net_{horizon}", F.col(f"ret_{horizon}") - F.col("cost")
     )
 
 
@@ -221,24 +216,29 @@ def exit_overlays(
 
 
 def exit_report(entries: DataFrame, overlays: DataFrame) -> DataFrame:
-    """(rule, n, mean, hit_rate) over the events' entries; unpriced exits are left out per rule."""
-    joined = entries.join(overlays, ["ticker", "entry_t"])
+    """(rule, n, mean, hit_rate) over the events' entries; unpriced exits are left out per rule.
+
+    Entries fold to a count per (ticker, session) first, so a crowded day is one row to join.
+    """
+    counted = entries.groupBy("ticker", "entry_t").agg(F.count(F.lit(1)).alias("weight"))
+    joined = counted.join(overlays, ["ticker", "entry_t"])
     rules = ("fixed", "trailing_stop", "scale_out")
-    aggs = []
+    weight = F.col("weight")
+    sums = []
     for r in rules:
-        aggs.append(F.count(r).alias(f"n_{r}"))
-        aggs.append(F.avg(r).alias(f"mean_{r}"))
-        aggs.append(F.avg((F.col(r) > 0).cast("double")).alias(f"hit_{r}"))
+        sums.append(F.coalesce(F.sum(F.when(F.col(r).isNotNull(), weight)), F.lit(0)).alias(f"n_{r}"))
+        sums.append(F.sum(weight * F.col(r)).alias(f"total_{r}"))
+        sums.append(F.sum(F.when(F.col(r) > 0, weight).otherwise(0)).alias(f"hits_{r}"))
     cells = [
         F.struct(
             F.lit(r).alias("rule"),
             F.col(f"n_{r}").alias("n"),
-            F.col(f"mean_{r}").alias("mean"),
-            F.col(f"hit_{r}").alias("hit_rate"),
+            F.try_divide(F.col(f"total_{r}"), F.col(f"n_{r}")).alias("mean"),
+            F.try_divide(F.col(f"hits_{r}"), F.col(f"n_{r}")).alias("hit_rate"),
         )
         for r in rules
     ]
-    return joined.agg(*aggs).select(F.inline(F.array(*cells)))
+    return joined.agg(*sums).select(F.inline(F.array(*cells)))
 
 
 def partial_pooling(rows: DataFrame, value: str, segment: str = "role_bucket") -> DataFrame:

@@ -75,7 +75,7 @@ def _draw_sums(seed: int):
                 values = np.asarray(values, dtype=float)
                 rng = _seed(seed, group, 1, chunk, block)
                 size = len(values)
-                sums = [values[rng.integers(0, size, k, dtype=np.int32)].sum() for k in draws]
+                sums = [values.take(rng.integers(0, size, k, dtype=np.int32)).sum() for k in draws]
                 yield pd.DataFrame(
                     {
                         "boot_group": group,
@@ -120,7 +120,7 @@ def resampled_means(
         .agg(F.array_sort(F.collect_list("value")).alias("values"))
         .repartition(4 * cores, "boot_group", "chunk")
     )
-    sizes = keyed.groupBy("boot_group", "chunk").agg(F.count(F.lit(1)).alias("size"))
+    sizes = keyed.groupBy(*by, "boot_group", "chunk").agg(F.count(F.lit(1)).alias("size"))
     splits = (
         sizes.groupBy("boot_group")
         .agg(F.array_sort(F.collect_list(F.struct("chunk", "size"))).alias("parts"))
@@ -143,7 +143,7 @@ def resampled_means(
     if n_chunks < cores:
         tasks = tasks.repartition(4 * cores, "boot_group", "chunk", "block")
     sums = tasks.mapInPandas(_draw_sums(seed), "boot_group string, replicate long, part double")
-    totals = keyed.groupBy(*by, "boot_group").agg(F.count(F.lit(1)).alias("n"))
+    totals = sizes.groupBy(*by, "boot_group").agg(F.sum("size").alias("n"))
     return (
         sums.groupBy("boot_group", "replicate")
         .agg(F.sum("part").alias("total"))

@@ -60,9 +60,15 @@ def return_ladder(
     delistings: DataFrame | None = None,
     exit_dates: DataFrame | None = None,
     entry_field: str = "close",
+    features: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """(ticker, entry_t, entry_close, ret_<h>…), with delistings booked where they are known."""
-    px = exit_prices(session_prices(prices, sessions), horizons)
+    """(ticker, entry_t, entry_close, ret_<h>…), with delistings booked where they are known.
+
+    ``features`` are further expressions over the session prices, such as windows by ticker;
+    they share the ladder's partitioning.
+    """
+    features = features or {}
+    px = exit_prices(session_prices(prices, sessions), horizons).withColumns(features)
     returns = {h: simple_return(F.col(entry_field), F.col(f"exit_{h}")) for h in horizons}
     if delistings is not None:
         px = px.join(exit_dates, "t").join(delistings, "ticker", "left")
@@ -77,4 +83,5 @@ def return_ladder(
         F.col("t").alias("entry_t"),
         F.col(entry_field).alias("entry_close"),
         *[returns[h].alias(f"ret_{h}") for h in horizons],
+        *features,
     )

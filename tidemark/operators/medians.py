@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 WINDOW_ROWS = 1_000
 BUCKETS = 256
 BUCKET_ROWS = 100_000
@@ -29,7 +31,10 @@ def prior_medians(
     window_rows: int = WINDOW_ROWS,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(insider_id, filing_date, prior_median) over trades on strictly earlier days."""
+    """(insider_id, filing_date, prior_median) over trades on strictly earlier days.
+
+    Whether any insider is busy is looked up first, so hand over a stored table.
+    """
     rows = events.filter(
         F.col("insider_id").isNotNull() & F.col("filing_date").isNotNull()
     ).select("insider_id", "filing_date", F.col("value").cast("double").alias("value"))
@@ -59,11 +64,11 @@ def _window_medians(rows: DataFrame) -> DataFrame:
 def _bucketed_medians(rows: DataFrame, bucket_rows: int) -> DataFrame:
     cuts = rows.groupBy("insider_id").agg(
         F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("cuts"),
-        F.greatest(F.lit(1), F.floor(F.lit(BUCKETS * bucket_rows) / F.max("n"))).alias("stride"),
+        F.greatest(F.lit(1), F.floor(F.lit(BUCKETS * bucket_rows) / F.greatest(F.max("n"), F.lit(1)))).alias("stride"),
     )
     # Fewer cuts for the less busy: keep every stride-th.
     kept = F.filter("cuts", lambda c, i: (i + 1) % F.col("stride") == 0)
-    folded = (
+    folded = materialize(
         rows.withColumn("day", F.unix_date("filing_date").cast("long"))
         .groupBy("insider_id", "day", "value")
         .agg(F.count("value").alias("weight"))

@@ -34,10 +34,6 @@ def with_role_bucket(events: DataFrame) -> DataFrame:
     return events.withColumn("role_bucket", role_bucket())
 
 
-def _same(left: str, right: str) -> Column:
-    return F.col(left).eqNullSafe(F.col(right))
-
-
 def cluster_counts(events: DataFrame, window_days: int = 30) -> DataFrame:
     """(issuer_cik, filing_date, cluster_size): distinct insiders in the trailing window.
 
@@ -154,22 +150,10 @@ def with_market_cap(events: DataFrame, caps: DataFrame, bands=CAP_BANDS) -> Data
     )
 
 
-def year_high(px: DataFrame) -> DataFrame:
-    """(ticker, t, high_52w, vs_high): highest close of the last 365 days, today included."""
+def year_high_features() -> dict[str, Column]:
+    """Price features: highest close of the last 365 days, today included, and the distance."""
     day = F.unix_date("cal_date")
     high = F.max("close").over(
         Window.partitionBy("ticker").orderBy(day).rangeBetween(-365, 0)
     )
-    return px.select(
-        "ticker",
-        "t",
-        "cal_date",
-        high.alias("high_52w"),
-        (F.try_divide(F.col("close"), high) - F.lit(1.0)).alias("vs_high"),
-    )
-
-
-def with_year_high(entries: DataFrame, px: DataFrame) -> DataFrame:
-    """Distance from the 52-week high on the entry session; null where it has no price."""
-    highs = year_high(px).select("ticker", F.col("t").alias("entry_t"), "high_52w", "vs_high")
-    return entries.join(highs, ["ticker", "entry_t"], "left")
+    return {"high_52w": high, "vs_high": F.try_divide(F.col("close"), high) - F.lit(1.0)}

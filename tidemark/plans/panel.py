@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ladder, sessions
@@ -21,13 +21,15 @@ def abnormal_returns(
     entry_field: str = "close",
     entry_lag: int = 0,
     carry: Sequence[str] = (),
+    price_features: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Forward and benchmark-adjusted returns, indexed off the filing date.
 
     Entry is the first session on or after the filing date (plus ``entry_lag`` sessions), exit
     is that many sessions later. Events without a price stay, unpriced. Every event is
     shuffled once, for the ladder lookup; ``carry`` names event columns (or ``entry_t``) to keep
-    beside it, which spares a later join back.
+    beside it, which spares a later join back. ``price_features`` are expressions over the price
+    table, read at the entry session through the same lookup as the returns.
     """
     horizons = horizons or HORIZONS
     numbered = sessions.numbered_sessions(
@@ -45,7 +47,7 @@ def abnormal_returns(
             )
         )
     steps = ladder.return_ladder(
-        prices, numbered, horizons, delistings, exit_dates, entry_field
+        prices, numbered, horizons, delistings, exit_dates, entry_field, price_features
     )
     placed = sessions.with_entry(
         events.select(
@@ -67,4 +69,5 @@ def abnormal_returns(
         *[f"ret_{h}" for h in horizons],
         *[(F.col(f"ret_{h}") - F.col(f"bench_ret_{h}")).alias(f"abn_{h}") for h in horizons],
         *carry,
+        *(price_features or {}),
     )

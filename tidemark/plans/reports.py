@@ -37,7 +37,8 @@ def sanity_report(events: DataFrame, transactions: DataFrame) -> DataFrame:
     """(metric, value) rows: the counts to look at before trusting an ingest.
 
     Two small aggregates, one over the events and one over the raw transactions, are laid out
-    as text rows; the by-year counts follow as ``by_year.<year>``.
+    as text rows; the by-year counts follow as ``by_year.<year>``. Events are read twice, so hand
+    over a stored table.
     """
     price = F.col("price")
     counts = {

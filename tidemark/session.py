@@ -37,9 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    local = tempfile.mkdtemp(prefix="tidemark-")
-    sc.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -48,9 +47,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Cut lineage through a table in the shared folder, and read it back.
+
+    A lost executor then costs one task's read instead of the whole chain. Being Parquet, the
+    copy keeps column pruning and a known size for the joins that follow.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
