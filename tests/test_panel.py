@@ -1,0 +1,199 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from conftest import rows, weekdays
+from pyspark.sql import functions as F
+
+from tidemark.functions.returns import forward_return
+from tidemark.operators import quality, sessions
+from tidemark.plans.panel import abnormal_returns
+from tidemark.plans import curve as curves
+from tidemark.plans.study import run_study
+
+EVENTS = "accession string, txn_sk long, ticker string, filing_date date"
+PRICES = "ticker string, date date, close double"
+
+
+@pytest.fixture
+def market(spark, session_days):
+    return spark.createDataFrame([(d, 50.0) for d in session_days], "date date, close double")
+
+
+def calendar_of(spark, days):
+    return spark.createDataFrame([(d,) for d in days], "date date")
+
+
+def entry_dates(spark, filings, days):
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(filings)], "id int, filing_date date")
+    out = sessions.first_tradable_session(df, calendar_of(spark, days))
+    return [r.entry_date for r in out.orderBy("id").collect()]
+
+
+def test_entry_never_precedes_the_filing(spark, session_days):
+    filings = [session_days[0] + dt.timedelta(days=i) for i in range(200)]
+    for filing, entry in zip(filings, entry_dates(spark, filings, session_days)):
+        assert entry == min(d for d in session_days if d >= filing)
+
+
+def test_weekend_filings_wait_for_monday(spark, session_days):
+    saturday = dt.date(2019, 3, 9)
+    assert entry_dates(spark, [saturday, saturday + dt.timedelta(1)], session_days) == [dt.date(2019, 3, 11)] * 2
+
+
+def test_filings_outside_the_calendar(spark, session_days):
+    got = entry_dates(spark, [dt.date(2001, 1, 1), session_days[-1], dt.date(2090, 1, 1), None], session_days)
+    assert got == [session_days[0], session_days[-1], None, None]
+
+
+def test_sessions_number_from_zero_and_ignore_repeats(spark):
+    days = [dt.date(2020, 1, 3), dt.date(2020, 1, 2), dt.date(2020, 1, 3)]
+    out = sessions.numbered_sessions(calendar_of(spark, days)).orderBy("t").collect()
+    assert [(r.t, r.cal_date.day) for r in out] == [(0, 2), (1, 3)]
+
+
+def test_return_over_sessions_against_the_benchmark(spark, session_days):
+    prices = spark.createDataFrame(
+        [("ZED", d, 8.0 if i < 21 else 10.0) for i, d in enumerate(session_days)], PRICES
+    )
+    bench = spark.createDataFrame(
+        [(d, 100.0 if i < 21 else 105.0) for i, d in enumerate(session_days)], "date date, close double"
+    )
+    ev = spark.createDataFrame([("A", 1, "ZED", session_days[0])], EVENTS)
+    [r] = rows(abnormal_returns(ev, prices, bench), "accession")
+    assert (r["entry_date"], r["entry_close"], r["priced"]) == (session_days[0], 8.0, True)
+    assert r["ret_1w"] == 0.0 and r["ret_1m"] == pytest.approx(0.25)
+    assert r["abn_1m"] == pytest.approx(0.20)
+
+
+def test_exit_counts_calendar_sessions_not_the_tickers_own_prints(spark, session_days, market):
+    """A ticker that skips sessions has no exit on those it skips."""
+    prices = spark.createDataFrame(
+        [("GAP", d, 10.0 + i) for i, d in enumerate(session_days[:10]) if i not in (1, 2)], PRICES
+    )
+    ev = spark.createDataFrame([("A", 1, "GAP", session_days[0])], EVENTS)
+    [r] = rows(abnormal_returns(ev, prices, market, horizons={"1": 1, "3": 3}), "accession")
+    assert r["ret_1"] is None and r["ret_3"] == pytest.approx(0.3)
+
+
+def test_unknown_tickers_stay_unpriced(spark, session_days, market):
+    prices = spark.createDataFrame([("ZED", d, 8.0) for d in session_days[:5]], PRICES)
+    ev = spark.createDataFrame(
+        [("A", 1, "NOPE", session_days[0]), ("B", 1, None, session_days[0]), ("C", 1, "ZED", None)], EVENTS
+    )
+    out = rows(abnormal_returns(ev, prices, market), "accession")
+    assert len(out) == 3 and not any(r["priced"] for r in out)
+    assert all(r["abn_1w"] is None for r in out)
+
+
+def test_horizon_past_the_calendar_is_null(spark, session_days, market):
+    prices = spark.createDataFrame([("ZED", d, 8.0) for d in session_days], PRICES)
+    ev = spark.createDataFrame([("A", 1, "ZED", session_days[-3])], EVENTS)
+    [r] = rows(abnormal_returns(ev, prices, market), "accession")
+    assert r["priced"] and r["ret_1d"] == 0.0 and r["ret_1w"] is None
+
+
+def test_repeated_prices_and_dates_do_not_multiply_events(spark, session_days, market):
+    prices = spark.createDataFrame([("ZED", d, 8.0) for d in session_days], PRICES)
+    twice = prices.union(prices)
+    ev = spark.createDataFrame([("A", 1, "ZED", session_days[0])], EVENTS)
+    out = abnormal_returns(ev, twice, market.union(market), market.union(market).select("date"))
+    assert out.count() == 1
+    assert {r.rule: r.violations for r in quality.price_contract(twice).collect()}["price key repeats"] == len(session_days)
+
+
+def test_zero_entry_price_is_null_and_counted(spark, session_days, market):
+    prices = spark.createDataFrame([("ZED", d, 0.0) for d in session_days], PRICES)
+    ev = spark.createDataFrame([("A", 1, "ZED", session_days[0])], EVENTS)
+    panel = abnormal_returns(ev, prices, market)
+    assert rows(panel, "accession")[0]["ret_1d"] is None
+    assert {r.rule: r.violations for r in quality.panel_contract(panel).collect()} == {
+        "entry before filing": 0, "entry price not positive": 1,
+    }
+
+
+def test_empty_inputs_give_an_empty_or_unpriced_panel(spark, session_days, market):
+    ev = spark.createDataFrame([("A", 1, "ZED", session_days[0])], EVENTS)
+    no_prices = spark.createDataFrame([], PRICES)
+    assert [r["priced"] for r in rows(abnormal_returns(ev, no_prices, market), "accession")] == [False]
+    assert abnormal_returns(ev.filter("false"), no_prices, market).count() == 0
+    assert rows(abnormal_returns(ev, no_prices, market.filter("false")), "accession")[0]["entry_date"] is None
+
+
+def test_entry_can_be_the_next_open(spark, session_days, market):
+    prices = spark.createDataFrame(
+        [("ZED", d, 4.0 + i, 5.0 + i) for i, d in enumerate(session_days)],
+        "ticker string, date date, open double, close double",
+    )
+    ev = spark.createDataFrame([("A", 1, "ZED", session_days[0])], EVENTS)
+    [r] = rows(
+        abnormal_returns(ev, prices, market, horizons={"1d": 1}, entry_field="open", entry_lag=1), "accession"
+    )
+    assert (r["entry_date"], r["entry_close"]) == (session_days[1], 5.0)
+    assert r["ret_1d"] == pytest.approx(7.0 / 5.0 - 1)
+
+
+def test_delisting_is_a_booked_loss(spark, session_days, market):
+    prices = spark.createDataFrame([(n, d, 10.0) for n in ("DEAD", "LIVE") for d in session_days[:8]], PRICES)
+    gone = spark.createDataFrame(
+        [("DEAD", session_days[9], 2.0)], "ticker string, delist_date date, recovery_value double"
+    )
+    ev = spark.createDataFrame(
+        [("A", 1, "DEAD", session_days[0]), ("B", 1, "LIVE", session_days[0])], EVENTS
+    )
+    with_loss = rows(abnormal_returns(ev, prices, market, delistings=gone), "accession")
+    assert with_loss[0]["ret_1w"] == 0.0
+    assert with_loss[0]["ret_1m"] == pytest.approx(-0.8) and with_loss[1]["ret_1m"] is None
+    none = gone.filter("false")
+    assert rows(abnormal_returns(ev, prices, market, delistings=none), "accession") == rows(
+        abnormal_returns(ev, prices, market), "accession"
+    )
+
+
+def scalar_return(spark, entry, exit_, delisted=False, recovery=None):
+    lit = lambda v: F.lit(v).cast("double")
+    return spark.range(1).select(
+        forward_return(lit(entry), lit(exit_), F.lit(delisted), lit(recovery)).alias("r")
+    ).first().r
+
+
+def test_forward_return_rules(spark):
+    assert scalar_return(spark, 20.0, 25.0) == pytest.approx(0.25)
+    assert scalar_return(spark, 20.0, 25.0, True) == -1.0
+    assert scalar_return(spark, 20.0, 25.0, True, 5.0) == pytest.approx(-0.75)
+    assert scalar_return(spark, 0.0, 25.0) is None
+
+
+def test_leaving_out_the_dead_flatters_the_mean(spark, session_days, market):
+    prices = spark.createDataFrame(
+        [("LIVE", d, 10.0 + i) for i, d in enumerate(session_days)]
+        + [("DEAD", d, 10.0) for d in session_days[:3]], PRICES
+    )
+    gone = spark.createDataFrame(
+        [("DEAD", session_days[4], 0.0)], "ticker string, delist_date date, recovery_value double"
+    )
+    ev = spark.createDataFrame(
+        [("A", 1, "LIVE", session_days[0]), ("B", 1, "DEAD", session_days[0])], EVENTS
+    )
+    mean = lambda **o: curves.horizon_means(abnormal_returns(ev, prices, market, **o), ["1m"]).first()
+    assert mean().n == 1 and mean(delistings=gone).n == 2
+    assert mean(delistings=gone).mean_abn < mean().mean_abn
+
+
+def test_study_end_to_end(spark, session_days, market):
+    prices = spark.createDataFrame(
+        [(t, d, 10.0 + i * (0.1 if t == "UP" else 0.0)) for t in ("UP", "FLAT") for i, d in enumerate(session_days)],
+        PRICES,
+    )
+    ev = spark.createDataFrame(
+        [(f"A{i}", 1, t, session_days[i]) for i in range(20) for t in ("UP", "FLAT", "X-1", "LOST")], EVENTS
+    ).withColumn("accession", F.concat("accession", "ticker"))
+    study = run_study(ev, prices, market, sample=None, n_boot=300)
+    scope = study.coverage.first()
+    assert (scope.n_events, scope.n_priced) == (60, 40)
+    got = {r.horizon: r for r in study.curve.collect()}
+    assert got["1m"].n == 40 and got["1m"].ci_lo <= got["1m"].mean_abn <= got["1m"].ci_hi
+    assert got["12m"].n == 40
+    sampled = run_study(ev, prices, market, sample=10, n_boot=50)
+    assert sampled.coverage.first().n_events == 10

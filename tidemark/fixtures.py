@@ -21,7 +21,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.folder = folder.rstrip("/")
+        self.folder = str(folder).rstrip("/")
         self._opened: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
