@@ -193,7 +193,7 @@ def b2_net_returns(t: Tables) -> DataFrame:
     "b3_walk_forward",
     "SELECT fold, side, count(*) AS n, round(avg(abn_1m), 9) AS mean FROM (SELECT f.fold, CASE "
     "WHEN year(w.entry_date) = f.fold THEN 'test' WHEN w.entry_date + 45 < make_date(f.fold, 1, 1) THEN 'train' END AS side, "
-    "w.abn_1m FROM (SELECT DISTINCT year(entry_date) AS fold FROM wide WHERE abn_1m IS NOT NULL) f JOIN wide w "
+    "w.abn_1m FROM (SELECT unnest(range(min(year(entry_date)), max(year(entry_date)) + 1)) AS fold FROM wide WHERE abn_1m IS NOT NULL) f JOIN wide w "
     "ON year(w.entry_date) <= f.fold WHERE w.abn_1m IS NOT NULL) WHERE side IS NOT NULL GROUP BY 1, 2",
 )
 def b3_walk_forward(t: Tables) -> DataFrame:

@@ -132,7 +132,9 @@ def _resolve(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     every question follows its own rank down, all questions at once.
     """
     if asked.empty:
-        return pd.DataFrame({"insider_id": [], "day": [], "side": [], "value": []})
+        days = np.array([], dtype=np.int64)
+        ids = np.array([], dtype=object)
+        return pd.DataFrame({"insider_id": ids, "day": days, "side": days, "value": days * 1.0})
     items = items.sort_values(["day", "value"])
     values, code = np.unique(items["value"].to_numpy(), return_inverse=True)
     weight = items["weight"].to_numpy().astype(np.int64)
