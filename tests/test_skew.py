@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import statistics
 
 import pytest
 from conftest import rows, weekdays
 from pyspark.sql import functions as F
 
-from tidemark.operators import collapse, flatten, segments
+from tidemark.operators import collapse, flatten, medians, segments
 from tidemark.plans import events
 from tidemark.plans.panel import abnormal_returns
 
@@ -117,3 +118,36 @@ def test_hot_issuer_cluster_never_orders_raw_events(spark):
     assert sized.count() == 3_000
     hot = ev.filter("issuer_cik = 'HOT'").select("insider_id").distinct().count()
     assert sized.filter("issuer_cik = 'HOT'").agg(F.max("cluster_size")).first()[0] == hot
+
+
+def test_flatten_splits_a_hot_filing(eager_splits):
+    out = flatten.flatten_purchases(*raw_with_hot_filing(eager_splits, 900))
+    assert "skew=true" in final_plan(out)
+    assert out.filter("accession = 'HOT'").count() == 300 * 300
+
+
+def test_footnote_flags_split_a_hot_filing(eager_splits):
+    spark = eager_splits
+    flat = flatten.typed_rows(flatten.flatten_purchases(*raw_with_hot_filing(spark, 900)))
+    notes = spark.createDataFrame([("HOT", "Rule 10b5-1")], "ACCESSION_NUMBER string, FOOTNOTE_TXT string")
+    out = collapse.with_footnote_plans(flat, notes)
+    assert "skew=true" in final_plan(out)
+    assert out.filter("is_10b5_1").count() == 300 * 300
+
+
+def test_a_busy_insider_is_split_by_value(eager_splits):
+    """The insider behind a third of the trades is halved again and again, never gathered."""
+    spark = eager_splits
+    ev = spark.range(6_000).repartition(8).select(
+        F.concat(F.lit("A-"), F.col("id")).alias("accession"),
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("i"), F.col("id") % 900)).alias("insider_id"),
+        F.date_add(F.lit(DAYS[0]), (F.col("id") % 60).cast("int")).alias("filing_date"),
+        F.pmod(F.hash("id"), F.lit(1_000)).cast("double").alias("value"),
+    )
+    got = medians.prior_medians(ev, window_rows=100, bucket_rows=50)
+    hot = {r.filing_date: r.prior_median for r in got.filter("insider_id = 'HOT'").collect()}
+    seen = sorted((r.filing_date, r.value) for r in ev.filter("insider_id = 'HOT'").collect())
+    for day, median in hot.items():
+        before = [v for d, v in seen if d < day]
+        assert median == (statistics.median(before) if before else None)
+    assert len(hot) == len({d for d, _ in seen})

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import signals
+from tidemark.operators.joins import splittable_join
 from tidemark.schemas import EVENT_COLUMNS, EVENT_KEY, ROLE_FLAGS
 
 OWNER_COLUMNS = ("insider_id", "insider_name", "relationship", "title")
@@ -88,18 +89,27 @@ def collapse_trades(trades: DataFrame) -> DataFrame:
     )
 
 
-def assemble_events(filings: DataFrame, owners: DataFrame, trades: DataFrame) -> DataFrame:
+def assemble_events(
+    filings: DataFrame, owners: DataFrame, trades: DataFrame, footnotes: DataFrame | None = None
+) -> DataFrame:
     """Events straight from the three typed tables, without the owner x transaction product.
 
-    Each side is collapsed on its own key first. The final join meets at most one filing row
-    per accession, so a hot accession can be split by adaptive execution at no extra cost.
+    Each side is collapsed on its own key first. Filings, owners and footnote hits then share one
+    partitioning by accession with one row each. The last join meets them with the transactions,
+    of which one accession may hold many, and is planned so that such an accession can be split.
     """
     heads = collapse_filings(filings).join(collapse_owners(owners), "accession")
-    joined = collapse_trades(trades).join(heads, "accession")
+    planned = F.col("filing.is_10b5_1")
+    if footnotes is not None:
+        heads = heads.join(planned_filings(footnotes), "accession", "left")
+        planned = planned | F.coalesce(F.col("planned_note"), F.lit(False))
+    heads = heads.withColumn("planned", planned)
+    joined = splittable_join(collapse_trades(trades), heads, "accession")
     return joined.select(
         *EVENT_KEY,
         *[F.col(f"owner.{c}").alias(c) for c in OWNER_COLUMNS if c != "title"],
-        *[F.col(f"filing.{c}").alias(c) for c in FILING_COLUMNS],
+        *[F.col(f"filing.{c}").alias(c) for c in FILING_COLUMNS if c != "is_10b5_1"],
+        F.col("planned").alias("is_10b5_1"),
         *[F.col(f"trade.{c}").alias(c) for c in TRADE_COLUMNS],
         F.col("titled.title").alias("title"),
         *ROLE_FLAGS,
@@ -114,16 +124,18 @@ def plan_mentions(footnotes: DataFrame) -> DataFrame:
     )
 
 
-def with_footnote_plans(df: DataFrame, footnotes: DataFrame) -> DataFrame:
-    """OR footnote mentions into the planned-trade flag; filings without notes keep theirs.
-
-    Only the filings that do mention a plan are shuffled; the text itself never is.
-    """
-    hits = (
+def planned_filings(footnotes: DataFrame) -> DataFrame:
+    """The filings with a footnote that mentions a plan; the text itself is never shuffled."""
+    return (
         footnotes.filter(signals.mentions_plan(F.col("FOOTNOTE_TXT")))
         .select(F.col("ACCESSION_NUMBER").alias("accession"))
         .distinct()
         .withColumn("planned_note", F.lit(True))
     )
+
+
+def with_footnote_plans(df: DataFrame, footnotes: DataFrame) -> DataFrame:
+    """OR footnote mentions into the planned-trade flag; filings without notes keep theirs."""
     flag = F.col("is_10b5_1") | F.coalesce(F.col("planned_note"), F.lit(False))
-    return df.join(hits, "accession", "left").withColumn("is_10b5_1", flag).drop("planned_note")
+    joined = splittable_join(df, planned_filings(footnotes), "accession", "left")
+    return joined.withColumn("is_10b5_1", flag).drop("planned_note")

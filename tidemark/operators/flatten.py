@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import signals
+from tidemark.operators.joins import splittable_join
 
 FLAT_COLUMNS = (
     "accession", "filing_date_raw", "period_raw", "document_type", "issuer_cik", "issuer_name",
@@ -71,15 +72,13 @@ def flatten_purchases(
 ) -> DataFrame:
     """One row per purchase and reporting owner, 21 text-dated columns.
 
-    Both filters run before the joins; all three inputs meet on the accession, so two joins
-    need one exchange per input.
+    Both filters run before the joins. The result holds every owner beside every transaction of
+    a filing, so both joins are planned to be split where one filing is large.
     """
-    return (
-        purchase_filings(submissions, document_types)
-        .join(purchase_trades(transactions), "accession")
-        .join(owner_columns(owners), "accession")
-        .select(*FLAT_COLUMNS)
+    trades = splittable_join(
+        purchase_trades(transactions), purchase_filings(submissions, document_types), "accession"
     )
+    return splittable_join(trades, owner_columns(owners), "accession").select(*FLAT_COLUMNS)
 
 
 def typed_filings(filings: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.returns import simple_return
+from tidemark.operators.joins import splittable_join
 
 
 def daily_prices(prices: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def daily_prices(prices: DataFrame, tickers: DataFrame | None = None) -> DataFra
         F.col("close").cast("double").alias("close"),
         F.col("volume").cast("double").alias("volume"),
     )
-    return typed if tickers is None else typed.join(tickers, "ticker", "left_semi")
+    return typed if tickers is None else splittable_join(typed, tickers, "ticker", "left_semi")
 
 
 def session_prices(prices: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import splittable_join
 from tidemark.session import materialize
 
 WINDOW_ROWS = 1_000
@@ -40,11 +41,12 @@ def prior_medians(
     ).select("insider_id", "filing_date", F.col("value").cast("double").alias("value"))
     sizes = rows.groupBy("insider_id").agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("rows"))
     busy = sizes.filter(F.col("rows") > window_rows)
-    few = rows.join(sizes.filter(F.col("rows") <= window_rows), "insider_id", "left_semi")
+    calm = sizes.filter(F.col("rows") <= window_rows).select("insider_id")
+    few = splittable_join(rows, calm, "insider_id", "left_semi")
     medians = _window_medians(few)
     if busy.isEmpty():
         return medians
-    many = rows.join(busy.select("insider_id", "n"), "insider_id")
+    many = splittable_join(rows, busy.select("insider_id", "n"), "insider_id")
     return medians.unionByName(_bucketed_medians(many, bucket_rows))
 
 
@@ -68,11 +70,13 @@ def _bucketed_medians(rows: DataFrame, bucket_rows: int) -> DataFrame:
     )
     # Fewer cuts for the less busy: keep every stride-th.
     kept = F.filter("cuts", lambda c, i: (i + 1) % F.col("stride") == 0)
-    folded = materialize(
+    weighted = (
         rows.withColumn("day", F.unix_date("filing_date").cast("long"))
         .groupBy("insider_id", "day", "value")
         .agg(F.count("value").alias("weight"))
-        .join(cuts.select("insider_id", kept.alias("cuts")), "insider_id")
+    )
+    folded = materialize(
+        splittable_join(weighted, cuts.select("insider_id", kept.alias("cuts")), "insider_id")
         .withColumn(
             "bucket",
             F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(0)).cast("long"),

@@ -33,9 +33,7 @@ def purchase_events(
     """
     filings = flatten.typed_filings(flatten.purchase_filings(submissions, document_types))
     trades = flatten.typed_trades(flatten.purchase_trades(transactions))
-    if footnotes is not None:
-        filings = collapse.with_footnote_plans(filings, footnotes)
-    return collapse.assemble_events(filings, flatten.owner_columns(owners), trades)
+    return collapse.assemble_events(filings, flatten.owner_columns(owners), trades, footnotes)
 
 
 def build_events(
