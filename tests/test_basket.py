@@ -59,11 +59,19 @@ def test_exit_report_weighs_crowded_sessions(spark):
         "ticker string, entry_t long, fixed double, trailing_stop double, scale_out double",
     )
     entries = spark.createDataFrame([("T", 0)] * 3 + [("U", 0), ("V", 0)], "ticker string, entry_t long")
-    got = {r.rule: r for r in basket.exit_report(entries, overlays).collect()}
+    counted = basket.entry_counts(entries)
+    got = {r.rule: r for r in basket.exit_report(counted, overlays).collect()}
     assert got["fixed"].n == 4 and got["fixed"].mean == pytest.approx(0.025) and got["fixed"].hit_rate == 0.75
     assert got["scale_out"].n == 0 and got["scale_out"].mean is None
 
 
+def test_only_entered_sessions_are_walked(spark):
+    px = path(spark, [10.0, 12.0, 10.5, 6.0, 9.0, 9.0])
+    entries = spark.createDataFrame([("T", 1), ("NOPE", 0)], "ticker string, entry_t long")
+    [one] = rows(basket.exit_overlays(px, 3, entries=entries), "entry_t")
+    assert one == rows(basket.exit_overlays(px, 3), "entry_t")[1]
+
+
 def trades(spark, data):
     return spark.createDataFrame(data, "entry_date date, r double, adv double")
 

@@ -1,0 +1,25 @@
+from __future__ import annotations
+
+from tidemark import __main__ as steps
+from tidemark.catalog.feeds import land
+from tidemark.fixtures import Tables
+
+
+def test_parse_then_horizon(spark, tmp_path, capsys):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    raw = tmp_path / "raw"
+    for name, df in {
+        "SUBMISSION": t.submissions(), "REPORTINGOWNER": t.owners(), "NONDERIV_TRANS": t.transactions(),
+    }.items():
+        land(df, f"{raw}/2000q1/{name}.tsv")
+    t.prices().write.parquet(f"{tmp_path}/prices")
+    t.benchmark().write.parquet(f"{tmp_path}/bench")
+    args = steps.arguments().parse_args(["parse", "--raw", str(raw), "--events", f"{tmp_path}/events"])
+    args.run(spark, args)
+    args = steps.arguments().parse_args(
+        ["horizon", "--events", f"{tmp_path}/events", "--prices", f"{tmp_path}/prices",
+         "--benchmark", f"{tmp_path}/bench", "--n-boot", "100", "--sample", "0"]
+    )
+    args.run(spark, args)
+    shown = capsys.readouterr().out
+    assert "raw_purchases" in shown and "verdict" in shown and "decision" in shown

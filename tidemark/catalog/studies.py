@@ -282,8 +282,9 @@ def b5_exit_paths(t: Tables) -> DataFrame:
 def b5_exit_report(t: Tables) -> DataFrame:
     placed = sessions.first_tradable_session(
         study_events(t), sessions.trading_calendar(t.benchmark())
-    ).select("ticker", F.col("entry_t").cast("long").alias("entry_t"))
-    report = basket.exit_report(placed, basket.exit_overlays(_px(t), HOLD))
+    )
+    entries = materialize(basket.entry_counts(placed))
+    report = basket.exit_report(entries, basket.exit_overlays(_px(t), HOLD, entries=entries))
     return report.select("rule", "n", r9("mean"), r9("hit_rate"))
 
 

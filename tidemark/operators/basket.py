@@ -129,61 +129,81 @@ def performance(trades: DataFrame, value: str, participation: float = 0.01) -> D
     )
 
 
-def forward_paths(px: DataFrame, hold: int) -> DataFrame:
-    """(ticker, entry_t, entry_close, path, hold_close): each price row's next ``hold`` sessions.
+def forward_paths(px: DataFrame, hold: int, entries: DataFrame | None = None) -> DataFrame:
+    """(ticker, entry_t, entry_close, path, hold_close): each entry's next ``hold`` sessions.
 
     ``path`` lists the later prints in order, each with the print that follows it. It is built
-    inside the ticker's partition and holds at most ``hold`` entries.
+    inside the ticker's partition and holds at most ``hold`` prints. With ``entries``, distinct
+    (ticker, entry_t) rows, only those sessions keep their path; they are marked before the
+    ticker's rows are brought together.
     """
+    px = px.filter(F.col("close").isNotNull())
+    if entries is None:
+        px = px.withColumn("wanted", F.lit(True))
+    else:
+        marks = entries.select("ticker", F.col("entry_t").alias("t"), F.lit(True).alias("wanted"))
+        px = px.join(marks, ["ticker", "t"], "left")
     by_t = Window.partitionBy("ticker").orderBy("t")
-    priced = px.filter(F.col("close").isNotNull()).withColumn("fill", F.lead("close").over(by_t))
-    return priced.select(
-        "ticker",
-        F.col("t").alias("entry_t"),
-        F.col("close").alias("entry_close"),
-        F.collect_list(F.struct("close", "fill")).over(by_t.rangeBetween(1, hold)).alias("path"),
-        F.max("close").over(by_t.rangeBetween(hold, hold)).alias("hold_close"),
+    cores = px.sparkSession.sparkContext.defaultParallelism
+    return (
+        px.repartition(4 * cores, "ticker")
+        .withColumn("fill", F.lead("close").over(by_t))
+        .select(
+            "ticker",
+            F.col("t").alias("entry_t"),
+            F.col("close").alias("entry_close"),
+            "wanted",
+            F.collect_list(F.struct("close", "fill")).over(by_t.rangeBetween(1, hold)).alias("path"),
+            F.max("close").over(by_t.rangeBetween(hold, hold)).alias("hold_close"),
+        )
+        .filter("wanted")
+        .drop("wanted")
     )
 
 
-def _stop_fill(path: Column, entry: Column, activate: float, trail: float) -> Column:
-    """Struct (hit, fill): first close a trail's width below the peak once the stop is armed.
+def _follow(path: Column, entry: Column, activate: float, trail: float, wide_trail: float) -> Column:
+    """One walk along the path: where the stop, the double and the stop after it were filled.
 
-    The order goes in at that close and fills at the next print, wherever that is.
+    An order goes in at a close and fills at the next print, wherever that is. The stop arms at
+    +``activate`` and triggers a trail's width below the peak; the wide one arms on the double.
     """
+    none = F.lit(None).cast("double")
     start = F.struct(
-        entry.alias("peak"), F.lit(False).alias("hit"), F.lit(None).cast("double").alias("fill")
+        entry.alias("peak"),
+        F.lit(False).alias("stopped"),
+        none.alias("stop_fill"),
+        F.lit(False).alias("doubled"),
+        none.alias("double_fill"),
+        F.lit(False).alias("released"),
+        none.alias("rest_fill"),
     )
 
     def step(state: Column, print_: Column) -> Column:
-        peak = F.greatest(state["peak"], print_["close"])
-        armed = peak >= entry * (1 + activate)
-        now = ~state["hit"] & armed & (print_["close"] <= peak * (1 - trail))
+        close, fill = print_["close"], print_["fill"]
+        peak = F.greatest(state["peak"], close)
+        stop = ~state["stopped"] & (peak >= entry * (1 + activate)) & (close <= peak * (1 - trail))
+        double = ~state["doubled"] & (close >= entry * 2)
+        rest = ~state["released"] & (peak >= entry * 2) & (close <= peak * (1 - wide_trail))
         return F.struct(
             peak.alias("peak"),
-            (state["hit"] | now).alias("hit"),
-            F.when(now, print_["fill"]).otherwise(state["fill"]).alias("fill"),
-        )
-
-    return F.aggregate(path, start, step)
-
-
-def _double_fill(path: Column, entry: Column) -> Column:
-    """Struct (hit, fill): the first close at twice the entry, filled at the next print."""
-    start = F.struct(F.lit(False).alias("hit"), F.lit(None).cast("double").alias("fill"))
-
-    def step(state: Column, print_: Column) -> Column:
-        now = ~state["hit"] & (print_["close"] >= entry * 2)
-        return F.struct(
-            (state["hit"] | now).alias("hit"),
-            F.when(now, print_["fill"]).otherwise(state["fill"]).alias("fill"),
+            (state["stopped"] | stop).alias("stopped"),
+            F.when(stop, fill).otherwise(state["stop_fill"]).alias("stop_fill"),
+            (state["doubled"] | double).alias("doubled"),
+            F.when(double, fill).otherwise(state["double_fill"]).alias("double_fill"),
+            (state["released"] | rest).alias("released"),
+            F.when(rest, fill).otherwise(state["rest_fill"]).alias("rest_fill"),
         )
 
     return F.aggregate(path, start, step)
 
 
 def exit_overlays(
-    px: DataFrame, hold: int, activate: float = 0.10, trail: float = 0.10, wide_trail: float = 0.30
+    px: DataFrame,
+    hold: int,
+    activate: float = 0.10,
+    trail: float = 0.10,
+    wide_trail: float = 0.30,
+    entries: DataFrame | None = None,
 ) -> DataFrame:
     """(ticker, entry_t, fixed, trailing_stop, scale_out): each exit rule's return per entry.
 
@@ -191,37 +211,39 @@ def exit_overlays(
     a double and leaves the rest under a wide trail that the double arms.
     """
     entry = F.col("entry_close")
-    staged = forward_paths(px, hold).withColumns(
-        {
-            "stop": _stop_fill(F.col("path"), entry, activate, trail),
-            "double": _double_fill(F.col("path"), entry),
-            "rest": _stop_fill(F.col("path"), entry, 1.0, wide_trail),
-        }
+    walked = forward_paths(px, hold, entries).withColumn(
+        "end", _follow(F.col("path"), entry, activate, trail, wide_trail)
     )
     fixed = simple_return(entry, F.col("hold_close"))
-    stopped = F.when(F.col("stop.hit"), simple_return(entry, F.col("stop.fill"))).otherwise(fixed)
-    rest = F.when(F.col("rest.hit"), simple_return(entry, F.col("rest.fill"))).otherwise(fixed)
-    half = F.when(
-        F.col("double.hit"), (simple_return(entry, F.col("double.fill")) + rest) / 2
-    ).otherwise(fixed)
-    return staged.select(
+
+    def filled(hit: str, fill: str) -> Column:
+        return F.when(F.col(f"end.{hit}"), simple_return(entry, F.col(f"end.{fill}"))).otherwise(fixed)
+
+    half = simple_return(entry, F.col("end.double_fill"))
+    scaled = F.when(F.col("end.doubled"), (half + filled("released", "rest_fill")) / 2)
+    return walked.select(
         "ticker",
         "entry_t",
         fixed.alias("fixed"),
-        stopped.alias("trailing_stop"),
-        half.alias("scale_out"),
-        F.col("stop.hit").alias("stopped"),
-        F.col("double.hit").alias("doubled"),
+        filled("stopped", "stop_fill").alias("trailing_stop"),
+        scaled.otherwise(fixed).alias("scale_out"),
+        F.col("end.stopped").alias("stopped"),
+        F.col("end.doubled").alias("doubled"),
     )
 
 
-def exit_report(entries: DataFrame, overlays: DataFrame) -> DataFrame:
-    """(rule, n, mean, hit_rate) over the events' entries; unpriced exits are left out per rule.
+def entry_counts(placed: DataFrame) -> DataFrame:
+    """(ticker, entry_t, weight): a crowded session becomes one row."""
+    return (
+        placed.filter(F.col("ticker").isNotNull() & F.col("entry_t").isNotNull())
+        .groupBy("ticker", F.col("entry_t").cast("long").alias("entry_t"))
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
 
-    Entries fold to a count per (ticker, session) first, so a crowded day is one row to join.
-    """
-    counted = entries.groupBy("ticker", "entry_t").agg(F.count(F.lit(1)).alias("weight"))
-    joined = counted.join(overlays, ["ticker", "entry_t"])
+
+def exit_report(entries: DataFrame, overlays: DataFrame) -> DataFrame:
+    """(rule, n, mean, hit_rate) over counted entries; unpriced exits are left out per rule."""
+    joined = entries.join(overlays, ["ticker", "entry_t"])
     rules = ("fixed", "trailing_stop", "scale_out")
     weight = F.col("weight")
     sums = []
