@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows, weekdays
@@ -197,3 +199,36 @@ def test_study_end_to_end(spark, session_days, market):
     assert got["12m"].n == 40
     sampled = run_study(ev, prices, market, sample=10, n_boot=50)
     assert sampled.coverage.first().n_events == 10
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_sparse_panel_equals_brute_force(spark, seed):
+    """Patchy prices, weekend filings, filings before, inside and after the calendar."""
+    rng = random.Random(seed)
+    days = [d for d in weekdays(dt.date(2019, 1, 7), 120) if rng.random() < 0.9]
+    bench = {d: rng.uniform(90, 110) for d in days}
+    close = {(t, d): rng.uniform(1, 20) for t in "ABCD" for d in days if rng.random() < 0.7}
+    filings = [
+        (f"a{i}", 1, rng.choice("ABCDE"), days[0] + dt.timedelta(days=rng.randrange(-10, 190))) for i in range(150)
+    ]
+    horizons = {"1d": 1, "1w": 5, "1m": 21}
+    prices = spark.createDataFrame([(t, d, c) for (t, d), c in close.items()], PRICES)
+    market = spark.createDataFrame(list(bench.items()), "date date, close double")
+    out = abnormal_returns(spark.createDataFrame(filings, EVENTS), prices.repartition(5), market, horizons=horizons)
+    got = {r["accession"]: r for r in rows(out, "accession")}
+    assert len(got) == len(filings)
+    for accession, _, ticker, filed in filings:
+        t = bisect.bisect_left(days, filed)
+        entry = days[t] if t < len(days) else None
+        price = close.get((ticker, entry))
+        r = got[accession]
+        assert (r["entry_date"], r["entry_close"], r["priced"]) == (entry, price, price is not None)
+        for h, n in horizons.items():
+            leave = days[t + n] if t + n < len(days) else None
+            last = close.get((ticker, leave))
+            if price is None or last is None:
+                assert r[f"ret_{h}"] is None and r[f"abn_{h}"] is None
+            else:
+                ret = last / price - 1.0
+                assert r[f"ret_{h}"] == pytest.approx(ret)
+                assert r[f"abn_{h}"] == pytest.approx(ret - (bench[leave] / bench[entry] - 1.0))

@@ -46,6 +46,13 @@ def test_quoted_and_ragged_lines_do_not_stop_the_scan(spark, tmp_path):
     assert "10b5-1" in a["FOOTNOTE_TXT"] and b["FOOTNOTE_TXT"] is None
 
 
+def test_malformed_lines_are_counted_per_file(spark, tmp_path):
+    put(tmp_path, "2020q1", "FOOTNOTES", "ACCESSION_NUMBER\tFOOTNOTE_TXT\nA\tx\nB\nC\tx\ty\n")
+    put(tmp_path, "2020q2", "FOOTNOTES", "ACCESSION_NUMBER\tFOOTNOTE_TXT\nD\tx\n")
+    out = rows(filings.malformed_lines(spark, str(tmp_path), "FOOTNOTES"), "source_file")
+    assert [(r["lines"], r["malformed"]) for r in out] == [(3, 2), (1, 0)]
+
+
 def test_missing_table_is_an_error(spark, tmp_path):
     put(tmp_path, "2020q1", "SUBMISSION", "ACCESSION_NUMBER\nA\n")
     with pytest.raises(FileNotFoundError):

@@ -44,14 +44,20 @@ def _reader(spark: SparkSession, quote: str):
 
 
 def scan_table(
-    spark: SparkSession, root: str, table: str, quote: str = '"', lineage: bool = False
+    spark: SparkSession,
+    root: str,
+    table: str,
+    quote: str = '"',
+    lineage: bool = False,
+    malformed: str | None = None,
 ) -> DataFrame:
     """All quarters of one table as text columns, matched by name.
 
     A multi-file CSV read binds columns by position, so quarters are grouped by their header
     and every distinct header becomes one scan with its own schema; the scans are united by
     name. The number of scans follows the number of layouts, not of quarters. Columns a layout lacks,
-    and known columns no layout has, are null.
+    and known columns no layout has, are null. ``lineage`` adds each row's ``source_file``;
+    ``malformed`` names a column for the text of lines with too few or too many fields.
     """
     paths = [row["path"] for row in landed_tables(spark, root, table).collect()]
     if not paths:
@@ -61,8 +67,12 @@ def scan_table(
         layouts[tuple(_reader(spark, quote).csv(path).columns)].append(path)
     scans = []
     for header, files in layouts.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        scan = _reader(spark, quote).schema(schema).csv(files)
+        fields = [*header, *([malformed] if malformed else [])]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in fields])
+        reader = _reader(spark, quote).schema(schema)
+        if malformed:
+            reader = reader.option("columnNameOfCorruptRecord", malformed)
+        scan = reader.csv(files)
         if lineage:
             scan = scan.select("*", F.col("_metadata.file_path").alias("source_file"))
         scans.append(scan)
@@ -81,3 +91,15 @@ def load_filings(spark: SparkSession, root: str, quote: str = '"') -> tuple[Data
         scan_table(spark, root, name, quote)
         for name in ("SUBMISSION", "REPORTINGOWNER", "NONDERIV_TRANS")
     )
+
+
+def malformed_lines(spark: SparkSession, root: str, table: str, quote: str = '"') -> DataFrame:
+    """(source_file, lines, malformed): how many lines of each file do not fit its header."""
+    scan = scan_table(spark, root, table, quote, lineage=True, malformed="malformed_line")
+    # Field counts are only checked for the columns a query reads, so it has to read them all.
+    fields = [c for c in scan.columns if c not in ("source_file", "malformed_line")]
+    whole = F.length(F.concat_ws("", *fields)) >= 0
+    return scan.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(whole & F.col("malformed_line").isNotNull()).alias("malformed"),
+    )
