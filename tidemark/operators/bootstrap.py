@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 CHUNK_ROWS = 1 << 17
 BLOCK_REPLICATES = 250
 
@@ -115,15 +117,19 @@ def resampled_means(
         F.col(value).cast("double").alias("value"),
     )
     # A chunk is packed into one bounded array; sorting makes it independent of arrival order.
-    packed = (
-        keyed.groupBy("boot_group", "chunk")
-        .agg(F.array_sort(F.collect_list("value")).alias("values"))
-        .repartition(4 * cores, "boot_group", "chunk")
+    # The packed table is stored, so that the long draws never reach back to the input.
+    packed = materialize(
+        keyed.groupBy(*by, "boot_group", "chunk").agg(
+            F.sort_array(F.collect_list("value")).alias("values")
+        )
+    )
+    sizes = packed.select(*by, "boot_group", "chunk", F.size("values").cast("long").alias("size"))
+    chunks = packed.select("boot_group", "chunk", "values").repartition(
+        4 * cores, "boot_group", "chunk"
     )
-    sizes = keyed.groupBy(*by, "boot_group", "chunk").agg(F.count(F.lit(1)).alias("size"))
     splits = (
         sizes.groupBy("boot_group")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "size"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("chunk", "size"))).alias("parts"))
         .select(
             "boot_group",
             F.col("parts.chunk").alias("chunks"),
@@ -136,7 +142,7 @@ def resampled_means(
             "boot_group string, chunk long, block long, draws array<long>",
         )
     )
-    tasks = splits.join(packed, ["boot_group", "chunk"]).select(
+    tasks = splits.join(chunks, ["boot_group", "chunk"]).select(
         "boot_group", "chunk", "block", "values", "draws"
     )
     # Few chunks would leave cores idle, so their replicate blocks are spread out as well.
@@ -156,7 +162,7 @@ def percentile_interval(
     means: DataFrame, by: Sequence[str], n_boot: int, lo: float = 2.5, hi: float = 97.5
 ) -> DataFrame:
     """(by…, ci_lo, ci_hi) from at most ``n_boot`` replicate means per group."""
-    ranked = means.groupBy(*by).agg(F.array_sort(F.collect_list("mean")).alias("means"))
+    ranked = means.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("means"))
     return ranked.select(
         *by,
         F.get("means", F.lit(rank_index(lo, n_boot))).alias("ci_lo"),

@@ -33,14 +33,13 @@ def daily_prices(prices: DataFrame, tickers: DataFrame | None = None) -> DataFra
 
 def session_prices(prices: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row per (ticker, t). Repeated keys fold to their lowest values, combined map-side."""
-    on_session = daily_prices(prices).join(
-        F.broadcast(sessions), F.col("date") == F.col("cal_date")
+    unique = (
+        daily_prices(prices)
+        .groupBy("ticker", "date")
+        .agg(*[F.min(c).alias(c) for c in ("close", "open", "volume")])
     )
-    return on_session.groupBy("ticker", F.col("t").cast("long").alias("t")).agg(
-        F.min("close").alias("close"),
-        F.min("open").alias("open"),
-        F.min("volume").alias("volume"),
-        F.min("cal_date").alias("cal_date"),
+    return unique.join(F.broadcast(sessions), F.col("date") == F.col("cal_date")).select(
+        "ticker", F.col("t").cast("long").alias("t"), "close", "open", "volume", "cal_date"
     )
 
 

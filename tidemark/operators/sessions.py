@@ -20,7 +20,7 @@ def trading_calendar(benchmark: DataFrame) -> DataFrame:
 
 def numbered_sessions(calendar: DataFrame, column: str = "date") -> DataFrame:
     """Sessions as (t, cal_date), t counting from 0 in date order."""
-    days = F.array_sort(F.collect_set(F.col(column).cast("date")))
+    days = F.sort_array(F.collect_set(F.col(column).cast("date")))
     return calendar.agg(days.alias("days")).select(
         F.posexplode("days").alias("t", "cal_date")
     )
