@@ -112,3 +112,13 @@ def test_verdicts_and_gate(spark):
     assert curves.gate(curve).first().decision == "continue"
     assert curves.gate(curve.filter("horizon <> 'a'")).first().decision == "stop"
     assert curves.gate(curve.filter("false")).first().decision == "stop"
+
+
+def test_null_and_empty_groups_stay_apart(spark):
+    df = spark.createDataFrame(
+        [(g, i, v) for g, v in ((None, 1.0), ("", 2.0), ("x", 3.0)) for i in range(5)], "g string, k int, x double"
+    )
+    means = bootstrap.resampled_means(df, "x", ["k"], ["g"], 20)
+    got = {r.g: (r.n, r.lo, r.hi) for r in means.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("mean").alias("lo"), F.max("mean").alias("hi")).collect()}
+    assert got == {None: (20, 1.0, 1.0), "": (20, 2.0, 2.0), "x": (20, 3.0, 3.0)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query, r9, study_events, study_panel, unplanned_events
 from tidemark.fixtures import Tables
-from tidemark.functions import returns, signals
+from tidemark.functions import returns
 from tidemark.operators import bootstrap, flatten, ladder, sessions
 from tidemark.plans import curve as curves
 from tidemark.plans import study

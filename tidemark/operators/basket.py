@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.returns import simple_return
 
-# Round-trip spread by average daily turnover, least liquid first.
+# Assumed defaults: round-trip spread by average daily turnover, least liquid first; commission
+# a side; impact per unit of daily turnover taken; sessions the turnover is averaged over.
 SPREADS = ((50_000.0, 0.020), (200_000.0, 0.010), (1_000_000.0, 0.004))
 TIGHTEST_SPREAD = 0.001
 COMMISSION = 0.0005

@@ -34,7 +34,8 @@ def rank_index(percent: float, n_boot: int) -> int:
 
 
 def _group_text(by: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+    """One text per group, null and empty kept apart."""
+    return F.to_json(F.struct(*by))
 
 
 def _seed(seed: int, group: str, *parts: int) -> np.random.Generator:

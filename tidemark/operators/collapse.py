@@ -13,7 +13,7 @@ can be had without building the product at all (``assemble_events``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import signals
@@ -43,10 +43,14 @@ def _any_role():
     return [F.bool_or(flag).alias(flag) for flag in ROLE_FLAGS]
 
 
-def collapse_cofilers(typed: DataFrame) -> DataFrame:
-    """Collapse already flattened, typed rows to one per (accession, txn_sk)."""
+def collapse_cofilers(typed: DataFrame, within: Column | None = None) -> DataFrame:
+    """Collapse already flattened, typed rows to one per (accession, txn_sk).
+
+    ``within`` adds a grouping that the key implies, such as a stream's window.
+    """
     lead = F.min(F.struct(*OWNER_COLUMNS, *FILING_COLUMNS, *TRADE_COLUMNS))
-    grouped = typed.groupBy(*EVENT_KEY).agg(
+    keys = EVENT_KEY if within is None else (within, *EVENT_KEY)
+    grouped = typed.groupBy(*keys).agg(
         lead.alias("lead"),
         _first_titled_owner().alias("titled"),
         *_any_role(),

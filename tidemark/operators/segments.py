@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Titles that name the two top offices, and the bucket labels in rank order.
+# Titles that name the two top offices.
 CEO_TITLE = r"(?i)\bceo\b|chief executive"
 CFO_TITLE = r"(?i)\bcfo\b|chief financial"
 
-# Market-cap bands by upper bound; above the last one an issuer is large.
+# Assumed defaults: market-cap bands by upper bound; above the last one an issuer is large.
 CAP_BANDS = ((300e6, "micro"), (2e9, "small"), (10e9, "mid"))
 
 

@@ -6,6 +6,8 @@ join, one join per horizon, window dedupe) rather than the way the Spark jobs co
 
 from __future__ import annotations
 
+import re
+
 from tidemark.schemas import HORIZONS
 
 CTES: dict[str, str] = {}
@@ -106,7 +108,7 @@ FROM flat f{join}"""
 CTES["typed"] = _TYPED.format(
     notes=" OR coalesce(planned_note, false)",
     join=" LEFT JOIN note_hits h ON f.accession = h.accession",
-).replace("SELECT f.*,", "SELECT f.*,")
+)
 CTES["typed_noscan"] = _TYPED.format(notes="", join="")
 
 _COLLAPSE = """
@@ -180,8 +182,6 @@ def with_ctes(body: str, **extra: str) -> str:
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        import re
-
         words = set(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text))
         for name in blocks:
             if name in words and name not in needed:
