@@ -6,6 +6,7 @@ import pytest
 from check_oracle import compare, connect
 
 import __spark_entry__ as entry
+from tidemark import catalog
 
 SF = "/root/testdata/sf0.001"
 NO_TWIN = {"a7_bootstrap_exact"}
@@ -17,11 +18,11 @@ def duck():
 
 
 def test_every_query_has_a_twin_unless_it_draws_at_random():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_TWIN
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == NO_TWIN
+    assert set(catalog.ORACLE) <= set(catalog.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_twin(spark, duck, name):
     ok, text = compare(spark, duck, name, SF)
     assert ok, text
