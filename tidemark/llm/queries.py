@@ -5,17 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tidemark.llm import exact_dedup, packing
+from tidemark.llm import exact_dedup, language, main_text, packing, toxicity
 from tidemark.llm.registry import ORACLE, QUERIES, query
+from tidemark.llm.session import table
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
 @query("op1_best_fit_packing", "documents")
-def op1(docs: DataFrame) -> DataFrame:
+def op1(docs: DataFrame, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_toxicity", "documents")
+def op3(docs: DataFrame, folder: str) -> DataFrame:
+    return toxicity.score(docs, table(docs.sparkSession, folder, "labels"))
+
+
+@query("op6_language_id", "documents")
+def op6(docs: DataFrame, folder: str) -> DataFrame:
+    return language.identify(docs)
+
+
+@query("op7_main_text", "pages")
+def op7(pages: DataFrame, folder: str) -> DataFrame:
+    return main_text.main_text(pages)
+
+
 @query(
     "op8_exact_dedup",
     "documents",
@@ -26,5 +42,5 @@ def op1(docs: DataFrame) -> DataFrame:
     FROM t WINDOW w AS (PARTITION BY norm)
     """,
 )
-def op8(docs: DataFrame) -> DataFrame:
+def op8(docs: DataFrame, folder: str) -> DataFrame:
     return exact_dedup.duplicates(docs)

@@ -15,9 +15,9 @@ ORACLE: dict[str, str] = {}
 def query(name: str, source: str, sql: str | None = None):
     """Register a job over one whole table, with its SQL twin where SQL can express it."""
 
-    def register(job: Callable[[DataFrame], DataFrame]):
+    def register(job: Callable[[DataFrame, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return job(table(tune_text(spark), folder, source))
+            return job(table(tune_text(spark), folder, source), folder)
 
         QUERIES[name] = run
         if sql is not None:

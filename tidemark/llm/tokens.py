@@ -62,3 +62,37 @@ def bare(word: str) -> str:
     while last > first and not word[last - 1].isalnum():
         last -= 1
     return word[first:last]
+
+
+def grams(words: list[str], sizes: range, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of every character n-gram of `words`, with a mark at both ends of a word.
+
+    Each word has one entry at least; entries come in order of size, then of words.
+    """
+    text = "".join(f"\x02{w}\x03" for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    owners, found = [], []
+    mixed = codes * np.uint64(0x9E3779B97F4A7C15)
+    rolled = np.zeros(len(codes), np.uint64)
+    for size in range(1, sizes.stop):
+        at = len(codes) - size + 1
+        if at <= 0:
+            break
+        rolled = (rolled[:at] * np.uint64(0x100000001B3)) ^ mixed[size - 1 :]
+        if size < sizes.start:
+            continue
+        inside = owner[:at] == owner[size - 1 :]
+        hashed = rolled[:at][inside]
+        hashed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        owners.append(owner[:at][inside])
+        found.append((hashed >> np.uint64(32)).astype(np.int64) % buckets)
+    return np.concatenate(owners or [owner[:0]]), np.concatenate(found or [owner[:0]])
+
+
+def sum_by(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """Sum of the rows of `values` that belong to each of `count` owners."""
+    out = np.empty((count, values.shape[1]))
+    for k in range(values.shape[1]):
+        out[:, k] = np.bincount(owner, values[:, k], count)
+    return out
