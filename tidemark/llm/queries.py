@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tidemark.llm import exact_dedup, language, main_text, packing, toxicity
+from tidemark.llm import exact_dedup, language, main_text, near_dup, packing, toxicity
 from tidemark.llm.registry import ORACLE, QUERIES, query
 from tidemark.llm.session import table
 
@@ -22,6 +22,11 @@ def op3(docs: DataFrame, folder: str) -> DataFrame:
     return toxicity.score(docs, table(docs.sparkSession, folder, "labels"))
 
 
+@query("op4_jaccard_join", "documents")
+def op4(docs: DataFrame, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(docs)
+
+
 @query("op6_language_id", "documents")
 def op6(docs: DataFrame, folder: str) -> DataFrame:
     return language.identify(docs)
