@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tokens import worker_memory
 from tidemark.session import materialize
 
 TOKENS = 4096
@@ -18,15 +21,20 @@ END_ID = 1
 GROUP_PIECES = 20_000
 # A part of the text the tokenizer can take alone: what lies between two blanks.
 GAPS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# Letters from which on lower-casing a text could differ from lower-casing its letters one by one.
+FAR_LETTERS = re.compile("[^\x00-\u024f]")
+# Blanks to Python alone.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
 
 class _Encoder:
-    """ids of a text as little-endian bytes; each distinct word is tokenised once while it stays in a bounded memory."""
+    """ids of texts as little-endian bytes; each distinct word is tokenised once while it stays in a bounded memory."""
 
-    def __init__(self, path: str, limit: int = 300_000, max_chars: int = 20_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000, max_chars: int = 30_000_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's to share out
         self._tokenizer = Tokenizer.from_file(path)
         self._limit, self._max_chars, self._chars = limit, max_chars, 0
         self._known: dict[str, bytes] = {}
@@ -34,32 +42,49 @@ class _Encoder:
         self._special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if self._special.search(text):  # a special token may span a blank
-            return self._whole([text])[0]
-        words = [w for w in GAPS.split(text) if w]
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _words(self, text: str) -> list[str]:
+        if not FAR_LETTERS.search(text):
+            text = text.lower()  # the tokenizer's own next step; one form of a word to remember instead of several
+        return [w for w in GAPS.split(text) if w] if SEPARATORS.search(text) else text.split()
+
+    def _learn(self, words: list[str]) -> None:
+        """Takes up new words: a word with one mark at its end is made of both parts."""
+        cores = {w: w[:-1] for w in words if w[-1] in ".,!?" and w[:-1].isalpha()}
+        self._known[""] = b""
+        parts = {*cores.values(), *(w[-1] for w in cores), *(w for w in words if w not in cores)}
+        parts = list(parts.difference(self._known))
+        self._chars += sum(map(len, parts)) + sum(map(len, cores))
+        self._known.update(zip(parts, self._whole(parts), strict=True))
+        self._known.update((w, self._known[core] + self._known[w[-1]]) for w, core in cores.items())
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        split = [None if self._special.search(t) else self._words(t) for t in texts]  # a special token may span a blank
+        if len(self._known) > self._limit or self._chars > self._max_chars:
+            self._known, self._chars = {}, 0
         known = self._known
-        if fresh := list(set(words).difference(known)):
-            if len(known) > self._limit or self._chars > self._max_chars:
-                known.clear()
-                self._chars, fresh = 0, list(set(words))
-            self._chars += sum(map(len, fresh))
-            known.update(zip(fresh, self._whole(fresh), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        fresh = set().union(*(w for w in split if w)).difference(known)
+        if fresh:
+            self._learn(list(fresh))
+        for text, words in zip(texts, split, strict=True):
+            yield self._whole([text])[0] if words is None else b"".join(map(known.__getitem__, words))
 
 
 def _cutter(path: str, tokens: int, end_id: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, end = _Encoder(path), np.array([end_id], "<u4").tobytes()
+        kept = worker_memory()
+        if kept.get("encoder_path") != path:
+            kept.update(encoder=_Encoder(path), encoder_path=path)
+        encode, end = kept["encoder"], array("I", [end_id]).tobytes()
         deal = TaskContext.get().partitionId() * 7919  # groups are dealt from another start in each task
         for batch in batches:
             out = []
-            for doc_id, missing, text in zip(batch["id"], batch["no_id"], batch["text"], strict=True):
-                ids = encode(text) + end
+            for doc_id, missing, ids in zip(batch["id"], batch["no_id"], encode(list(batch["text"])), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * tokens)):
                     part = ids[at : at + 4 * tokens]
                     out.append((None if missing else doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), deal))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 import numpy as np
 
 
+def worker_memory() -> dict:
+    """What a Python worker keeps from one task to the next: only what can be worked out again, never results."""
+    return sys.modules.setdefault("tidemark_worker_memory", types.ModuleType("tidemark_worker_memory")).__dict__
+
+
 class _Places(dict):
     """word -> place; a word met for the first time gets the next place and is noted as fresh."""
 
