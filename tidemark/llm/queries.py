@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tidemark.llm import exact_dedup, language, main_text, near_dup, packing, toxicity
+from tidemark.llm import exact_dedup, language, main_text, mixing, near_dup, packing, toxicity
 from tidemark.llm.registry import ORACLE, QUERIES, query
 from tidemark.llm.session import table
 
@@ -49,3 +49,8 @@ def op7(pages: DataFrame, folder: str) -> DataFrame:
 )
 def op8(docs: DataFrame, folder: str) -> DataFrame:
     return exact_dedup.duplicates(docs)
+
+
+@query("op10_pfair_mixing", "documents")
+def op10(docs: DataFrame, folder: str) -> DataFrame:
+    return mixing.mixed(docs)
