@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, language, main_text, mixing, near_dup, packing, toxicity
+from tidemark.llm import exact_dedup, hamming, language, licenses, main_text, mixing, near_dup, packing, quotes, toxicity
 from tidemark.llm.registry import ORACLE, QUERIES, query
 from tidemark.llm.session import table
 
@@ -54,3 +55,19 @@ def op8(docs: DataFrame, folder: str) -> DataFrame:
 @query("op10_pfair_mixing", "documents")
 def op10(docs: DataFrame, folder: str) -> DataFrame:
     return mixing.mixed(docs)
+
+
+@query("op2_hamming_top_k", "embeddings")
+def op2(vectors: DataFrame, folder: str) -> DataFrame:
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.nearest_codes(rows, rows.filter("id % 50 = 0"))
+
+
+@query("op5_license_scan", "documents")
+def op5(docs: DataFrame, folder: str) -> DataFrame:
+    return licenses.scan_licenses(docs)
+
+
+@query("op9_quotation_linking", "conversations")
+def op9(turns: DataFrame, folder: str) -> DataFrame:
+    return quotes.conversations(quotes.as_mail(turns))
