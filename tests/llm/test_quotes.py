@@ -1,0 +1,52 @@
+from __future__ import annotations
+
+from tidemark.llm import quotes
+
+
+def test_levels_and_bodies():
+    text = "Hi,\nAnn wrote:\n> > deep one\n>> deep two\n> shallow\n\n> after a blank\nMy answer.\n"
+    assert quotes.levels(text)[2:5] == [(2, "deep one"), (2, "deep two"), (1, "shallow")]
+    body, own, quoted = quotes.parse(text)
+    assert body == "Hi,\n\nMy answer." and own and quoted
+    assert quotes.parse("") == ("", [], [])
+
+
+def thread(spark, rows):
+    return {r.message_id: r for r in quotes.conversations(spark.createDataFrame(rows, "message_id long, text string")).collect()}
+
+
+def test_replies_find_what_they_quote(text_spark):
+    rows = [
+        (1, "First message\nwith two lines"), (2, "> First   MESSAGE\n> with two lines\nAgreed."), (3, "Bob wrote:\n> > First message\n> > with two lines\n> Agreed.\nMe too."),
+        (4, "> Agreed.\nPartly quoted."), (5, "> never said\nNew topic"), (6, "> New topic\nok"), (7, "para one\n\npara two"), (8, "> para two\nyes"), (9, "no quote at all"), (10, None),
+    ]
+    got = thread(text_spark, rows)
+    assert {k: r.parent_id for k, r in got.items()} == {1: None, 2: 1, 3: 2, 4: 2, 5: None, 6: 5, 7: None, 8: 7, 9: None, 10: None}
+    assert {k: (r.conversation_id, r.depth) for k, r in got.items()} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 2), 5: (5, 0), 6: (5, 1), 7: (7, 0), 8: (7, 1), 9: (9, 0), 10: (10, 0)}
+    assert got[3].body == "Me too." and ">" not in "".join(r.body for r in got.values())
+
+
+def test_long_chains_hot_originals_and_order(text_spark):
+    rows = [(0, "turn 0")] + [(i, f"> turn {i - 1}\nturn {i}") for i in range(1, 40)]
+    rows += [(100, "hello all"), *((101 + i, f"> hello all\nanswer {i}") for i in range(200)), (400, "hello all"), (401, "> hello all\nlate")]
+    got = thread(text_spark, rows)
+    assert all(got[i].depth == i and got[i].conversation_id == 0 for i in range(40))
+    assert all(got[101 + i].parent_id == 100 for i in range(200))
+    assert got[400].parent_id is None and got[401].parent_id == 100  # equal originals: the first stands for all
+
+
+def test_nothing_refers_forward_or_to_itself(text_spark):
+    got = thread(text_spark, [(1, "> two\none"), (2, "> one\ntwo"), (3, "> three\nthree")])
+    assert {k: r.parent_id for k, r in got.items()} == {1: None, 2: 1, 3: None}
+
+
+def test_odd_rows(text_spark):
+    got = quotes.conversations(text_spark.createDataFrame([(None, "x", 1), (1, None, 2), (1, None, 2), (2, "> " * 5000 + "deep", 3), (3, "> \n>\n", 4)], "message_id long, text string, key int"))
+    assert sorted(r.message_id for r in got.collect()) == [1, 2, 3]
+    assert quotes.conversations(text_spark.createDataFrame([], "message_id long, text string")).count() == 0
+
+
+def test_turns_as_mail(text_spark):
+    turns = text_spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "bot", "tell\nmore"), (1, 2, "user", "thanks"), (None, 0, "user", "x"), (2, None, "user", "y")], "conv_id long, turn int, role string, text string")
+    got = {r.message_id: r for r in quotes.conversations(quotes.as_mail(turns)).collect()}
+    assert {k: (r.parent_id, r.depth, r.body) for k, r in got.items()} == {1000: (None, 0, "ask"), 1001: (1000, 1, "tell\nmore"), 1002: (1001, 2, "thanks")}

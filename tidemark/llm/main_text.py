@@ -65,6 +65,8 @@ EXAMPLES = (
     (60, 30, 0, 0, 0, 0, 0, 0, 1), (50, 4, 0, 0, 0, 0, 0, 0, 1), (0, 12, 0, 0, 0, 0, 0, 0, 1), (0, 90, 0, 0, 0, 0, 0, 0, 1),
     (3, 3, 3, 1, 1, 1, 0, 0, 0), (0, 3, 3, 0, 1, 1, 0, 0, 0), (3, 4, 60, 1, 1, 0, 0, 0, 0), (60, 4, 4, 0, 1, 1, 0, 0, 0),
     (4, 12, 4, 1, 0.8, 1, 0, 0, 0), (60, 20, 4, 0, 0.9, 1, 0, 0, 0), (1, 3, 1, 1, 0, 1, 0, 0, 0), (5, 20, 6, 0, 0.6, 0.5, 0, 0, 0),
+    (60, 60, 2, 0, 0, 1, 0, 0, 1), (70, 25, 3, 0, 0.05, 1, 0, 0, 1), (3, 30, 3, 1, 0, 1, 0, 0, 1), (0, 45, 2, 0, 0.1, 1, 0, 0, 1), (10, 50, 60, 1, 0.2, 0, 0, 0, 1),
+    (2, 2, 60, 1, 1, 0, 0, 0, 0), (2, 2, 0, 1, 1, 0, 0, 0, 0), (0, 2, 60, 0, 1, 0, 0, 0, 0), (60, 2, 2, 0, 1, 1, 0, 0, 0), (60, 5, 0, 0, 1, 0, 0, 0, 0), (80, 3, 70, 0, 1, 0, 0, 0, 0),
 )
 
 
