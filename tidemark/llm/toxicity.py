@@ -206,15 +206,25 @@ def fit(texts: list[str], labels: np.ndarray, natural_share: float, rounds: int
     places, docs, spans = np.array(places, np.int64), np.array(docs), np.array(spans)
     inputs = word_inputs(list(number)) if number else word_inputs([""])
     order_of = np.argsort(inputs[1], kind="stable")
-    gram_owner, gram_found = inputs[1][order_of], inputs[2][order_of]
-    gram_from = np.searchsorted(gram_owner, np.arange(len(inputs[0]) + 1))
+    gram_found = inputs[2][order_of].astype(np.int32)
+    gram_from = np.searchsorted(inputs[1][order_of], np.arange(len(inputs[0]) + 1))
+    buckets, gram_count = inputs[0], inputs[3]
+    del inputs, order_of
     first = np.flatnonzero(np.diff(docs, prepend=-1))
     learn = rng.permutation(len(texts))
     held, learn = learn[: len(texts) // 5], np.sort(learn[len(texts) // 5 :])
     adam = _Adam(net.p, 0.01)
 
+    def of_words(kinds: np.ndarray):
+        """The inputs of some of the words."""
+        sel = np.concatenate([np.arange(gram_from[w], gram_from[w + 1]) for w in kinds])
+        owner = np.repeat(np.arange(len(kinds)), gram_from[kinds + 1] - gram_from[kinds])
+        return buckets[kinds], owner, gram_found[sel], gram_count[kinds]
+
     def score_all() -> np.ndarray:
-        return window_logits(net, _projected(net, _vectors(net, inputs)), places, [tuple(s) for s in spans])
+        parts = np.array_split(np.arange(len(buckets)), len(buckets) // 10_000 + 1)
+        projected = np.concatenate([_projected(net, _vectors(net, of_words(k))) for k in parts if len(k)])
+        return window_logits(net, projected, places, spans)
 
     counts = np.diff(np.append(first, len(docs)))
     for k in range(rounds):
@@ -233,12 +243,11 @@ def fit(texts: list[str], labels: np.ndarray, natural_share: float, rounds: int
             rng.shuffle(chosen)
             for b in range(0, len(chosen), 256):
                 part = chosen[b : b + 256]
-                words, valid = _padded(places, [tuple(s) for s in spans[part]])
+                words, valid = _padded(places, spans[part])
                 kinds, where = np.unique(words, return_inverse=True)
                 where = where.reshape(words.shape)
-                sel = np.concatenate([np.arange(gram_from[w], gram_from[w + 1]) for w in kinds])
-                owner = np.repeat(np.arange(len(kinds)), gram_from[kinds + 1] - gram_from[kinds])
-                sub = (inputs[0][kinds], owner, gram_found[sel], inputs[3][kinds])
+                sub = of_words(kinds)
+                owner = sub[1]
                 vectors = _vectors(net, sub)
                 x = _projected(net, vectors)[where]
                 logits, made = _run(net, x, valid, True)
