@@ -20,12 +20,12 @@ def sample(spark):
 
 
 def means(df, n_boot=800, **options):
-    out = bootstrap.resampled_means(df, "x", ["accession", "txn_sk"], ["grp"], n_boot, **options)
+    out = bootstrap.resampled_means(df, "x", ["grp"], n_boot, **options)
     return {(r.grp, r.replicate): r.mean for r in out.collect()}
 
 
 def test_every_group_and_replicate_is_there_once(sample):
-    out = bootstrap.resampled_means(sample, "x", ["accession", "txn_sk"], ["grp"], 777)
+    out = bootstrap.resampled_means(sample, "x", ["grp"], 777)
     assert out.count() == out.select("grp", "replicate").distinct().count() == 2 * 777
 
 
@@ -37,10 +37,10 @@ def test_same_seed_same_means_whatever_the_partitioning(sample):
     assert means(sample, seed=9) != one
 
 
-@pytest.mark.parametrize("chunk_rows", [100, 1 << 17])
-def test_means_spread_like_the_sampling_distribution(sample, chunk_rows):
+@pytest.mark.parametrize("chunk_values", [100, 1 << 17])
+def test_means_spread_like_the_sampling_distribution(sample, chunk_values):
     """Chunked or not, mean and deviation of the replicates match theory."""
-    got = means(sample, 2_000, chunk_rows=chunk_rows)
+    got = means(sample, 2_000, chunk_values=chunk_values)
     x = np.array([r.x for r in sample.filter("grp = 'big'").collect()])
     reps = np.array([v for (g, _), v in got.items() if g == "big"])
     se = x.std() / np.sqrt(len(x))
@@ -49,7 +49,7 @@ def test_means_spread_like_the_sampling_distribution(sample, chunk_rows):
 
 
 def test_interval_brackets_the_mean(sample):
-    mean, (lo, hi) = bootstrap.mean_interval(sample.filter("grp = 'big'"), "x", ["accession", "txn_sk"], 1_000)
+    mean, (lo, hi) = bootstrap.mean_interval(sample.filter("grp = 'big'"), "x", 1_000)
     assert lo < mean < hi
     x = np.array([r.x for r in sample.filter("grp = 'big'").collect()])
     half = 1.96 * x.std() / np.sqrt(len(x))
@@ -58,12 +58,12 @@ def test_interval_brackets_the_mean(sample):
 
 def test_constant_values_have_no_width(spark):
     df = spark.range(30).select(F.col("id").alias("k"), F.lit(2.0).alias("x"))
-    assert bootstrap.mean_interval(df, "x", ["k"], 100) == (2.0, (2.0, 2.0))
+    assert bootstrap.mean_interval(df, "x", 100) == (2.0, (2.0, 2.0))
 
 
 def test_empty_column_is_an_error(sample):
     with pytest.raises(ValueError):
-        bootstrap.mean_interval(sample.filter("x IS NULL"), "x", ["accession", "txn_sk"], 10)
+        bootstrap.mean_interval(sample.filter("x IS NULL"), "x", 10)
 
 
 def test_rank_positions_truncate():
@@ -118,7 +118,7 @@ def test_null_and_empty_groups_stay_apart(spark):
     df = spark.createDataFrame(
         [(g, i, v) for g, v in ((None, 1.0), ("", 2.0), ("x", 3.0)) for i in range(5)], "g string, k int, x double"
     )
-    means = bootstrap.resampled_means(df, "x", ["k"], ["g"], 20)
+    means = bootstrap.resampled_means(df, "x", ["g"], 20)
     got = {r.g: (r.n, r.lo, r.hi) for r in means.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.min("mean").alias("lo"), F.max("mean").alias("hi")).collect()}
     assert got == {None: (20, 1.0, 1.0), "": (20, 2.0, 2.0), "x": (20, 3.0, 3.0)}

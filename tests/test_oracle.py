@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tidemark import catalog
 
 SF = "/root/testdata/sf0.001"
-NO_TWIN = {"a7_bootstrap_exact"}
+NO_TWIN: set[str] = set()
 
 
 @pytest.fixture(scope="module")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.returns import forward_return
 from tidemark.operators import quality, sessions
+from tidemark.operators.ladder import session_prices
+from tidemark.operators.sessions import numbered_sessions, trading_calendar
 from tidemark.plans.panel import abnormal_returns
 from tidemark.plans import curve as curves
 from tidemark.plans.study import run_study
@@ -129,11 +131,42 @@ def test_entry_can_be_the_next_open(spark, session_days, market):
         "ticker string, date date, open double, close double",
     )
     ev = spark.createDataFrame([("A", 1, "ZED", session_days[0])], EVENTS)
+    opened = market.withColumn("open", F.col("close") * 0.8)
     [r] = rows(
-        abnormal_returns(ev, prices, market, horizons={"1d": 1}, entry_field="open", entry_lag=1), "accession"
+        abnormal_returns(ev, prices, opened, horizons={"1d": 1}, entry_field="open", entry_lag=1), "accession"
     )
     assert (r["entry_date"], r["entry_close"]) == (session_days[1], 5.0)
     assert r["ret_1d"] == pytest.approx(7.0 / 5.0 - 1)
+    closes = {m.date: m.close for m in market.collect()}
+    assert r["abn_1d"] == pytest.approx(r["ret_1d"] - (closes[session_days[2]] / (0.8 * closes[session_days[1]]) - 1))
+
+
+def test_a_benchmark_without_an_open_cannot_be_entered_there(spark, session_days, market):
+    prices = spark.createDataFrame([("ZED", d, 5.0) for d in session_days], PRICES)
+    ev = spark.createDataFrame([("A", 1, "ZED", session_days[0])], EVENTS)
+    with pytest.raises(ValueError, match="open"):
+        abnormal_returns(ev, prices, market, entry_field="open", entry_lag=1)
+
+
+def test_a_reused_ticker_is_delisted_once_per_event(spark, session_days, market):
+    prices = spark.createDataFrame([("DEAD", d, 10.0) for d in session_days[:40]], PRICES)
+    gone = spark.createDataFrame(
+        [("DEAD", session_days[3], 5.0), ("DEAD", session_days[3], 2.0), ("DEAD", session_days[20], None)],
+        "ticker string, delist_date date, recovery_value double",
+    )
+    ev = spark.createDataFrame([("A", 1, "DEAD", session_days[0]), ("B", 1, "DEAD", session_days[10]), ("C", 1, "DEAD", session_days[30])], EVENTS)
+    got = rows(abnormal_returns(ev, prices, market, horizons={"1w": 5, "1m": 21}, delistings=gone), "accession")
+    assert [(r["ret_1w"], r["ret_1m"]) for r in got] == [(pytest.approx(-0.8), pytest.approx(-0.8)), (0.0, -1.0), (0.0, None)]
+
+
+def test_repeated_prices_fold_to_one_whole_row(spark, session_days, market):
+    prices = spark.createDataFrame(
+        [("ZED", session_days[0], 9.0, 5.0, 1.0), ("ZED", session_days[0], 2.0, 7.0, 3.0), ("ZED", session_days[0], 1.0, None, 0.0)],
+        "ticker string, date date, open double, close double, volume double",
+    )
+    numbered = numbered_sessions(trading_calendar(market))
+    [r] = rows(session_prices(prices, numbered), "t")
+    assert (r["close"], r["open"], r["volume"]) == (5.0, 9.0, 1.0)
 
 
 def test_delisting_is_a_booked_loss(spark, session_days, market):

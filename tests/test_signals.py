@@ -87,6 +87,15 @@ def test_reliable_price_bounds(spark):
     assert column(df.filter(signals.has_reliable_price()), "id") == [1]
 
 
+def test_ciks_that_are_missing_or_no_numbers(spark):
+    df = spark.createDataFrame([(None,), ("n/a",), ("7",)], "cik string").select(
+        signals.padded_cik(F.col("cik")).alias("padded"), signals.filing_url(F.lit("0-1"), F.col("cik")).alias("url")
+    )
+    got = df.collect()
+    assert [r.padded for r in got] == [None, None, "CIK0000000007"]
+    assert got[0].url is None and "/n/a/" in got[1].url and "/7/" in got[2].url
+
+
 def test_cik_forms_and_url(spark):
     row = spark.range(1).select(
         signals.padded_cik(F.lit("0000000042")).alias("padded"),

@@ -101,6 +101,16 @@ def test_daily_index_keeps_new_filings_of_one_form(spark, tmp_path):
     assert r["filing_date"] == dt.date(2024, 2, 6)
 
 
+def test_long_company_names_fill_their_column(spark):
+    lines = [
+        f"{'4':<12}{'N' * n:<62}{'77':<12}{'20240206':<12}edgar/data/77/A-{n}.txt" for n in (1, 60, 61, 62)
+    ] + ["", "Form Type   Company Name", f"{'4':<12}{'NO DATE':<62}{'77':<12}unknown     edgar/data/77/X.txt"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = rows(index.parse_form_index(df), "accession")
+    assert sorted((len(r["company"]), r["cik"], r["accession"]) for r in got) == [(n, "77", f"A-{n}") for n in (1, 60, 61, 62)]
+    assert sorted(r.value for r in index.unparsed_lines(df).collect()) == sorted(lines[4:])
+
+
 def test_wide_prices_turn_long(spark):
     wide = spark.createDataFrame(
         [(dt.date(2020, 1, 2), 1.0, 2.0, 5.0), (dt.date(2020, 1, 3), 1.5, None, 6.0)],

@@ -159,7 +159,13 @@ class Tables:
         )
 
     def delistings(self) -> DataFrame:
-        rows = [("BRX", dt.date(1999, 6, 1), 0.0), ("BRY", dt.date(2000, 1, 3), 10000.0)]
+        """One ticker is delisted, used again and delisted once more; that day is listed twice."""
+        rows = [
+            ("BRX", dt.date(1997, 3, 3), 20000.0),
+            ("BRX", dt.date(1999, 6, 1), 0.0),
+            ("BRX", dt.date(1999, 6, 1), 50000.0),
+            ("BRY", dt.date(2000, 1, 3), 10000.0),
+        ]
         return self.spark.createDataFrame(rows, DELISTING_SCHEMA)
 
     def issuer_sizes(self) -> DataFrame:

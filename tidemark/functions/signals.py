@@ -116,7 +116,9 @@ def has_reliable_price(footnoted: str = "price_footnoted", price: str = "price")
 
 
 def padded_cik(cik: Column) -> Column:
-    return F.format_string("CIK%010d", cik.cast("long"))
+    """The CIK padded for lookups; what is no number has no padded form."""
+    number = cik.cast("string").try_cast("long")
+    return F.when(number.isNotNull(), F.format_string("CIK%010d", number))
 
 
 def plain_cik(cik: Column) -> Column:
@@ -129,7 +131,7 @@ def filing_url(accession: Column, cik: Column) -> Column:
     """Address of the filing's public index page."""
     return F.concat(
         F.lit(FILING_INDEX_ROOT),
-        cik.cast("long").cast("string"),
+        plain_cik(cik),
         F.lit("/"),
         F.replace(accession, F.lit("-"), F.lit("")),
         F.lit("/"),

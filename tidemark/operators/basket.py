@@ -145,9 +145,8 @@ def forward_paths(px: DataFrame, hold: int, entries: DataFrame | None = None) ->
         marks = entries.select("ticker", F.col("entry_t").alias("t"), F.lit(True).alias("wanted"))
         px = px.join(marks, ["ticker", "t"], "left")
     by_t = Window.partitionBy("ticker").orderBy("t")
-    cores = px.sparkSession.sparkContext.defaultParallelism
     return (
-        px.repartition(4 * cores, "ticker")
+        px.repartition("ticker")
         .withColumn("fill", F.lead("close").over(by_t))
         .select(
             "ticker",

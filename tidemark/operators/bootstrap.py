@@ -1,11 +1,13 @@
 """Bootstrap confidence intervals of a mean, distributed over rows and replicates.
 
 ``resampled_means`` draws the exact multinomial bootstrap without ever holding a whole group in
-one place. A group's rows are spread over hash chunks of bounded size. Each replicate first
-splits its N draws over the chunks (one multinomial draw over the chunk sizes), then every chunk
-draws its own share with replacement. The two steps together are N draws with replacement from
-the whole group. Seeds depend on (seed, group, chunk, replicate block) only, so the result does
-not depend on how Spark places the work.
+one place. A group's rows are first folded to distinct values with weights, so that the work is
+bounded by the values there are and not by how often each occurs: an abnormal return belongs to a
+ticker and a session, whatever number of events enter there. The values are spread over hash chunks
+of bounded size. Each replicate first splits its N draws over the chunks (one multinomial draw over the
+chunk weights), then every chunk draws its own share with replacement. The two steps together are N draws
+with replacement from the whole group. Seeds depend on (seed, group, chunk, replicate block) only, so the
+result does not depend on how Spark places the work.
 
 ``poisson_means`` replaces resampling by independent Poisson(1) weights taken from an md5 of the
 row key, which needs nothing but SQL and combines map-side.
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-CHUNK_ROWS = 1 << 17
+CHUNK_VALUES = 1 << 17
+# Up to this many rows per distinct value, drawing row by row is quicker than drawing counts.
+ROWS_PER_VALUE = 8
 BLOCK_REPLICATES = 250
 
 
@@ -72,13 +76,17 @@ def _draw_sums(seed: int):
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for group, chunk, block, values, draws in zip(
-                frame["boot_group"], frame["chunk"], frame["block"], frame["values"], frame["draws"]
+            for group, chunk, block, values, weights, draws in zip(
+                frame["boot_group"], frame["chunk"], frame["block"], frame["values"], frame["weights"], frame["draws"]
             ):
-                values = np.asarray(values, dtype=float)
+                values, weights = np.asarray(values, dtype=float), np.asarray(weights, dtype=np.int64)
                 rng = _seed(seed, group, 1, chunk, block)
-                size = len(values)
-                sums = [values.take(rng.integers(0, size, k, dtype=np.int32)).sum() for k in draws]
+                total = int(weights.sum())
+                if total <= ROWS_PER_VALUE * len(values):
+                    each = np.repeat(values, weights)
+                    sums = [each.take(rng.integers(0, total, k, dtype=np.int32)).sum() for k in draws]
+                else:
+                    sums = [rng.multinomial(k, weights / total) @ values for k in draws]
                 yield pd.DataFrame(
                     {
                         "boot_group": group,
@@ -93,41 +101,34 @@ def _draw_sums(seed: int):
 def resampled_means(
     rows: DataFrame,
     value: str,
-    key: Sequence[str],
     by: Sequence[str],
     n_boot: int = 10_000,
     seed: int = 0,
-    n_rows: int | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_values: int = CHUNK_VALUES,
 ) -> DataFrame:
     """(by…, replicate, mean): exact multinomial bootstrap means of ``value`` per group.
 
-    ``key`` must identify a row within its group. ``n_rows`` is an upper bound on the rows of one
-    group; when it is not given it is counted, so pass a stored table.
+    The number of chunks follows from the distinct values of the largest group, which are counted over
+    the stored fold.
     """
-    rows = rows.filter(F.col(value).isNotNull())
-    if n_rows is None:
-        n_rows = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    n_chunks = max(1, math.ceil(n_rows / chunk_rows))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = math.ceil(n_boot / BLOCK_REPLICATES)
-    keyed = rows.select(
-        *by,
-        _group_text(by).alias("boot_group"),
-        F.pmod(F.xxhash64(*key), F.lit(n_chunks)).cast("long").alias("chunk"),
-        F.col(value).cast("double").alias("value"),
+    folded = materialize(
+        rows.filter(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .withColumn("boot_group", _group_text(by))
     )
-    # A chunk is packed into one bounded array; sorting makes it independent of arrival order.
-    # The packed table is stored, so that the long draws never reach back to the input.
+    most = folded.groupBy("boot_group").count().agg(F.max("count")).first()[0] or 0
+    n_chunks = max(1, math.ceil(most / chunk_values))
+    blocks = math.ceil(n_boot / BLOCK_REPLICATES)
+    # A chunk is packed into bounded arrays; sorting makes them independent of arrival order.
     packed = materialize(
-        keyed.groupBy(*by, "boot_group", "chunk").agg(
-            F.sort_array(F.collect_list("value")).alias("values")
-        )
-    )
-    sizes = packed.select(*by, "boot_group", "chunk", F.size("values").cast("long").alias("size"))
-    chunks = packed.select("boot_group", "chunk", "values").repartition(
-        4 * cores, "boot_group", "chunk"
+        folded.withColumn("chunk", F.pmod(F.xxhash64("value"), F.lit(n_chunks)).cast("long"))
+        .groupBy(*by, "boot_group", "chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("value", "weight"))).alias("cells"))
+        .select(*by, "boot_group", "chunk", F.col("cells.value").alias("values"), F.col("cells.weight").alias("weights"))
     )
+    total = F.aggregate("weights", F.lit(0).cast("long"), lambda a, w: a + w)
+    sizes = packed.select(*by, "boot_group", "chunk", total.alias("size"))
     splits = (
         sizes.groupBy("boot_group")
         .agg(F.sort_array(F.collect_list(F.struct("chunk", "size"))).alias("parts"))
@@ -143,12 +144,12 @@ def resampled_means(
             "boot_group string, chunk long, block long, draws array<long>",
         )
     )
-    tasks = splits.join(chunks, ["boot_group", "chunk"]).select(
-        "boot_group", "chunk", "block", "values", "draws"
+    # One task of drawing is a chunk and a block of replicates; they are dealt out by both.
+    tasks = (
+        splits.join(packed.select("boot_group", "chunk", "values", "weights"), ["boot_group", "chunk"])
+        .select("boot_group", "chunk", "block", "values", "weights", "draws")
+        .repartition("boot_group", "chunk", "block")
     )
-    # Few chunks would leave cores idle, so their replicate blocks are spread out as well.
-    if n_chunks < cores:
-        tasks = tasks.repartition(4 * cores, "boot_group", "chunk", "block")
     sums = tasks.mapInPandas(_draw_sums(seed), "boot_group string, replicate long, part double")
     totals = sizes.groupBy(*by, "boot_group").agg(F.sum("size").alias("n"))
     return (
@@ -190,16 +191,15 @@ def poisson_means(
     """(by…, replicate, mean_<value>…): Poisson(1) bootstrap of several columns at once.
 
     One md5 serves four replicates. The expanded rows never leave their task: they are summed
-    per replicate before the exchange. Rows are spread over all cores first, since each of them
-    stands for ``n_boot`` draws.
+    per replicate before the exchange. Rows are dealt out by key first, since each of them stands
+    for ``n_boot`` draws.
     """
     quads = math.ceil(n_boot / 4)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.col("quad")).cast("binary"))
     words = F.array(*[F.substring("digest", 1 + 8 * i, 8) for i in range(4)])
     drawn = (
         rows.select(*by, *key, *values)
-        .repartition(2 * cores, *key)
+        .repartition(*key)
         .select(*by, *key, *values, F.explode(F.sequence(F.lit(0), F.lit(quads - 1))).alias("quad"))
         .withColumn("digest", digest)
         .select(*by, *values, "quad", F.posexplode(words).alias("slot", "word"))
@@ -230,7 +230,6 @@ def poisson_means(
 def mean_interval(
     df: DataFrame,
     value: str,
-    key: Sequence[str],
     n_boot: int = 10_000,
     lo: float = 2.5,
     hi: float = 97.5,
@@ -241,6 +240,6 @@ def mean_interval(
     if not summary["n"]:
         raise ValueError(f"{value} holds no values")
     rows = df.withColumn("all_rows", F.lit("all"))
-    means = resampled_means(rows, value, key, ["all_rows"], n_boot, seed, n_rows=summary["n"])
+    means = resampled_means(rows, value, ["all_rows"], n_boot, seed)
     ci = percentile_interval(means, ["all_rows"], n_boot, lo, hi).first()
     return summary["mean"], (ci["ci_lo"], ci["ci_hi"])

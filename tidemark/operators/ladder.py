@@ -32,12 +32,12 @@ def daily_prices(prices: DataFrame, tickers: DataFrame | None = None) -> DataFra
 
 
 def session_prices(prices: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row per (ticker, t). Repeated keys fold to their lowest values, combined map-side."""
-    unique = (
-        daily_prices(prices)
-        .groupBy("ticker", "date")
-        .agg(*[F.min(c).alias(c) for c in ("close", "open", "volume")])
-    )
+    """One row per (ticker, t). Of repeated keys the row with the lowest close, open and volume stays
+    whole; rows without a close come last. Combined map-side."""
+    fields = ("close", "open", "volume")
+    row = F.struct(F.col("close").isNull().alias("unpriced"), *fields)
+    unique = daily_prices(prices).groupBy("ticker", "date").agg(F.min(row).alias("row"))
+    unique = unique.select("ticker", "date", *[F.col(f"row.{c}").alias(c) for c in fields])
     return unique.join(F.broadcast(sessions), F.col("date") == F.col("cal_date")).select(
         "ticker", F.col("t").cast("long").alias("t"), "close", "open", "volume", "cal_date"
     )
@@ -53,6 +53,30 @@ def exit_prices(px: DataFrame, horizons: dict[str, int]) -> DataFrame:
     return px.withColumns({f"exit_{h}": exact_ahead("close", n) for h, n in horizons.items()})
 
 
+def delisting_history(delistings: DataFrame) -> DataFrame:
+    """(ticker, history): a ticker's delistings in date order, one a day with its lowest recovery.
+
+    Tickers are used again, so there may be several; each is a listing's end, so they are few.
+    """
+    daily = delistings.groupBy("ticker", F.col("delist_date").cast("date").alias("delist_date")).agg(
+        F.min(F.coalesce("recovery_value", F.lit(0.0))).alias("recovery_value")
+    )
+    dated = daily.filter(F.col("delist_date").isNotNull())
+    return dated.groupBy("ticker").agg(
+        F.sort_array(F.collect_list(F.struct("delist_date", "recovery_value"))).alias("history")
+    )
+
+
+def next_delisting(day: Column) -> Column:
+    """The first delisting after a day, or null."""
+    return F.get(F.filter("history", lambda d: d["delist_date"] > day), F.lit(0))
+
+
+def last_delisting(day: Column) -> Column:
+    """The latest delisting on or before a day, or null."""
+    return F.try_element_at(F.filter("history", lambda d: d["delist_date"] <= day), F.lit(-1))
+
+
 def return_ladder(
     prices: DataFrame,
     sessions: DataFrame,
@@ -71,12 +95,11 @@ def return_ladder(
     px = exit_prices(session_prices(prices, sessions), horizons).withColumns(features)
     returns = {h: simple_return(F.col(entry_field), F.col(f"exit_{h}")) for h in horizons}
     if delistings is not None:
-        px = px.join(exit_dates, "t").join(delistings, "ticker", "left")
+        px = px.join(exit_dates, "t").join(delisting_history(delistings), "ticker", "left")
+        px = px.withColumn("end", next_delisting(F.col("cal_date")))
         for h in horizons:
-            gone = (F.col("cal_date") < F.col("delist_date")) & (
-                F.col("delist_date") <= F.col(f"exit_date_{h}")
-            )
-            booked = simple_return(F.col(entry_field), F.coalesce("recovery_value", F.lit(0.0)))
+            gone = F.col("end.delist_date") <= F.col(f"exit_date_{h}")
+            booked = simple_return(F.col(entry_field), F.col("end.recovery_value"))
             returns[h] = F.when(gone, booked).otherwise(returns[h])
     return px.select(
         "ticker",

@@ -23,7 +23,7 @@ from tidemark.operators.joins import splittable_join
 from tidemark.session import materialize
 
 WINDOW_ROWS = 1_000
-BUCKETS = 256
+BUCKETS = 1024
 BUCKET_ROWS = 100_000
 
 
@@ -34,7 +34,8 @@ def prior_medians(
 ) -> DataFrame:
     """(insider_id, filing_date, prior_median) over trades on strictly earlier days.
 
-    Whether any insider is busy is looked up first, so hand over a stored table.
+    One plan for every table: each insider's trades take the window or the buckets by their number,
+    and both are exact.
     """
     rows = events.filter(
         F.col("insider_id").isNotNull() & F.col("filing_date").isNotNull()
@@ -43,11 +44,8 @@ def prior_medians(
     busy = sizes.filter(F.col("rows") > window_rows)
     calm = sizes.filter(F.col("rows") <= window_rows).select("insider_id")
     few = splittable_join(rows, calm, "insider_id", "left_semi")
-    medians = _window_medians(few)
-    if busy.isEmpty():
-        return medians
     many = splittable_join(rows, busy.select("insider_id", "n"), "insider_id")
-    return medians.unionByName(_bucketed_medians(many, bucket_rows))
+    return _window_medians(few).unionByName(_bucketed_medians(many, bucket_rows))
 
 
 def _window_medians(rows: DataFrame) -> DataFrame:

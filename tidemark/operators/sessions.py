@@ -36,14 +36,16 @@ def entry_calendar(
     """For every calendar day: the session to enter on, exit dates and benchmark returns.
 
     Days between two sessions point at the later one, which turns the forward as-of join into
-    an equi-join. ``lead`` is exact here because t has no gaps.
+    an equi-join. ``lead`` is exact here because t has no gaps. The benchmark enters at the same
+    field as the stock, so it must have that field.
     """
-    field = entry_field if entry_field in benchmark.columns else "close"
+    if entry_field not in benchmark.columns:
+        raise ValueError(f"the benchmark has no {entry_field} to enter at")
     market = (
         benchmark.groupBy(F.col("date").cast("date").alias("cal_date"))
         .agg(
             F.min(F.col("close").cast("double")).alias("bclose"),
-            F.min(F.col(field).cast("double")).alias("bentry"),
+            F.min(F.col(entry_field).cast("double")).alias("bentry"),
         )
     )
     by_t = Window.orderBy("t")

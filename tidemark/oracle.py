@@ -68,9 +68,13 @@ CTES["cal"] = """
 SELECT row_number() OVER (ORDER BY date) - 1 AS t, date AS cal_date FROM (SELECT DISTINCT date FROM bench)"""
 
 CTES["delist"] = """
-SELECT * FROM (VALUES ('BRX', DATE '1999-06-01', 0.0::DOUBLE), ('BRY', DATE '2000-01-03', 10000.0::DOUBLE))
+SELECT * FROM (VALUES ('BRX', DATE '1997-03-03', 20000.0::DOUBLE), ('BRX', DATE '1999-06-01', 0.0::DOUBLE),
+  ('BRX', DATE '1999-06-01', 50000.0::DOUBLE), ('BRY', DATE '2000-01-03', 10000.0::DOUBLE))
   AS d(ticker, delist_date, recovery_value)"""
 
+CTES["delist_days"] = """
+SELECT ticker, delist_date, min(recovery_value) AS recovery_value FROM delist GROUP BY 1, 2"""
+
 CTES["sizes"] = """
 SELECT CAST(c_custkey AS VARCHAR) AS issuer_cik, DATE '1995-01-01' AS effective_date, c_acctbal AS market_cap FROM customer
 UNION ALL
@@ -147,13 +151,13 @@ def _wide_panel(source: str, delisted: bool = False) -> str:
         ret = f"p{h}.close / p0.close - 1.0"
         if delisted:
             ret = (
-                f"CASE WHEN p0.close IS NOT NULL AND e.entry_date < d.delist_date "
+                f"CASE WHEN p0.close IS NOT NULL "
                 f"AND d.delist_date <= x{h}.cal_date THEN d.recovery_value / p0.close - 1.0 ELSE {ret} END"
             )
         cols.append(f"({ret}) AS ret_{h}")
         cols.append(f"({ret}) - (b{h}.close / b0.close - 1.0) AS abn_{h}")
         cols.append(f"x{h}.cal_date AS exit_date_{h}")
-    extra = " LEFT JOIN delist d ON d.ticker = e.ticker" if delisted else ""
+    extra = " ASOF LEFT JOIN delist_days d ON d.ticker = e.ticker AND e.entry_date < d.delist_date" if delisted else ""
     return (
         "SELECT e.*, p0.close AS entry_close, p0.close IS NOT NULL AS priced, "
         + ", ".join(cols)

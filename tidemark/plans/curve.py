@@ -60,7 +60,7 @@ def horizon_curve(
     """
     groups = [*by, "horizon"]
     rows = long_returns(panel, horizons, keep=by)
-    means = bootstrap.resampled_means(rows, "abn", EVENT_KEY, groups, n_boot, seed)
+    means = bootstrap.resampled_means(rows, "abn", groups, n_boot, seed)
     interval = bootstrap.percentile_interval(means, groups, n_boot, lo, hi)
     return _attach(horizon_means(panel, horizons, by), interval, groups)
 

@@ -16,7 +16,6 @@ PLAN_PATTERN = "(?i)10b5-1"
 DATE_FORMAT = "d-MMM-yyyy"
 TICKER_PATTERN = "^[A-Za-z.]+$"
 PRICE_CEILING = 10_000
-DELISTED_RETURN = -1.0
 
 # Raw quarterly tables: every field is text when it lands, and typed downstream.
 RAW_COLUMNS: dict[str, tuple[str, ...]] = {
@@ -72,16 +71,6 @@ EVENT_COLUMNS = tuple(EVENT_SCHEMA.fieldNames())
 EVENT_KEY = ("accession", "txn_sk")
 ROLE_FLAGS = ("is_director", "is_officer", "is_ten_percent_owner", "is_other")
 
-PRICE_SCHEMA = T.StructType(
-    [
-        T.StructField("ticker", T.StringType()),
-        T.StructField("date", T.DateType()),
-        T.StructField("open", T.DoubleType()),
-        T.StructField("close", T.DoubleType()),
-        T.StructField("volume", T.DoubleType()),
-    ]
-)
-
 DELISTING_SCHEMA = T.StructType(
     [
         T.StructField("ticker", T.StringType()),

@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Form type, company, CIK, date and file name, separated by runs of blanks.
-INDEX_LINE = r"^(\S+(?: \S+)*)\s{2,}(\S.*?)\s{2,}(\d+)\s+(\d{4}-?\d{2}-?\d{2})\s+(\S+)\s*$"
+# Form type, company, CIK, date and file name, in columns 1, 13, 75, 87 and 99.
+INDEX_LINE = r"^(.{12})(.{62})(\d+)\s+(\d{4}-?\d{2}-?\d{2})\s+(\S+)\s*$"
+# The same fields separated by runs of blanks, for lists laid out more narrowly.
+SPACED_LINE = r"^(\S+(?: \S+)*)\s{2,}(\S.*?)\s{2,}(\d+)\s+(\d{4}-?\d{2}-?\d{2})\s+(\S+)\s*$"
 
 
 def read_form_index(spark: SparkSession, path: str) -> DataFrame:
-    """All entries; heading lines do not match the layout and drop out."""
+    """All entries; ``unparsed_lines`` has what fits neither layout, such as headings."""
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     return parse_form_index(lines)
 
 
 def parse_form_index(lines: DataFrame) -> DataFrame:
-    part = lambda i: F.regexp_extract("value", INDEX_LINE, i)
-    entries = lines.filter(F.col("value").rlike(INDEX_LINE)).select(
-        part(1).alias("form_type"),
-        part(2).alias("company"),
+    """Entries by column position, however long the company's name; by blanks where the columns differ."""
+    placed = F.col("value").rlike(INDEX_LINE)
+    part = lambda i: F.when(placed, F.regexp_extract("value", INDEX_LINE, i)).otherwise(
+        F.regexp_extract("value", SPACED_LINE, i)
+    )
+    entries = lines.filter(placed | F.col("value").rlike(SPACED_LINE)).select(
+        F.trim(part(1)).alias("form_type"),
+        F.trim(part(2)).alias("company"),
         part(3).cast("long").cast("string").alias("cik"),
         F.try_to_date(F.replace(part(4), F.lit("-"), F.lit("")), "yyyyMMdd").alias("filing_date"),
         part(5).alias("file_name"),
@@ -29,6 +35,12 @@ def parse_form_index(lines: DataFrame) -> DataFrame:
     )
 
 
+def unparsed_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are no entry in either layout, to be kept and looked at."""
+    fits = F.col("value").rlike(INDEX_LINE) | F.col("value").rlike(SPACED_LINE)
+    return lines.filter(~F.coalesce(fits, F.lit(False)))
+
+
 def filings_since(index: DataFrame, last_quarter_end, form_type: str = "4") -> DataFrame:
     """Entries of one form filed after the last published quarter."""
     return index.filter(
