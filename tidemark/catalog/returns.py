@@ -135,6 +135,12 @@ def v2_panel(t: Tables) -> DataFrame:
     return study_panel(t)
 
 
+@query("v2_next_open", f"SELECT {PANEL_COLUMNS} FROM wide_next")
+def v2_next_open(t: Tables) -> DataFrame:
+    """Filled at the open after the first session, stock and benchmark alike."""
+    return study_panel(t, entry_field="open", entry_lag=1)
+
+
 @query("v3_delist", f"SELECT {PANEL_COLUMNS} FROM wide_delisted")
 def v3_delist(t: Tables) -> DataFrame:
     return study_panel(t, delistings=t.delistings())

@@ -53,6 +53,22 @@ def g2_own_size(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "g2_own_size_probe",
+    "SELECT DISTINCT e.user_id AS insider_id, e.day AS filing_date, round(q.m, 6) AS prior_median FROM probe e LEFT JOIN "
+    "(SELECT d.user_id, d.day, quantile_cont(p.value, 0.5) AS m FROM (SELECT DISTINCT user_id, day FROM probe) d "
+    "JOIN probe p ON p.user_id = d.user_id AND p.day < d.day GROUP BY 1, 2) q ON q.user_id = e.user_id AND q.day = e.day",
+    probe="SELECT CAST(CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS VARCHAR) AS user_id, CAST(ts AS DATE) AS day, value FROM events",
+)
+def g2_own_size_probe(t: Tables) -> DataFrame:
+    """A third of the users act as one, so the busy route is taken beside the calm one."""
+    user = F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("string")
+    rows = t.raw("events").select(user.alias("insider_id"), F.col("ts").cast("date").alias("filing_date"), "value")
+    return medians.prior_medians(materialize(rows)).select(
+        "insider_id", "filing_date", F.round("prior_median", 6).alias("prior_median")
+    )
+
+
 _SIZED = {
     "sized": "SELECT e.accession, e.txn_sk, e.value, s.market_cap FROM ev e "
     "ASOF LEFT JOIN sizes s ON e.issuer_cik = s.issuer_cik AND e.filing_date >= s.effective_date"
@@ -174,8 +190,12 @@ _COST = {
 }
 
 
-def _net(t: Tables) -> DataFrame:
-    return basket.net_returns(study_panel(t, price_features=basket.turnover_feature()), "1m")
+_NEXT_OPEN = {"entry_field": "open", "entry_lag": 1}
+_COST_NEXT = {**_COST, "net": _COST["net"].replace("FROM wide w", "FROM wide_next w")}
+
+
+def _net(t: Tables, **options) -> DataFrame:
+    return basket.net_returns(study_panel(t, price_features=basket.turnover_feature(), **options), "1m")
 
 
 @query(
@@ -189,6 +209,15 @@ def b2_net_returns(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "b2_net_next_open",
+    "SELECT accession, txn_sk, round(cost, 9) AS cost, round(net_1m, 9) AS net_1m FROM net",
+    **_COST_NEXT,
+)
+def b2_net_next_open(t: Tables) -> DataFrame:
+    return _net(t, **_NEXT_OPEN).select(*EVENT_KEY, r9("cost"), r9("net_1m"))
+
+
 @query(
     "b3_walk_forward",
     "SELECT fold, side, count(*) AS n, round(avg(abn_1m), 9) AS mean FROM (SELECT f.fold, CASE "
@@ -214,8 +243,7 @@ def b3_time_split(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "b4_performance",
+_PERFORMANCE = (
     "SELECT count(*) AS months, CAST(sum(n) AS BIGINT) AS trades, round(pow(product(1 + r), 12.0 / count(*)) - 1, 6) AS cagr, "
     "round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12.0), 6) AS sharpe, round(min(equity / peak - 1), 6) AS max_drawdown, "
     "round(CAST(sum(wins) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) AS hit_rate, round(avg(n), 6) AS turnover, round(avg(room), 4) AS capacity FROM "
@@ -223,11 +251,22 @@ def b3_time_split(t: Tables) -> DataFrame:
     "(SELECT *, product(1 + r) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS equity FROM "
     "(SELECT date_trunc('month', entry_date) AS month, count(*) AS n, avg(net_1m) AS r, "
     "count(*) FILTER (WHERE net_1m > 0) AS wins, sum(coalesce(adv, 0) * 0.01::DOUBLE) AS room FROM net "
-    "WHERE net_1m IS NOT NULL GROUP BY 1)))",
-    **_COST,
+    "WHERE net_1m IS NOT NULL GROUP BY 1)))"
 )
+
+
+@query("b4_performance", _PERFORMANCE, **_COST)
 def b4_performance(t: Tables) -> DataFrame:
-    report = basket.performance(_net(t), "net_1m")
+    return _performance(_net(t))
+
+
+@query("b4_performance_next_open", _PERFORMANCE, **_COST_NEXT)
+def b4_performance_next_open(t: Tables) -> DataFrame:
+    return _performance(_net(t, **_NEXT_OPEN))
+
+
+def _performance(trades: DataFrame) -> DataFrame:
+    report = basket.performance(trades, "net_1m")
     return report.select(
         "months", "trades",
         *[F.round(c, 6).alias(c) for c in ("cagr", "sharpe", "max_drawdown", "hit_rate", "turnover")],
@@ -272,7 +311,8 @@ def b5_exit_paths(t: Tables) -> DataFrame:
 @query(
     "b5_exit_report",
     " UNION ALL ".join(
-        f"SELECT '{r}' AS rule, count({r}) AS n, round(avg({r}), 9) AS mean, "
+        f"SELECT '{r}' AS rule, count({r}) AS n, round(avg({r}), 9) AS mean, count(*) - count({r}) AS left_out, "
+        f"count({r} - fixed) AS n_paired, round(avg({r} - fixed), 9) AS mean_vs_fixed, "
         f"round(avg(CAST(CASE WHEN {r} IS NOT NULL THEN {r} > 0 END AS INTEGER)), 9) AS hit_rate "
         "FROM entry e JOIN exits x ON x.ticker = e.ticker AND x.entry_t = e.entry_t"
         for r in ("fixed", "trailing_stop", "scale_out")
@@ -285,7 +325,7 @@ def b5_exit_report(t: Tables) -> DataFrame:
     )
     entries = materialize(basket.entry_counts(placed))
     report = basket.exit_report(entries, basket.exit_overlays(_px(t), HOLD, entries=entries))
-    return report.select("rule", "n", r9("mean"), r9("hit_rate"))
+    return report.select("rule", "n", r9("mean"), r9("hit_rate"), "left_out", "n_paired", r9("mean_vs_fixed"))
 
 
 @query(

@@ -155,7 +155,10 @@ class Tables:
         return (
             self._weekday_lines()
             .groupBy("date")
-            .agg((F.sum("cents") / (F.count(F.lit(1)) * 100)).alias("close"))
+            .agg(
+                (F.sum("cents") / (F.count(F.lit(1)) * 100)).alias("close"),
+                (F.min("cents") / 100).alias("open"),
+            )
         )
 
     def delistings(self) -> DataFrame:

@@ -242,7 +242,11 @@ def entry_counts(placed: DataFrame) -> DataFrame:
 
 
 def exit_report(entries: DataFrame, overlays: DataFrame) -> DataFrame:
-    """(rule, n, mean, hit_rate) over counted entries; unpriced exits are left out per rule."""
+    """One row per exit rule over counted, priced entries.
+
+    ``n``, ``mean`` and ``hit_rate`` are over entries whose exit is known, ``left_out`` counts the others.
+    ``mean_vs_fixed`` compares the rule with the fixed hold on the ``n_paired`` entries where both are known.
+    """
     joined = entries.join(overlays, ["ticker", "entry_t"])
     rules = ("fixed", "trailing_stop", "scale_out")
     weight = F.col("weight")
@@ -251,12 +255,19 @@ def exit_report(entries: DataFrame, overlays: DataFrame) -> DataFrame:
         sums.append(F.coalesce(F.sum(F.when(F.col(r).isNotNull(), weight)), F.lit(0)).alias(f"n_{r}"))
         sums.append(F.sum(weight * F.col(r)).alias(f"total_{r}"))
         sums.append(F.sum(F.when(F.col(r) > 0, weight).otherwise(0)).alias(f"hits_{r}"))
+        sums.append(F.coalesce(F.sum(F.when(F.col(r).isNull(), weight)), F.lit(0)).alias(f"out_{r}"))
+        paired = F.col(r) - F.col("fixed")
+        sums.append(F.coalesce(F.sum(F.when(paired.isNotNull(), weight)), F.lit(0)).alias(f"pairs_{r}"))
+        sums.append(F.sum(weight * paired).alias(f"gain_{r}"))
     cells = [
         F.struct(
             F.lit(r).alias("rule"),
             F.col(f"n_{r}").alias("n"),
             F.try_divide(F.col(f"total_{r}"), F.col(f"n_{r}")).alias("mean"),
             F.try_divide(F.col(f"hits_{r}"), F.col(f"n_{r}")).alias("hit_rate"),
+            F.col(f"out_{r}").alias("left_out"),
+            F.col(f"pairs_{r}").alias("n_paired"),
+            F.try_divide(F.col(f"gain_{r}"), F.col(f"pairs_{r}")).alias("mean_vs_fixed"),
         )
         for r in rules
     ]

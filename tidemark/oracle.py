@@ -62,7 +62,7 @@ SELECT 'BR' || chr(CAST(64 + CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS
 FROM lines JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""
 
 CTES["bench"] = """
-SELECT date, CAST(sum(cents) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS close FROM lines GROUP BY 1"""
+SELECT date, CAST(sum(cents) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS close, min(cents) / 100.0::DOUBLE AS open FROM lines GROUP BY 1"""
 
 CTES["cal"] = """
 SELECT row_number() OVER (ORDER BY date) - 1 AS t, date AS cal_date FROM (SELECT DISTINCT date FROM bench)"""
@@ -140,7 +140,11 @@ SELECT e.accession, e.txn_sk, e.ticker, e.filing_date, c.t AS entry_t, c.cal_dat
 FROM elig e ASOF LEFT JOIN cal c ON e.filing_date <= c.cal_date"""
 
 
-def _wide_panel(source: str, delisted: bool = False) -> str:
+CTES["entry_next"] = """
+SELECT e.* REPLACE (c.t AS entry_t, c.cal_date AS entry_date) FROM entry e LEFT JOIN cal c ON c.t = e.entry_t + 1"""
+
+
+def _wide_panel(source: str, delisted: bool = False, field: str = "close") -> str:
     joins, cols = [], []
     for h, n in HORIZONS.items():
         joins.append(
@@ -148,18 +152,18 @@ def _wide_panel(source: str, delisted: bool = False) -> str:
             f"LEFT JOIN px p{h} ON p{h}.ticker = e.ticker AND p{h}.date = x{h}.cal_date "
             f"LEFT JOIN bench b{h} ON b{h}.date = x{h}.cal_date"
         )
-        ret = f"p{h}.close / p0.close - 1.0"
+        ret = f"p{h}.close / nullif(p0.{field}, 0) - 1.0"
         if delisted:
             ret = (
                 f"CASE WHEN p0.close IS NOT NULL "
                 f"AND d.delist_date <= x{h}.cal_date THEN d.recovery_value / p0.close - 1.0 ELSE {ret} END"
             )
         cols.append(f"({ret}) AS ret_{h}")
-        cols.append(f"({ret}) - (b{h}.close / b0.close - 1.0) AS abn_{h}")
+        cols.append(f"({ret}) - (b{h}.close / b0.{field} - 1.0) AS abn_{h}")
         cols.append(f"x{h}.cal_date AS exit_date_{h}")
     extra = " ASOF LEFT JOIN delist_days d ON d.ticker = e.ticker AND e.entry_date < d.delist_date" if delisted else ""
     return (
-        "SELECT e.*, p0.close AS entry_close, p0.close IS NOT NULL AS priced, "
+        f"SELECT e.*, p0.{field} AS entry_close, p0.{field} IS NOT NULL AS priced, "
         + ", ".join(cols)
         + f" FROM {source} e LEFT JOIN px p0 ON p0.ticker = e.ticker AND p0.date = e.entry_date"
         + " LEFT JOIN bench b0 ON b0.date = e.entry_date "
@@ -169,6 +173,7 @@ def _wide_panel(source: str, delisted: bool = False) -> str:
 
 
 CTES["wide"] = _wide_panel("entry")
+CTES["wide_next"] = _wide_panel("entry_next", field="open")
 CTES["wide_delisted"] = _wide_panel("entry", delisted=True)
 CTES["long"] = " UNION ALL ".join(
     f"SELECT accession, txn_sk, '{h}' AS horizon, abn_{h} AS abn FROM wide" for h in HORIZONS
