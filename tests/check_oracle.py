@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb
 
 import __spark_entry__ as entry
+from tidemark.session import scratch_scope
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -36,9 +37,10 @@ def canonical(rows: list[tuple]) -> list[tuple]:
 
 def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
     start = time.time()
-    df = entry.queries()[name](spark, folder)
-    cols = sorted(df.columns)
-    got = [tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect()]
+    with scratch_scope(spark):
+        df = entry.queries()[name](spark, folder)
+        cols = sorted(df.columns)
+        got = [tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect()]
     took = time.time() - start
     sql = entry.oracle_sql().get(name)
     if sql is None:

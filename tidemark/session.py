@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +46,45 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_OPEN_SCOPES: list[list[str]] = []
+_MARKED: set[str] = set()
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        where, files = _hadoop_path(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _MARKED.add(path)
+    return path
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table, in the shared folder."""
+    path = f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _OPEN_SCOPES[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables made inside it at its end. Results that read them must be written by then."""
+    _OPEN_SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN_SCOPES.pop():
+            where, files = _hadoop_path(spark, path)
+            files.delete(where, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
