@@ -9,9 +9,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.session import hash_sample
 from tidemark.llm.tokens import WordTable, bare, grams, sum_by
 
 # Families of closely related languages; one that is in none of them is a family of its own.
@@ -160,25 +161,27 @@ def held_out(doc_id: Column, parts: int, which: int) -> Column:
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel:
-    """A model from at most `rows` labelled documents (text, lang) that `docs` offers, as many of each language.
+    """A model from at most `rows` labelled documents (text, lang) that `docs` offers, as many of each language (one at least; of more
+    languages than `rows`, the most frequent).
 
     The sample is the documents with the smallest hashes of their ids, so it doesn't depend on partitioning. Whole texts
     are turned into profiles of fixed width inside tasks; only those reach the driver.
     """
     able = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    langs = [r[0] for r in able.select("lang").distinct().orderBy("lang").limit(rows).collect()]
-    if not langs:
+    counts = dict(able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect())
+    if not counts:
         return LanguageModel({}, [], {})
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = able.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= max(1, rows // len(langs)))
-    texts = able.select("doc_id", "lang", "text").join(F.broadcast(chosen.drop("nth")), ["doc_id", "lang"], "left_semi")
+    chosen = hash_sample(able, "lang", dict.fromkeys(counts, max(1, rows // len(counts))), counts)
+    texts = able.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
     def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [_profile([bare(w) for w in t.split()]).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "profile": made})
 
-    got = texts.mapInPandas(profiles, "doc_id long, lang string, profile binary").limit(2 * rows).collect()
+    # Of rows that repeat an id and language, one counts.
+    made = texts.mapInPandas(profiles, "doc_id long, lang string, profile binary")
+    got = made.groupBy("doc_id", "lang").agg(F.min("profile").alias("profile")).collect()
     got = sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["profile"]))
     return fit(np.stack([np.frombuffer(r["profile"], np.float32) for r in got]), [r["lang"] for r in got], families)
 

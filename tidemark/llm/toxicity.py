@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.language import held_out
+from tidemark.llm.session import hash_sample
 from tidemark.llm.tokens import WordTable, bare, grams
 
 WINDOW = 48
@@ -318,15 +319,17 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Networ
     `labels` (doc_id, toxic); labels of an id that disagree count as toxic, null ones not at all. The sample is by the
     hash of the id; only its rows reach the driver, as whole texts.
     """
-    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share, total = marks.agg(F.avg("toxic"), F.count("*")).first()
-    if not total:
+    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
+    counts = {0: 0, 1: 0} | dict(marks.groupBy("toxic").count().collect())
+    if not sum(counts.values()):
         return fit([], np.array([]), 0.0)
-    by_hash = lambda y, n: marks.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    toxic = min(rows // 2, round(share * total))
-    chosen = by_hash(1, toxic).unionByName(by_hash(0, rows - toxic))
+    share = counts[1] / (counts[0] + counts[1])
+    toxic = min(rows // 2, counts[1])
+    chosen = hash_sample(marks, "toxic", {0: rows - toxic, 1: toxic}, counts)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in texts.limit(2 * rows).collect())
+    # Of rows that repeat an id, one counts.
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in texts.collect())
     return fit([t for _, t, _ in got], np.array([y for *_, y in got], np.float32), float(share))
 
 
