@@ -121,16 +121,19 @@ def r9_index(t: Tables) -> DataFrame:
     return index.filings_since(index.read_form_index(t.spark, f"{root}/form.idx"), QUARTER_END)
 
 
-def _feed_events(t: Tables, *drops: DataFrame) -> DataFrame:
+def _feed_events(t: Tables, *drops: DataFrame, footnotes: DataFrame | None = None, drop_planned: bool = False) -> DataFrame:
     """Run the feed once per drop, all under one checkpoint, and read what it emitted."""
     root = scratch_path(t.spark, "feed")
     for drop in drops:
         store.write_table(drop, f"{root}/in", mode="append")
         rows = feed.read_feed(t.spark, f"{root}/in", drop.schema)
-        feed.finish_feed(feed.start_feed(rows, f"{root}/out", f"{root}/checkpoint"))
+        feed.finish_feed(
+            feed.start_feed(rows, f"{root}/out", f"{root}/checkpoint", drop_planned=drop_planned, footnotes=footnotes)
+        )
         feed.finish_feed(feed.start_undated(rows, f"{root}/undated", f"{root}/undated-checkpoint"))
     closed = store.read_table(t.spark, f"{root}/out").select(*EVENT_COLUMNS)
-    undated = event_plans.normalize(store.read_table(t.spark, f"{root}/undated"))
+    undated = event_plans.normalize(store.read_table(t.spark, f"{root}/undated"), footnotes)
+    undated = signals.drop_planned(undated) if drop_planned else undated
     return closed.unionByName(undated.select(*EVENT_COLUMNS))
 
 
@@ -153,3 +156,12 @@ def t2_late(t: Tables) -> DataFrame:
     rows = flat_rows(t)
     late = signals.filing_day(F.col("filing_date_raw")) < F.lit(LATE_BEFORE)
     return _feed_events(t, rows.filter(~F.coalesce(late, F.lit(False))), rows.filter(late))
+
+
+@query(
+    "t3_planned_feed",
+    "SELECT * FROM ev WHERE filing_date IS NULL OR filing_date + 1 <= (SELECT max(filing_date) FROM typed_noscan) - 7",
+)
+def t3_planned_feed(t: Tables) -> DataFrame:
+    """Without planned trades, by flag or by footnote, the feed equals the batch's event table."""
+    return _feed_events(t, flat_rows(t), footnotes=t.footnotes(), drop_planned=True)

@@ -7,11 +7,13 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.catalog.registry import query, r9, study_events, study_panel, unplanned_events
+from tidemark.catalog.registry import ORACLE, query, r9, study_events, study_panel, unplanned_events
 from tidemark.catalog.returns import BOOT_CTES, REPLICATES
 from tidemark.fixtures import Tables
+from tidemark.functions import signals
 from tidemark.operators import basket, ladder, medians, segments, sessions
 from tidemark.plans import curve as curves
+from tidemark.plans.panel import abnormal_returns
 from tidemark.schemas import EVENT_KEY
 from tidemark.session import materialize
 
@@ -170,6 +172,44 @@ def g8_segment_curve(t: Tables) -> DataFrame:
     return curve.select("role_bucket", "horizon", "n", r9("mean_abn"), r9("ci_lo"), r9("ci_hi"))
 
 
+_FEATURES = {
+    "g1_role_bucket": ("role", "role_bucket"),
+    "g4_cluster": ("cluster", "CASE WHEN cluster_size > 1 THEN 'cluster' WHEN cluster_size IS NOT NULL THEN 'alone' ELSE 'unknown' END"),
+    "g5_routine": ("routine", "CASE WHEN is_routine THEN 'routine' ELSE 'opportune' END"),
+    "g6_cap_band": ("cap_band", "cap_band"),
+    "g2_own_size": ("own_size", "CASE WHEN value_vs_own >= 1 THEN 'larger' WHEN value_vs_own IS NOT NULL THEN 'smaller' ELSE 'first' END"),
+}
+
+
+@query(
+    "g8_every_feature",
+    "SELECT p.feature, p.segment, p.horizon, p.n, round(p.mean_abn, 9) AS mean_abn, "
+    f"round(m[{int(2.5 / 100 * REPLICATES) + 1}], 9) AS ci_lo, round(m[{int(97.5 / 100 * REPLICATES) + 1}], 9) AS ci_hi "
+    "FROM feat_points p LEFT JOIN feat_intervals i ON p.feature = i.feature AND p.segment = i.segment AND p.horizon = i.horizon",
+    **BOOT_CTES,
+    feat=" UNION ALL ".join(
+        f"SELECT accession, txn_sk, '{name}' AS feature, {label} AS segment FROM ({ORACLE[source]})"
+        for source, (name, label) in _FEATURES.items()
+    ),
+    feat_long="SELECT l.*, f.feature, f.segment FROM long l JOIN feat f ON l.accession = f.accession AND l.txn_sk = f.txn_sk",
+    feat_points="SELECT feature, segment, horizon, CAST(count(abn) AS BIGINT) AS n, avg(abn) AS mean_abn FROM feat_long GROUP BY 1, 2, 3",
+    feat_means="SELECT l.feature, l.segment, l.horizon, w.replicate, sum(w.w * l.abn) / sum(w.w) AS mean FROM weights w "
+    "JOIN feat_long l ON w.accession = l.accession AND w.txn_sk = l.txn_sk WHERE l.abn IS NOT NULL AND w.w > 0 GROUP BY 1, 2, 3, 4",
+    feat_intervals="SELECT feature, segment, horizon, list_sort(list(mean)) AS m FROM feat_means GROUP BY 1, 2, 3",
+)
+def g8_every_feature(t: Tables) -> DataFrame:
+    """One curve per segment of every feature; features come from all events, the curve from the eligible ones."""
+    featured = segments.add_segment_features(materialize(unplanned_events(t)), t.issuer_sizes(), years=2, bands=BANDS)
+    labels = segments.segment_labels()
+    events = signals.eligible_events(featured).select("*", *[label.alias(f"by_{name}") for name, label in labels.items()])
+    panel = materialize(
+        abnormal_returns(materialize(events), t.prices(), t.benchmark(), carry=[f"by_{name}" for name in labels])
+    )
+    rows = segments.by_segment(panel, {name: F.col(f"by_{name}") for name in labels})
+    curve = curves.poisson_curve(rows, n_boot=REPLICATES, by=["feature", "segment"])
+    return curve.select("feature", "segment", "horizon", "n", r9("mean_abn"), r9("ci_lo"), r9("ci_hi"))
+
+
 @query(
     "b1_cohorts",
     "SELECT CAST(date_trunc('month', entry_date) AS DATE) AS month, count(*) AS n, round(avg(ret_1m), 9) AS cohort_return "

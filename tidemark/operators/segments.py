@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.medians import with_own_size
+
 # Titles that name the two top offices.
 CEO_TITLE = r"(?i)\bceo\b|chief executive"
 CFO_TITLE = r"(?i)\bcfo\b|chief financial"
@@ -157,3 +159,33 @@ def year_high_features() -> dict[str, Column]:
         Window.partitionBy("ticker").orderBy(day).rangeBetween(-365, 0)
     )
     return {"high_52w": high, "vs_high": F.try_divide(F.col("close"), high) - F.lit(1.0)}
+
+
+def add_segment_features(
+    events: DataFrame, caps: DataFrame, window_days: int = 30, years: int = 3, bands=CAP_BANDS
+) -> DataFrame:
+    """All event features at once: role, cluster, routine, issuer size, size against the insider's own trades.
+
+    Hand over a stored table, as each feature reads it. The features by price, such as the 52-week high, ride on the
+    panel instead.
+    """
+    known = with_cluster_size(with_role_bucket(events), window_days)
+    known = with_market_cap(with_routine_flag(known, years), caps, bands)
+    return with_own_size(known)
+
+
+def segment_labels() -> dict[str, Column]:
+    """A label per feature, for curves by segment."""
+    return {
+        "role": F.col("role_bucket"),
+        "cluster": F.when(F.col("cluster_size") > 1, "cluster").when(F.col("cluster_size").isNotNull(), "alone").otherwise("unknown"),
+        "routine": F.when(F.col("is_routine"), "routine").otherwise("opportune"),
+        "cap_band": F.col("cap_band"),
+        "own_size": F.when(F.col("value_vs_own") >= 1, "larger").when(F.col("value_vs_own").isNotNull(), "smaller").otherwise("first"),
+    }
+
+
+def by_segment(rows: DataFrame, labels: dict[str, Column] | None = None) -> DataFrame:
+    """Each row once per feature, as (feature, segment) beside it."""
+    cells = [F.struct(F.lit(name).alias("feature"), label.alias("segment")) for name, label in (labels or segment_labels()).items()]
+    return rows.select("*", F.inline(F.array(*cells)))
