@@ -101,6 +101,16 @@ def test_daily_index_keeps_new_filings_of_one_form(spark, tmp_path):
     assert r["filing_date"] == dt.date(2024, 2, 6)
 
 
+def test_part_files_with_other_headers_are_matched_by_name(spark, tmp_path):
+    folder = tmp_path / "2024q1" / "SUBMISSION.tsv"
+    folder.mkdir(parents=True)
+    (folder / "part-0.csv").write_text("ACCESSION_NUMBER\tDOCUMENT_TYPE\nA\t4\n")
+    (folder / "part-1.csv").write_text("DOCUMENT_TYPE\tACCESSION_NUMBER\n3\tB\n")
+    (folder / "part-2.csv").write_text("")
+    got = rows(filings.scan_table(spark, str(tmp_path), "SUBMISSION"), "ACCESSION_NUMBER")
+    assert [(r["ACCESSION_NUMBER"], r["DOCUMENT_TYPE"]) for r in got] == [("A", "4"), ("B", "3")]
+
+
 def test_long_company_names_fill_their_column(spark):
     lines = [
         f"{'4':<12}{'N' * n:<62}{'77':<12}{'20240206':<12}edgar/data/77/A-{n}.txt" for n in (1, 60, 61, 62)

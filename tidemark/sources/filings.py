@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,9 @@ from pyspark.sql import types as T
 from tidemark.schemas import RAW_COLUMNS
 
 
+HEADERS_AT_ONCE = 16
+
+
 def landed_files(spark: SparkSession, root: str) -> DataFrame:
     """Paths of all files below the root; only the listing is read, not the content."""
     return (
@@ -23,14 +28,8 @@ def landed_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def landed_tables(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Each ``<TABLE>.tsv`` below the root, be it one file or a folder of part files."""
-    place = F.regexp_extract("path", rf"^(.*/{table}\.tsv)(/[^/]*)?$", 1)
-    return (
-        landed_files(spark, root)
-        .select(place.alias("path"))
-        .filter(F.col("path") != "")
-        .distinct()
-    )
+    """The files of each ``<TABLE>.tsv`` below the root, be it one file or a folder of part files."""
+    return landed_files(spark, root).filter(F.col("path").rlike(rf"/{table}\.tsv(/[^/]*)?$"))
 
 
 def _reader(spark: SparkSession, quote: str):
@@ -53,9 +52,10 @@ def scan_table(
 ) -> DataFrame:
     """All quarters of one table as text columns, matched by name.
 
-    A multi-file CSV read binds columns by position, so quarters are grouped by their header
-    and every distinct header becomes one scan with its own schema; the scans are united by
-    name. The number of scans follows the number of layouts, not of quarters. Columns a layout lacks,
+    A multi-file CSV read binds columns by position, so files are grouped by their own header, part
+    files too, and every distinct header becomes one scan with its own schema; the scans are united by
+    name. The number of scans follows the number of layouts, not of files. Headers are read by
+    small jobs that run side by side; a file without a single line has none and is left out. Columns a layout lacks,
     and known columns no layout has, are null. ``lineage`` adds each row's ``source_file``;
     ``malformed`` names a column for the text of lines with too few or too many fields.
     """
@@ -63,8 +63,13 @@ def scan_table(
     if not paths:
         raise FileNotFoundError(f"no {table}.tsv below {root}")
     layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in sorted(paths):
-        layouts[tuple(_reader(spark, quote).csv(path).columns)].append(path)
+    header_of = inheritable_thread_target(spark)(lambda path: tuple(_reader(spark, quote).csv(path).columns))
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        for path, header in zip(sorted(paths), pool.map(header_of, sorted(paths)), strict=True):
+            if header:
+                layouts[header].append(path)
+    if not layouts:
+        raise FileNotFoundError(f"no {table}.tsv below {root} has a header")
     scans = []
     for header, files in layouts.items():
         fields = [*header, *([malformed] if malformed else [])]
