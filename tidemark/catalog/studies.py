@@ -14,7 +14,7 @@ from tidemark.functions import signals
 from tidemark.operators import basket, ladder, medians, segments, sessions
 from tidemark.plans import curve as curves
 from tidemark.plans.panel import abnormal_returns
-from tidemark.schemas import EVENT_KEY
+from tidemark.schemas import EVENT_KEY, HORIZONS
 from tidemark.session import materialize
 
 BANDS = ((3_000.0, "micro"), (6_000.0, "small"), (9_000.0, "mid"))
@@ -271,6 +271,25 @@ def b3_walk_forward(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "b3_grid",
+    "SELECT fold, horizon, n_train, round(train_mean, 9) AS train_mean, n_test, round(test_mean, 9) AS test_mean FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_mean / steps DESC, steps) AS place FROM "
+    "(SELECT fold, horizon, steps, count(*) FILTER (side = 'train') AS n_train, avg(abn) FILTER (side = 'train') AS train_mean, "
+    "count(*) FILTER (side = 'test') AS n_test, avg(abn) FILTER (side = 'test') AS test_mean FROM sides GROUP BY 1, 2, 3) "
+    "WHERE n_train > 0) WHERE place = 1 AND n_test > 0",
+    dated="SELECT l.horizon, h.steps, l.abn, w.entry_date FROM long l JOIN wide w ON l.accession = w.accession AND l.txn_sk = w.txn_sk "
+    "JOIN horizons h ON h.horizon = l.horizon WHERE l.abn IS NOT NULL",
+    folds="SELECT horizon, unnest(range(min(year(entry_date)), max(year(entry_date)) + 1)) AS fold FROM dated GROUP BY horizon",
+    sides="SELECT f.fold, d.horizon, d.steps, d.abn, CASE WHEN year(d.entry_date) = f.fold THEN 'test' "
+    "WHEN d.entry_date + 45 < make_date(f.fold, 1, 1) THEN 'train' END AS side FROM folds f JOIN dated d "
+    "ON d.horizon = f.horizon AND year(d.entry_date) <= f.fold",
+)
+def b3_grid(t: Tables) -> DataFrame:
+    chosen = basket.walk_forward_choice(materialize(study_panel(t)), HORIZONS, embargo_days=EMBARGO)
+    return chosen.select("fold", "horizon", "n_train", r9("train_mean"), "n_test", r9("test_mean"))
+
+
 @query(
     "b3_time_split",
     "SELECT side, count(*) AS n, round(avg(abn_1m), 9) AS mean FROM (SELECT CASE WHEN entry_date >= DATE '1999-01-01' "
@@ -386,3 +405,25 @@ def b6_pooling(t: Tables) -> DataFrame:
     return pooled.select(
         "role_bucket", "insider_id", "n", r9("own_mean"), r9("segment_mean"), r9("estimate")
     )
+
+
+@query(
+    "b6_oos",
+    "SELECT predictor, count(*) AS n, round(avg(CASE predictor WHEN 'segment' THEN (abn_1m - segment_mean) ** 2 WHEN 'own' THEN (abn_1m - own_mean) ** 2 "
+    "ELSE (abn_1m - estimate) ** 2 END), 9) AS mse FROM later l JOIN known k ON k.role_bucket = l.role_bucket AND k.insider_id = l.insider_id, "
+    "(VALUES ('segment'), ('pooled'), ('own')) AS p(predictor) GROUP BY 1",
+    bucketed=f"SELECT w.abn_1m, w.entry_date, e.insider_id, {_BUCKET} AS role_bucket FROM wide w JOIN elig e ON w.accession = e.accession "
+    "AND w.txn_sk = e.txn_sk WHERE w.abn_1m IS NOT NULL",
+    later="SELECT * FROM bucketed WHERE entry_date >= DATE '1999-01-01'",
+    own_before="SELECT role_bucket, insider_id, count(*) AS n, avg(abn_1m) AS own_mean, coalesce(var_samp(abn_1m), 0) AS own_var "
+    "FROM bucketed WHERE entry_date + 45 < DATE '1999-01-01' GROUP BY 1, 2",
+    known="SELECT o.role_bucket, insider_id, own_mean, segment_mean, segment_mean + coalesce(n / (n + k), 0) * (own_mean - segment_mean) AS estimate "
+    "FROM own_before o JOIN (SELECT role_bucket, segment_mean, within_var / nullif(greatest(spread - within_var * inv, 0), 0) AS k FROM "
+    "(SELECT role_bucket, sum(n * own_mean) / CAST(sum(n) AS DOUBLE) AS segment_mean, "
+    "sum((n - 1) * own_var) / nullif(CAST(sum(n - 1) AS DOUBLE), 0) AS within_var, var_samp(own_mean) AS spread, avg(1.0::DOUBLE / n) AS inv "
+    "FROM own_before GROUP BY 1)) s ON s.role_bucket = o.role_bucket",
+)
+def b6_oos(t: Tables) -> DataFrame:
+    panel = study_panel(t, carry=("title", "is_director", "is_ten_percent_owner", "insider_id"))
+    tested = basket.pooling_out_of_sample(segments.with_role_bucket(panel), "abn_1m", CUTOFF, EMBARGO)
+    return tested.select("predictor", "n", r9("mse"))

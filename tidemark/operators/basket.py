@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,30 @@ def walk_forward(panel: DataFrame, value: str, embargo_days: int = 0) -> DataFra
     )
 
 
+def walk_forward_choice(panel: DataFrame, horizons: dict[str, int], prefix: str = "abn", embargo_days: int = 0) -> DataFrame:
+    """(fold, horizon, n_train, train_mean, n_test, test_mean): the horizon a year's training favours, tested in that year.
+
+    Horizons compare by their mean per session held, as known before the fold; ties go to the shorter one. Years
+    without training, or without a test of the chosen horizon, are left out.
+    """
+    held = F.create_map(*[F.lit(x) for h, n in horizons.items() for x in (h, n)])
+    grids = [walk_forward(panel, f"{prefix}_{h}", embargo_days).withColumn("horizon", F.lit(h)) for h in horizons]
+    grid = reduce(lambda a, b: a.unionByName(b), grids).withColumn("steps", held[F.col("horizon")])
+    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    wide = grid.groupBy("fold", "horizon", "steps").agg(
+        side("train", "n").alias("n_train"), side("train", "mean").alias("train_mean"),
+        side("test", "n").alias("n_test"), side("test", "mean").alias("test_mean"),
+    )
+    trained = wide.filter(F.col("n_train").isNotNull())
+    chosen = trained.groupBy("fold").agg(
+        F.max_by(
+            F.struct("horizon", "n_train", "train_mean", "n_test", "test_mean"),
+            F.struct(F.col("train_mean") / F.col("steps"), -F.col("steps")),
+        ).alias("best")
+    )
+    return chosen.select("fold", "best.*").filter(F.col("n_test").isNotNull())
+
+
 def time_split(panel: DataFrame, value: str, cutoff, embargo_days: int = 0) -> DataFrame:
     """In-sample before the cutoff, out-of-sample from it on."""
     day = F.col("entry_date")
@@ -311,3 +337,26 @@ def partial_pooling(rows: DataFrame, value: str, segment: str = "role_bucket") -
         "segment_mean",
         (F.col("segment_mean") + weight * (F.col("own_mean") - F.col("segment_mean"))).alias("estimate"),
     )
+
+
+def pooling_out_of_sample(
+    rows: DataFrame, value: str, cutoff, embargo_days: int = 0, segment: str = "role_bucket"
+) -> DataFrame:
+    """One row per predictor of trades from the cutoff on: does an insider's past beat the segment's mean?
+
+    Estimates come from trades settled before the cutoff; the test is on later trades of insiders seen by then.
+    Trades fold to one row per insider before they meet the estimates, so a busy insider is no one task's work.
+    """
+    day = F.col("entry_date")
+    known = partial_pooling(rows.filter(F.date_add(day, embargo_days) < F.lit(cutoff)), value, segment)
+    later = (
+        rows.filter((day >= F.lit(cutoff)) & F.col(value).isNotNull())
+        .groupBy(segment, "insider_id")
+        .agg(F.count(F.lit(1)).alias("trades"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("squares"))
+    )
+    met = later.join(known.drop("n"), [segment, "insider_id"])
+    error = lambda c: F.sum(F.col("squares") - 2 * F.col(c) * F.col("total") + F.col("trades") * F.col(c) * F.col(c))
+    names = {"segment_mean": "segment", "estimate": "pooled", "own_mean": "own"}
+    sums = met.agg(F.coalesce(F.sum("trades"), F.lit(0)).alias("n"), *[error(c).alias(c) for c in names])
+    cells = [F.struct(F.lit(label).alias("predictor"), "n", F.try_divide(F.col(c), F.col("n")).alias("mse")) for c, label in names.items()]
+    return sums.select(F.inline(F.array(*cells)))
