@@ -38,6 +38,14 @@ def test_page_without_article_element():
     assert kept(f"<html><body>{links}{body}{body}{links}</body></html>") == [" ".join(("many plain words of prose " * 12).split())] * 2
 
 
+def test_classes_of_the_page_and_of_paragraphs():
+    page = (
+        '<body class="has-sidebar comments-open"><article class="post notice"><p>kept one</p><p class="ad-slot">bought</p>kept two<h2 id="related">see also</h2>'
+        '<p hidden>unseen</p></article><section><article class="comment-body">a reader</article></section><div role=complementary><p>beside</p></div></body>'
+    )
+    assert kept(page) == ["kept one", "kept two"]
+
+
 def test_features_are_those_of_the_neighbours():
     _, x = mt.blocks("<p>one two</p><p><a>three</a> four five</p><p>six</p>")
     assert x[1].tolist() == [2, 3, 1, 0, 1 / 3, 0, 0, 0]

@@ -29,10 +29,12 @@ NAMES = (
     "reply replies disqus discussion related recommended trending popular share sharing social login signup signin register search widget "
     "copyright disclaimer skip"
 )
-TOP_NAMES = "header masthead topbar site-header banner"
+TOP_NAMES = "header masthead topbar banner"
+# Of an article element itself only these count: what else its classes say is about its content.
+CARD_NAMES = "ad ads advert advertisement sponsored promo comment comments reply replies related recommended"
 
 _UNSEEN, _INLINE, _CONTAINERS, _AROUND = (frozenset(x.split()) for x in (UNSEEN, INLINE, CONTAINERS, AROUND))
-_NAMES, _TOP_NAMES = frozenset(NAMES.split()), frozenset(TOP_NAMES.split())
+_NAMES, _TOP_NAMES, _CARD_NAMES = frozenset(NAMES.split()), frozenset(TOP_NAMES.split()), frozenset(CARD_NAMES.split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(UNSEEN.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -105,6 +107,10 @@ def trained_tree() -> Tree:
 
 
 def _stands_around(tag: str, more: str, in_core: bool) -> bool:
+    """Whether an element surrounds the article, by its tag or by what its class, id or role say."""
+    if tag in ("html", "body"):
+        return False
+    names = _CARD_NAMES if tag in ("article", "main") else _NAMES
     if tag in _AROUND or (tag == "header" and not in_core):
         return True
     if not more:
@@ -113,7 +119,7 @@ def _stands_around(tag: str, more: str, in_core: bool) -> bool:
         return True
     for found in _NAMED.finditer(more):
         parts = {p.lower() for p in _WORD_EDGE.split(found[1] or found[2] or found[3] or "") if p}
-        if parts & _NAMES or (parts & _TOP_NAMES and not in_core):
+        if parts & names or (parts & _TOP_NAMES and not in_core):
             return True
     return False
 
@@ -123,7 +129,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     texts, rows = [], []
     open_tags: list[tuple[str, bool, bool]] = []
     run: list[str] = []
-    linked, in_link, around, core = 0, False, False, False
+    linked, in_link, around, core, own = 0, False, False, False, False
 
     def close() -> None:
         nonlocal linked
@@ -132,7 +138,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if text:
                 texts.append(text)
                 words = text.count(" ") + 1
-                rows.append((words, min(1.0, linked / words), around, core))
+                rows.append((words, min(1.0, linked / words), around or own, core))
             run.clear()
         linked = 0
 
@@ -162,6 +168,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             continue
         close()
         in_link = False
+        # A paragraph or heading speaks for its own block; what it holds ends with the next tag of its kind.
+        own = not m["end"] and tag not in _CONTAINERS and bool(m["more"]) and _stands_around(tag, m["more"], core)
         if tag not in _CONTAINERS:
             continue
         if m["end"]:
@@ -172,8 +180,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                     break
         else:
             open_tags.append((tag, around, core))
-            core = core or tag in ("article", "main")
-            around = around or _stands_around(tag, m["more"], core)
+            surrounds = _stands_around(tag, m["more"], core or tag in ("article", "main"))
+            around, core = around or surrounds, core or (tag in ("article", "main") and not surrounds)
     if at < len(page):
         say(page[at:])
     close()

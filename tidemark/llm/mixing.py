@@ -128,11 +128,11 @@ def mixed(
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """All rows of `docs` with all their columns, in the order of the mix: sorted within and across partitions."""
+    """All rows of `docs` with all their columns, in the order of the mix: sorted within and across partitions, so that
+    the part files of a table written from it hold it in their order."""
     order = mixed(docs, **options).groupBy("doc_id", "text_sha256").agg(F.min(F.struct("slot", "start")).alias("at"))
     key = lambda i, d: F.concat(F.coalesce(i.cast("string"), F.lit("-")), F.lit(":"), d)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(key(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)).alias("key"), row)
     placed = rows.join(order.select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"), "at"), "key")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, "at").sortWithinPartitions("at").select("row.*")
+    return placed.repartitionByRange("at").sortWithinPartitions("at").select("row.*")
