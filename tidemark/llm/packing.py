@@ -31,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal
 class _Encoder:
     """ids of texts as little-endian bytes; each distinct word is tokenised once while it stays in a bounded memory."""
 
-    def __init__(self, path: str, limit: int = 1_000_000, max_chars: int = 30_000_000):
+    def __init__(self, path: str, limit: int = 500_000, max_chars: int = 15_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's to share out
@@ -76,7 +76,7 @@ def _cutter(path: str, tokens: int, end_id: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        kept = worker_memory()
+        kept = worker_memory("tokens")
         if kept.get("encoder_path") != path:
             kept.update(encoder=_Encoder(path), encoder_path=path)
         encode, end = kept["encoder"], array("I", [end_id]).tobytes()

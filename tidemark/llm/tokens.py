@@ -9,9 +9,16 @@ from collections.abc import Callable
 import numpy as np
 
 
-def worker_memory() -> dict:
-    """What a Python worker keeps from one task to the next: only what can be worked out again, never results."""
-    return sys.modules.setdefault("tidemark_worker_memory", types.ModuleType("tidemark_worker_memory")).__dict__
+def worker_memory(kind: str) -> dict:
+    """What a Python worker keeps from one task to the next of the same kind: only what can be worked out again, never results.
+
+    A task of another kind empties it, so that the stages of a pipeline don't add up in one worker.
+    """
+    kept = sys.modules.setdefault("tidemark_worker_memory", types.ModuleType("tidemark_worker_memory")).__dict__
+    if kept.get("kind") != kind:
+        kept.clear()
+        kept["kind"] = kind
+    return kept
 
 
 class _Places(dict):
@@ -37,6 +44,7 @@ class WordTable:
     """
 
     def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 200_000, max_chars: int = 20_000_000):
+        worker_memory("words")
         self._make, self._limit, self._max_chars = make, limit, max_chars
         self._places, self.rows = _Places(), None
 
