@@ -229,7 +229,7 @@ def a7_bootstrap_md5(t: Tables) -> DataFrame:
 
 @query(
     "a7_bootstrap_exact",
-    "SELECT horizon, CAST(count(abn) AS BIGINT) AS n, round(avg(abn), 9) AS mean_abn, 10000 AS replicates, "
+    "SELECT horizon, CAST(count(abn) AS BIGINT) AS n, round(avg(abn), 9) AS mean_abn, CASE WHEN count(abn) > 0 THEN 10000 ELSE 0 END AS replicates, "
     "count(abn) >= 30 AS brackets_mean, count(abn) >= 30 AS normal_centre, count(abn) >= 30 AS normal_width FROM long GROUP BY 1",
 )
 def a7_bootstrap_exact(t: Tables) -> DataFrame:
@@ -247,11 +247,11 @@ def a7_bootstrap_exact(t: Tables) -> DataFrame:
         F.count("abn").alias("n"), F.avg("abn").alias("mean_abn"),
         (1.959964 * F.stddev_pop("abn") / F.sqrt(F.count("abn"))).alias("half"),
     )
-    held = data.join(drawn, "horizon").join(number, "horizon")
+    held = data.join(drawn, "horizon", "left").join(number, "horizon", "left")
     enough = F.col("n") >= 30
     centre, width = (F.col("ci_lo") + F.col("ci_hi")) / 2, (F.col("ci_hi") - F.col("ci_lo")) / 2
     return held.select(
-        "horizon", "n", r9("mean_abn"), "replicates",
+        "horizon", "n", r9("mean_abn"), F.coalesce("replicates", F.lit(0)).alias("replicates"),
         (enough & F.col("mean_abn").between(F.col("ci_lo"), F.col("ci_hi"))).alias("brackets_mean"),
         (enough & (F.abs(centre - F.col("mean_abn")) <= 0.3 * F.col("half"))).alias("normal_centre"),
         (enough & (F.abs(width - F.col("half")) <= 0.2 * F.col("half"))).alias("normal_width"),

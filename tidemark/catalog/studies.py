@@ -409,9 +409,9 @@ def b6_pooling(t: Tables) -> DataFrame:
 
 @query(
     "b6_oos",
-    "SELECT predictor, count(*) AS n, round(avg(CASE predictor WHEN 'segment' THEN (abn_1m - segment_mean) ** 2 WHEN 'own' THEN (abn_1m - own_mean) ** 2 "
-    "ELSE (abn_1m - estimate) ** 2 END), 9) AS mse FROM later l JOIN known k ON k.role_bucket = l.role_bucket AND k.insider_id = l.insider_id, "
-    "(VALUES ('segment'), ('pooled'), ('own')) AS p(predictor) GROUP BY 1",
+    "SELECT predictor, count(abn_1m) AS n, round(avg(CASE predictor WHEN 'segment' THEN (abn_1m - segment_mean) ** 2 WHEN 'own' THEN (abn_1m - own_mean) ** 2 "
+    "ELSE (abn_1m - estimate) ** 2 END), 9) AS mse FROM (VALUES ('segment'), ('pooled'), ('own')) AS p(predictor) LEFT JOIN "
+    "(SELECT l.abn_1m, k.* FROM later l JOIN known k ON k.role_bucket = l.role_bucket AND k.insider_id = l.insider_id) ON true GROUP BY 1",
     bucketed=f"SELECT w.abn_1m, w.entry_date, e.insider_id, {_BUCKET} AS role_bucket FROM wide w JOIN elig e ON w.accession = e.accession "
     "AND w.txn_sk = e.txn_sk WHERE w.abn_1m IS NOT NULL",
     later="SELECT * FROM bucketed WHERE entry_date >= DATE '1999-01-01'",
