@@ -1,7 +1,8 @@
 """Quotation linking: messages, their nested quotes, and the conversations they form.
 
 A line's quote level is the number of ">" it starts with. Runs of quoted lines are normalised and hashed: with the quotes inside
-them, without, and by paragraph. The hashes meet those of all messages' own texts in one join, which finds what a message replies to.
+them, with what they in turn reply to, alone, and by paragraph. The hashes meet those of all messages' own texts in one join, which finds
+what a message replies to; what a quote replies to tells equal short messages of different conversations apart.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ def _key(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
+def _in_context(lines: list[str], replied_to: list[str]) -> str:
+    """A passage together with the passage it replies to, which may be none."""
+    own = normal(lines)
+    return f"{own}\n{normal(replied_to)}" if own else ""
+
+
 def paragraphs(lines: list[str]) -> list[str]:
     out, run = [], []
     for line in [*lines, ""]:
@@ -73,11 +80,12 @@ def parse(text: str) -> tuple[str, list[str], list[str]]:
         body.append("" if announces else line)
     if run:
         runs.append(run)
-    own = [normal(_remarked([x for x in lines if x[1].strip()])), normal(body), *paragraphs(body)]
+    first = [line for level, line in runs[0] if not level] if runs else []
+    own = [normal(_remarked([x for x in lines if x[1].strip()])), _in_context(body, first), normal(body), *paragraphs(body)]
     quoted = []
     for run in runs:
-        inner = [line for level, line in run if not level]
-        quoted += [normal(_remarked([x for x in run if x[1].strip()])), normal(inner), *paragraphs(inner)]
+        inner, deeper = ([line for level, line in run if level == depth] for depth in (0, 1))
+        quoted += [normal(_remarked([x for x in run if x[1].strip()])), _in_context(inner, deeper), normal(inner), *paragraphs(inner)]
     keys = lambda texts: [_key(t) for t in dict.fromkeys(t for t in texts if t)]
     return "\n".join(body).strip(), keys(own), keys(quoted)
 
@@ -103,15 +111,23 @@ def conversations(messages: DataFrame) -> DataFrame:
     met = splittable_join(quotes, originals, "key").filter("original < message_id")
     parents = met.groupBy("message_id").agg(F.min(F.struct("place", "original")).alias("best")).select("message_id", F.col("best.original").alias("parent_id"))
     linked = parsed.select("message_id").join(parents, "message_id", "left")
-    climb = materialize(linked.select("message_id", "parent_id", F.coalesce("parent_id", "message_id").alias("top"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:  # each round doubles how far up a message sees
-        above = climb.select(F.xxhash64("message_id").alias("key"), F.col("message_id").alias("at"), F.col("top").alias("higher"), F.col("depth").alias("more"))
-        seen = climb.withColumn("key", F.xxhash64("top")).join(above, "key").filter("at = top")
-        after = materialize(seen.select("message_id", "parent_id", F.col("higher").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("higher") != F.col("top")).alias("moved")))
-        climb = after.drop("moved")
-        if after.filter("moved").isEmpty():
-            break
-    return climb.join(parsed.select("message_id", "body"), "message_id").select("message_id", F.col("top").alias("conversation_id"), "parent_id", "depth", "body")
+    answers = F.col("parent_id").isNotNull()
+    state = materialize(
+        linked.select(
+            "message_id", "parent_id", F.coalesce("parent_id", "message_id").alias("top"),
+            F.when(answers, 1).otherwise(0).cast("long").alias("depth"), (~answers).alias("there"),
+        )
+    )
+    while not state.filter("NOT there").isEmpty():
+        # Each round doubles how far up a message sees; those that see their first message take no part any more.
+        above = state.select(
+            F.xxhash64("message_id").alias("key"), F.col("message_id").alias("at"), F.col("top").alias("higher"),
+            F.col("depth").alias("more"), F.col("there").alias("seen"),
+        )
+        climbing = state.filter("NOT there").withColumn("key", F.xxhash64("top")).join(above, "key").filter("at = top")
+        climbed = climbing.select("message_id", "parent_id", F.col("higher").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("seen").alias("there"))
+        state = materialize(state.filter("there").unionByName(climbed))
+    return state.join(parsed.select("message_id", "body"), "message_id").select("message_id", F.col("top").alias("conversation_id"), "parent_id", "depth", "body")
 
 
 def as_mail(turns: DataFrame) -> DataFrame:
