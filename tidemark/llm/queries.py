@@ -23,7 +23,26 @@ def op3(docs: DataFrame, folder: str) -> DataFrame:
     return toxicity.score(docs, table(docs.sparkSession, folder, "labels"))
 
 
-@query("op4_jaccard_join", "documents")
+@query(
+    "op4_jaccard_join",
+    "documents",
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\s+'),
+        lambda w: regexp_replace(lower(w), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: w <> '') AS w FROM documents),
+    sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+    grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+        FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM pairs WHERE c >= 0.8::DOUBLE * (na + nb - c) - 1e-9),
+    sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, sides.b FROM reach JOIN sides ON reach.r = sides.a),
+    degree AS (SELECT a, count(*) AS links FROM sides GROUP BY 1)
+    SELECT c.doc_id, c.class_id, coalesce(d.links, 0) AS links
+    FROM (SELECT doc_id, min(r) AS class_id FROM reach GROUP BY 1) c LEFT JOIN degree d ON d.a = c.doc_id
+    """,
+)
 def op4(docs: DataFrame, folder: str) -> DataFrame:
     return near_dup.near_duplicates(docs)
 
@@ -57,7 +76,18 @@ def op10(docs: DataFrame, folder: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-@query("op2_hamming_top_k", "embeddings")
+@query(
+    "op2_hamming_top_k",
+    "embeddings",
+    """
+    SELECT query_id, neighbour_id, distance, rank FROM (
+      SELECT query_id, neighbour_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM (
+        SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, CAST(list_sum(list_transform(list_zip(q.embedding, r.embedding),
+          lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+        FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0))
+    WHERE rank <= 10
+    """,
+)
 def op2(vectors: DataFrame, folder: str) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
     return hamming.nearest_codes(rows, rows.filter("id % 50 = 0"))
