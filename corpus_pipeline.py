@@ -1,6 +1,7 @@
 """The text pipeline: toxic documents go, copies and near copies go, sources are mixed, texts are packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is stored as Parquet and read again by the next one.
+The mix is the order of the rows in their part files: packing reads it from there, and numbers its sequences by it.
 All stages but the last return the columns of `documents`.
 """
 
@@ -37,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune_text(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), group_pieces=packing.ORDERED_PIECES, order=packing.stored_order(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

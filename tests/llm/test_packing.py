@@ -5,9 +5,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing
+from tidemark.llm import mixing, packing
 
 from .conftest import words
 
@@ -84,3 +85,32 @@ def test_odd_rows(odd_docs, tokenizer_path):
 @pytest.mark.parametrize("rows", [0, 1])
 def test_tiny_tables(frame, tokenizer_path, rows):
     assert packing.pack(frame([(1, "x")]).limit(rows), tokenizer_path).count() == rows
+
+
+@pytest.mark.parametrize("group_pieces", [20_000, 150])
+def test_sequences_follow_the_order_of_the_stored_rows(text_spark, frame, tokenizer_path, tmp_path, group_pieces):
+    rng = random.Random(6)
+    sizes = {"long": 90, "mid": 30, "short": 8}
+    rows = [(i, " ".join(words(rng, rng.randint(n, 2 * n))), "en", s) for s, n in sizes.items() for i in range(400_000 // n, 400_000 // n + 24_000 // n)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    mixing.mix(frame(rows), weights={"long": 1, "mid": 2, "short": 1}, block_chars=1000).write.option("maxRecordsPerFile", 120).parquet(f"{tmp_path}/mix")
+    docs = text_spark.read.parquet(f"{tmp_path}/mix")
+    source = {i: s for i, _, _, s in rows}
+    options = {"tokens": 512, "group_pieces": group_pieces, "run_rows": 100, "order": packing.stored_order(docs)}
+    got = packing.pack(docs, tokenizer_path, **options).toPandas()
+    assert sorted(got[got.piece == 0].doc_id) == list(range(len(rows)))
+    shares = got.assign(source=got.doc_id.map(source)).pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0).sort_index().cumsum()
+    total = shares.iloc[-1].sum()
+    # While all sources last (half of "mid" ends the first phase at two thirds of the whole or so), prefixes hold them by the weights.
+    seen = shares[(shares.sum(axis=1) > 0.1 * total) & (shares.sum(axis=1) < 0.6 * total)]
+    parts = seen.div(seen.sum(axis=1), axis=0)
+    assert len(parts) > 20 and abs(parts["mid"] - 0.5).max() < 0.1 and abs(parts["long"] - 0.25).max() < 0.1
+
+
+def test_stored_order_is_that_of_the_rows(text_spark, frame, tmp_path):
+    docs = frame([(i, f"{i}") for i in range(500)])
+    docs.repartition(1).sortWithinPartitions(F.desc("doc_id")).write.option("maxRecordsPerFile", 90).parquet(f"{tmp_path}/docs")
+    for got in (text_spark.read.parquet(f"{tmp_path}/docs"), docs.orderBy(F.desc("doc_id"))):
+        part, row = packing.stored_order(got)
+        placed = got.select("doc_id", part.alias("p"), row.alias("r")).collect()
+        assert [r.doc_id for r in sorted(placed, key=lambda r: (r.p, r.r))] == list(range(499, -1, -1))

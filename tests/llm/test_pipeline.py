@@ -92,3 +92,16 @@ def test_empty_tables_pass_every_stage(text_spark, folder):
     docs = text_spark.createDataFrame([], DOC_SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(text_spark, docs, folder).count() == 0
+
+
+def test_the_mix_decides_the_order_of_the_sequences(text_spark, folder, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 40 if i % 3 else 80)), "en", f"s{i % 3}", 0) for i in range(12_000)]
+    docs = text_spark.createDataFrame(rows, DOC_SCHEMA)
+    for name, weights in (("first", {"s0": 8}), ("last", {"s1": 8, "s2": 8})):
+        mixing.mix(docs, weights=weights, block_chars=20_000).write.option("maxRecordsPerFile", 700).parquet(f"{tmp_path}/{name}")
+        packed = corpus_pipeline.pack_sequences(text_spark, text_spark.read.parquet(f"{tmp_path}/{name}"), folder).toPandas()
+        packed = packed.sort_values("sequence_id")
+        half = packed[packed.length.cumsum() < packed.length.sum() * 0.4]
+        share = half.length[half.doc_id % 3 == 0].sum() / half.length.sum()
+        assert abs(share - (0.8 if name == "first" else 1 / 17)) < 0.1

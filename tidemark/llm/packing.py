@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import worker_memory
@@ -19,13 +19,16 @@ from tidemark.session import materialize
 TOKENS = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
+# Of an ordered table: a few blocks of the mix, so that packing moves no piece further than that.
+ORDERED_PIECES = 2_000
+RUN_ROWS = 20_000
 # A part of the text the tokenizer can take alone: what lies between two blanks.
 GAPS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 # Letters from which on lower-casing a text could differ from lower-casing its letters one by one.
 FAR_LETTERS = re.compile("[^\x00-\u024f]")
 # Blanks to Python alone.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long, part string, row long"
 
 
 class _Encoder:
@@ -83,28 +86,32 @@ def _cutter(path: str, tokens: int, end_id: int):
         deal = TaskContext.get().partitionId() * 7919  # groups are dealt from another start in each task
         for batch in batches:
             out = []
-            for doc_id, missing, ids in zip(batch["id"], batch["no_id"], encode(list(batch["text"])), strict=True):
+            places = zip(batch["id"], batch["no_id"], batch["part"], batch["row"], strict=True)
+            for (doc_id, missing, stored, row), ids in zip(places, encode(list(batch["text"])), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * tokens)):
                     part = ids[at : at + 4 * tokens]
-                    out.append((None if missing else doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), deal))
+                    out.append((None if missing else doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), deal, stored, row))
                     deal += 1
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "deal", "part", "row"])
             yield frame.astype({"doc_id": "Int64"})
 
     return cut
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, deal: the texts of `docs` as token ids, cut where longer than `tokens`.
+def token_pieces(
+    docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, end_id: int = END_ID, order: tuple[Column, Column] | None = None
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, deal, part, row: the texts of `docs` as token ids, cut where longer than `tokens`.
 
-    A null or empty text has the end id only. Rows that repeat an id each give their pieces.
+    A null or empty text has the end id only. Rows that repeat an id each give their pieces. `part` and `row` are those of `order`.
     """
+    part, row = order or (F.lit(""), F.lit(0))
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.col("doc_id").isNull().alias("no_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+        F.coalesce("text", F.lit("")).alias("text"), part.alias("part"), row.cast("long").alias("row"),
+    )
     return texts.mapInPandas(_cutter(tokenizer_path, tokens, end_id), PIECES)
 
 
@@ -148,12 +155,38 @@ def vector_best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarra
     return out
 
 
-def _packer(capacity: tuple[float, ...], weights: tuple[float, ...], rule: str):
+def _ranked(pieces: DataFrame, run_rows: int) -> DataFrame:
+    """`pieces` with their places in the order (part, row, piece) as `deal`, counted from 0; long parts are counted in runs of `run_rows` rows."""
+    runs = pieces.withColumn("run", F.floor(F.col("row") / run_rows).cast("long"))
+    totals = runs.groupBy("part", "run").agg(F.count("*").alias("total"))
+    before = F.sum("total").over(Window.orderBy("part", "run")) - F.col("total")  # one row for each run
+    bases = totals.select(F.col("part").alias("of"), F.col("run").alias("nth"), before.alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part", "run").orderBy("row", "piece")) - 1
+    placed = runs.withColumn("inside", inside).join(bases, (F.col("part") == F.col("of")) & (F.col("run") == F.col("nth")))
+    return placed.withColumn("deal", F.col("base") + F.col("inside"))
+
+
+def stored_order(docs: DataFrame) -> tuple[Column, Column]:
+    """(part, row), by which the rows of `docs` have the order in which they are stored: by number and name of their part files and the
+    place in the file, if `docs` is a table just read from Parquet; else the order of its partitions."""
+    if docs._jdf.queryExecution().analyzed().children().isEmpty() and docs.inputFiles():
+        files = docs.metadataColumn("_metadata")
+        name = files["file_name"]
+        return F.concat(F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 20, "0"), name), files["row_index"]
+    return F.lpad(F.spark_partition_id().cast("string"), 20, "0"), F.monotonically_increasing_id()
+
+
+def _packer(capacity: tuple[float, ...], weights: tuple[float, ...], rule: str, in_order: bool = False):
     def pack(pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["length", "deal"], ascending=[False, True], ignore_index=True)
         length = pieces["length"].to_numpy(float)
         demand = np.stack([length, np.ones_like(length), length**2], axis=1)
         bins = vector_best_fit(demand, np.array(capacity), np.array(weights), rule)
+        if in_order:  # a sequence stands where its first piece stands, whatever pieces fill it up
+            _, first = np.unique(bins, return_index=True)
+            nth = np.empty(len(first), np.int64)
+            nth[np.argsort(pieces["deal"].to_numpy()[first])] = np.arange(len(first))
+            bins = nth[bins]
         pieces["sequence_id"] = pieces["bunch"] * (1 << 32) + bins
         pieces["offset"] = pieces.groupby("sequence_id")["length"].cumsum() - pieces["length"]
         return pieces.drop(columns=["bunch", "deal", "no_id"]).assign(doc_id=pieces["doc_id"].where(~pieces["no_id"]).astype("Int64"))
@@ -171,6 +204,8 @@ def pack(
     rule: str = "norm",
     end_id: int = END_ID,
     group_pieces: int = GROUP_PIECES,
+    order: tuple[Column, Column] | None = None,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """One row per piece of a text: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -178,20 +213,27 @@ def pack(
     as attention stays within a document) of `attention`. The defaults leave the first one binding, for as few
     sequences as possible. Pieces are stored once and dealt evenly into groups of about `group_pieces`, each packed by
     `vector_best_fit` in one task; a group alone leaves about one sequence unfilled. Whatever the ids or texts repeat,
-    groups stay even. Null ids stay null, null texts are empty, other columns are not read, and an empty table gives no rows.
+    groups stay even. With an `order` of the rows (a text and a number, by which they are ordered, such as `stored_order` gives), groups are
+    consecutive runs of it, and sequences are numbered by the places of their largest pieces: so the order of sequence_id follows that
+    of the rows, to within a group. Null ids stay null, null texts are empty, other columns are not read, and an empty table gives no rows.
     """
     if attention < tokens * tokens:
         # A piece alone must fit: cut so that its own cost does.
         tokens_cut = min(tokens, int(attention**0.5))
     else:
         tokens_cut = tokens
-    stored = materialize(token_pieces(docs, tokenizer_path, tokens_cut, end_id))
-    groups = stored.count() // group_pieces + 1
+    stored = materialize(token_pieces(docs, tokenizer_path, tokens_cut, end_id, order))
+    count = stored.count()
+    groups = count // group_pieces + 1
+    bunch = F.pmod("deal", F.lit(groups))
+    if order:
+        stored = _ranked(stored, run_rows)
+        bunch = F.floor(F.col("deal") * groups / max(1, count)).cast("long")
     dealt = stored.select(
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "piece", "start", "length",
-        "ids_crc32", "deal", F.pmod("deal", F.lit(groups)).alias("bunch"),
+        "ids_crc32", "deal", bunch.alias("bunch"),
     )
-    packer = _packer((tokens, documents, attention), weights, rule)
+    packer = _packer((tokens, documents, attention), weights, rule, order is not None)
     return dealt.groupBy("bunch").applyInPandas(
         packer, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
