@@ -50,3 +50,30 @@ def test_turns_as_mail(text_spark):
     turns = text_spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "bot", "tell\nmore"), (1, 2, "user", "thanks"), (None, 0, "user", "x"), (2, None, "user", "y")], "conv_id long, turn int, role string, text string")
     got = {r.message_id: r for r in quotes.conversations(quotes.as_mail(turns)).collect()}
     assert {k: (r.parent_id, r.depth, r.body) for k, r in got.items()} == {1000: (None, 0, "ask"), 1001: (1000, 1, "tell\nmore"), 1002: (1001, 2, "thanks")}
+
+
+def mail(spark, rows):
+    return {r.message_id: r for r in quotes.conversations(quotes.as_mail(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), bucket_rows=5)).collect()}
+
+
+def test_conversations_of_any_length_stay_apart(text_spark):
+    rows = [(1, t, "user", f"a{t}") for t in range(1004)] + [(2, t, "user", f"b{t}") for t in range(5)]
+    got = mail(text_spark, rows)
+    assert len(got) == len(rows)
+    by = {r.body: r for r in got.values()}
+    for c, n in (("a", 1004), ("b", 5)):
+        assert by[f"{c}0"].parent_id is None
+        assert all(by[f"{c}{t}"].parent_id == by[f"{c}{t - 1}"].message_id and by[f"{c}{t}"].depth == t for t in range(1, n))
+    below = mail(text_spark, [(1, -1, "user", "before"), (1, 0, "user", "zero"), (0, 999, "user", "other")])
+    assert sorted(r.body for r in below.values()) == ["before", "other", "zero"]
+
+
+def test_texts_of_one_turn_are_messages_of_their_own(text_spark):
+    rows = [(1, 0, "user", "ask"), *((1, 1, "bot", f"answer {i:02}") for i in range(40)), (1, 1, "bot", "answer 07"), (1, 2, "user", "thanks"), (2, 0, "user", "else"), (2, 1, "bot", None)]
+    got = mail(text_spark, rows)
+    by = {r.body: r for r in got.values()}
+    assert len(got) == len(by) == len(rows) - 1
+    assert all(by[f"answer {i:02}"].parent_id == by["ask"].message_id for i in range(40))
+    assert by["thanks"].parent_id == by["answer 00"].message_id and by[""].parent_id == by["else"].message_id
+    order = [r.body for _, r in sorted(got.items())]
+    assert order[:2] == ["ask", "answer 00"] and order[41:] == ["thanks", "else", ""]

@@ -12,12 +12,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import splittable_join
 from tidemark.session import materialize
 
+BUCKET_ROWS = 20_000
 _MARKS = re.compile(r"^(?:[ \t]*>)+[ \t]?")
 _INTRODUCES = re.compile(r"(wrote|writes|schrieb|écrit|escribió)\s*:\s*$", re.IGNORECASE)
 
@@ -130,12 +131,54 @@ def conversations(messages: DataFrame) -> DataFrame:
     return state.join(parsed.select("message_id", "body"), "message_id").select("message_id", F.col("top").alias("conversation_id"), "parent_id", "depth", "body")
 
 
-def as_mail(turns: DataFrame) -> DataFrame:
-    """message_id, text: each turn of `conversations` (conv_id, turn, text) as a reply that quotes the turn before it, and that one's quote of the one before."""
-    own = turns.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+def _later_texts(turns: DataFrame, repeated: DataFrame, bucket_rows: int) -> DataFrame:
+    """conv_id, turn, text, copy: the texts of `repeated` turns (conv_id, turn, first) but the first, numbered from 1. However many
+    texts a turn has, they are counted in buckets of about `bucket_rows`."""
+    name = F.concat_ws(":", "conv_id", "turn")
+    met = splittable_join(turns.withColumn("key", name), repeated.select(name.alias("key"), "first"), "key").filter("text <> first")
+    rows = materialize(met.select("conv_id", "turn", "text").distinct())
+    bits = max(1, (rows.count() // bucket_rows).bit_length())
+    bucketed = rows.withColumn("deal", F.xxhash64("text")).withColumn("bucket", F.shiftrightunsigned("deal", 64 - bits))
+    totals = bucketed.groupBy("conv_id", "turn", "bucket").agg(F.count("*").alias("total"))
+    before = F.sum("total").over(Window.partitionBy("conv_id", "turn").orderBy("bucket")) - F.col("total")
+    inside = F.row_number().over(Window.partitionBy("conv_id", "turn", "bucket").orderBy("deal", "text"))
+    placed = bucketed.withColumn("inside", inside).join(totals.withColumn("base", before), ["conv_id", "turn", "bucket"])
+    return materialize(placed.select("conv_id", "turn", "text", (F.col("base") + F.col("inside")).cast("long").alias("copy")))
+
+
+def as_mail(turns: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """message_id, text: each turn of `conversations` (conv_id, turn, text) as a reply that quotes the turn before it, and that one's quote of the one before.
+
+    Ids rise with (conv_id, turn) and no two messages share one: conv_id times a span, plus turn, where the span is 1000, or more if the
+    turns of the table need it (turns below 0 are counted from the smallest). Rows that repeat conv_id, turn and text are one message. Different texts
+    of one turn are messages of their own: then all ids are multiplied by the largest number of them, and the texts of a turn follow each other, the smallest
+    first; that one is what the turns after it quote. Null texts are empty. Rows without conv_id or turn are left out, as
+    they have no place in a conversation. Ids beyond 64 bits are an error.
+    """
+    told = turns.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    own = materialize(told.groupBy("conv_id", "turn").agg(F.min("text").alias("text"), (F.min("text") < F.max("text")).alias("more")))
+    low, high, least, most, more = own.agg(F.min("turn"), F.max("turn"), F.min("conv_id"), F.max("conv_id"), F.max("more")).first()
+    start = min(0, low or 0)
+    span, copies = max(1000, (high or 0) - start + 1), 1
+    rows = first = own.select("conv_id", "turn", "text")
+    rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    if more:
+        later = _later_texts(told, own.filter("more").withColumnRenamed("text", "first"), bucket_rows)
+        copies += later.agg(F.max("copy")).first()[0]
+        rows = rows.unionByName(later)
+    if ((max(abs(least or 0), abs(most or 0)) + 1) * span + 1) * copies >= 1 << 63:
+        raise ValueError(f"message ids of {span} turns with {copies} texts each don't fit 64 bits for the conv_ids from {least} to {most}")
     quote = lambda c: F.regexp_replace(c, r"(?m)^", "> ")
-    back = lambda n: own.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
-    rows = own.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    back = lambda n: first.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
+    if more:  # a turn may have any number of texts
+        name = F.concat_ws(":", "conv_id", "turn")
+        earlier = back(1).join(back(2), ["conv_id", "turn"], "left").select(name.alias("key"), "back1", "back2")
+        rows = splittable_join(rows.withColumn("key", name), earlier, "key", "left")
+    else:
+        rows = rows.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
     inner = F.when(F.col("back2").isNull(), F.col("back1")).otherwise(F.concat(quote(F.col("back2")), F.lit("\n"), F.col("back1")))
     mail = F.when(F.col("back1").isNull(), F.col("text")).otherwise(F.concat(F.lit("Earlier somebody wrote:\n"), quote(inner), F.lit("\n"), F.col("text")))
-    return rows.select((F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("message_id"), mail.alias("text"))
+    place = F.col("conv_id") * F.lit(span).cast("long") + F.col("turn") - F.lit(start).cast("long")
+    return rows.select((place * F.lit(copies).cast("long") + F.col("copy")).alias("message_id"), mail.alias("text"))
