@@ -64,3 +64,28 @@ def test_broken_pages(text_spark):
 def test_code_points_are_counted(text_spark):
     (row,) = texts(text_spark, [(1, "u", "<article>a&#x1F600;b   c</article>", None, None)])
     assert (row.text, row.n_chars) == ("a\U0001f600b c", 5)
+
+
+PROSE = " ".join("many plain words of prose".split() * 12)
+
+
+def test_elements_named_like_unseen_ones():
+    page = f"<html><head><meta charset=utf-8><title>no</title><body><article><svg-icon x=1></svg-icon><p>{PROSE}</p><svg viewBox='0'/><video-player></video-player><p>end of it</p><svg><text>no</text></svg></article>"
+    assert kept(page) == [PROSE, "end of it"]
+    assert kept(f"<head><title>no</title><style>p{{}}</style><link rel=x><p>{PROSE}</p>") == [PROSE]
+
+
+def test_hidden_is_an_attribute():
+    for shown in ('class="overflow-hidden"', 'style="overflow:hidden"', "class='sm:hidden x'", "data-hidden=1", 'title="hidden"', "hidden=false"):
+        assert kept(f"<article><div {shown}><p>{PROSE}</p><p>short end</p></div></article>") == [PROSE, "short end"], shown
+    for unseen in ("hidden", 'hidden=""', 'style="color:red; display : none"', "aria-hidden=true", 'class=x HIDDEN data-y="z"'):
+        assert kept(f"<article><div {unseen}><p>{PROSE}</p></div><p>{PROSE} seen</p></article>") == [f"{PROSE} seen"], unseen
+
+
+def test_text_outvotes_class_marks():
+    whole = f"<h1>A title of five words</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE} two</p>"
+    for name in ("layout-with-sidebar", "post popular", "has-share-bar", "discussion"):
+        assert kept(f'<body><nav>x</nav><div class="{name}">{whole}</div></body>') == ["A title of five words", PROSE, "Short.", f"{PROSE} two"], name
+        assert kept(f'<article><div class="{name}">{whole}</div><div class=share>Share this</div></article>') == ["A title of five words", PROSE, "Short.", f"{PROSE} two"], name
+    page = f'<article>{whole}{whole}<div class="notice"><p>{PROSE} three</p></div><div class="related"><p><a href=x>{PROSE}</a></p><p>six words</p></div></article>'
+    assert kept(page) == ["A title of five words", PROSE, "Short.", f"{PROSE} two"] * 2 + [f"{PROSE} three"]

@@ -2,7 +2,7 @@
 
 A page becomes a flat list of blocks: runs of text that no block-level tag interrupts. Each block is described by its
 number of words and link density, those of the blocks before and after it, and by two marks from the open tags
-around it. A decision tree, trained here on the small table `EXAMPLES`, keeps or drops it.
+around it. What a class says can be outvoted, by a long block with few links or by an element that holds most of the text. A decision tree, trained here on the small table `EXAMPLES`, keeps or drops it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The tags of HTML by what they mean for the flow of text.
-UNSEEN = "script style noscript template textarea title iframe svg math canvas audio video object head select datalist"
+UNSEEN = "script style noscript template textarea title iframe svg math canvas audio video object select datalist"
 INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
 CONTAINERS = "nav header footer aside form div section article main ul ol dl table figure dialog menu body html blockquote details fieldset center button"
 AROUND = "nav footer aside form menu dialog button"
@@ -33,22 +33,27 @@ TOP_NAMES = "header masthead topbar banner"
 # Of an article element itself only these count: what else its classes say is about its content.
 CARD_NAMES = "ad ads advert advertisement sponsored promo comment comments reply replies related recommended"
 
+# A class mark is outvoted by an element with so many words at least.
+LEAST_WORDS = 40
+
 _UNSEEN, _INLINE, _CONTAINERS, _AROUND = (frozenset(x.split()) for x in (UNSEEN, INLINE, CONTAINERS, AROUND))
 _NAMES, _TOP_NAMES, _CARD_NAMES = frozenset(NAMES.split()), frozenset(TOP_NAMES.split()), frozenset(CARD_NAMES.split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(UNSEEN.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>"
+    r"|<(?P<raw>" + "|".join(UNSEEN.split()) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _WORD_EDGE = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 FEATURES = ("words_before", "words", "words_after", "links_before", "links", "links_after", "around", "core")
 # Labelled blocks. words: number of words, links: share of them inside links, for the block before, the block itself and
-# the block after. around: 1 inside a menu, footer, form, advert, notice or comment. core: 1 inside an article or main
+# the block after. around: 1 inside a menu, footer, form or hidden element; 0.5 inside an element whose class, id or role name an advert,
+# notice, comment or the like, unless it holds most of the page's text. core: 1 inside an article or main
 # element, -1 outside it on a page that has one, 0 on a page without. Last: 1 for main text.
 EXAMPLES = (
     (0, 1, 1, 0, 1, 1, 1, -1, 0), (1, 1, 1, 1, 1, 1, 1, -1, 0), (1, 1, 8, 1, 1, 0, 1, -1, 0), (1, 8, 12, 1, 0, 0, 1, -1, 0),
@@ -68,6 +73,10 @@ EXAMPLES = (
     (3, 3, 3, 1, 1, 1, 0, 0, 0), (0, 3, 3, 0, 1, 1, 0, 0, 0), (3, 4, 60, 1, 1, 0, 0, 0, 0), (60, 4, 4, 0, 1, 1, 0, 0, 0),
     (4, 12, 4, 1, 0.8, 1, 0, 0, 0), (60, 20, 4, 0, 0.9, 1, 0, 0, 0), (1, 3, 1, 1, 0, 1, 0, 0, 0), (5, 20, 6, 0, 0.6, 0.5, 0, 0, 0),
     (60, 60, 2, 0, 0, 1, 0, 0, 1), (70, 25, 3, 0, 0.05, 1, 0, 0, 1), (3, 30, 3, 1, 0, 1, 0, 0, 1), (0, 45, 2, 0, 0.1, 1, 0, 0, 1), (10, 50, 60, 1, 0.2, 0, 0, 0, 1),
+    (60, 70, 60, 0, 0, 0, 0.5, 0, 1), (0, 90, 0, 0, 0, 0, 0.5, 0, 1), (8, 60, 3, 0, 0, 0, 0.5, 1, 1), (70, 80, 60, 0, 0.05, 0, 0.5, 1, 1), (60, 55, 60, 0, 0.1, 0, 0.5, 0, 1),
+    (60, 70, 60, 0, 0, 0, 1, 0, 0), (0, 90, 0, 0, 0, 0, 1, 0, 0), (8, 60, 3, 0, 0, 0, 1, 1, 0), (70, 80, 60, 0, 0.05, 0, 1, 1, 0), (60, 55, 60, 0, 0.1, 0, 1, 0, 0), (0, 60, 60, 0, 0, 0, 1, 1, 0),
+    (60, 3, 50, 0, 0, 0, 0.5, 1, 0), (60, 30, 50, 0, 0, 0, 0.5, 1, 0), (60, 15, 4, 0, 0, 1, 0.5, 1, 0), (12, 9, 80, 0, 0, 0, 0.5, 0, 0), (60, 30, 0, 0, 0, 0, 0.5, 0, 0), (0, 15, 0, 0, 0, 0, 0.5, 0, 0),
+    (60, 70, 6, 0, 0.7, 1, 0.5, 0, 0), (60, 70, 6, 0, 0.7, 1, 0.5, 1, 0), (60, 3, 2, 0, 1, 1, 0.5, 1, 0), (60, 90, 0, 0, 0, 0, 0.5, -1, 0), (1, 40, 12, 1, 0, 0, 0.5, -1, 0), (2, 2, 2, 1, 1, 1, 0.5, 0, 0),
     (2, 2, 60, 1, 1, 0, 0, 0, 0), (2, 2, 0, 1, 1, 0, 0, 0, 0), (0, 2, 60, 0, 1, 0, 0, 0, 0), (60, 2, 2, 0, 1, 1, 0, 0, 0), (60, 5, 0, 0, 1, 0, 0, 0, 0), (80, 3, 70, 0, 1, 0, 0, 0, 0),
 )
 
@@ -106,30 +115,47 @@ def trained_tree() -> Tree:
     return Tree(table[:, :-1], table[:, -1])
 
 
-def _stands_around(tag: str, more: str, in_core: bool) -> bool:
-    """Whether an element surrounds the article, by its tag or by what its class, id or role say."""
+def _stands_around(tag: str, more: str, in_core: bool) -> float:
+    """Whether an element surrounds the article: 1 by its tag or as it is hidden, 0.5 by what its class, id or role say."""
     if tag in ("html", "body"):
-        return False
+        return 0.0
     names = _CARD_NAMES if tag in ("article", "main") else _NAMES
     if tag in _AROUND or (tag == "header" and not in_core):
-        return True
-    if not more:
-        return False
-    if _HIDDEN.search(more):
-        return True
-    for found in _NAMED.finditer(more):
-        parts = {p.lower() for p in _WORD_EDGE.split(found[1] or found[2] or found[3] or "") if p}
-        if parts & names or (parts & _TOP_NAMES and not in_core):
-            return True
-    return False
+        return 1.0
+    named = 0.0
+    for found in _ATTRIBUTE.finditer(more) if more else ():
+        name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSHOWN.search(value):
+            return 1.0
+        if name in ("class", "id", "role"):
+            parts = {p.lower() for p in _WORD_EDGE.split(value) if p}
+            if parts & names or (parts & _TOP_NAMES and not in_core):
+                named = 0.5
+    return named
+
+
+def _named(rows: list[tuple], spans: list[list[int]]) -> np.ndarray:
+    """Whether each block lies in an element with a class mark (blocks first .. last-1 of each) that holds less than most of the page's
+    text. Where an element has most of the words outside links, LEAST_WORDS at least, and few links, it is what the page is about."""
+    words = np.array([r[0] for r in rows], float)
+    free = words * (1 - np.array([r[1] for r in rows], float)) * (np.array([r[2] for r in rows], float) < 1)
+    total, plain = np.concatenate([[0.0], words.cumsum()]), np.concatenate([[0.0], free.cumsum()])
+    change = np.zeros(len(rows) + 1, np.int64)
+    for first, last in spans:
+        held, own = total[last] - total[first], plain[last] - plain[first]
+        if own < LEAST_WORDS or own * 2 < plain[-1] or own * 3 < held * 2:
+            change[first] += 1
+            change[last] -= 1
+    return change.cumsum()[:-1] > 0
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """The texts of the page's blocks in order, and their features as in `FEATURES`."""
     texts, rows = [], []
-    open_tags: list[tuple[str, bool, bool]] = []
+    open_tags: list[tuple[str, bool, bool, list[int] | None]] = []
+    spans: list[list[int]] = []
     run: list[str] = []
-    linked, in_link, around, core, own = 0, False, False, False, False
+    linked, in_link, around, core, own = 0, False, False, False, 0.0
 
     def close() -> None:
         nonlocal linked
@@ -138,7 +164,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if text:
                 texts.append(text)
                 words = text.count(" ") + 1
-                rows.append((words, min(1.0, linked / words), around or own, core))
+                rows.append((words, min(1.0, linked / words), max(float(around), own), core))
             run.clear()
         linked = 0
 
@@ -169,25 +195,32 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         close()
         in_link = False
         # A paragraph or heading speaks for its own block; what it holds ends with the next tag of its kind.
-        own = not m["end"] and tag not in _CONTAINERS and bool(m["more"]) and _stands_around(tag, m["more"], core)
+        own = _stands_around(tag, m["more"], core) if not m["end"] and tag not in _CONTAINERS and m["more"] else 0.0
         if tag not in _CONTAINERS:
             continue
         if m["end"]:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
-                    _, around, core = open_tags[k]
+                    _, around, core, _ = open_tags[k]
+                    for *_, span in open_tags[k:]:
+                        if span:
+                            span[1] = len(rows)
                     del open_tags[k:]
                     break
         else:
-            open_tags.append((tag, around, core))
             surrounds = _stands_around(tag, m["more"], core or tag in ("article", "main"))
-            around, core = around or surrounds, core or (tag in ("article", "main") and not surrounds)
+            span = [len(rows), -1] if surrounds == 0.5 else None
+            open_tags.append((tag, around, core, span))
+            if span:
+                spans.append(span)
+            around, core = around or surrounds == 1, core or (tag in ("article", "main") and not surrounds)
     if at < len(page):
         say(page[at:])
     close()
     if not rows:
         return texts, np.empty((0, len(FEATURES)))
     words, links, marks, cores = (np.array(c, float) for c in zip(*rows, strict=True))
+    marks = np.maximum(marks, 0.5 * _named(rows, [(a, len(rows) if b < 0 else b) for a, b in spans]))
     before = lambda v: np.concatenate([[0.0], v[:-1]])
     after = lambda v: np.concatenate([v[1:], [0.0]])
     place = np.where(cores > 0, 1.0, -1.0) if cores.any() else np.zeros(len(cores))
