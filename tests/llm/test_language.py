@@ -62,3 +62,10 @@ def test_odd_rows(odd_docs, frame):
     assert (nothing.lang_pred == "und").all()
     alone = language.identify(frame([(i, "some text", "en", "s") for i in range(9)])).toPandas()
     assert (alone.lang_pred == "en").all()
+
+
+def test_languages_of_few_ids_are_learned(frame):
+    by = {lang: [t for _, t, other, _ in texts(300, 6) if other == lang][0] for lang in ("en", "fr")}
+    rows = [(i, by[lang], lang, "s") for i, lang in enumerate(by) for _ in range(2000)]
+    model = language.learn(frame(rows), rows=8)
+    assert sorted(x for members in model.members.values() for x in members) == ["en", "fr"]

@@ -162,13 +162,14 @@ def held_out(doc_id: Column, parts: int, which: int) -> Column:
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel:
     """A model from at most `rows` labelled documents (text, lang) that `docs` offers, as many of each language (one at least; of more
-    languages than `rows`, the most frequent).
+    languages than `rows`, those with the most ids).
 
     The sample is the documents with the smallest hashes of their ids, so it doesn't depend on partitioning. Whole texts
     are turned into profiles of fixed width inside tasks; only those reach the driver.
     """
     able = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = dict(able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect())
+    ids = able.select("doc_id", "lang").distinct()  # hash_sample thins by ids, so ids count, not rows
+    counts = dict(ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect())
     if not counts:
         return LanguageModel({}, [], {})
     chosen = hash_sample(able, "lang", dict.fromkeys(counts, max(1, rows // len(counts))), counts)

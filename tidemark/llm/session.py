@@ -28,7 +28,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def hash_sample(rows: DataFrame, group: str, sizes: dict, counts: dict) -> DataFrame:
     """The `sizes[g]` ids with the smallest hashes of each group g, of `rows` (doc_id, group).
 
-    `counts[g]` rows of a group are known to exist. Ids whose hash lies far beyond what the sample needs leave in the scan,
+    `counts[g]` distinct ids of a group are known to exist. Ids whose hash lies far beyond what the sample needs leave in the scan,
     so that about twice the sample is compared, however large the table. The draw depends on ids alone.
     """
     cells = [F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, (2 * n + 50) / max(1, counts[g])))]
