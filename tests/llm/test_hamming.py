@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import hamming
+from tidemark.llm.queries import op2
 
 
 def brute(rows, queries, k):
@@ -56,3 +57,10 @@ def test_few_and_no_rows(text_spark):
     assert [tuple(r) for r in hamming.nearest_codes(make([(1, 0), (2, 3)]), make([(1, 0)]), 10).collect()] == [(1, 2, 2, 1)]
     assert hamming.nearest_codes(make([(1, 0)]), make([(1, 0)])).count() == 0
     assert hamming.nearest_codes(make([]), make([])).count() == hamming.nearest_codes(make([(1, 0)]), make([])).count() == 0
+
+
+def test_longer_vectors_are_not_cut(text_spark):
+    make = lambda n: text_spark.createDataFrame([(i, [1.0] * n) for i in range(3)] + [(9, None)], "vec_id long, embedding array<float>")
+    assert op2(make(64), "").count() == 2
+    with pytest.raises(Exception, match="longer than the 64 bits"):
+        op2(make(65), "").collect()

@@ -89,7 +89,11 @@ def op10(docs: DataFrame, folder: str) -> DataFrame:
     """,
 )
 def op2(vectors: DataFrame, folder: str) -> DataFrame:
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    fits = F.size("embedding") <= hamming.BITS
+    code = F.when(F.col("embedding").isNull() | fits, hamming.sign_code(F.col("embedding"))).otherwise(
+        F.raise_error(F.lit(f"op2_hamming_top_k: an embedding is longer than the {hamming.BITS} bits of a code"))
+    )
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), code.alias("code"))
     return hamming.nearest_codes(rows, rows.filter("id % 50 = 0"))
 
 
