@@ -15,11 +15,11 @@ from tidemark.llm.queries import ORACLE, QUERIES
 
 from .conftest import SF
 
-TABLES = {2: "embeddings", 7: "pages", 9: "conversations"}
+TABLES = {2: "embeddings", 7: "pages", 9: "conversations", 11: "embeddings", 13: "embeddings"}
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_all_operators_and_the_pipeline_are_registered():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
@@ -36,10 +36,12 @@ COLUMNS = {
     6: ["doc_id", "held_out", "lang_pred", "score"],
     7: ["page_id", "url", "text", "n_chars"],
     8: ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    11: ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    12: ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 
-@pytest.mark.parametrize("number", [1, 3, 4, 6, 7, 8])
+@pytest.mark.parametrize("number", [1, 3, 4, 6, 7, 8, 11, 12])
 def test_one_row_for_each_input_row(text_spark, number):
     (name,) = [q for q in QUERIES if q.startswith(f"op{number}_")]
     got = QUERIES[name](text_spark, SF).toPandas()
@@ -53,7 +55,7 @@ def test_one_row_for_each_input_row(text_spark, number):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % parts == which) for r in got.itertuples())
 
 
-@pytest.mark.parametrize("number", [2, 5, 9, 10])
+@pytest.mark.parametrize("number", [2, 5, 9, 10, 13])
 def test_the_others_give_rows(text_spark, number):
     (name,) = [q for q in QUERIES if q.startswith(f"op{number}_")]
     assert QUERIES[name](text_spark, SF).count() > 0

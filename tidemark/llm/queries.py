@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, hamming, language, licenses, main_text, mixing, near_dup, packing, quotes, toxicity
+from tidemark.llm import exact_dedup, fill_middle, hamming, language, licenses, main_text, mixing, near_dup, packing, prefix_forest, quotes, toxicity, walsh
 from tidemark.llm.registry import ORACLE, QUERIES, query
 from tidemark.llm.session import table
 
@@ -105,3 +105,56 @@ def op5(docs: DataFrame, folder: str) -> DataFrame:
 @query("op9_quotation_linking", "conversations")
 def op9(turns: DataFrame, folder: str) -> DataFrame:
     return quotes.conversations(quotes.as_mail(turns))
+
+
+def _cluster_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Each round spelled out: assign, then floor of the mean, empty centroids unchanged."""
+    apart = "CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v
+            FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT {clusters}))""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT k.place, min({{'d': {apart}, 'c': c.cluster}}) AS m FROM kept k, c{n} c GROUP BY k.place)")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(w.v, c.v) AS v FROM c{n} c LEFT JOIN (
+                SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (SELECT m.c AS cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+                FROM a{n} JOIN kept USING (place), range(1, 65) t(i) GROUP BY ALL) GROUP BY cluster) w USING (cluster))""")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, m.c AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN kept USING (place) JOIN c{rounds} ON c{rounds}.cluster = m.c"""
+
+
+@query("op11_walsh_hadamard", "embeddings", _cluster_sql())
+def op11(vectors: DataFrame, folder: str) -> DataFrame:
+    return walsh.cluster(vectors)
+
+
+@query(
+    "op12_fill_middle",
+    "documents",
+    """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    u AS (SELECT *, CAST(length(x) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS g FROM t),
+    v AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+          CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR g[3] % 100 >= 90 THEN 'plain'
+               WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    w AS (SELECT *, substr(x, 1, a) AS p, substr(x, a + 1, b - a) AS m, substr(x, b + 1) AS s FROM v)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(x) AS restored_sha256
+    FROM w
+    """,
+)
+def op12(docs: DataFrame, folder: str) -> DataFrame:
+    return fill_middle.fill_middle(docs).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
+@query("op13_prefix_forest", "embeddings")
+def op13(vectors: DataFrame, folder: str) -> DataFrame:
+    return prefix_forest.nearest(vectors)
