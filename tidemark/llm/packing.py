@@ -7,9 +7,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,14 @@ GROUP_PIECES = 20_000
 # Of an ordered table: a few blocks of the mix, so that packing moves no piece further than that.
 ORDERED_PIECES = 2_000
 RUN_ROWS = 20_000
-# A part of the text the tokenizer can take alone: what lies between two blanks.
-GAPS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+REMEMBERED = 1_000_000  # words of a generation, in each worker
+# Letters from which on lower-casing a text could differ from lower-casing its letters one by one.
+FAR_LETTERS = re.compile("[^\x00-\u024f]")
+PIECES = 20_000
+# Of an ordered table: a few blocks of the mix, so that packing moves no piece further than that.
+ORDERED_PIECES = 2_000
+RUN_ROWS = 20_000
+REMEMBERED = 1_000_000  # words of a generation, in each worker
 # Letters from which on lower-casing a text could differ from lower-casing its letters one by one.
 FAR_LETTERS = re.compile("[^\x00-\u024f]")
 # Blanks to Python alone.
@@ -31,57 +40,119 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long, part string, row long"
 
 
+class _Places(dict):
+    """word -> place. A word of the generation before comes over with its place; one never met gets the next place and is noted as fresh."""
+
+    def __init__(self, before: dict[str, int], size: int):
+        super().__init__()
+        self.before, self.size = before, size
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self.before.get(word)
+        if place is None:
+            place, self.size = self.size, self.size + 1
+            self.fresh.append(word)
+        self[word] = place
+        return place
+
+
 class _Encoder:
-    """ids of texts as little-endian bytes; each distinct word is tokenised once while it stays in a bounded memory."""
+    """ids of texts as little-endian bytes; each distinct word is tokenised once while it is remembered.
 
-    def __init__(self, path: str, limit: int = 500_000, max_chars: int = 15_000_000):
+    Words are remembered in two generations of at most about `limit` words or `max_chars` characters each. When the younger one is full it becomes the older one, and what
+    was in that and hasn't been met since is forgotten: so common words stay however many rare ones pass by. What is remembered changes no result.
+    """
+
+    def __init__(self, path: str, limit: int = REMEMBERED, max_chars: int = 30_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's to share out
         self._tokenizer = Tokenizer.from_file(path)
         self._limit, self._max_chars, self._chars = limit, max_chars, 0
-        self._known: dict[str, bytes] = {}
+        self._places = _Places({}, 0)
+        # The ids of all remembered words one after the other, and where those of each place start.
+        self._ids, self._used = np.empty(1 << 16, np.uint32), 0
+        self._starts, self._lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _words(self, text: str) -> list[str]:
-        if not FAR_LETTERS.search(text):
-            text = text.lower()  # the tokenizer's own next step; one form of a word to remember instead of several
-        return [w for w in GAPS.split(text) if w] if SEPARATORS.search(text) else text.split()
-
-    def _learn(self, words: list[str]) -> None:
-        """Takes up new words: a word with one mark at its end is made of both parts."""
-        cores = {w: w[:-1] for w in words if w[-1] in ".,!?" and w[:-1].isalpha()}
-        self._known[""] = b""
-        parts = {*cores.values(), *(w[-1] for w in cores), *(w for w in words if w not in cores)}
-        parts = list(parts.difference(self._known))
-        self._chars += sum(map(len, parts)) + sum(map(len, cores))
-        self._known.update(zip(parts, self._whole(parts), strict=True))
-        self._known.update((w, self._known[core] + self._known[w[-1]]) for w, core in cores.items())
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lowered(self, text: str) -> str:
+        """The tokenizer's own next step, where it can be taken for the whole text: one form of a word to remember instead of several."""
+        return text if FAR_LETTERS.search(text) else text.lower()
+
+    def _gather(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the words at `places`, one after the other."""
+        lengths = self._lengths[places]
+        before = np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        return self._ids[np.repeat(self._starts[places] - before, lengths) + np.arange(total)]
+
+    def _store(self, places: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self._used + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
+        while self._places.size > len(self._starts):
+            self._starts, self._lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self._starts, self._lengths))
+        self._ids[self._used : self._used + len(ids)] = ids
+        self._starts[places] = self._used + np.cumsum(lengths) - lengths
+        self._lengths[places] = lengths
+        self._used += len(ids)
+
+    def _learn(self) -> None:
+        """Takes up fresh words: a word with one mark at its end is made of both parts."""
+        places, marked, plain = self._places, [], []
+        for word in places.fresh:  # which grows by the parts that are fresh themselves
+            self._chars += len(word)
+            if word and word[-1] in ".,!?" and word[:-1].isalpha():
+                marked.append((places[word], places[word[:-1]], places[word[-1]]))
+            else:
+                plain.append(word)
+        places.fresh = []
+        found = self._whole(plain)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        own = np.fromiter(map(places.__getitem__, plain), np.int64, len(plain))
+        self._store(own, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+        if marked:
+            whole, *parts = np.array(marked, np.int64).T
+            both = np.stack(parts, 1).ravel()
+            self._store(whole, self._gather(both), self._lengths[both].reshape(-1, 2).sum(1))
+
+    def _forget(self) -> None:
+        young = self._places
+        kept = np.fromiter(young.values(), np.int64, len(young))
+        lengths, ids = self._lengths[kept], self._gather(kept)
+        self._places = _Places(dict(zip(young, range(len(young)), strict=True)), len(young))
+        self._used, self._chars = 0, 0
+        self._store(np.arange(len(kept)), ids, lengths)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if self._special.search(t) else self._words(t) for t in texts]  # a special token may span a blank
-        if len(self._known) > self._limit or self._chars > self._max_chars:
-            self._known, self._chars = {}, 0
-        known = self._known
-        fresh = set().union(*(w for w in split if w)).difference(known)
-        if fresh:
-            self._learn(list(fresh))
-        for text, words in zip(texts, split, strict=True):
-            yield self._whole([text])[0] if words is None else b"".join(map(known.__getitem__, words))
-
-
-def _cutter(path: str, tokens: int, end_id: int):
+        alone = [self._special.search(t) is not None for t in texts]  # a special token may span a blank
+        if len(self._places) > self._limit or self._chars > self._max_chars:
+            self._forget()
+        # What lies between two ASCII blanks can be tokenised alone; other blanks are the tokenizer's to find, inside a part.
+        split = pc.ascii_split_whitespace(pa.array(["" if x else self._lowered(t) for t, x in zip(texts, alone, strict=True)], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        places = np.fromiter(map(self._places.__getitem__, distinct), np.int64, len(distinct))
+        if self._places.fresh:
+            self._learn()
+        places = places[words.indices.to_numpy()]
+        ids, counts = self._gather(places), np.asarray(split.value_lengths())
+        ends = np.concatenate([[0], np.cumsum(self._lengths[places])])[np.concatenate([[0], np.cumsum(counts)])]
+        for text, whole, first, last in zip(texts, alone, ends, ends[1:], strict=False):
+            yield array("I", self._whole([text])[0]).tobytes() if whole else ids[first:last].tobytes()
+
+
+def _cutter(path: str, tokens: int, end_id: int, remembered: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         kept = worker_memory("tokens")
-        if kept.get("encoder_path") != path:
-            kept.update(encoder=_Encoder(path), encoder_path=path)
+        if kept.get("encoder_of") != (path, remembered):
+            kept.update(encoder=_Encoder(path, remembered), encoder_of=(path, remembered))
         encode, end = kept["encoder"], array("I", [end_id]).tobytes()
         deal = TaskContext.get().partitionId() * 7919  # groups are dealt from another start in each task
         for batch in batches:
@@ -100,7 +171,7 @@ def _cutter(path: str, tokens: int, end_id: int):
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, end_id: int = END_ID, order: tuple[Column, Column] | None = None
+    docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, end_id: int = END_ID, order: tuple[Column, Column] | None = None, remembered: int = REMEMBERED
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, deal, part, row: the texts of `docs` as token ids, cut where longer than `tokens`.
 
@@ -112,7 +183,7 @@ def token_pieces(
         F.col("doc_id").isNull().alias("no_id"),
         F.coalesce("text", F.lit("")).alias("text"), part.alias("part"), row.cast("long").alias("row"),
     )
-    return texts.mapInPandas(_cutter(tokenizer_path, tokens, end_id), PIECES)
+    return texts.mapInPandas(_cutter(tokenizer_path, tokens, end_id, remembered), PIECES)
 
 
 def vector_best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> np.ndarray:
@@ -206,6 +277,7 @@ def pack(
     group_pieces: int = GROUP_PIECES,
     order: tuple[Column, Column] | None = None,
     run_rows: int = RUN_ROWS,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece of a text: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -215,14 +287,14 @@ def pack(
     `vector_best_fit` in one task; a group alone leaves about one sequence unfilled. Whatever the ids or texts repeat,
     groups stay even. With an `order` of the rows (a text and a number, by which they are ordered, such as `stored_order` gives), groups are
     consecutive runs of it, and sequences are numbered by the places of their largest pieces: so the order of sequence_id follows that
-    of the rows, to within a group. Null ids stay null, null texts are empty, other columns are not read, and an empty table gives no rows.
+    of the rows, to within a group. `remembered` bounds the words a worker remembers. Null ids stay null, null texts are empty, other columns are not read, and an empty table gives no rows.
     """
     if attention < tokens * tokens:
         # A piece alone must fit: cut so that its own cost does.
         tokens_cut = min(tokens, int(attention**0.5))
     else:
         tokens_cut = tokens
-    stored = materialize(token_pieces(docs, tokenizer_path, tokens_cut, end_id, order))
+    stored = materialize(token_pieces(docs, tokenizer_path, tokens_cut, end_id, order, remembered))
     count = stored.count()
     groups = count // group_pieces + 1
     bunch = F.pmod("deal", F.lit(groups))
