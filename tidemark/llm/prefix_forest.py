@@ -79,6 +79,14 @@ def _lengths(points: np.ndarray) -> np.ndarray:
     return top * np.sqrt(((points / top[:, None]) ** 2).sum(1))
 
 
+def _longest(dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_lengths(matrix(batch.column("v"), dims)).max()], pa.float64())], ["length"])
+
+    return measure
+
+
 def _labeller(dims: int, digits: int, longest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Strings of rows (`as_row`, raised to the longest vector) and of queries (of length one), and the row's components as 8 bits and a scale."""
 
@@ -210,6 +218,21 @@ def _meeter(keep: int):
     return meet
 
 
+def _merger(keep: int):
+    """The best of what the parts found for a query, and the query's own entry, whose copies always stand by."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for query, score, rep in zip(batch["query"], batch["score"], batch["rep"], strict=True):
+                reps, first = np.unique(np.concatenate(rep), return_index=True)
+                best = reps[np.argsort(-np.concatenate(score)[first], kind="stable")[:keep]]
+                out.append(np.union1d(best, [query]))
+            yield pd.DataFrame({"query": batch["query"], "reps": out})
+
+    return merge
+
+
 def _finite(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
@@ -238,8 +261,9 @@ def nearest(
     named = materialize(able.select("id", "v", digest.alias("name")))
     entries = named.groupBy("name").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.max(F.col("id") % every == 0).alias("asked"))
     entries = materialize(entries)
-    size = entries.agg(F.count("*"), F.max(F.size("v")), F.max(_norm(F.col("v")))).first()
-    total, dims, longest = size[0], size[1] or 1, size[2] or 1.0
+    size = entries.agg(F.count("*"), F.max(F.size("v"))).first()
+    total, dims = size[0], size[1] or 1
+    longest = entries.select("v").mapInArrow(_longest(dims), "length double").agg(F.max("length")).first()[0] or 1.0
     depths = min(DIGITS, max(1, math.ceil(math.log(max(2, total)) / math.log(2 * HALF))))
 
     schema = "rep long, keys array<long>, query_keys array<long>, small binary, scale double"
@@ -258,9 +282,8 @@ def nearest(
         found = near if found is None else found.unionByName(near)
     if found is None:
         return named.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = found.groupBy("query").agg(F.flatten(F.collect_list(F.arrays_zip("score", "rep"))).alias("near"))  # trees x (k + 13) at most, per query
-    best = best.select("query", F.slice(F.sort_array(F.array_distinct("near"), asc=False), 1, k + 1 + MARGIN)["rep"].alias("reps"))
-    pairs = best.select("query", F.explode(F.array_union("reps", F.array("query"))).alias("rep"))  # its own copies always stand by
+    best = found.groupBy("query").agg(F.collect_list("score").alias("score"), F.collect_list("rep").alias("rep"))  # trees x (k + 13) at most, per query
+    pairs = best.mapInPandas(_merger(k + 1 + MARGIN), "query long, reps array<long>").select("query", F.explode("reps").alias("rep"))
 
     scored = pairs.join(entries.select("rep", F.col("v").alias("there")), "rep").join(entries.select(F.col("rep").alias("query"), "v"), "query")
     scored = scored.select("query", "rep", _product(F.col("v"), F.col("there")).alias("score"))
@@ -280,11 +303,6 @@ def nearest(
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def _norm(v: Column) -> Column:
-    top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    return top * F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
-
-
 def _node(key: Column | str, depth: int) -> Column:
     return F.shiftright(key, shift_of(depth))
 
@@ -344,29 +362,31 @@ def _meet(rows: DataFrame, queries: DataFrame, level: int, depths: int, below: D
     Nodes are dealt to parts. One with more rows or queries than a part holds is cut into chunks of rows and blocks of queries, each pair of which meets once.
     `below` counts the rows of each node of the level.
     """
+    cuts = lambda n: F.ceil(n / part_rows).cast("long")
     if level == 0:
-        ours = rows.select("rep", F.lit(0).cast("long").alias("key"), "small", "scale", F.lit(0).cast("long").alias("node"))
-        theirs = queries.select("query", "probe", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("node"), F.lit(shift_of(1)).alias("shift"))
-        parts = 1
+        zero = F.lit(0).cast("long")
+        grid = (cuts(F.lit(below.first()["n"])).alias("chunks"), cuts(F.lit(queries.count())).alias("blocks"))
+        ours = rows.select("rep", zero.alias("key"), "small", "scale", zero.alias("part"), *grid)
+        theirs = queries.select("query", "probe", zero.alias("key"), F.lit(shift_of(1)).alias("shift"), zero.alias("part"), *grid)
     else:
+        parts = F.lit(below.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // part_rows + 1)
         ours = rows.select("rep", F.explode("keys").alias("key"), "small", "scale").withColumn("node", _node("key", level))
         theirs = queries.select("query", "probe", "trees", F.posexplode("query_keys").alias("tree", "key")).withColumn("node", _node("key", level))
         deeper = shift_of(level + 1) if level < depths else -1
         shift = F.when(F.col("tree") < F.col("trees"), F.lit(shift_of(level))).otherwise(F.lit(deeper))
         theirs = theirs.withColumn("shift", shift).filter("shift >= 0").drop("trees", "tree")
-        parts = below.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // part_rows + 1
-    busy = theirs.groupBy("node").agg(F.count("*").alias("queries"))
-    large = below.join(busy, "node").filter((F.col("n") > part_rows) | (F.col("queries") > part_rows))
-    cuts = lambda c: F.ceil(F.col(c) / part_rows).cast("long")
-    large = materialize(large.select("node", cuts("n").alias("chunks"), cuts("queries").alias("blocks")))
-    ours, theirs = (_dealt(side.join(large, "node", "left"), parts, *way) for side, way in ((ours, ("rep", "chunk", "block")), (theirs, ("query", "block", "chunk"))))
+        busy = theirs.groupBy("node").agg(F.count("*").alias("queries"))
+        large = below.join(busy, "node").filter((F.col("n") > part_rows) | (F.col("queries") > part_rows))
+        large = materialize(large.select("node", cuts(F.col("n")).alias("chunks"), cuts(F.col("queries")).alias("blocks")))
+        ours, theirs = (side.join(large, "node", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts)).drop("node") for side in (ours, theirs))
+    ours, theirs = _dealt(ours, "rep", "chunk", "block"), _dealt(theirs, "query", "block", "chunk")
     where = ["part", "chunk", "block"]
     return ours.groupBy(*where).cogroup(theirs.groupBy(*where)).applyInPandas(_meeter(keep), "query long, score array<double>, rep array<long>")
 
 
-def _dealt(side: DataFrame, parts: int, by: str, own: str, other: str) -> DataFrame:
-    """Rows with their part, one piece of their own side (`own`, by hash), and every piece of the other side."""
+def _dealt(side: DataFrame, by: str, own: str, other: str) -> DataFrame:
+    """Rows with one piece of their own side (`own`, by hash), and every piece of the other side."""
     one = F.lit(1).cast("long")
     pieces, others = F.coalesce(f"{own}s", one), F.coalesce(f"{other}s", one)
-    side = side.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).withColumn(own, F.pmod(F.xxhash64(by), pieces))
-    return side.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), others - 1))).drop("node", "chunks", "blocks")
+    side = side.withColumn(own, F.pmod(F.xxhash64(by), pieces))
+    return side.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), others - 1))).drop("chunks", "blocks")
