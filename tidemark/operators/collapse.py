@@ -43,34 +43,47 @@ def _any_role():
     return [F.bool_or(flag).alias(flag) for flag in ROLE_FLAGS]
 
 
-def collapse_cofilers(typed: DataFrame, within: Column | None = None) -> DataFrame:
-    """Collapse already flattened, typed rows to one per (accession, txn_sk).
+LEAD_COLUMNS = (*OWNER_COLUMNS, *FILING_COLUMNS, *TRADE_COLUMNS)
 
-    ``within`` adds a grouping that the key implies, such as a stream's window.
-    """
-    lead = F.min(F.struct(*OWNER_COLUMNS, *FILING_COLUMNS, *TRADE_COLUMNS))
-    keys = EVENT_KEY if within is None else (within, *EVENT_KEY)
-    grouped = typed.groupBy(*keys).agg(
-        lead.alias("lead"),
+
+def partial_events(typed: DataFrame, *within: Column) -> DataFrame:
+    """Flattened, typed rows folded to one mergeable row per key: ``lead``, ``titled``, the roles and the number of rows."""
+    return typed.groupBy(*within, *EVENT_KEY).agg(
+        F.min(F.struct(*LEAD_COLUMNS)).alias("lead"),
         _first_titled_owner().alias("titled"),
         *_any_role(),
         F.count(F.lit(1)).alias("n_reporting_owners"),
     )
-    carried = [c for c in (*OWNER_COLUMNS, *FILING_COLUMNS, *TRADE_COLUMNS) if c != "title"]
-    return grouped.select(
-        *EVENT_KEY,
-        *[F.col(f"lead.{c}").alias(c) for c in carried],
-        F.col("titled.title").alias("title"),
-        *ROLE_FLAGS,
-        "n_reporting_owners",
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Partial events of one key into one, whatever parts of its rows they were made from."""
+    return partials.groupBy(*EVENT_KEY).agg(
+        F.min("lead").alias("lead"), F.min("titled").alias("titled"), *_any_role(), F.sum("n_reporting_owners").alias("n_reporting_owners")
+    )
+
+
+def finish_partials(partials: DataFrame) -> DataFrame:
+    """Events from partial ones that hold all rows of their key."""
+    carried = [F.col(f"lead.{c}").alias(c) for c in LEAD_COLUMNS if c != "title"]
+    return partials.select(
+        *EVENT_KEY, *carried, F.col("titled.title").alias("title"), *ROLE_FLAGS, "n_reporting_owners"
     ).select(*EVENT_COLUMNS)
 
 
-def collapse_owners(owners: DataFrame) -> DataFrame:
+def collapse_cofilers(typed: DataFrame, within: Column | None = None) -> DataFrame:
+    """Collapse already flattened, typed rows to one per (accession, txn_sk).
+
+    ``within`` adds a grouping that the key implies, such as a stream's window.
+    """
+    return finish_partials(partial_events(typed, *([] if within is None else [within])))
+
+
+def collapse_owners(owners: DataFrame, *within: Column) -> DataFrame:
     """One row per filing: its representative owner, unioned roles and owner count."""
     return (
         signals.with_role_flags(owners)
-        .groupBy("accession")
+        .groupBy(*within, "accession")
         .agg(
             _first_owner().alias("owner"),
             _first_titled_owner().alias("titled"),
@@ -94,13 +107,14 @@ def collapse_trades(trades: DataFrame) -> DataFrame:
 
 
 def assemble_events(
-    filings: DataFrame, owners: DataFrame, trades: DataFrame, footnotes: DataFrame | None = None
+    filings: DataFrame, owners: DataFrame, trades: DataFrame, footnotes: DataFrame | None = None, colocated: bool = False
 ) -> DataFrame:
     """Events straight from the three typed tables, without the owner x transaction product.
 
     Each side is collapsed on its own key first. Filings, owners and footnote hits then share one
     partitioning by accession with one row each. The last join meets them with the transactions,
-    of which one accession may hold many, and is planned so that such an accession can be split.
+    of which one accession may hold many, and is planned so that such an accession can be split. With
+    ``colocated`` tables, bucketed by accession, that join takes them as they lie instead, without an exchange.
     """
     heads = collapse_filings(filings).join(collapse_owners(owners), "accession")
     planned = F.col("filing.is_10b5_1")
@@ -108,7 +122,8 @@ def assemble_events(
         heads = heads.join(planned_filings(footnotes), "accession", "left")
         planned = planned | F.coalesce(F.col("planned_note"), F.lit(False))
     heads = heads.withColumn("planned", planned)
-    joined = splittable_join(collapse_trades(trades), heads, "accession")
+    collapsed = collapse_trades(trades)
+    joined = collapsed.join(heads, "accession") if colocated else splittable_join(collapsed, heads, "accession")
     return joined.select(
         *EVENT_KEY,
         *[F.col(f"owner.{c}").alias(c) for c in OWNER_COLUMNS if c != "title"],

@@ -18,8 +18,9 @@ FLAT_COLUMNS = (
 )
 
 
-def filing_columns(submissions: DataFrame) -> DataFrame:
+def filing_columns(submissions: DataFrame, *carry: str) -> DataFrame:
     return submissions.select(
+        *carry,
         F.col("ACCESSION_NUMBER").alias("accession"),
         F.col("FILING_DATE").alias("filing_date_raw"),
         F.col("PERIOD_OF_REPORT").alias("period_raw"),
@@ -31,8 +32,9 @@ def filing_columns(submissions: DataFrame) -> DataFrame:
     )
 
 
-def owner_columns(owners: DataFrame) -> DataFrame:
+def owner_columns(owners: DataFrame, *carry: str) -> DataFrame:
     return owners.select(
+        *carry,
         F.col("ACCESSION_NUMBER").alias("accession"),
         signals.plain_cik(F.col("RPTOWNERCIK")).alias("insider_id"),
         F.col("RPTOWNERNAME").alias("insider_name"),
@@ -41,8 +43,9 @@ def owner_columns(owners: DataFrame) -> DataFrame:
     )
 
 
-def trade_columns(transactions: DataFrame) -> DataFrame:
+def trade_columns(transactions: DataFrame, *carry: str) -> DataFrame:
     return transactions.select(
+        *carry,
         F.col("ACCESSION_NUMBER").alias("accession"),
         F.col("NONDERIV_TRANS_SK").try_cast("long").alias("txn_sk"),
         F.col("TRANS_DATE").alias("txn_date_raw"),
@@ -56,12 +59,12 @@ def trade_columns(transactions: DataFrame) -> DataFrame:
     )
 
 
-def purchase_filings(submissions: DataFrame, document_types: Iterable[str]) -> DataFrame:
-    return signals.of_document_types(filing_columns(submissions), document_types)
+def purchase_filings(submissions: DataFrame, document_types: Iterable[str], *carry: str) -> DataFrame:
+    return signals.of_document_types(filing_columns(submissions, *carry), document_types)
 
 
-def purchase_trades(transactions: DataFrame) -> DataFrame:
-    return trade_columns(signals.open_market_purchases(transactions))
+def purchase_trades(transactions: DataFrame, *carry: str) -> DataFrame:
+    return trade_columns(signals.open_market_purchases(transactions), *carry)
 
 
 def flatten_purchases(
