@@ -122,3 +122,50 @@ def test_null_and_empty_groups_stay_apart(spark):
     got = {r.g: (r.n, r.lo, r.hi) for r in means.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.min("mean").alias("lo"), F.max("mean").alias("hi")).collect()}
     assert got == {None: (20, 1.0, 1.0), "": (20, 2.0, 2.0), "x": (20, 3.0, 3.0)}
+
+
+def bucketed(df, n_boot=800, **options):
+    out = bootstrap.bucketed_means(df, "x", ["grp"], n_boot, **options)
+    return {(r.grp, r.replicate): r.mean for r in out.collect()}
+
+
+def test_bucketed_weights_do_not_depend_on_partitions(spark, sample):
+    one = bucketed(sample.repartition(4), bucket_values=300)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        two = bucketed(sample.repartition(7), bucket_values=300)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert one.keys() == two.keys() and len(one) == 2 * 800
+    assert all(one[k] == pytest.approx(two[k], abs=1e-12) for k in one)
+    assert bucketed(sample, seed=9, bucket_values=300) != one
+
+
+@pytest.mark.parametrize("copies", [1, 50])
+def test_bucketed_means_spread_like_the_sampling_distribution(sample, copies):
+    """Folded copies weigh what rows of their own would."""
+    rows = sample.filter("grp = 'big'").crossJoin(sample.sparkSession.range(copies)) if copies > 1 else sample.filter("grp = 'big'")
+    got = np.array(list(bucketed(rows, 2_000, bucket_values=500).values()))
+    x = np.array([r.x for r in sample.filter("grp = 'big'").collect()])
+    se = x.std() / np.sqrt(len(x) * copies)
+    assert got.mean() == pytest.approx(x.mean(), abs=5 * se / np.sqrt(len(got)))
+    assert got.std() == pytest.approx(se, rel=0.1)
+
+
+def test_little_bootstraps_use_few_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.exponential(1.0, 40_000)
+    df = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(x)] + [("few", -1, 2.0), ("few", -2, 4.0), ("none", 0, None)], "grp string, k long, x double")
+    out = {r.grp: r for r in bootstrap.little_intervals(df.repartition(5), "x", ["k"], ["grp"], n_boot=300, subsets=8, least=500).collect()}
+    again = {r.grp: r for r in bootstrap.little_intervals(df.coalesce(1), "x", ["k"], ["grp"], n_boot=300, subsets=8, least=500).collect()}
+    assert set(out) == {"g", "few"} and all(out[g].ci_lo == pytest.approx(again[g].ci_lo, abs=1e-12) for g in out)
+    g, half = out["g"], 1.96 * x.std() / np.sqrt(len(x))
+    assert (g.n, g.subsets) == (40_000, 8) and 0.8 * 8 * 577 < g.rows < 1.2 * 8 * 577  # 40,000^0.6 = 577
+    assert (g.ci_hi - g.ci_lo) / 2 == pytest.approx(half, rel=0.15)
+    assert (out["few"].n, out["few"].rows, out["few"].subsets) == (2, 2, 1) and 2.0 <= out["few"].ci_lo <= out["few"].ci_hi <= 4.0
+
+
+def test_ranks_are_among_the_means_there_are(spark):
+    means = spark.createDataFrame([("a", float(i)) for i in range(100)] + [("b", float(i)) for i in range(40)], "g string, mean double")
+    got = {r.g: (r.ci_lo, r.ci_hi) for r in bootstrap.percentile_interval(means, ["g"], 100).collect()}
+    assert got == {"a": (2.0, 97.0), "b": (1.0, 39.0)}

@@ -10,7 +10,8 @@ with replacement from the whole group. Seeds depend on (seed, group, chunk, repl
 result does not depend on how Spark places the work.
 
 ``poisson_means`` replaces resampling by independent Poisson(1) weights taken from an md5 of the
-row key, which needs nothing but SQL and combines map-side.
+row key, which needs nothing but SQL and combines map-side. ``bucketed_means`` draws such weights in numpy, bucket by
+bucket, and adds them up; ``little_intervals`` bootstraps small subsets at the whole group's size.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import splittable_join
 from tidemark.session import materialize
 
 CHUNK_VALUES = 1 << 17
@@ -163,13 +165,10 @@ def resampled_means(
 def percentile_interval(
     means: DataFrame, by: Sequence[str], n_boot: int, lo: float = 2.5, hi: float = 97.5
 ) -> DataFrame:
-    """(by…, ci_lo, ci_hi) from at most ``n_boot`` replicate means per group."""
+    """(by…, ci_lo, ci_hi) from at most ``n_boot`` replicate means per group; ranks are among those there are."""
     ranked = means.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("means"))
-    return ranked.select(
-        *by,
-        F.get("means", F.lit(rank_index(lo, n_boot))).alias("ci_lo"),
-        F.get("means", F.lit(rank_index(hi, n_boot))).alias("ci_hi"),
-    )
+    rank = lambda percent: F.least(F.lit(rank_index(percent, n_boot)), (F.lit(percent / 100) * F.size("means")).cast("int"))
+    return ranked.select(*by, F.get("means", rank(lo)).alias("ci_lo"), F.get("means", rank(hi)).alias("ci_hi"))
 
 
 # 2^32 times the cumulative Poisson(1) distribution at 0, 1, 2, …
@@ -243,3 +242,140 @@ def mean_interval(
     means = resampled_means(rows, value, ["all_rows"], n_boot, seed)
     ci = percentile_interval(means, ["all_rows"], n_boot, lo, hi).first()
     return summary["mean"], (ci["ci_lo"], ci["ci_hi"])
+
+
+BUCKET_VALUES = 1 << 14
+DRAWS_AT_ONCE = 1 << 20
+
+
+def _poisson_sums(seed: int, n_boot: int):
+    """Per (group, bucket, block): each replicate's weighted sum and its weight, from this bucket."""
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for group, chunk, block, values, weights in zip(
+                frame["boot_group"], frame["chunk"], frame["block"], frame["values"], frame["weights"]
+            ):
+                values, weights = np.asarray(values, dtype=float), np.asarray(weights, dtype=float)
+                rng = _seed(seed, group, 2, chunk, block)
+                reps = min(BLOCK_REPLICATES, n_boot - block * BLOCK_REPLICATES)
+                rate = 1.0 if (weights == 1).all() else weights
+                step = max(1, DRAWS_AT_ONCE // len(values))
+                totals, counts = [], []
+                for first in range(0, reps, step):
+                    drawn = rng.poisson(rate, (min(step, reps - first), len(values)))
+                    totals.append(drawn @ values)
+                    counts.append(drawn.sum(axis=1))
+                yield pd.DataFrame(
+                    {
+                        "boot_group": group,
+                        "replicate": block * BLOCK_REPLICATES + np.arange(reps),
+                        "total": np.concatenate(totals),
+                        "drawn": np.concatenate(counts),
+                    }
+                )
+
+    return draw
+
+
+def bucketed_means(
+    rows: DataFrame,
+    value: str,
+    by: Sequence[str],
+    n_boot: int = 10_000,
+    seed: int = 0,
+    bucket_values: int = BUCKET_VALUES,
+) -> DataFrame:
+    """(by…, replicate, mean): Poisson bootstrap means of ``value``, drawn per bucket.
+
+    Rows fold to distinct values with their counts, and these are spread over buckets by their hash. A bucket draws a Poisson weight
+    with the count as its rate for every value and replicate (the sum of so many weights of rate one), from seeds of
+    (seed, group, bucket, block of replicates), and gives a sum and a weight per replicate. These add up over any number of
+    buckets, so no group and no vector has to be in one place, and the result does not depend on how Spark places the work.
+    The number of buckets is a power of two that follows from the values of the largest group. A replicate that draws nothing is left out.
+    """
+    folded = materialize(
+        rows.filter(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .withColumn("boot_group", _group_text(by))
+    )
+    most = folded.groupBy("boot_group").count().agg(F.max("count")).first()[0] or 0
+    buckets = 1 << max(0, math.ceil(most / bucket_values) - 1).bit_length()
+    cells = F.sort_array(F.collect_list(F.struct("value", "weight")))
+    packed = materialize(
+        folded.withColumn("chunk", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("long"))
+        .groupBy(*by, "boot_group", "chunk")
+        .agg(cells.alias("cells"))
+        .select(*by, "boot_group", "chunk", F.col("cells.value").alias("values"), F.col("cells.weight").alias("weights"))
+    )
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(math.ceil(n_boot / BLOCK_REPLICATES) - 1).cast("long"))
+    tasks = (
+        packed.select("boot_group", "chunk", "values", "weights", F.explode(blocks).alias("block"))
+        .repartition("boot_group", "chunk", "block")
+    )
+    sums = tasks.mapInPandas(_poisson_sums(seed, n_boot), "boot_group string, replicate long, total double, drawn long")
+    named = packed.select(*by, "boot_group").distinct()
+    return (
+        sums.groupBy("boot_group", "replicate")
+        .agg(F.sum("total").alias("total"), F.sum("drawn").alias("drawn"))
+        .filter(F.col("drawn") > 0)
+        .join(named, "boot_group")
+        .select(*by, "replicate", (F.col("total") / F.col("drawn")).alias("mean"))
+    )
+
+
+SUBSETS = 20
+SUBSET_EXPONENT = 0.6
+LEAST_SUBSET = 1_000  # what N^0.6 is at a hundred thousand rows; smaller subsets understate heavy tails
+
+
+def _subset_interval(seed: int, n_boot: int, lo: float, hi: float):
+    def interval(subset: pd.DataFrame) -> pd.DataFrame:
+        group, number, size = subset["boot_group"].iat[0], int(subset["subset"].iat[0]), int(subset["size"].iat[0])
+        values = np.sort(subset["value"].to_numpy(float))
+        rng = _seed(seed, group, 3, number)
+        each = np.full(len(values), 1.0 / len(values))
+        means = np.sort([rng.multinomial(size, each) @ values / size for _ in range(n_boot)])
+        return pd.DataFrame(
+            {"boot_group": [group], "subset": [number], "rows": [len(values)], "ci_lo": [means[rank_index(lo, n_boot)]], "ci_hi": [means[rank_index(hi, n_boot)]]}
+        )
+
+    return interval
+
+
+def little_intervals(
+    rows: DataFrame,
+    value: str,
+    key: Sequence[str],
+    by: Sequence[str],
+    n_boot: int = 200,
+    subsets: int = SUBSETS,
+    exponent: float = SUBSET_EXPONENT,
+    least: int = LEAST_SUBSET,
+    lo: float = 2.5,
+    hi: float = 97.5,
+    seed: int = 0,
+) -> DataFrame:
+    """(by…, n, subsets, rows, ci_lo, ci_hi): the bag of little bootstraps.
+
+    A group of N rows falls into disjoint subsets of about N^exponent rows (``least`` at least) by a hash of the key, and the first ``subsets`` of them are used
+    (all, if there are fewer). Each draws N rows with replacement from its own few, as one multinomial draw of weights per replicate, and gives a percentile interval;
+    the intervals' ends are averaged. Beyond one scan the work is that of subsets x N^exponent rows, which leave the others in the scan's own stage;
+    a task holds one subset. Without values a group has no row.
+    """
+    valued = rows.filter(F.col(value).isNotNull()).select(
+        *by, F.col(value).cast("double").alias("value"), F.xxhash64(F.lit(seed), *key).alias("deal"), _group_text(by).alias("boot_group")
+    )
+    sizes = valued.groupBy(*by, "boot_group").agg(F.count(F.lit(1)).alias("size"))
+    parts = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / F.greatest(F.lit(least).cast("long"), F.ceil(F.pow("size", F.lit(exponent))))))
+    sizes = materialize(sizes.withColumn("parts", parts))
+    dealt = splittable_join(valued.drop(*by), sizes.select("boot_group", "size", "parts"), "boot_group")
+    taken = dealt.withColumn("subset", F.pmod("deal", F.col("parts"))).filter(F.col("subset") < subsets)
+    found = taken.select("boot_group", "subset", "size", "value").groupBy("boot_group", "subset").applyInPandas(
+        _subset_interval(seed, n_boot, lo, hi), "boot_group string, subset long, rows long, ci_lo double, ci_hi double"
+    )
+    averaged = found.groupBy("boot_group").agg(
+        F.count(F.lit(1)).alias("subsets"), F.sum("rows").alias("rows"), F.avg("ci_lo").alias("ci_lo"), F.avg("ci_hi").alias("ci_hi")
+    )
+    return sizes.join(averaged, "boot_group").select(*by, F.col("size").alias("n"), "subsets", "rows", "ci_lo", "ci_hi")
