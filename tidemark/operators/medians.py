@@ -3,13 +3,16 @@
 Insiders with few trades use a percentile window. That is quadratic in the group, so busier
 insiders take another exact route whose steps are all bounded:
 
-1. trades fold to (insider, day, value, weight), so a repeated value costs one row a day;
-2. approximate quantiles cut the insider's values into buckets of similar mass;
-3. from weights per (day, bucket), each day's median rank is located in one bucket;
-4. inside the bucket the rank is resolved exactly.
-
-Steps 3 and 4 run per insider and per (insider, bucket). The first holds at most days x buckets
-cells, the second one bucket's rows, so no task sees a whole busy insider.
+1. trades fold to (insider, day, value, weight), so a repeated value costs one row a day, and running weights by
+   day give each day's middle ranks;
+2. approximate quantiles cut the insider's values into buckets of similar mass; from the weights per (day, bucket) each
+   rank is followed into one bucket;
+3. a bucket that still has more than ``bucket_rows`` rows is cut again in the same way, in as many
+   passes as it takes, and only buckets that some rank fell into go on;
+4. inside a bucket small enough the rank is resolved exactly.
+
+Step 2 runs per bucket of the pass before and holds at most days x ``WIDTH`` cells, step 4 at most ``bucket_rows``
+rows: so no task grows with the busiest insider, only the number of passes does, with its logarithm.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from tidemark.operators.joins import splittable_join
 from tidemark.session import materialize
 
 WINDOW_ROWS = 1_000
-BUCKETS = 1024
+WIDTH = 64  # buckets a pass cuts a bucket into
 BUCKET_ROWS = 100_000
 
 
@@ -40,11 +43,11 @@ def prior_medians(
     rows = events.filter(
         F.col("insider_id").isNotNull() & F.col("filing_date").isNotNull()
     ).select("insider_id", "filing_date", F.col("value").cast("double").alias("value"))
-    sizes = rows.groupBy("insider_id").agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("rows"))
-    busy = sizes.filter(F.col("rows") > window_rows)
+    sizes = rows.groupBy("insider_id").agg(F.count(F.lit(1)).alias("rows"))
+    busy = sizes.filter(F.col("rows") > window_rows).select("insider_id")
     calm = sizes.filter(F.col("rows") <= window_rows).select("insider_id")
     few = splittable_join(rows, calm, "insider_id", "left_semi")
-    many = splittable_join(rows, busy.select("insider_id", "n"), "insider_id")
+    many = splittable_join(rows, busy, "insider_id", "left_semi")
     return _window_medians(few).unionByName(_bucketed_medians(many, bucket_rows))
 
 
@@ -61,70 +64,89 @@ def _window_medians(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
+_ASKED = "insider_id string, path long, day long, side long, rank long"
+
+
 def _bucketed_medians(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    cuts = rows.groupBy("insider_id").agg(
-        F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("cuts"),
-        F.greatest(F.lit(1), F.floor(F.lit(BUCKETS * bucket_rows) / F.greatest(F.max("n"), F.lit(1)))).alias("stride"),
-    )
-    # Fewer cuts for the less busy: keep every stride-th.
-    kept = F.filter("cuts", lambda c, i: (i + 1) % F.col("stride") == 0)
-    weighted = (
+    folded = materialize(
         rows.withColumn("day", F.unix_date("filing_date").cast("long"))
         .groupBy("insider_id", "day", "value")
         .agg(F.count("value").alias("weight"))
     )
-    folded = materialize(
-        splittable_join(weighted, cuts.select("insider_id", kept.alias("cuts")), "insider_id")
-        .withColumn(
-            "bucket",
-            F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(0)).cast("long"),
-        )
-        .select("insider_id", "day", "value", "weight", "bucket")
-    )
     # Rows without a value carry weight 0: they ask for a median but add nothing to it.
-    cells = folded.groupBy("insider_id", "day", "bucket").agg(F.sum("weight").alias("weight"))
-    asked = cells.groupBy("insider_id").applyInPandas(
-        _locate, "insider_id string, bucket long, day long, side long, rank long"
-    )
-    items = folded.filter(F.col("weight") > 0)
-    found = (
-        items.groupBy("insider_id", "bucket")
-        .cogroup(asked.groupBy("insider_id", "bucket"))
-        .applyInPandas(_resolve, "insider_id string, day long, side long, value double")
-    )
+    days = folded.groupBy("insider_id", "day").agg(F.sum("weight").alias("weight"))
+    before = F.sum("weight").over(Window.partitionBy("insider_id").orderBy("day")) - F.col("weight")
+    days = materialize(days.withColumn("before", before).drop("weight"))
+    sides = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("side")
+    asked = days.filter(F.col("before") > 0).select("insider_id", F.lit(0).cast("long").alias("path"), "day", "before", sides)
+    asked = asked.withColumn("rank", F.floor((F.col("before") - 1 + F.col("side")) / 2).cast("long")).drop("before")
+    items = folded.filter(F.col("weight") > 0).withColumn("path", F.lit(0).cast("long"))
+
+    found = None
+    while True:
+        group = F.concat_ws(":", "path", "insider_id")
+        # What is all one value has a row a day at most, and can't be cut.
+        cut = (F.count(F.lit(1)) > bucket_rows) & (F.min("value") < F.max("value"))
+        sizes = materialize(items.groupBy("insider_id", "path").agg(cut.alias("cut")).withColumn("bucket", group))
+        large, small = sizes.filter("cut").select("bucket"), sizes.filter("NOT cut").select("bucket")
+        keyed, wanted = items.withColumn("bucket", group), asked.withColumn("bucket", group)
+        pick = lambda side, which: splittable_join(side, which, "bucket", "left_semi").drop("bucket")
+        ready = (
+            pick(keyed, small).groupBy("insider_id", "path")
+            .cogroup(pick(wanted, small).groupBy("insider_id", "path"))
+            .applyInPandas(_resolve, "insider_id string, day long, side long, value double")
+        )
+        found = materialize(ready) if found is None else found.unionByName(materialize(ready))
+        if large.isEmpty():
+            break
+        items, asked = _cut_again(pick(keyed, large), pick(wanted, large))
     medians = found.groupBy("insider_id", "day").agg(F.avg("value").alias("prior_median"))
     return (
-        cells.select("insider_id", "day")
-        .distinct()
+        days.select("insider_id", "day")
         .join(medians, ["insider_id", "day"], "left")
         .select("insider_id", F.date_from_unix_date(F.col("day").cast("int")).alias("filing_date"), "prior_median")
     )
 
 
-def _locate(cells: pd.DataFrame) -> pd.DataFrame:
-    """Bucket and rank within it of the two middle trades before each day."""
+def _cut_again(items: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of large buckets in narrower ones, and the ranks asked for as ranks within those."""
+    items = materialize(items.withColumn("bucket", F.concat_ws(":", "path", "insider_id")))
+    cuts = items.groupBy("bucket").agg(
+        F.percentile_approx("value", [i / WIDTH for i in range(1, WIDTH - 1)], 10_000).alias("cuts"),
+        # Between the extremes, so that every pass parts what is not all one value.
+        (F.min("value") / 2 + F.max("value") / 2).alias("middle"), F.min("value").alias("least"), F.max("value").alias("most"),
+    )
+    middle = F.when((F.col("middle") >= F.col("least")) & (F.col("middle") < F.col("most")), F.col("middle")).otherwise(F.col("least"))
+    cuts = cuts.select("bucket", F.array_append("cuts", middle).alias("cuts"))
+    place = F.size(F.filter("cuts", lambda c: c < F.col("value"))).cast("long")
+    parted = materialize(
+        splittable_join(items, cuts, "bucket")
+        .select("insider_id", "path", "day", "value", "weight", (F.col("path") * WIDTH + place).alias("narrower"))
+    )
+    cells = parted.groupBy("insider_id", "path", "day", "narrower").agg(F.sum("weight").alias("weight"))
+    followed = materialize(
+        cells.groupBy("insider_id", "path").cogroup(asked.groupBy("insider_id", "path")).applyInPandas(_follow, _ASKED)
+    )
+    reached = followed.select(F.concat_ws(":", "path", "insider_id").alias("bucket")).distinct()
+    kept = parted.select("insider_id", F.col("narrower").alias("path"), "day", "value", "weight")
+    kept = splittable_join(kept.withColumn("bucket", F.concat_ws(":", "path", "insider_id")), reached, "bucket", "left_semi")
+    return materialize(kept.drop("bucket")), followed
+
+
+def _follow(cells: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Each asked rank, among the weights of earlier days, as a narrower bucket and the rank within it."""
+    if asked.empty or cells.empty:
+        return asked.iloc[:0]
     days, row = np.unique(cells["day"].to_numpy(), return_inverse=True)
-    names, col = np.unique(cells["bucket"].to_numpy(), return_inverse=True)
-    grid = np.zeros((len(days), len(names)), dtype=np.int64)
-    np.add.at(grid, (row, col), cells["weight"].to_numpy())
-    before = np.vstack([np.zeros((1, len(names)), dtype=np.int64), grid.cumsum(axis=0)[:-1]])
-    upto = before.cumsum(axis=1)
-    total = upto[:, -1]
-    parts = []
-    for side in (0, 1):
-        rank = (total - 1 + side) // 2
-        at = (upto <= rank[:, None]).sum(axis=1)
-        some = total > 0
-        at, rank_in = at[some], rank[some]
-        rank_in = rank_in - (upto[some, at] - before[some, at])
-        parts.append(
-            pd.DataFrame(
-                {"bucket": names[at], "day": days[some], "side": side, "rank": rank_in}
-            )
-        )
-    out = pd.concat(parts, ignore_index=True)
-    out.insert(0, "insider_id", cells["insider_id"].iloc[0])
-    return out
+    names, col = np.unique(cells["narrower"].to_numpy(), return_inverse=True)
+    grid = np.zeros((len(days) + 1, len(names)), dtype=np.int64)
+    np.add.at(grid, (row + 1, col), cells["weight"].to_numpy())
+    upto = grid.cumsum(axis=0).cumsum(axis=1)
+    at = np.searchsorted(days, asked["day"].to_numpy(), side="left")
+    rank = asked["rank"].to_numpy()
+    column = (upto[at] <= rank[:, None]).sum(axis=1)
+    below = np.where(column > 0, upto[at, np.maximum(column - 1, 0)], 0)
+    return asked.assign(path=names[column], rank=rank - below)
 
 
 def _resolve(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
