@@ -25,15 +25,16 @@ def purchase_events(
     transactions: DataFrame,
     footnotes: DataFrame | None = None,
     document_types: Iterable[str] = ("4",),
+    colocated: bool = False,
 ) -> DataFrame:
     """The same events as ``normalize(flatten_purchases(...))``, planned trades included.
 
     Each input is collapsed before the join, so the work is linear in the inputs however many
-    owners and transactions one filing holds.
+    owners and transactions one filing holds. ``colocated`` says that the three tables are bucketed by accession.
     """
     filings = flatten.typed_filings(flatten.purchase_filings(submissions, document_types))
     trades = flatten.typed_trades(flatten.purchase_trades(transactions))
-    return collapse.assemble_events(filings, flatten.owner_columns(owners), trades, footnotes)
+    return collapse.assemble_events(filings, flatten.owner_columns(owners), trades, footnotes, colocated)
 
 
 def build_events(

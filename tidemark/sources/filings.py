@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark import inheritable_thread_target
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.schemas import RAW_COLUMNS
+from tidemark.session import materialize
 
 
-HEADERS_AT_ONCE = 16
+_OPEN_COST = "spark.sql.files.openCostInBytes"
 
 
 def landed_files(spark: SparkSession, root: str) -> DataFrame:
@@ -32,6 +32,29 @@ def landed_tables(spark: SparkSession, root: str, table: str) -> DataFrame:
     return landed_files(spark, root).filter(F.col("path").rlike(rf"/{table}\.tsv(/[^/]*)?$"))
 
 
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        some = batch[(batch["start"] == 0) & (batch["line"].str.strip() != "")]
+        if len(some):
+            yield some.iloc[:1][["path", "line"]]
+            return
+
+
+def layouts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(line, paths): the files with one and the same header line, found by one job however many files there are.
+
+    Every split is read alone and left after its first line, so content is not read through. Files without a line are left out.
+    """
+    before = spark.conf.get(_OPEN_COST)
+    spark.conf.set(_OPEN_COST, spark.conf.get("spark.sql.files.maxPartitionBytes"))  # no two splits share a partition
+    try:
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+        first = lines.mapInPandas(_first_lines, "path string, line string")
+        return materialize(first.groupBy("line").agg(F.array_sort(F.collect_list("path")).alias("paths")))
+    finally:
+        spark.conf.set(_OPEN_COST, before)
+
+
 def _reader(spark: SparkSession, quote: str):
     return (
         spark.read.option("sep", "\t")
@@ -54,25 +77,20 @@ def scan_table(
 
     A multi-file CSV read binds columns by position, so files are grouped by their own header, part
     files too, and every distinct header becomes one scan with its own schema; the scans are united by
-    name. The number of scans follows the number of layouts, not of files. Headers are read by
-    small jobs that run side by side; a file without a single line has none and is left out. Columns a layout lacks,
+    name. The number of jobs and scans follows the number of layouts, not of files: one job finds the
+    header lines. A file without a single line has none and is left out. Columns a layout lacks,
     and known columns no layout has, are null. ``lineage`` adds each row's ``source_file``;
     ``malformed`` names a column for the text of lines with too few or too many fields.
     """
     paths = [row["path"] for row in landed_tables(spark, root, table).collect()]
     if not paths:
         raise FileNotFoundError(f"no {table}.tsv below {root}")
-    layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    header_of = inheritable_thread_target(spark)(lambda path: tuple(_reader(spark, quote).csv(path).columns))
-    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
-        for path, header in zip(sorted(paths), pool.map(header_of, sorted(paths)), strict=True):
-            if header:
-                layouts[header].append(path)
-    if not layouts:
+    found = layouts(spark, paths).orderBy("line").collect()  # as many as there are layouts
+    if not found:
         raise FileNotFoundError(f"no {table}.tsv below {root} has a header")
     scans = []
-    for header, files in layouts.items():
-        fields = [*header, *([malformed] if malformed else [])]
+    for files in [r["paths"] for r in found]:
+        fields = [*_reader(spark, quote).csv(files[0]).columns, *([malformed] if malformed else [])]
         schema = T.StructType([T.StructField(c, T.StringType()) for c in fields])
         reader = _reader(spark, quote).schema(schema)
         if malformed:
