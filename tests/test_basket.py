@@ -4,7 +4,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import rows
+from conftest import rows, weekdays
 from pyspark.sql import functions as F
 
 from tidemark.operators import basket
@@ -136,3 +136,76 @@ def test_pooling_without_differences_gives_the_segment_mean(spark):
     data = [("s", i, v) for i in ("a", "b") for v in (0.0, 1.0, 2.0)]
     df = spark.createDataFrame(data, "role_bucket string, insider_id string, x double")
     assert {r.estimate for r in basket.partial_pooling(df, "x").collect()} == {1.0}
+
+
+def test_folds_of_any_shape(spark):
+    """Overlapping, empty, open-ended and back-to-front sides, against a plain count."""
+    first = dt.date(2020, 1, 1)
+    panel = [(first + dt.timedelta(days=(i * i) % 97), None if i % 11 == 0 else i / 7) for i in range(300)] + [(None, 1.0)]
+    folds = [(k, s, first + dt.timedelta(days=a), first + dt.timedelta(days=b)) for k in range(40) for s, a, b in (("train", k - 30, k), ("test", k + 5, k + 20 + k % 7))]
+    folds += [(90, "all", dt.date(1990, 1, 1), dt.date(2050, 1, 1)), (91, "before", dt.date(1990, 1, 1), first), (92, "after", dt.date(2030, 1, 1), dt.date(2031, 1, 1)), (93, "empty", first, first)]
+    got = basket.fold_means(
+        spark.createDataFrame(panel, "entry_date date, x double"), "x", spark.createDataFrame(folds, "fold int, side string, start date, end date")
+    )
+    found = {(r.fold, r.side): (r.n, r.mean) for r in got.collect()}
+    assert len(found) == len(folds)
+    for k, side, a, b in folds:
+        own = [x for d, x in panel if d is not None and x is not None and a <= d < b]
+        assert found[k, side][0] == len(own)
+        assert found[k, side][1] == (pytest.approx(sum(own) / len(own), abs=1e-9) if own else None)
+    empty = basket.fold_means(spark.createDataFrame([], "entry_date date, x double"), "x", spark.createDataFrame(folds[:2], "fold int, side string, start date, end date"))
+    assert [(r.n, r.mean) for r in empty.collect()] == [(0, None)] * 2
+
+
+def ended(spark, closes, delist, hold, **rules):
+    """Exit rules over one ticker's closes by session (weekdays from 2020-01-06) with delistings {session: recovery}."""
+    days = weekdays(dt.date(2020, 1, 6), len(closes) + 5)
+    px = spark.createDataFrame([("T", t, c, days[t]) for t, c in enumerate(closes) if c is not None], "ticker string, t long, close double, cal_date date")
+    gone = spark.createDataFrame([("T", days[t] if isinstance(t, int) else t, r) for t, r in delist.items()], "ticker string, delist_date date, recovery_value double")
+    calendar = spark.createDataFrame([(d,) for d in days], "date date")
+    return {r["entry_t"]: r for r in rows(basket.exit_overlays(basket.terminal_prints(px, gone, calendar), hold, **rules), "entry_t")}
+
+
+def test_a_delisting_ends_the_path_at_its_recovery(spark):
+    got = ended(spark, [10.0, 11.0, 10.8], {4: 2.0}, 10)
+    assert got[0]["fixed"] == got[0]["scale_out"] == pytest.approx(-0.8) and got[0]["trailing_stop"] == pytest.approx(-0.8)
+    assert got[0]["stopped"] and set(got) == {0, 1, 2}
+    assert ended(spark, [10.0, 11.0, 10.8], {}, 10)[0]["fixed"] is None
+
+
+def test_a_stop_before_the_delisting_fills_at_the_next_print(spark):
+    got = ended(spark, [10.0, 12.0, 10.5, 9.0], {5: 0.0}, 10)
+    assert got[0]["trailing_stop"] == pytest.approx(-0.1) and got[0]["fixed"] == pytest.approx(-1.0)
+    last = ended(spark, [10.0, 12.0, 10.5], {5: 4.0}, 10)  # the order of the last print fills at what is recovered
+    assert last[0]["trailing_stop"] == pytest.approx(-0.6)
+
+
+def test_a_hold_that_ends_before_the_delisting_keeps_its_price(spark):
+    got = ended(spark, [10.0, 11.0, 12.0, 13.0], {4: 0.0}, 2)
+    assert got[0]["fixed"] == pytest.approx(0.2) and got[1]["fixed"] == pytest.approx(2 / 11) and got[2]["fixed"] == pytest.approx(-1.0)
+
+
+def test_a_reused_ticker_starts_a_life_of_its_own(spark):
+    got = ended(spark, [10.0, 11.0, 40.0, 44.0, 48.0], {2: 1.0, 4: 6.0}, 3)
+    assert got[0]["fixed"] == pytest.approx(-0.9) and not got[0]["doubled"]  # the next life's prices are not its own
+    assert got[2]["fixed"] == pytest.approx(6 / 40 - 1) and got[4]["fixed"] is None
+    weekend = ended(spark, [10.0, 11.0, 12.0, 12.0, 12.0, 30.0], {dt.date(2020, 1, 11): 5.0}, 5)  # a Saturday: paid on Monday, session 5
+    assert weekend[0]["fixed"] == pytest.approx(-0.5) and weekend[5]["fixed"] is None and weekend[1]["fixed"] == pytest.approx(5 / 11 - 1)
+
+
+def test_spreads_of_the_version_in_force(spark):
+    costs = [(dt.date(2020, 1, 1), 0.0, 0.05), (dt.date(2020, 1, 1), 100.0, 0.03), (dt.date(2020, 1, 1), 1000.0, 0.01), (dt.date(2021, 7, 1), 10.0, 0.04), (dt.date(2021, 7, 1), 5e12, 0.001)]
+    adv = [None, -1.0, 0.0, 0.5, 1.0, 9.99, 10.0, 64.0, 99.999, 100.0, 127.9, 128.0, 999.9, 1000.0, 1e9, 5e12, 1e300, float("inf")]
+    days = [dt.date(2019, 12, 31), dt.date(2020, 1, 1), dt.date(2021, 6, 30), dt.date(2021, 7, 1), dt.date(2050, 1, 1), None]
+    trades = [(i, d, a) for i, (d, a) in enumerate((d, a) for d in days for a in adv)] * 2
+    got = basket.with_spreads(
+        spark.createDataFrame(trades, "k int, entry_date date, adv double"), spark.createDataFrame(costs, "effective_date date, min_adv double, spread double")
+    )
+
+    def expected(d, a):
+        since = max((v for v, _, _ in costs if d is not None and v <= d), default=None)
+        steps = sorted((low, s) for v, low, s in costs if v == since)
+        return max(((low, s) for low, s in steps if a is not None and a >= low), default=steps[0])[1] if steps else None
+
+    found = got.collect()
+    assert len(found) == len(trades) and all(r.spread == expected(r.entry_date, r.adv) for r in found)

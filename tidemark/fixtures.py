@@ -171,6 +171,30 @@ class Tables:
         ]
         return self.spark.createDataFrame(rows, DELISTING_SCHEMA)
 
+    def listings(self) -> DataFrame:
+        """One ticker with three lives, and one that takes over the ticker of another; all others are listed throughout."""
+        day = dt.date
+        lives = [
+            ("BRX", "ID-X1", day(1990, 1, 1), day(1997, 3, 3)), ("BRX", "ID-X2", day(1997, 3, 3), day(1999, 6, 1)), ("BRX", "ID-X3", day(1999, 6, 1), None),
+            ("BRC", "ID-BRC", day(1990, 1, 1), day(1998, 1, 1)), ("BRD", "ID-BRD", day(1990, 1, 1), day(1998, 1, 1)), ("BRD", "ID-BRC", day(1998, 1, 1), None),
+        ]
+        special = self.spark.createDataFrame(lives, "ticker string, permanent_id string, valid_from date, valid_to date")
+        others = self.raw("part").select(F.concat(F.lit("BR"), F.char(F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("")).cast("int") + 64)).alias("ticker")).distinct()
+        others = others.filter(~F.col("ticker").isin("BRX", "BRC", "BRD")).select(
+            "ticker", F.concat(F.lit("ID-"), "ticker").alias("permanent_id"), F.lit(day(1990, 1, 1)).alias("valid_from"), F.lit(None).cast("date").alias("valid_to")
+        )
+        return special.unionByName(others)
+
+    def cost_table(self) -> DataFrame:
+        """Spreads by turnover in two versions, narrower in the later one."""
+        rows = [(dt.date(1995, 1, 1), 0.0, 0.020), (dt.date(1995, 1, 1), 50_000.0, 0.010), (dt.date(1995, 1, 1), 200_000.0, 0.004)]
+        rows += [(dt.date(1998, 7, 1), 0.0, 0.015), (dt.date(1998, 7, 1), 120_000.0, 0.002)]
+        return self.spark.createDataFrame(rows, "effective_date date, min_adv double, spread double")
+
+    def ticker_sizes(self) -> DataFrame:
+        """A ticker's size, known at each month's end: that month's traded volume."""
+        return self.prices().groupBy("ticker", F.last_day("date").alias("effective_date")).agg(F.sum("volume").alias("size"))
+
     def issuer_sizes(self) -> DataFrame:
         """Issuer size by effective date: an opening figure, then a restated one."""
         base = self.raw("customer").select(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.returns import simple_return
+from tidemark.operators import sessions
+from tidemark.session import materialize
 
 # Assumed defaults: round-trip spread by average daily turnover, least liquid first; commission
 # a side; impact per unit of daily turnover taken; sessions the turnover is averaged over.
@@ -41,18 +43,54 @@ def spread(adv: Column) -> Column:
     return cost.otherwise(TIGHTEST_SPREAD)
 
 
-def trading_cost(adv: Column, position: float) -> Column:
+def trading_cost(adv: Column, position: float, width: Column | None = None) -> Column:
     """Spread by liquidity, commission both ways, impact by the share of daily turnover.
 
-    A name without known turnover pays the widest spread and full impact.
+    A name without known turnover pays the widest spread and full impact. ``width`` is a spread found elsewhere, as by ``with_spreads``.
     """
     participation = F.coalesce(F.try_divide(F.lit(float(position)), adv), F.lit(1.0))
-    return spread(adv) + F.lit(2 * COMMISSION) + F.lit(IMPACT) * participation
+    return (spread(adv) if width is None else width) + F.lit(2 * COMMISSION) + F.lit(IMPACT) * participation
+
+
+LAST_YEAR = 2200
+TOP_BIN = 64
+
+
+def _bin(adv: Column) -> Column:
+    """Powers of two, -1 below one and for unknown turnovers: turnovers in order have bins in order."""
+    return F.when(adv >= 1, F.least(F.floor(F.log2(adv)), F.lit(TOP_BIN))).otherwise(F.lit(-1)).cast("long")
+
+
+def with_spreads(trades: DataFrame, costs: DataFrame, day: str = "entry_date", adv: str = "adv") -> DataFrame:
+    """Trades with the ``spread`` of a cost table (effective_date, min_adv, spread): that of the latest version in force on the day, and in it of the
+    bucket with the largest ``min_adv`` that the turnover reaches.
+
+    A version's first bucket takes all lower turnovers and unknown ones; before the first version there is no spread. Both ranges become keys: a bucket is listed
+    under every year it is in force and every power of two of turnover it meets, so trades find it by an equi-join and one comparison, and never more than once.
+    """
+    one = costs.groupBy(F.col("effective_date").cast("date").alias("since"), F.col("min_adv").cast("double").alias("low")).agg(F.min(F.col("spread").cast("double")).alias("spread"))
+    dates = one.select("since").distinct().withColumn("until", F.lead("since").over(Window.orderBy("since")))  # one row per version
+    by_low = Window.partitionBy("since").orderBy("low")
+    ranges = one.join(dates, "since").select(
+        "since", "until", "spread", F.when(F.row_number().over(by_low) > 1, F.col("low")).alias("low"), F.lead("low").over(by_low).alias("high")
+    )
+    years = F.sequence(F.year("since"), F.coalesce(F.year("until"), F.lit(LAST_YEAR)))
+    bins = F.sequence(_bin(F.col("low")), F.when(F.col("high").isNull(), F.lit(TOP_BIN).cast("long")).otherwise(_bin(F.col("high"))))
+    index = ranges.withColumn("cost_year", F.explode(years)).withColumn("cost_bin", F.explode(bins))
+    keyed = trades.withColumns({"cost_year": F.year(day), "cost_bin": _bin(F.col(adv))})
+    left, right = keyed.alias("trade"), index.alias("cost")
+    met = (
+        (F.col("trade.cost_year") == F.col("cost.cost_year")) & (F.col("trade.cost_bin") == F.col("cost.cost_bin"))
+        & (F.col(f"trade.{day}") >= F.col("cost.since")) & (F.col("cost.until").isNull() | (F.col(f"trade.{day}") < F.col("cost.until")))
+        & (F.col("cost.low").isNull() | (F.col(f"trade.{adv}") >= F.col("cost.low")))
+        & (F.col("cost.high").isNull() | F.coalesce(F.col(f"trade.{adv}") < F.col("cost.high"), F.col("cost.low").isNull()))
+    )
+    return left.join(right, met, "left").select(*[F.col(f"trade.{c}").alias(c) for c in trades.columns], F.col("cost.spread").alias("spread"))
 
 
 def net_returns(panel: DataFrame, horizon: str, position: float = 10_000.0) -> DataFrame:
-    """Panel rows (which carry ``adv``) with their cost and the horizon's net return."""
-    cost = trading_cost(F.col("adv"), position)
+    """Panel rows (which carry ``adv``, and maybe ``spread``) with their cost and the horizon's net return."""
+    cost = trading_cost(F.col("adv"), position, F.col("spread") if "spread" in panel.columns else None)
     return panel.withColumn("cost", cost).withColumn(
         f"net_{horizon}", F.col(f"ret_{horizon}") - F.col("cost")
     )
@@ -85,6 +123,35 @@ def walk_forward(panel: DataFrame, value: str, embargo_days: int = 0) -> DataFra
     )
 
 
+def fold_means(panel: DataFrame, value: str, folds: DataFrame) -> DataFrame:
+    """(fold, side, n, mean) for any table of folds (fold, side, start, end): entries from start on and before end.
+
+    Folds may overlap, roll or leave gaps between their sides, and there may be any number of them: no row is copied into a fold. Rows fold to one per
+    entry date, their counts and sums run on over the dates, and every side is the difference between two places of that
+    course, each found by its day. The course has one row per calendar day, whatever the panel's size. A side without
+    entries has n = 0 and no mean.
+    """
+    daily = (
+        panel.filter(F.col(value).isNotNull() & F.col("entry_date").isNotNull())
+        .groupBy(F.col("entry_date").alias("date"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    )
+    in_order = Window.orderBy("date")
+    running = daily.select(
+        "date", F.sum("n").over(in_order).alias("n"), F.sum("total").over(in_order).alias("total"),
+        F.coalesce(F.date_sub(F.lead("date").over(in_order), 1), F.col("date")).alias("until"),
+    )
+    course = materialize(running.select(F.explode(F.sequence("date", "until")).alias("day"), "n", "total"))
+    last = course.agg(F.max("day")).scalar()
+    ends = F.array(*[F.struct(F.lit(sign).alias("sign"), F.least(F.date_sub(end, 1), last).alias("day")) for sign, end in ((1, "end"), (-1, "start"))])
+    # Days before the first entry are not on the course, and stand for nothing so far.
+    met = folds.select("fold", "side", F.inline(ends)).join(course, "day", "left")
+    parts = met.groupBy("fold", "side").agg(
+        F.coalesce(F.sum(F.col("sign") * F.col("n")), F.lit(0)).alias("n"), F.sum(F.col("sign") * F.col("total")).alias("total")
+    )
+    return parts.select("fold", "side", "n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean"))
+
+
 def walk_forward_choice(panel: DataFrame, horizons: dict[str, int], prefix: str = "abn", embargo_days: int = 0) -> DataFrame:
     """(fold, horizon, n_train, train_mean, n_test, test_mean): the horizon a year's training favours, tested in that year.
 
@@ -156,31 +223,55 @@ def performance(trades: DataFrame, value: str, participation: float = 0.01) -> D
     )
 
 
+def terminal_prints(px: DataFrame, delistings: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Session prices with each delisting as a last print, at its recovery: adds ``life`` and ``terminal``.
+
+    The print stands at the first session on or after the delisting; past the calendar's end there is none. A ticker's prints from that
+    day on belong to its next life, as in the panel, where an entry on the day itself meets the delisting after.
+    """
+    daily = delistings.groupBy("ticker", F.col("delist_date").cast("date").alias("filing_date")).agg(
+        F.min(F.coalesce("recovery_value", F.lit(0.0))).alias("close")
+    )
+    ends = sessions.first_tradable_session(daily.filter(F.col("filing_date").isNotNull()), calendar).filter(F.col("entry_t").isNotNull())
+    ends = ends.select("ticker", F.col("entry_t").cast("long").alias("t"), F.col("filing_date").alias("day"), "close", F.lit(1).alias("ends"))
+    prints = px.select("ticker", "t", F.col("cal_date").alias("day"), "close", F.lit(0).alias("ends"))
+    so_far = Window.partitionBy("ticker").orderBy("day", F.desc("ends")).rowsBetween(Window.unboundedPreceding, 0)
+    return prints.unionByName(ends).select(
+        "ticker", "t", "close", (F.sum("ends").over(so_far) - F.col("ends")).alias("life"), (F.col("ends") == 1).alias("terminal")
+    )
+
+
 def forward_paths(px: DataFrame, hold: int, entries: DataFrame | None = None) -> DataFrame:
     """(ticker, entry_t, entry_close, path, hold_close): each entry's next ``hold`` sessions.
 
     ``path`` lists the later prints in order, each with the print that follows it. It is built
     inside the ticker's partition and holds at most ``hold`` prints. With ``entries``, distinct
     (ticker, entry_t) rows, only those sessions keep their path; they are marked before the
-    ticker's rows are brought together.
+    ticker's rows are brought together. Prices with ``life`` and ``terminal`` (``terminal_prints``) have paths that end with a life: its last print fills
+    its own orders, and is what a hold over it comes to.
     """
+    lives = "life" in px.columns
     px = px.filter(F.col("close").isNotNull())
+    if not lives:
+        px = px.withColumns({"life": F.lit(0), "terminal": F.lit(False)})
     if entries is None:
-        px = px.withColumn("wanted", F.lit(True))
+        px = px.withColumn("wanted", ~F.col("terminal"))
     else:
         marks = entries.select("ticker", F.col("entry_t").alias("t"), F.lit(True).alias("wanted"))
-        px = px.join(marks, ["ticker", "t"], "left")
-    by_t = Window.partitionBy("ticker").orderBy("t")
+        px = px.join(marks, ["ticker", "t"], "left").withColumn("wanted", F.col("wanted") & ~F.col("terminal"))
+    by_t = Window.partitionBy("ticker", "life").orderBy("t")
+    gone = F.max(F.when(F.col("terminal"), F.col("close"))).over(by_t.rangeBetween(1, hold))
+    held = F.max(F.when(~F.col("terminal"), F.col("close"))).over(by_t.rangeBetween(hold, hold))
     return (
         px.repartition("ticker")
-        .withColumn("fill", F.lead("close").over(by_t))
+        .withColumn("fill", F.when(F.col("terminal"), F.col("close")).otherwise(F.lead("close").over(by_t)))
         .select(
             "ticker",
             F.col("t").alias("entry_t"),
             F.col("close").alias("entry_close"),
             "wanted",
             F.collect_list(F.struct("close", "fill")).over(by_t.rangeBetween(1, hold)).alias("path"),
-            F.max("close").over(by_t.rangeBetween(hold, hold)).alias("hold_close"),
+            (F.coalesce(gone, held) if lives else held).alias("hold_close"),
         )
         .filter("wanted")
         .drop("wanted")
