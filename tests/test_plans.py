@@ -26,7 +26,7 @@ def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-FILE_JOBS = {"r1_drift_scan", "r2_footnotes", "r3_roundtrip", "r9_index", "t1_stream", "t2_late"}
+FILE_JOBS = {"r1_drift_scan", "r2_footnotes", "r3_roundtrip", "r3_reload", "r9_index", "t1_stream", "t2_late", "t2_late_side", "t2_late_count", "t4_landed_feed"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - FILE_JOBS))

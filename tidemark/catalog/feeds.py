@@ -12,9 +12,9 @@ from tidemark.fixtures import Tables
 from tidemark.functions import signals
 from tidemark.plans import events as event_plans
 from tidemark.schemas import EVENT_COLUMNS, RAW_COLUMNS
-from tidemark.session import scratch_path
-from tidemark.sources import filings, index, quarters, store
-from tidemark.streaming import feed
+from tidemark.session import materialize, scratch_path
+from tidemark.sources import filings, index, landed_quarters, quarters, store
+from tidemark.streaming import corrections, feed, landed
 
 LATE_BEFORE = dt.date(1996, 1, 1)
 QUARTER_END = dt.date(1999, 12, 31)
@@ -70,6 +70,25 @@ def r3_roundtrip(t: Tables) -> DataFrame:
     )
 
 
+RELOADED = "1996q2"
+
+
+@query("r3_reload", "SELECT * FROM ev")
+def r3_reload(t: Tables) -> DataFrame:
+    """Every quarter loaded, one of them twice; events from the tables as they lie, without an exchange of the three."""
+    root = scratch_path(t.spark, "quarters")
+    mark = root.rsplit("-", 1)[1]
+    filed = signals.filing_day(F.col("FILING_DATE"))
+    subs = t.submissions().withColumn("quarter", F.coalesce(quarters.quarter_label(filed), F.lit("undated")))
+    quarter_of = materialize(subs.select("ACCESSION_NUMBER", "quarter"))
+    tables = {"submission": subs, "owner": t.owners().join(quarter_of, "ACCESSION_NUMBER"), "trans": t.transactions().join(quarter_of, "ACCESSION_NUMBER")}
+    for wanted in (F.lit(True), F.col("quarter") == RELOADED):
+        for name, rows in tables.items():
+            landed_quarters.load_quarters(rows.filter(wanted), f"{name}_{mark}", root, buckets=8)
+    stored = [t.spark.table(f"{name}_{mark}") for name in tables]
+    return signals.drop_planned(event_plans.purchase_events(*stored, t.footnotes(), colocated=True))
+
+
 _QUARTERS = {
     "filed": "SELECT CAST(try_strptime(FILING_DATE, '%d-%b-%Y') AS DATE) AS day FROM sub",
     "wanted": "SELECT CAST(range AS DATE) AS q FROM range(DATE '1994-01-01', DATE '2002-10-02', INTERVAL 3 MONTH)",
@@ -165,3 +184,81 @@ def t2_late(t: Tables) -> DataFrame:
 def t3_planned_feed(t: Tables) -> DataFrame:
     """Without planned trades, by flag or by footnote, the feed equals the batch's event table."""
     return _feed_events(t, flat_rows(t), footnotes=t.footnotes(), drop_planned=True)
+
+
+SPLIT_DAY = dt.date(1998, 1, 1)
+FAR_DAY = dt.date(2030, 1, 1)
+
+
+def _in_drops(rows: DataFrame, root: str, table: str, last: bool) -> None:
+    """Land the rows of the first or the second half of the drops; the second ends with a filing far ahead, which closes all others."""
+    half = F.col("landed") >= F.lit(SPLIT_DAY) if last else F.col("landed") < F.lit(SPLIT_DAY)
+    landed.land_drop(rows.filter(half), root, table)
+
+
+@query("t4_landed_feed", "SELECT * FROM ev")
+def t4_landed_feed(t: Tables) -> DataFrame:
+    """The three landed tables as streams. Transactions land up to a month after their filing, owners up to two, some of a filing's
+    owners in another drop than the rest, and those of a fiftieth of the filings a year late."""
+    root = scratch_path(t.spark, "landed-feed")
+    number = F.col("ACCESSION_NUMBER").cast("long")
+    months = F.trunc(F.coalesce(signals.filing_day(F.col("FILING_DATE")), F.lit(dt.date(1995, 1, 1))), "MM")
+    filings = t.submissions().withColumn("landed", months)
+    days = filings.select("ACCESSION_NUMBER", "landed")
+    later = lambda n: F.add_months("landed", n)
+    wait = F.when(number % 50 == 7, 12).when((number % 10 == 3) & (F.col("RPTOWNERCIK").cast("long") % 2 == 1), 1).otherwise(number % 3)
+    tables = {
+        "SUBMISSION": filings,
+        "NONDERIV_TRANS": t.transactions().join(days, "ACCESSION_NUMBER").withColumn("landed", later((number % 2).cast("int"))),
+        "REPORTINGOWNER": t.owners().join(days, "ACCESSION_NUMBER").withColumn("landed", later(wait.cast("int"))),
+    }
+    ahead = {"ACCESSION_NUMBER": "END", "DOCUMENT_TYPE": "4", "TRANS_CODE": "P", "TRANS_ACQUIRED_DISP_CD": "A", "landed": FAR_DAY}
+    for last in (False, True):
+        for name, rows in tables.items():
+            _in_drops(rows, root, name, last)
+            if last:
+                end = t.spark.range(1).select(*[F.lit(ahead.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+                landed.land_drop(end, root, name)
+        sub, own, trn = (landed.read_landed(t.spark, root, n, tables[n].schema) for n in ("SUBMISSION", "REPORTINGOWNER", "NONDERIV_TRANS"))
+        events = landed.landed_events(sub, own, trn, span="95 days", footnotes=t.footnotes())
+        feed.finish_feed(landed.start_landed(events, f"{root}/out", f"{root}/checkpoint", drop_planned=True))
+    out = landed.read_emitted(t.spark, f"{root}/out")
+    settled = landed.settle_ownerless(out, store.read_table(t.spark, f"{root}/REPORTINGOWNER"))
+    return out.filter("owned").select(*EVENT_COLUMNS).unionByName(settled)
+
+
+def _corrected(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions, late rows and undated rows of a feed in two drops. A third of the owners' rows land 20 days after the filing, a seventh 400 days after."""
+    root = scratch_path(t.spark, "corrections")
+    owner = F.col("insider_id").cast("long")
+    filed = F.coalesce(signals.filing_day(F.col("filing_date_raw")), F.lit(dt.date(1995, 1, 1)))
+    wait = F.when(owner % 7 == 0, 400).when(owner % 3 == 0, 20).otherwise(0)
+    rows = materialize(flat_rows(t).withColumn("landed", F.date_add(filed, wait)))
+    for last in (False, True):
+        half = F.col("landed") >= F.lit(SPLIT_DAY) if last else F.col("landed") < F.lit(SPLIT_DAY)
+        store.write_table(rows.filter(half), f"{root}/in", mode="append")
+        drop = feed.read_feed(t.spark, f"{root}/in", rows.schema)
+        feed.finish_feed(corrections.start_versions(corrections.event_versions(drop), f"{root}/out", f"{root}/checkpoint"))
+        feed.finish_feed(corrections.start_versions(corrections.late_rows(drop), f"{root}/late", f"{root}/late-checkpoint"))
+        feed.finish_feed(feed.start_undated(drop, f"{root}/undated", f"{root}/undated-checkpoint"))
+    return tuple(store.read_table(t.spark, f"{root}/{name}") for name in ("out", "late", "undated"))
+
+
+@query("t2_late_side", "SELECT * FROM all_events_noscan")
+def t2_late_side(t: Tables) -> DataFrame:
+    """Corrected events merged with what came after their expiry, and the undated ones, are the batch's over both drops."""
+    versions, late, undated = _corrected(t)
+    return corrections.corrected_events(versions, late).unionByName(event_plans.normalize(undated))
+
+
+@query(
+    "t2_late_count",
+    "SELECT count(*) FILTER (filing_date IS NOT NULL AND CAST(insider_id AS BIGINT) % 7 <> 0) AS in_time, "
+    "count(*) FILTER (filing_date IS NOT NULL AND CAST(insider_id AS BIGINT) % 7 = 0) AS late, count(*) FILTER (filing_date IS NULL) AS undated FROM typed_noscan",
+)
+def t2_late_count(t: Tables) -> DataFrame:
+    """Every input row is counted once: in an event's last version, in the late rows or in the undated ones."""
+    versions, late, undated = _corrected(t)
+    taken = corrections.latest_partials(versions).agg(F.coalesce(F.sum("n_reporting_owners"), F.lit(0)).alias("n"))
+    count = lambda rows: rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return taken.select(F.col("n").alias("in_time"), count(late).alias("late"), count(undated).alias("undated"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.catalog.registry import query, r9, study_events, study_panel, unplanned_events
 from tidemark.fixtures import Tables
 from tidemark.functions import returns
-from tidemark.operators import bootstrap, flatten, ladder, sessions
+from tidemark.operators import bootstrap, flatten, ladder, listings, sessions
+from tidemark.oracle import CTES
 from tidemark.plans import curve as curves
-from tidemark.plans import study
+from tidemark.plans import matched, study
+from tidemark.plans.panel import abnormal_returns
 from tidemark.schemas import EVENT_KEY, HORIZONS
 from tidemark.session import materialize
 
@@ -146,6 +148,49 @@ def v3_delist(t: Tables) -> DataFrame:
     return study_panel(t, delistings=t.delistings())
 
 
+_LISTED = {
+    "lives": "SELECT * FROM (VALUES ('BRX', 'ID-X1', DATE '1990-01-01', DATE '1997-03-03'), ('BRX', 'ID-X2', DATE '1997-03-03', DATE '1999-06-01'), ('BRX', 'ID-X3', DATE '1999-06-01', NULL), "
+    "('BRC', 'ID-BRC', DATE '1990-01-01', DATE '1998-01-01'), ('BRD', 'ID-BRD', DATE '1990-01-01', DATE '1998-01-01'), ('BRD', 'ID-BRC', DATE '1998-01-01', NULL)) AS l(ticker, id, since, until) "
+    "UNION ALL SELECT DISTINCT ticker, 'ID-' || ticker, DATE '1990-01-01', NULL FROM quoted WHERE ticker NOT IN ('BRX', 'BRC', 'BRD')",
+    "quoted": CTES["px"],
+    "px": "SELECT l.id AS ticker, p.date, p.open, p.close, p.volume FROM quoted p JOIN lives l ON l.ticker = p.ticker AND p.date >= l.since AND (l.until IS NULL OR p.date < l.until)",
+    "named": CTES["elig"],
+    "elig": "SELECT e.* REPLACE (l.id AS ticker) FROM named e LEFT JOIN lives l ON l.ticker = e.ticker AND e.filing_date >= l.since AND (l.until IS NULL OR e.filing_date < l.until)",
+}
+
+
+@query("v3_permanent", f"SELECT {PANEL_COLUMNS} FROM wide", **_LISTED)
+def v3_permanent(t: Tables) -> DataFrame:
+    """The panel under permanent ids: a reused ticker's lives apart, a renamed company's prices together."""
+    known = t.listings()
+    prices = listings.by_permanent_id(t.prices(), known, "date").filter(F.col("ticker").isNotNull())
+    return abnormal_returns(listings.by_permanent_id(study_events(t), known, "filing_date"), prices, t.benchmark())
+
+
+_BANDED = {
+    "months": "SELECT DISTINCT CAST(date_trunc('month', cal_date) AS DATE) AS month FROM cal",
+    "month_sizes": "SELECT ticker, last_day(date) AS since, sum(volume) AS size FROM px GROUP BY 1, 2",
+    "as_of": "SELECT m.month, s.ticker, arg_max(s.size, s.since) AS size FROM months m JOIN month_sizes s ON s.since <= m.month GROUP BY 1, 2",
+    "breaks": "SELECT month, quantile_cont(size, 1.0 / 3) AS q1, quantile_cont(size, 2.0 / 3) AS q2 FROM as_of GROUP BY 1",
+    "bands": "SELECT a.ticker, a.month, 1 + (size > q1)::INTEGER + (size > q2)::INTEGER AS band FROM as_of a JOIN breaks b ON b.month = a.month",
+    "every": "SELECT p.ticker, c.t, b.band, " + ", ".join(f"p{h}.close / nullif(p.close, 0) - 1.0 AS ret_{h}" for h in HORIZONS)
+    + " FROM px p JOIN cal c ON c.cal_date = p.date LEFT JOIN bands b ON b.ticker = p.ticker AND b.month = date_trunc('month', p.date) "
+    + " ".join(f"LEFT JOIN cal c{h} ON c{h}.t = c.t + {n} LEFT JOIN px p{h} ON p{h}.ticker = p.ticker AND p{h}.date = c{h}.cal_date" for h, n in HORIZONS.items()),
+    "series": "SELECT t, band, " + ", ".join(f"avg(ret_{h}) AS band_{h}" for h in HORIZONS) + " FROM every WHERE band IS NOT NULL GROUP BY 1, 2",
+}
+
+
+@query(
+    "v2_size_matched",
+    "SELECT e.accession, e.txn_sk, e.ticker, e.entry_date, x.band, " + ", ".join(f"round(x.ret_{h}, 9) AS ret_{h}, round(x.ret_{h} - s.band_{h}, 9) AS abn_{h}" for h in HORIZONS)
+    + " FROM entry e LEFT JOIN every x ON x.ticker = e.ticker AND x.t = e.entry_t LEFT JOIN series s ON s.t = x.t AND s.band = x.band",
+    **_BANDED,
+)
+def v2_size_matched(t: Tables) -> DataFrame:
+    found = matched.size_matched_returns(study_events(t), t.prices(), t.benchmark(), t.ticker_sizes())
+    return found.select("accession", "txn_sk", "ticker", "entry_date", "band", *[r9(f"{k}_{h}") for h in HORIZONS for k in ("ret", "abn")])
+
+
 _WINDOWED = {
     "bounds": "SELECT min(filing_date) AS first, max(filing_date) + 420 AS last FROM elig",
     "bench": "SELECT date, CAST(sum(cents) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS close FROM lines "
@@ -227,37 +272,67 @@ def a7_bootstrap_md5(t: Tables) -> DataFrame:
     return long.filter(F.col("mean").isNotNull()).select("horizon", "replicate", r9("mean"))
 
 
-@query(
-    "a7_bootstrap_exact",
+BOUNDS_SQL = (
     "SELECT horizon, CAST(count(abn) AS BIGINT) AS n, round(avg(abn), 9) AS mean_abn, CASE WHEN count(abn) > 0 THEN 10000 ELSE 0 END AS replicates, "
-    "count(abn) >= 30 AS brackets_mean, count(abn) >= 30 AS normal_centre, count(abn) >= 30 AS normal_width FROM long GROUP BY 1",
+    "count(abn) >= 30 AS brackets_mean, count(abn) >= 30 AS normal_centre, count(abn) >= 30 AS normal_width FROM long GROUP BY 1"
 )
+
+
+@query("a7_bootstrap_exact", BOUNDS_SQL)
 def a7_bootstrap_exact(t: Tables) -> DataFrame:
     """Random draws, held against the data's own normal interval.
 
     With 30 values or more, the replicates' interval must bracket the mean, its centre lie within 0.3
     half-widths of the mean, and its width within 20 per cent of the normal one; with fewer nothing is claimed.
     """
-    panel = materialize(study_panel(t))
-    rows = curves.long_returns(panel)
-    means = materialize(bootstrap.resampled_means(rows, "abn", ["horizon"], 10_000))
+    return _held_by_replicates(t, bootstrap.resampled_means)
+
+
+def _held_by_replicates(t: Tables, draw) -> DataFrame:
+    rows = curves.long_returns(materialize(study_panel(t)))
+    means = materialize(draw(rows, "abn", ["horizon"], 10_000))
     drawn = bootstrap.percentile_interval(means, ["horizon"], 10_000)
     number = means.groupBy("horizon").agg(F.count(F.lit(1)).cast("int").alias("replicates"))
+    held = _held_by_data(rows, drawn).join(number, "horizon", "left")
+    return held.withColumn("replicates", F.coalesce("replicates", F.lit(0)))
+
+
+def _held_by_data(rows: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Intervals (horizon, ci_lo, ci_hi) against the normal interval of the data."""
     data = rows.groupBy("horizon").agg(
         F.count("abn").alias("n"), F.avg("abn").alias("mean_abn"),
         (1.959964 * F.stddev_pop("abn") / F.sqrt(F.count("abn"))).alias("half"),
     )
-    held = data.join(drawn, "horizon", "left").join(number, "horizon", "left")
+    held = data.join(drawn, "horizon", "left")
     enough = F.col("n") >= 30
     centre, width = (F.col("ci_lo") + F.col("ci_hi")) / 2, (F.col("ci_hi") - F.col("ci_lo")) / 2
     return held.select(
-        "horizon", "n", r9("mean_abn"), F.coalesce("replicates", F.lit(0)).alias("replicates"),
+        "horizon", "n", r9("mean_abn"),
         (enough & F.col("mean_abn").between(F.col("ci_lo"), F.col("ci_hi"))).alias("brackets_mean"),
         (enough & (F.abs(centre - F.col("mean_abn")) <= 0.3 * F.col("half"))).alias("normal_centre"),
         (enough & (F.abs(width - F.col("half")) <= 0.2 * F.col("half"))).alias("normal_width"),
     )
 
 
+@query("a7_bucketed", BOUNDS_SQL.replace("CASE WHEN count(abn) > 0 THEN 10000 ELSE 0 END", "CASE WHEN count(abn) >= 30 THEN 10000 END"))
+def a7_bucketed(t: Tables) -> DataFrame:
+    """Poisson weights drawn per bucket, held as ``a7_bootstrap_exact`` is; of a few rows some replicates draw nothing."""
+    held = _held_by_replicates(t, bootstrap.bucketed_means)
+    return held.withColumn("replicates", F.when(F.col("n") >= 30, F.col("replicates")))
+
+
+@query(
+    "a7_little",
+    "SELECT horizon, CAST(count(abn) AS BIGINT) AS n, round(avg(abn), 9) AS mean_abn, "
+    "count(abn) >= 30 AS brackets_mean, count(abn) >= 30 AS normal_centre, count(abn) >= 30 AS normal_width FROM long GROUP BY 1",
+)
+def a7_little(t: Tables) -> DataFrame:
+    """The bag of little bootstraps, held to the same bounds."""
+    rows = curves.long_returns(materialize(study_panel(t)))
+    found = bootstrap.little_intervals(rows, "abn", EVENT_KEY, ["horizon"], subsets=100)
+    return _held_by_data(rows, found.select("horizon", "ci_lo", "ci_hi"))
+
+
 @query(
     "a8_coverage",
     "SELECT count(*) AS n_events, count(*) FILTER (WHERE priced) AS n_priced, "

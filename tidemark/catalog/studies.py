@@ -64,9 +64,20 @@ def g2_own_size(t: Tables) -> DataFrame:
 )
 def g2_own_size_probe(t: Tables) -> DataFrame:
     """A third of the users act as one, so the busy route is taken beside the calm one."""
+    return medians.prior_medians(materialize(_probe_rows(t))).select(
+        "insider_id", "filing_date", F.round("prior_median", 6).alias("prior_median")
+    )
+
+
+def _probe_rows(t: Tables) -> DataFrame:
     user = F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("string")
-    rows = t.raw("events").select(user.alias("insider_id"), F.col("ts").cast("date").alias("filing_date"), "value")
-    return medians.prior_medians(materialize(rows)).select(
+    return t.raw("events").select(user.alias("insider_id"), F.col("ts").cast("date").alias("filing_date"), "value")
+
+
+@query("g2_refined_probe", ORACLE["g2_own_size_probe"])
+def g2_refined_probe(t: Tables) -> DataFrame:
+    """The same with buckets of at most a hundred rows, so that the busy ones are cut again and again."""
+    return medians.prior_medians(materialize(_probe_rows(t)), window_rows=50, bucket_rows=100).select(
         "insider_id", "filing_date", F.round("prior_median", 6).alias("prior_median")
     )
 
@@ -258,6 +269,24 @@ def b2_net_next_open(t: Tables) -> DataFrame:
     return _net(t, **_NEXT_OPEN).select(*EVENT_KEY, r9("cost"), r9("net_1m"))
 
 
+@query(
+    "b2_cost_table",
+    "SELECT accession, txn_sk, spread, round(cost, 9) AS cost, round(net_1m, 9) AS net_1m FROM net",
+    **{
+        **_COST,
+        "costs": "SELECT * FROM (VALUES (DATE '1995-01-01', DATE '1998-07-01', NULL, 50000.0::DOUBLE, 0.020::DOUBLE), (DATE '1995-01-01', DATE '1998-07-01', 50000.0, 200000.0, 0.010), "
+        "(DATE '1995-01-01', DATE '1998-07-01', 200000.0, NULL, 0.004), (DATE '1998-07-01', DATE '2200-01-01', NULL, 120000.0, 0.015), "
+        "(DATE '1998-07-01', DATE '2200-01-01', 120000.0, NULL, 0.002)) AS v(since, until, low, high, spread)",
+        "net": "SELECT *, ret_1m - cost AS net_1m FROM (SELECT w.*, c.spread, c.spread + 0.001::DOUBLE + 0.1::DOUBLE * coalesce(10000.0::DOUBLE / nullif(adv, 0), 1.0::DOUBLE) AS cost "
+        "FROM (SELECT w.*, a.adv FROM wide w LEFT JOIN turnover a ON a.ticker = w.ticker AND a.t = w.entry_t) w LEFT JOIN costs c ON w.entry_date >= c.since AND w.entry_date < c.until "
+        "AND coalesce(adv, 0) >= coalesce(low, -1) AND (high IS NULL OR coalesce(adv, 0) < high))",
+    },
+)
+def b2_cost_table(t: Tables) -> DataFrame:
+    panel = basket.with_spreads(study_panel(t, price_features=basket.turnover_feature()), t.cost_table())
+    return basket.net_returns(panel, "1m").select(*EVENT_KEY, "spread", r9("cost"), r9("net_1m"))
+
+
 @query(
     "b3_walk_forward",
     "SELECT fold, side, count(*) AS n, round(avg(abn_1m), 9) AS mean FROM (SELECT f.fold, CASE "
@@ -290,6 +319,25 @@ def b3_grid(t: Tables) -> DataFrame:
     return chosen.select("fold", "horizon", "n_train", r9("train_mean"), "n_test", r9("test_mean"))
 
 
+FIRST_FOLD = dt.date(1995, 1, 1)
+
+
+@query(
+    "b3_folds",
+    "SELECT f.fold, f.side, count(w.abn_1m) AS n, round(avg(w.abn_1m), 9) AS mean FROM folds f LEFT JOIN wide w "
+    "ON w.entry_date >= f.first AND w.entry_date < f.until GROUP BY 1, 2",
+    numbers="SELECT CAST(range AS BIGINT) AS fold, DATE '1995-01-01' + CAST(range * 10 AS INTEGER) AS cut FROM range(200)",
+    folds="SELECT fold, 'train' AS side, cut - 730 AS first, cut - 45 AS until FROM numbers UNION ALL SELECT fold, 'test', cut, cut + 91 FROM numbers",
+)
+def b3_folds(t: Tables) -> DataFrame:
+    """Two hundred overlapping folds: two rolling years with an embargo, tested on the quarter after; a new one every ten days."""
+    cut = F.date_add(F.lit(FIRST_FOLD), (F.col("id") * 10).cast("int"))
+    side = lambda name, start, end: F.struct(F.lit(name).alias("side"), start.alias("start"), end.alias("end"))
+    sides = F.array(side("train", F.date_sub(cut, 730), F.date_sub(cut, EMBARGO)), side("test", cut, F.date_add(cut, 91)))
+    folds = t.spark.range(200).select(F.col("id").alias("fold"), F.inline(sides))
+    return basket.fold_means(study_panel(t), "abn_1m", folds).select("fold", "side", "n", r9("mean"))
+
+
 @query(
     "b3_time_split",
     "SELECT side, count(*) AS n, round(avg(abn_1m), 9) AS mean FROM (SELECT CASE WHEN entry_date >= DATE '1999-01-01' "
@@ -387,6 +435,46 @@ def b5_exit_report(t: Tables) -> DataFrame:
     return report.select("rule", "n", r9("mean"), r9("hit_rate"), "left_out", "n_paired", r9("mean_vs_fixed"))
 
 
+_LIVES = {
+    **_EXITS,
+    "prints": "SELECT ticker, life, t, close, terminal, CASE WHEN terminal THEN close ELSE lead(close) OVER (PARTITION BY ticker, life ORDER BY t) END AS fill FROM "
+    "(SELECT p.ticker, c.t, p.close, false AS terminal, (SELECT count(*) FROM delist_days d WHERE d.ticker = p.ticker AND d.delist_date <= p.date) AS life "
+    "FROM px p JOIN cal c ON c.cal_date = p.date UNION ALL "
+    "SELECT d.ticker, (SELECT min(t) FROM cal WHERE cal_date >= d.delist_date), d.recovery_value, true, "
+    "(SELECT count(*) FROM delist_days o WHERE o.ticker = d.ticker AND o.delist_date < d.delist_date) FROM delist_days d "
+    "WHERE d.delist_date <= (SELECT max(cal_date) FROM cal))",
+    "paths": "SELECT e.ticker, e.t AS entry_t, e.close AS entry_close, p.t, p.close, p.fill, p.terminal, greatest(e.close, "
+    "max(p.close) OVER (PARTITION BY e.ticker, e.t ORDER BY p.t ROWS UNBOUNDED PRECEDING)) AS peak "
+    f"FROM prints e JOIN prints p ON p.ticker = e.ticker AND p.life = e.life AND p.t BETWEEN e.t + 1 AND e.t + {HOLD} WHERE NOT e.terminal",
+    "ended": "SELECT ticker, entry_t, max(close) AS close FROM paths WHERE terminal GROUP BY 1, 2",
+    "held": f"SELECT e.ticker, e.t, coalesce(g.close, h.close) AS close FROM prints e LEFT JOIN prints h ON h.ticker = e.ticker AND h.life = e.life AND h.t = e.t + {HOLD} AND NOT h.terminal "
+    "LEFT JOIN ended g ON g.ticker = e.ticker AND g.entry_t = e.t WHERE NOT e.terminal",
+    "exits": _EXITS["exits"].replace(f"LEFT JOIN prints h ON h.ticker = e.ticker AND h.t = e.t + {HOLD}", "LEFT JOIN held h ON h.ticker = e.ticker AND h.t = e.t").replace(
+        "FROM prints e", "FROM (SELECT * FROM prints WHERE NOT terminal) e"
+    ),
+}
+
+
+def _px_with_ends(t: Tables) -> DataFrame:
+    return basket.terminal_prints(_px(t), t.delistings(), sessions.trading_calendar(t.benchmark()))
+
+
+@query("b5_delisted_paths", ORACLE["b5_exit_paths"].split("\n")[-1], **_LIVES)
+def b5_delisted_paths(t: Tables) -> DataFrame:
+    """The exit rules where a delisting is a ticker's last print, at what is recovered."""
+    return basket.exit_overlays(_px_with_ends(t), HOLD).select(
+        "ticker", "entry_t", r9("fixed"), r9("trailing_stop"), r9("scale_out"), "stopped", "doubled"
+    )
+
+
+@query("b5_delisted", ORACLE["b5_exit_report"].split("\n")[-1], **_LIVES)
+def b5_delisted(t: Tables) -> DataFrame:
+    placed = sessions.first_tradable_session(study_events(t), sessions.trading_calendar(t.benchmark()))
+    entries = materialize(basket.entry_counts(placed))
+    report = basket.exit_report(entries, basket.exit_overlays(_px_with_ends(t), HOLD, entries=entries))
+    return report.select("rule", "n", r9("mean"), r9("hit_rate"), "left_out", "n_paired", r9("mean_vs_fixed"))
+
+
 @query(
     "b6_pooling",
     "SELECT o.role_bucket, insider_id, n, round(own_mean, 9) AS own_mean, round(segment_mean, 9) AS segment_mean, "
