@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from tidemark.llm import quotes
 
 
@@ -8,7 +10,7 @@ def test_levels_and_bodies():
     assert quotes.levels(text)[2:5] == [(2, "deep one"), (2, "deep two"), (1, "shallow")]
     body, own, quoted = quotes.parse(text)
     assert body == "Hi,\n\nMy answer." and own and quoted
-    assert quotes.parse("") == ("", [], [])
+    assert quotes.parse("")[::2] == ("", [])
 
 
 def thread(spark, rows):
@@ -32,7 +34,7 @@ def test_long_chains_hot_originals_and_order(text_spark):
     got = thread(text_spark, rows)
     assert all(got[i].depth == i and got[i].conversation_id == 0 for i in range(40))
     assert all(got[101 + i].parent_id == 100 for i in range(200))
-    assert got[400].parent_id is None and got[401].parent_id == 100  # equal originals: the first stands for all
+    assert got[400].parent_id is None and got[401].parent_id == 400  # of equal originals the nearest before it
 
 
 def test_nothing_refers_forward_or_to_itself(text_spark):
@@ -46,10 +48,18 @@ def test_odd_rows(text_spark):
     assert quotes.conversations(text_spark.createDataFrame([], "message_id long, text string")).count() == 0
 
 
+def numbers(spark, message_id):
+    """What a mail_id is made of, read by hand."""
+    return tuple(int(message_id[16 * k : 16 * k + 16], 16) - (1 << 63) for k in range(3))
+
+
 def test_turns_as_mail(text_spark):
     turns = text_spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "bot", "tell\nmore"), (1, 2, "user", "thanks"), (None, 0, "user", "x"), (2, None, "user", "y")], "conv_id long, turn int, role string, text string")
-    got = {r.message_id: r for r in quotes.conversations(quotes.as_mail(turns)).collect()}
-    assert {k: (r.parent_id, r.depth, r.body) for k, r in got.items()} == {1000: (None, 0, "ask"), 1001: (1000, 1, "tell\nmore"), 1002: (1001, 2, "thanks")}
+    got = {numbers(text_spark, r.message_id): r for r in quotes.conversations(quotes.as_mail(turns)).collect()}
+    of = lambda i: None if i is None else numbers(text_spark, i)
+    assert {k: (of(r.parent_id), r.depth, r.body) for k, r in got.items()} == {
+        (1, 0, 0): (None, 0, "ask"), (1, 1, 0): ((1, 0, 0), 1, "tell\nmore"), (1, 2, 0): ((1, 1, 0), 2, "thanks"),
+    }
 
 
 def mail(spark, rows):
@@ -77,3 +87,51 @@ def test_texts_of_one_turn_are_messages_of_their_own(text_spark):
     assert by["thanks"].parent_id == by["answer 00"].message_id and by[""].parent_id == by["else"].message_id
     order = [r.body for _, r in sorted(got.items())]
     assert order[:2] == ["ask", "answer 00"] and order[41:] == ["thanks", "else", ""]
+
+
+def test_equal_openings_stay_conversations_of_their_own(text_spark):
+    """Five conversations that begin alike, and a hot opening that a third of all conversations share."""
+    rows = [(c, t, "user", text) for c in range(5) for t, text in enumerate(["Hi", "Hello, how can I help?", f"question {c}", f"answer {c}"])]
+    rows += [(100 + c, t, "user", text) for c in range(300) for t, text in enumerate(["Hi" if c % 3 else f"other {c}", "Hello, how can I help?", "ok", "ok", "ok"])]
+    linked = quotes.conversations(quotes.as_mail(text_spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), bucket_rows=50)
+    got = {numbers(text_spark, r.message_id): r for r in linked.collect()}
+    assert len(got) == len(rows)
+    for c, t, *_ in rows:
+        r = got[c, t, 0]
+        assert numbers(text_spark, r.conversation_id) == (c, 0, 0) and r.depth == t
+        assert r.parent_id is None if t == 0 else numbers(text_spark, r.parent_id) == (c, t - 1, 0)
+
+
+def test_empty_turns_are_quoted_like_others(text_spark):
+    rows = [(c, t, "user", text) for c in range(3) for t, text in enumerate(["start", "", None, "   ", "end"])] + [(9, 0, "user", ""), (9, 1, "user", "reply to nothing")]
+    linked = quotes.conversations(quotes.as_mail(text_spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = {numbers(text_spark, r.message_id): r for r in linked.collect()}
+    for c, t, _, text in rows:
+        r = got[c, t, 0]
+        assert r.body == (text or "").strip() and r.depth == t and numbers(text_spark, r.conversation_id) == (c, 0, 0)
+
+
+def test_ids_of_any_size_and_clashing_columns(text_spark):
+    big = [(1 << 62, 0), (1 << 62, 1), (-(1 << 62), 5), (-(1 << 62), 6), ((1 << 63) - 1, -3), ((1 << 63) - 1, -2), (-(1 << 63), (1 << 63) - 2)]
+    rows = [(c, t, f"text {c} {t}", "x", 1, "y", "z", None) for c, t in big]
+    turns = text_spark.createDataFrame(rows, "conv_id long, turn long, text string, message_id string, `key` int, copy string, part string, body string")
+    linked = quotes.conversations(quotes.as_mail(turns)).collect()
+    got = {numbers(text_spark, r.message_id): r for r in linked}
+    assert {k[:2] for k in got} == set(big) and [r.message_id for r in sorted(linked, key=lambda r: numbers(text_spark, r.message_id))] == sorted(r.message_id for r in linked)
+    assert all((r.parent_id is None) == (k[1] in (0, 5, -3, (1 << 63) - 2)) for k, r in got.items())
+    decoded = quotes.as_mail(turns).select(*quotes.mail_numbers(quotes.F.col("message_id"))).collect()
+    assert {tuple(r)[:2] for r in decoded} == set(big)
+
+
+def test_nearest_earlier_equals_brute_force(text_spark):
+    rng = random.Random(5)
+    originals = [(rng.randrange(4000), rng.choice("abcde") if i % 3 else "hot") for i in range(1500)]
+    asked = [(rng.randrange(4000), rng.randrange(3), rng.choice("abcdef") if i % 3 else "hot") for i in range(1500)]
+    got = quotes.nearest_earlier(
+        text_spark.createDataFrame(asked, "message_id long, place int, key string"), text_spark.createDataFrame(originals, "message_id long, key string"), bucket_rows=60
+    )
+    want = []
+    for i, place, key in asked:
+        before = [o for o, k in originals if k == key and o < i]
+        want += [(i, place, max(before))] if before else []
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)

@@ -102,9 +102,31 @@ def op5(docs: DataFrame, folder: str) -> DataFrame:
     return licenses.scan_licenses(docs)
 
 
-@query("op9_quotation_linking", "conversations")
+@query(
+    "op9_quotation_linking",
+    "conversations",
+    r"""
+    WITH told AS (SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(text, '') AS text FROM conversations
+        WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    copies AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) - 1 AS copy FROM told),
+    turns AS (SELECT DISTINCT conv_id, turn FROM told),
+    -- A conversation begins anew where the turn before is missing.
+    runs AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM turns),
+    firsts AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, run) AS first FROM runs)
+    SELECT c.conv_id, c.turn, c.copy, CASE WHEN c.turn > f.first THEN c.turn - 1 END AS parent_turn, c.conv_id AS top_conv_id,
+        f.first AS top_turn, CASE WHEN c.turn > f.first THEN 0 ELSE c.copy END AS top_copy, c.turn - f.first AS depth,
+        sha256(regexp_replace(c.text, '^\s+|\s+$', '', 'g')) AS body_sha256
+    FROM copies c JOIN firsts f USING (conv_id, turn)
+    """,
+)
 def op9(turns: DataFrame, folder: str) -> DataFrame:
-    return quotes.conversations(quotes.as_mail(turns))
+    linked = quotes.conversations(quotes.as_mail(turns))
+    own, top, parent = (quotes.mail_numbers(F.col(c)) for c in ("message_id", "conversation_id", "parent_id"))
+    body = F.sha2("body", 256).alias("body_sha256")
+    return linked.select(
+        *[c.alias(n) for c, n in zip(own, ("conv_id", "turn", "copy"), strict=True)], parent[1].alias("parent_turn"),
+        *[c.alias(n) for c, n in zip(top, ("top_conv_id", "top_turn", "top_copy"), strict=True)], "depth", body,
+    )
 
 
 def _cluster_sql(clusters: int = 8, rounds: int = 10) -> str:
