@@ -110,9 +110,8 @@ def nearest_earlier(quotes: DataFrame, originals: DataFrame, bucket_rows: int =
     """
     # At an equal id the quote comes first: nothing replies to itself.
     both = quotes.select("key", "message_id", "place").unionByName(originals.select("key", "message_id", F.lit(-1).alias("place")))
-    ranges = materialize(quotes).count() // bucket_rows + 1
-    dealt = both.repartitionByRange(ranges, "key", "message_id").withColumn("part", F.spark_partition_id())
-    dealt = materialize(dealt)
+    ranges = quotes.count() // bucket_rows + 1
+    dealt = materialize(both.repartitionByRange(ranges, "key", "message_id").withColumn("part", F.spark_partition_id()))
     original = F.when(F.col("place") < 0, F.col("message_id"))
     so_far = Window.partitionBy("part", "key").orderBy("message_id", F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
     inside = dealt.withColumn("original", F.last(original, ignorenulls=True).over(so_far)).filter("place >= 0")
