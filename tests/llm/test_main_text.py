@@ -48,7 +48,9 @@ def test_classes_of_the_page_and_of_paragraphs():
 
 def test_features_are_those_of_the_neighbours():
     _, x = mt.blocks("<p>one two</p><p><a>three</a> four five</p><p>six</p>")
-    assert x[1].tolist() == [2, 3, 1, 0, 1 / 3, 0, 0, 0]
+    assert x[1].tolist() == [2, 3, 1, 0, 0, 0, 0, 1, 0]
+    _, x = mt.blocks("<p>one two</p><p><a href=x>three</a> four five</p><p>six</p>")
+    assert x[1].tolist() == [2, 3, 1, 0, 1 / 3, 0, 0, 1, 0]
 
 
 def test_broken_pages(text_spark):
@@ -89,3 +91,54 @@ def test_text_outvotes_class_marks():
         assert kept(f'<article><div class="{name}">{whole}</div><div class=share>Share this</div></article>') == ["A title of five words", PROSE, "Short.", f"{PROSE} two"], name
     page = f'<article>{whole}{whole}<div class="notice"><p>{PROSE} three</p></div><div class="related"><p><a href=x>{PROSE}</a></p><p>six words</p></div></article>'
     assert kept(page) == ["A title of five words", PROSE, "Short.", f"{PROSE} two"] * 2 + [f"{PROSE} three"]
+
+
+def test_forms():
+    """A page or an article wrapped in a form is read; a form beside or in the article is not."""
+    whole = f"<h1>A title of five words</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE} two</p>"
+    want = ["A title of five words", PROSE, "Short.", f"{PROSE} two"]
+    assert kept(f"<body><form action=x><nav><a href=y>menu</a></nav><div>{whole}</div></form></body>") == want
+    assert kept(f"<form><article>{whole}</article></form>") == want
+    assert kept(f"<form><main>{whole}</main><aside>{PROSE}</aside></form>") == want
+    assert kept(f"<article>{whole}<form><p>Your name</p><p>{PROSE} terms</p></form></article>") == want
+    assert kept(f"<article>{whole}</article><form><p>Sign up for our letters today</p></form>") == want
+
+
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert kept(f"<article><p title=don't>It's one {PROSE}</p><p>and 'two'</p></article>") == [f"It's one {PROSE}", "and 'two'"]
+    assert kept(f"""<article><p data-x="a > b" title='c > d'>{PROSE}</p><p title = "it's">end</p></article>""") == [PROSE, "end"]
+    assert kept(f"<article><img alt=5\" src=x><p>{PROSE}</p></article>") == [PROSE]
+    assert kept("<article><p>text<p title=\"never closed>one</p><p>two</p>")[0] == "text"
+    assert kept("<article>" + "<p a='" * 3000 + PROSE) is not None  # in time
+
+
+def test_lists_and_headings_in_prose_without_an_article():
+    page = f"<div><p>{PROSE}</p><h2>Ingredients</h2><ul><li>two eggs</li><li>some flour</li><li>salt</li></ul><p>{PROSE} two</p><h2>End</h2><p>{PROSE} three</p></div>"
+    assert kept(page) == [PROSE, "Ingredients", "two eggs", "some flour", "salt", f"{PROSE} two", "End", f"{PROSE} three"]
+    menu = "".join(f"<li><a href=x>entry {k}</a></li>" for k in range(6))
+    assert kept(f"<div><ul>{menu}</ul><p>{PROSE}</p><ul>{menu}</ul><p>Contact</p><ul>{menu}</ul></div>") == [PROSE]
+
+
+def test_links_may_hold_blocks():
+    card = "<a href=x><h3>Another story</h3><p>What it is about in a few words</p></a>"
+    assert kept(f"<div><p>{PROSE}</p><p>{PROSE} two</p></div><div>{card * 3}</div>") == [PROSE, f"{PROSE} two"]
+    assert kept(f"<article><a name=top><p>{PROSE}</p><p>{PROSE} two</p></article>") == [PROSE, f"{PROSE} two"]
+    assert kept(f"<div><p>See <a href=x>never closed<p>{PROSE}</p><p>{PROSE} two</p><a href=y>x</a></div>")[-2:] == [PROSE, f"{PROSE} two"]
+
+
+def test_neighbours_decide_on_pages_without_an_article():
+    """The share of decisions that change when the neighbours' features are blanked, on pages of prose, lists and menus in turn."""
+    rng = np.random.default_rng(3)
+    tree, changed, total = mt.trained_tree(), 0, 0
+    for _ in range(60):
+        parts = []
+        for _ in range(12):
+            kind = rng.integers(4)
+            n = int(rng.integers(1, 5))
+            parts.append([f"<p>{PROSE}</p>", f"<p>{'word ' * n}</p>", f"<p><a href=x>{'link ' * n}</a></p>", f"<li>{'item ' * n}</li>"][kind])
+        _, x = mt.blocks("<div>" + "".join(parts) + "</div>")
+        blank = x.copy()
+        blank[:, [0, 2, 3, 5]] = 0
+        changed += int(((tree.predict(x) >= 0.5) != (tree.predict(blank) >= 0.5)).sum())
+        total += len(x)
+    assert changed > 0.05 * total
