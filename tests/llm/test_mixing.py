@@ -86,3 +86,19 @@ def test_odd_rows(odd_docs):
     assert got.copies.sum() == odd_docs.count() and len(got) == len(odd_docs.select("doc_id", "text", "source").distinct().collect())
     assert mixing.mix(odd_docs, block_chars=100).count() == odd_docs.count()
     assert mixing.mixed(odd_docs.limit(0)).count() == mixing.mix(odd_docs.limit(0)).count() == 0
+
+
+def test_prefix_shares_follow_uneven_targets(frame):
+    """While all sources last, every prefix of the mix holds them by their weights, to within a block each."""
+    weights = {"a": 5, "b": 3, "c": 2, "d": 1}
+    docs = frame([(i, "x" * 100, "en", "abcd"[i % 4]) for i in range(2000)])
+    got = mixing.mixed(docs, weights, block_chars=200).toPandas().sort_values(["slot", "start"])
+    blocks = got.drop_duplicates("slot")
+    until = blocks[blocks.source == "a"].slot.max()  # the first to run out
+    for n in range(11, until, 37):
+        seen = blocks[blocks.slot < n].source.value_counts()
+        assert all(abs(seen.get(s, 0) - n * w / 11) < 1 for s, w in weights.items())
+
+
+def test_the_registered_target_is_uneven():
+    assert len(set(mixing.TARGETS.values())) > 2

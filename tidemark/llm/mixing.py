@@ -20,7 +20,9 @@ from tidemark.llm.exact_dedup import normalised
 from tidemark.session import materialize
 
 BLOCK_CHARS = 1_000_000
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
+# The target of the registered query and of the pipeline; other sources have weight 1.
+TARGETS = {"src0": 5.0, "src1": 3.0, "src2": 2.0, "src3": 2.0}
 RESOLUTION = 10_000
 SPAN_BLOCKS = 50_000
 

@@ -73,7 +73,7 @@ def op8(docs: DataFrame, folder: str) -> DataFrame:
 
 @query("op10_pfair_mixing", "documents")
 def op10(docs: DataFrame, folder: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, mixing.TARGETS)
 
 
 @query(
@@ -89,11 +89,9 @@ def op10(docs: DataFrame, folder: str) -> DataFrame:
     """,
 )
 def op2(vectors: DataFrame, folder: str) -> DataFrame:
-    fits = F.size("embedding") <= hamming.BITS
-    code = F.when(F.col("embedding").isNull() | fits, hamming.sign_code(F.col("embedding"))).otherwise(
-        F.raise_error(F.lit(f"op2_hamming_top_k: an embedding is longer than the {hamming.BITS} bits of a code"))
-    )
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), code.alias("code"))
+    longest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    words = max(1, -(-longest // hamming.WORD))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), hamming.sign_code(F.col("embedding"), words).alias("code"))
     return hamming.nearest_codes(rows, rows.filter("id % 50 = 0"))
 
 
