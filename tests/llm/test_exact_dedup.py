@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import exact_dedup
 
 
@@ -21,7 +23,7 @@ def test_against_grouping(frame):
     rng = random.Random(1)
     texts = ["Alpha", "alpha", "ALPHÄ", "alphä", "", None, "a b", "a  b", "z" * 9000]
     rows = [(i, rng.choice(texts)) for i in range(400)] + [(1000 + i, f"unique {i}") for i in range(300)]
-    got = {r.doc_id: r for r in exact_dedup.duplicates(frame(rows), block_rows=60, owner_rows=90).collect()}
+    got = {r.doc_id: r for r in exact_dedup.duplicates(frame(rows).repartition(9), owner_rows=90).collect()}
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     groups: dict[str, list[int]] = {}
     for i, t in rows:
@@ -35,7 +37,7 @@ def test_against_grouping(frame):
 def test_only_suspects_can_be_grouped(frame):
     """Fingerprints in different blocks and owners meet; a text of one row alone never waits for a partner."""
     rows = [(i, f"text {i // 2}") for i in range(200)]
-    got = exact_dedup.duplicates(frame(rows), block_rows=7, owner_rows=11).toPandas()
+    got = exact_dedup.duplicates(frame(rows).repartition(20), owner_rows=11).toPandas()
     assert (got.group_size == 2).all() and got.kept.sum() == 100
 
 
@@ -62,3 +64,36 @@ def test_null_ids_only(frame):
     got = exact_dedup.duplicates(docs).toPandas()
     assert sorted(got.group_size) == [1, 3, 3, 3] and got.keep_id.isna().all() and got.kept.sum() == 2
     assert exact_dedup.drop_duplicates(docs).count() == 2
+
+
+def test_shared_prints_are_those_of_more_than_one_row(text_spark):
+    """Whether the rows lie in one block or in several, and however many owners there are."""
+    prints = [3, 3, 7, (1 << 48) - 1, 11, 11, 11, 0, (1 << 47), (1 << 47)]
+    rows = text_spark.createDataFrame([(p,) for p in prints], "print long")
+    for parts in (1, 10):
+        for owners in (1, 3, 50):
+            got = exact_dedup._shared_prints(rows.repartition(parts), owners)
+            assert sorted(r[0] for r in got.collect()) == [3, 11, 1 << 47]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_a_third_of_the_rows_are_copies_without_an_id(frame, most):
+    rows = [(None, "Same text") for _ in range(400)] + [(i, f"text {i % 500}") for i in range(800)] + [(5, "text 5")] * 30
+    docs = frame(rows).repartition(7)
+    got = exact_dedup.duplicates(docs, owner_rows=100, most=most).toPandas()
+    hot = got[got.group_size == 400]
+    assert len(hot) == 400 and hot.kept.sum() == 1 and hot.doc_id.isna().all() and len(got) == len(rows)
+    assert got.kept.sum() == 501
+    kept = exact_dedup.drop_duplicates(docs, most=most)
+    assert sorted(str(r.text).lower() for r in kept.collect()) == sorted({t.lower() for _, t in rows})
+
+
+def test_texts_without_a_copy_stay_where_they_are(frame):
+    """The exchange of texts holds the suspects' only."""
+    docs = frame([(i, f"text {i}") for i in range(900)] + [(1000 + i, "copy") for i in range(40)]).repartition(6)
+    keyed = docs.select(exact_dedup.normalised(F.col("text")).alias("norm")).withColumn("print", F.shiftrightunsigned(F.xxhash64("norm"), 16))
+    shared = exact_dedup._shared_prints(keyed, 2)
+    assert shared.count() == 1
+    assert exact_dedup._meet(keyed, shared, "print", "left_semi", 10).count() == 40
+    plan = exact_dedup._meet(keyed, shared, "print", "left_semi", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -1,24 +1,26 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-The rows' short facts (id, digest, fingerprint) are dealt to blocks. Each block sends the sorted distinct
-fingerprints of its rows to their owners, as Golomb-Rice coded gaps. An owner answers with one bit per
-fingerprint: has another block sent it too? Only rows behind a set bit, or equal within their block,
-are suspects. Only their texts are shuffled, and compared byte by byte.
+Blocks are the input's own partitions. Each sends the sorted distinct fingerprints of its rows to their owners, as Golomb-Rice coded gaps, with a mark
+on those it has more than once. An owner answers each block with a bitmap: which of these does another block have, or the block itself twice?
+The fingerprints behind a set bit, of all blocks, are the shared ones. Rows with a shared fingerprint are suspects: only their texts are shuffled, and compared byte by
+byte. The set of shared fingerprints is a few bytes per group of copies and is broadcast up to a stated number; beyond it rows meet it in an exchange.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import splittable_join
 from tidemark.session import materialize
 
 FINGERPRINT_BITS = 48
-BLOCK_ROWS = 100_000
 OWNER_ROWS = 500_000
+MOST_BROADCAST = 2_000_000  # numbers of 64 bits, some 80 MB as a join table
 
 
 def normalised(text):
@@ -27,76 +29,135 @@ def normalised(text):
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
-    """(Rice parameter, code) of sorted distinct non-negative integers: each gap as unary quotient and binary rest."""
+    """(Rice parameter, code) of sorted distinct non-negative integers: of each gap the quotient in unary, then, after those of all, the rests in binary."""
     if not len(values):
         return 0, b""
     gaps = np.diff(values.astype(np.int64), prepend=-1) - 1
     rice = max(0, int(np.log2(max(1.0, float(gaps.mean())))))
-    quotients = gaps >> rice
-    ends = np.cumsum(quotients + 1 + rice)
-    bits = np.zeros(int(ends[-1]), np.uint8)
-    bits[ends - rice - 1] = 1  # zeros, then a one, then the rest
-    for k in range(rice):
-        bits[ends - rice + k] = (gaps >> (rice - 1 - k)) & 1
-    return rice, np.packbits(bits).tobytes()
+    ends = np.cumsum((gaps >> rice) + 1)
+    unary = np.zeros(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 1
+    rests = (gaps[:, None] >> np.arange(rice - 1, -1, -1)) & 1
+    return rice, np.packbits(unary).tobytes() + np.packbits(rests.astype(np.uint8).ravel()).tobytes()
 
 
 def golomb_decode(rice: int, code: bytes, count: int) -> np.ndarray:
     """The integers behind `golomb_encode`."""
-    bits = np.unpackbits(np.frombuffer(code, np.uint8))
-    ones = np.flatnonzero(bits).tolist()
-    marks, at, end = np.empty(count, np.int64), 0, 0
-    for i in range(count):  # the next unary mark is the first one not inside the rest before it
-        while ones[at] < end:
-            at += 1
-        marks[i] = ones[at]
-        end = ones[at] + 1 + rice
-    starts = np.concatenate(([0], marks[:-1] + 1 + rice))
-    gaps = (marks - starts) << rice
-    for k in range(rice):
-        gaps |= bits[marks + 1 + k].astype(np.int64) << (rice - 1 - k)
+    if not count:
+        return np.empty(0, np.int64)
+    rest_bytes = -(-count * rice // 8)
+    split = len(code) - rest_bytes
+    marks = np.flatnonzero(np.unpackbits(np.frombuffer(code[:split], np.uint8)))
+    gaps = (np.diff(marks, prepend=-1) - 1).astype(np.int64) << rice
+    if rice:
+        rests = np.unpackbits(np.frombuffer(code[split:], np.uint8), count=count * rice).reshape(count, rice)
+        gaps |= rests.astype(np.int64) @ (np.int64(1) << np.arange(rice - 1, -1, -1, dtype=np.int64))
     return np.cumsum(gaps + 1) - 1
 
 
+def _width(owners: int) -> int:
+    return -(-(1 << FINGERPRINT_BITS) // owners)
+
+
 def _sender(owners: int):
-    """facts of a block -> one coded message for each owner."""
-    width = -(-(1 << FINGERPRINT_BITS) // owners)
+    """The fingerprints of a block (all rows of a task) -> one coded message for each owner."""
+    width = _width(owners)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        prints = np.unique(rows["print"].to_numpy())
-        owner = prints // width
-        out = []
+        every = [b["print"].to_numpy() for b in batches]
+        prints, times = np.unique(np.concatenate([np.empty(0, np.int64), *every]), return_counts=True)
+        owner, block, out = prints // width, TaskContext.get().partitionId(), []
         for who in np.unique(owner):
-            own = prints[owner == who] - who * width
-            rice, code = golomb_encode(own)
-            out.append((int(who), rows["block"].iat[0], len(own), rice, code))
-        return pd.DataFrame(out, columns=["owner", "block", "count", "rice", "code"])
+            own = owner == who
+            rice, code = golomb_encode(prints[own] - who * width)
+            out.append((int(who), block, int(own.sum()), rice, code, np.packbits(times[own] > 1).tobytes()))
+        yield pd.DataFrame(out, columns=["owner", "block", "count", "rice", "code", "repeated"])
 
     return send
 
 
+def _bits(packed: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=count).astype(bool)
+
+
 def _answer(messages: pd.DataFrame) -> pd.DataFrame:
-    """All messages to an owner -> for each a bitmap of the fingerprints that others sent as well."""
+    """All messages to an owner -> for each a bitmap of the fingerprints that are not alone."""
     lists = [golomb_decode(r, c, n) for r, c, n in zip(messages["rice"], messages["code"], messages["count"], strict=True)]
+    repeated = np.concatenate([_bits(b, n) for b, n in zip(messages["repeated"], messages["count"], strict=True)])
     _, place, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    shared, out, at = times[place] > 1, [], 0
+    shared, out, at = (times[place] > 1) | repeated, [], 0
     for prints in lists:
         out.append(np.packbits(shared[at : at + len(prints)]).tobytes())
         at += len(prints)
-    return messages[["block", "owner", "count"]].assign(bitmap=out)
+    return messages[["block", "owner"]].assign(bitmap=out)
+
+
+def _told(owners: int):
+    """What a block sent, and the answer -> its shared fingerprints."""
+    width = _width(owners)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                golomb_decode(r, c, n)[_bits(b, n)] + who * width
+                for who, n, r, c, b in zip(batch["owner"], batch["count"], batch["rice"], batch["code"], batch["bitmap"], strict=True)
+            ]
+            yield pd.DataFrame({"print": np.concatenate([np.empty(0, np.int64), *found])})
+
+    return told
+
+
+def _shared_prints(keyed: DataFrame, owners: int) -> DataFrame:
+    """(print) of every fingerprint that more than one row has."""
+    schema = "owner long, block long, count long, rice int, code binary, repeated binary"
+    messages = materialize(keyed.select("print").mapInPandas(_sender(owners), schema))
+    answers = messages.groupBy("owner").applyInPandas(_answer, "block long, owner long, bitmap binary")
+    return materialize(messages.join(answers, ["block", "owner"]).mapInPandas(_told(owners), "print long").distinct())
+
+
+def _meet(rows: DataFrame, numbers: DataFrame, column: str, how: str, most: int) -> DataFrame:
+    """`rows` joined with the distinct stored `numbers` by a column: broadcast if there are few enough, else exchanged so that a hot one may be split."""
+    if numbers.count() <= most:
+        return rows.join(F.broadcast(numbers), column, how)
+    text = F.col(column).cast("string").alias("met_by")
+    keyed = numbers.select(text, *[c for c in numbers.columns if c != column])
+    return splittable_join(rows.withColumn("met_by", F.col(column).cast("string")), keyed, "met_by", how).drop("met_by")
 
 
-def _mark(facts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a block with `suspect`, and `copy`: how many equal rows (same id, same digest) came before."""
-    _, place, times = np.unique(facts["print"].to_numpy(), return_inverse=True, return_counts=True)
-    answers = answers.sort_values("owner")  # owners hold ascending ranges, so their bitmaps join up in print order
-    told = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(answers["bitmap"], answers["count"], strict=True)]
-    shared = np.concatenate(told).astype(bool)
-    marked = facts[["id", "no_id", "digest"]].assign(suspect=shared[place] | (times[place] > 1))
-    return marked.assign(copy=facts.groupby(["id", "no_id", "digest"]).cumcount().astype("int64"))
+def _decided(docs: DataFrame, owner_rows: int, most: int) -> DataFrame:
+    """One row per row of `docs`: id, no_id, digest, keep_id, size, kept."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), normalised(F.col("text")).alias("norm"))
+    keyed = keyed.withColumn("print", F.shiftrightunsigned(F.xxhash64("norm"), 64 - FINGERPRINT_BITS))
+    shared = _shared_prints(keyed, docs.count() // owner_rows + 1)
+
+    digest = F.sha2("norm", 256).alias("digest")
+    facts = keyed.select("id", digest, "print")
+    facts = _meet(facts, shared.withColumn("suspect", F.lit(True)), "print", "left", most)
+    facts = materialize(
+        facts.select(
+            F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), "digest",
+            F.coalesce("suspect", F.lit(False)).alias("suspect"), F.monotonically_increasing_id().alias("row"),
+        )
+    )
+    suspects = facts.filter("suspect")
+    # The bytes themselves are the grouping key; equal texts combine before the shuffle.
+    texts = _meet(keyed, shared, "print", "left_semi", most).select(digest, "norm").groupBy("digest", "norm").agg(F.lit(1).alias("one"))
+    if not texts.groupBy("digest").count().filter("count > 1").isEmpty():
+        raise ValueError("two different texts share one SHA-256 digest")
+    best = F.max(F.struct((~F.col("no_id")).alias("has_id"), F.col("id"), (-F.col("row")).alias("back")))
+    classes = materialize(suspects.groupBy("digest").agg(best.alias("best"), F.count("*").alias("size")))
+    met = splittable_join(suspects, classes, "digest")
+    own = F.when(~F.col("no_id"), F.col("id"))
+    grouped = met.select(
+        "id", "no_id", "digest", F.when(F.col("best.has_id"), F.col("best.id")).alias("keep_id"), "size", (F.col("row") == -F.col("best.back")).alias("kept")
+    )
+    alone = facts.filter("NOT suspect").select("id", "no_id", "digest", own.alias("keep_id"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"))
+    return alone.unionByName(grouped)
 
 
-def duplicates(docs: DataFrame, block_rows: int = BLOCK_ROWS, owner_rows: int = OWNER_ROWS) -> DataFrame:
+def duplicates(docs: DataFrame, owner_rows: int = OWNER_ROWS, most: int = MOST_BROADCAST) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the
@@ -104,61 +165,44 @@ def duplicates(docs: DataFrame, block_rows: int = BLOCK_ROWS, owner_rows: int =
     Rows that repeat id and text all count in group_size, and one of them is kept. An empty table gives
     no rows. Other columns of `docs` are not read.
     """
-    norm = normalised(F.col("text"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), norm.alias("norm"))
-    keyed = keyed.withColumn("digest", F.sha2("norm", 256))
-    prints = F.shiftrightunsigned(F.xxhash64("norm"), 64 - FINGERPRINT_BITS)
-    facts = materialize(
-        keyed.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), "digest", prints.alias("print"))
-    )
-    rows = facts.count()
-    blocks, owners = rows // block_rows + 1, rows // owner_rows + 1
-    # Rows that repeat an id meet in one block; those without one are spread by text.
-    spread = F.when(F.col("no_id"), F.col("print")).otherwise(F.col("id"))
-    facts = facts.withColumn("block", F.pmod(F.xxhash64(spread), F.lit(blocks)))
-    messages = facts.groupBy("block").applyInPandas(_sender(owners), "owner long, block long, count long, rice int, code binary")
-    answers = messages.groupBy("owner").applyInPandas(_answer, "block long, owner long, count long, bitmap binary")
-    marked = materialize(
-        facts.groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInPandas(_mark, "id long, no_id boolean, digest string, suspect boolean, copy long")
-    )
-    suspects = marked.filter("suspect").select("digest").distinct()
-    texts = splittable_join(keyed, suspects, "digest", "left_semi")
-    # The bytes themselves are the grouping key; equal texts combine before the shuffle.
-    groups = texts.groupBy("digest", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("size"))
-    classes = materialize(
-        groups.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("size").alias("size"), F.count("*").alias("texts"))
-    )
-    if not classes.filter("texts > 1").isEmpty():
-        raise ValueError("two different texts share one SHA-256 digest")
-    found = splittable_join(marked, classes.drop("texts").withColumn("grouped", F.lit(True)), "digest", "left")
     own = F.when(~F.col("no_id"), F.col("id"))
-    keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(own)
-    return found.select(
-        own.alias("doc_id"),
-        keep.alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (keep.eqNullSafe(own) & (F.col("copy") == 0)).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+    return _decided(docs, owner_rows, most).select(
+        own.alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept", F.col("digest").alias("text_sha256")
     )
 
 
-def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """Id and digest of a row in one text; null ids too."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), digest)
+
+
+def drop_duplicates(docs: DataFrame, owner_rows: int = OWNER_ROWS, most: int = MOST_BROADCAST) -> DataFrame:
     """The rows of `docs` that `duplicates` keeps, with all their columns."""
-    return keep_rows(docs, duplicates(docs, **options).filter("kept").select("doc_id", "text_sha256"))
+    found = materialize(_decided(docs, owner_rows, most))
+    key = row_key(F.when(~F.col("no_id"), F.col("id")), F.col("digest")).alias("key")
+    marks = found.filter("size > 1").groupBy(key).agg(F.bool_or("kept").alias("once"), F.bool_or(~F.col("kept")).alias("dropped"))
+    return leave_out(docs, marks.filter("dropped").select("key", "once"), most)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of `docs` whose (doc_id, text_sha256) is in `kept`, one for each.
+def leave_out(docs: DataFrame, marks: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """`docs` without the rows whose `row_key` is in `marks` (key, once); of those with `once` set, one row of each key stays.
 
-    Texts travel once; only rows that repeat an id and text meet again, and one of those stays.
+    Rows are first looked up by a hash of their key, so that only those that may be marked meet the marks in an exchange, and all others stay
+    where they are. Beyond `most` marks all rows meet them.
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    digest = F.sha2(normalised(F.col("text")), 256)
-    # Both parts in one text key: null ids join too.
-    key = lambda i, d: F.concat(F.coalesce(i.cast("string"), F.lit("-")), F.lit(":"), d)
-    rows = docs.select(key(F.col("doc_id"), digest).alias("key"), row)
-    wanted = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
-    left = rows.join(wanted, "key", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1))))
-    return left.filter("nth = 1").select("row.*")
+    keyed = docs.select(row_key(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)).alias("key"), row)
+    marks = materialize(marks)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        stay = splittable_join(rows, marks.select("key"), "key", "left_anti").select("row")
+        once = splittable_join(rows, marks.filter("once").select("key"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        return stay.unionByName(once.select("row"))
+
+    hashes = materialize(marks.select(F.xxhash64("key").alias("hash")).distinct())
+    if hashes.count() > most:
+        return judged(keyed).select("row.*")
+    hashed, near = keyed.withColumn("hash", F.xxhash64("key")), F.broadcast(hashes)
+    rest = hashed.join(near, "hash", "left_anti").select("row")
+    return rest.unionByName(judged(hashed.join(near, "hash", "left_semi").drop("hash"))).select("row.*")
