@@ -33,12 +33,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune_text(spark)
-    return mixing.mix(docs)
+    return mixing.mix(docs, weights=mixing.TARGETS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune_text(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), group_pieces=packing.ORDERED_PIECES, order=packing.stored_order(docs))
+    # Workers still hold what the stages before needed, so fewer words are remembered here.
+    path, order = public_tokenizers.path("word_bpe_49k.json"), packing.stored_order(docs)
+    return packing.pack(docs, path, group_pieces=packing.ORDERED_PIECES, order=order, remembered=300_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
