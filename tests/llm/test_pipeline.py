@@ -64,7 +64,7 @@ def test_each_stage_acts_on_what_the_one_before_kept(text_spark, folder):
     assert sorted(apart.doc_id) == sorted({c for c, _ in brute(rows).values()})
     # Mixing: every row stays once, in the order of the mix.
     assert sorted(mixed.doc_id) == sorted(apart.doc_id)
-    order = mixing.mixed(text_spark.createDataFrame(apart, DOC_SCHEMA)).toPandas().sort_values(["slot", "start"])
+    order = mixing.mixed(text_spark.createDataFrame(apart, DOC_SCHEMA), mixing.TARGETS).toPandas().sort_values(["slot", "start"])
     assert Counter(order.doc_id) == Counter(mixed.doc_id)
     assert pd.read_parquet(f"{folder}/mixing").doc_id.tolist() == order.doc_id.tolist()  # part files in their order
     packed = corpus_pipeline.STAGES[-1][1](text_spark, docs, folder).toPandas()

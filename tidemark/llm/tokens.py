@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+
+
+def give_back() -> None:
+    """Returns to the system what tasks before this one have freed; without it a worker stays as large as its largest task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def worker_memory(kind: str) -> dict:
@@ -18,6 +31,7 @@ def worker_memory(kind: str) -> dict:
     if kept.get("kind") != kind:
         kept.clear()
         kept["kind"] = kind
+    give_back()
     return kept
 
 
