@@ -40,7 +40,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     tune_text(spark)
     # Workers still hold what the stages before needed, so fewer words are remembered here.
     path, order = public_tokenizers.path("word_bpe_49k.json"), packing.stored_order(docs)
-    return packing.pack(docs, path, group_pieces=packing.ORDERED_PIECES, order=order, remembered=300_000)
+    return packing.pack(docs, path, group_pieces=packing.ORDERED_PIECES, order=order, remembered=50_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
