@@ -1,0 +1,227 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+from conftest import rows, weekdays
+from pyspark.sql import functions as F
+
+from tidemark.operators import basket, rebalance, sessions
+
+DAYS = weekdays(dt.date(2020, 1, 6), 170)
+RATES = {"spread": ((5e4, 0.02), (2e5, 0.01), (1e6, 0.004)), "tightest": 0.001, "commission": 0.0005, "impact": 0.1}
+
+
+def tables(spark, signals, prices, delist):
+    """Signals (ticker, session), prices (ticker, session, open, close, volume), delistings (ticker, day, recovery)."""
+    called = spark.createDataFrame([(k, t, None if t is None else DAYS[t]) for k, t in signals], "ticker string, entry_t long, entry_date date")
+    quoted = spark.createDataFrame([(k, DAYS[t], o, c, v) for k, t, o, c, v in prices], "ticker string, date date, open double, close double, volume double")
+    gone = None if delist is None else spark.createDataFrame(delist, "ticker string, delist_date date, recovery_value double")
+    return called, quoted, spark.createDataFrame([(d,) for d in DAYS], "date date"), gone
+
+
+def series(spark, signals, prices, delist=None, hold=3, capital=1e5):
+    called, quoted, calendar, gone = tables(spark, signals, prices, delist)
+    return rows(rebalance.monthly_series(called, quoted, calendar, hold, capital, gone), "month")
+
+
+def round_trip(adv, order):
+    width = RATES["tightest"]
+    for bound, w in reversed(RATES["spread"]):
+        width = w if adv is None or adv < bound else width
+    return width + 2 * RATES["commission"] + RATES["impact"] * (order / adv if adv else 1.0)
+
+
+def walked(signals, prices, delist, hold, capital):
+    """The same portfolio, session by session and name by name."""
+    opens = [t for t, d in enumerate(DAYS) if t == 0 or d.month != DAYS[t - 1].month]
+    ends = {}
+    for k, d, r in delist or ():
+        ends[k, d] = min(r, ends.get((k, d), r))
+    life_of = lambda k, day: sum(1 for key, d in ends if key == k and d <= day)
+    quotes = {(k, t): (o, c, v) for k, t, o, c, v in prices}
+    names = {}
+    for k, t in signals:
+        if k is None or t is None:
+            continue
+        asked = [m for m, r in enumerate(opens) if r >= t]
+        if asked:
+            names.setdefault((k, life_of(k, DAYS[t])), set()).add(asked[0])
+
+    def adv(k, t):
+        past = [quotes[k, u][1] * quotes[k, u][2] for u in range(t - 20, t) if (k, u) in quotes]
+        return sum(past) / len(past) if past else None
+
+    def fill(k, life, m):
+        stop = opens[m + 1] if m + 1 < len(opens) else len(DAYS) - 1
+        for t in range(opens[m] + 1, stop + 1):
+            if (k, t) in quotes and quotes[k, t][0] is not None and life_of(k, DAYS[t]) == life:
+                return t, quotes[k, t][0]
+
+    def recovery(k, life):
+        own = sorted((d, r) for (key, d), r in ends.items() if key == k)
+        if life < len(own):
+            at = [t for t, d in enumerate(DAYS) if d >= own[life][0]]
+            if at:
+                return sum(1 for r in opens if r < at[0]) - 1, own[life][1]
+        return None, None
+
+    months, state = [], {name: {"held": False, "mark": None, "ret": None} for name in names}
+    start = min((m for asked in names.values() for m in asked), default=None)
+    weights, last_gross = {}, 0.0
+    for m in range(start if start is not None else len(opens), len(opens) - 1):
+        row = {"month": DAYS[opens[m]], "entered": 0, "departed": 0, "stale": 0}
+        fills, was = {}, {n for n, s in state.items() if s["held"]}
+        for (k, life), s in state.items():
+            over, _ = recovery(k, life)
+            if over is not None and over < m:
+                s["held"] = False
+                continue
+            fills[k, life] = fill(k, life, m)
+            if fills[k, life]:
+                s["held"] = any(m - hold < a <= m for a in names[k, life])
+                s["mark"] = fills[k, life][1]
+        alive = {n for n in was if (recovery(*n)[0] is None or recovery(*n)[0] >= m)}
+        now = {n for n, s in state.items() if s["held"]}
+        row |= {"n": len(now), "entered": len(now - was), "departed": len(alive - now), "stale": sum(1 for n in now if not fills[n])}
+        traded = cost = 0.0
+        for n in now | alive:
+            if fills[n]:
+                moved = abs((1 / len(now) if n in now else 0.0) - weights.get(n, 0.0))
+                traded += moved
+                cost += moved * round_trip(adv(n[0], fills[n][0]), moved * capital) / 2
+        rets = {}
+        for n in now:
+            over, paid = recovery(*n)
+            later = fill(*n, m + 1)
+            exit_ = paid if over == m else later[1] if later else state[n]["mark"]
+            rets[n] = exit_ / state[n]["mark"] - 1
+        last_gross = sum(rets.values()) / len(rets) if rets else 0.0
+        weights = {n: (1 + r) / len(now) / (1 + last_gross) if last_gross > -1 else 0.0 for n, r in rets.items()}
+        months.append({**row, "traded": traded, "gross": last_gross, "cost": cost, "r": last_gross - cost})
+    # Months before the first position are not in the series.
+    while months and not months[0]["n"] and not months[0]["departed"]:
+        months.pop(0)
+    return months
+
+
+def same(got, want):
+    assert [r["month"] for r in got] == [r["month"] for r in want]
+    for a, b in zip(got, want):
+        for c in b:
+            assert a[c] == (pytest.approx(b[c], abs=1e-9) if isinstance(b[c], float) else b[c]), (b["month"], c)
+
+
+def market(seed, missing):
+    rng = random.Random(seed)
+    prices, signals = [], []
+    for k in "ABCDEF":
+        price = 50.0
+        for t in range(len(DAYS)):
+            price *= 1 + rng.uniform(-0.05, 0.05)
+            if rng.random() > missing:
+                prices.append((k, t, None if rng.random() < 0.05 else price * 0.99, price, rng.choice([1e2, 1e4, 1e5])))
+        signals += [(k, rng.randrange(len(DAYS))) for _ in range(3)] * 2
+    quiet = {("F", m) for m in (3, 4)}  # no print at all in two months
+    return signals + [(None, 3), ("A", None), ("Z", 5)], [p for p in prices if (p[0], DAYS[p[1]].month) not in quiet]
+
+
+@pytest.mark.parametrize("seed, missing", [(1, 0.0), (2, 0.6), (3, 0.96)])
+def test_series_equals_a_walk_through_time(spark, seed, missing):
+    signals, prices = market(seed, missing)
+    same(series(spark, signals, prices), walked(signals, prices, None, 3, 1e5))
+
+
+@pytest.mark.parametrize("seed, missing", [(4, 0.1), (5, 0.9)])
+def test_delisted_names_are_paid_out_and_used_again(spark, seed, missing):
+    signals, prices = market(seed, missing)
+    delist = [("A", DAYS[60], 10.0), ("A", DAYS[60], 30.0), ("B", dt.date(2020, 3, 7), 0.0), ("B", DAYS[120], 20.0), ("C", dt.date(2031, 1, 1), 1.0), ("D", DAYS[41], None)]
+    plain = [(k, d, r or 0.0) for k, d, r in delist]
+    same(series(spark, signals, prices, delist, hold=2), walked(signals, prices, plain, 2, 1e5))
+
+
+def test_an_order_waits_for_a_print_and_lapses_with_its_signal(spark):
+    # Nothing from February to the first of April, whose print would still fill an order of March.
+    steady = [("T", t, 10.0, 10.0, 1e6) for t in range(len(DAYS)) if not dt.date(2020, 2, 1) <= DAYS[t] <= dt.date(2020, 4, 1)]
+    assert sum(r["n"] for r in series(spark, [("T", 15)], steady, hold=2)) == 0  # asked for in February and March only
+    late = series(spark, [("T", 15)], steady, hold=4)
+    assert [(r["month"].month, r["n"], r["entered"]) for r in late if r["n"]] == [(4, 1, 1), (5, 1, 0)]
+    stuck = series(spark, [("T", 0)], steady, hold=1)  # bought in January, sold at the first print after March
+    assert [(r["month"].month, r["n"], r["stale"]) for r in stuck if r["n"]] == [(1, 1, 0), (2, 1, 1), (3, 1, 1)]
+
+
+def test_no_signal_is_no_series(spark):
+    prices = [("T", t, 10.0, 10.0, 1e6) for t in range(50)]
+    assert series(spark, [], prices) == [] and series(spark, [("T", None)], prices) == []
+    assert rebalance.series_report(spark.createDataFrame([], "month date, n long, traded double, cost double, r double")).first().months == 0
+
+
+def test_fills_come_after_the_rebalance(spark):
+    called, quoted, calendar, _ = tables(spark, *market(7, 0.3), None)
+    periods = {r.t: r for r in rebalance.rebalance_periods(sessions.numbered_sessions(calendar)).collect()}
+    held = rebalance.positions(called, quoted, calendar, 3).filter("fill IS NOT NULL").collect()
+    opens = sorted(t for t, r in periods.items() if r.opens)
+    assert held and all(opens[r.m] < r.fill.t <= opens[r.m + 1] for r in held)
+
+
+def test_capacity_equals_costing_every_trade(spark):
+    rng = random.Random(3)
+    data = [
+        (dt.date(2020, 1 + i % 5, 1 + i % 28), None if i % 17 == 0 else rng.uniform(-0.2, 0.3), rng.choice([None, 0.0, 3e4, 1.5e5, 8e5, 3e6]))
+        for i in range(300)
+    ]
+    trades = spark.createDataFrame(data, "entry_date date, ret_x double, adv double")
+    sizes = (100.0, 1e4, 1e8)
+    got = {r.position: r for r in basket.capacity_curve(trades, "ret_x", sizes).collect()}
+    assert set(got) == set(sizes)
+    for size in sizes[:2]:
+        priced = basket.net_returns(trades, "x", size)
+        report = basket.performance(priced, "net_x").first()
+        mean = priced.agg(F.avg("net_x")).first()[0]
+        for c in ("months", "trades", "cagr", "sharpe", "max_drawdown"):
+            assert getattr(got[size], c) == pytest.approx(getattr(report, c))
+        assert got[size].mean_net == pytest.approx(mean)
+    kept = [a for _, r, a in data if r is not None]
+    assert [got[s].fillable for s in sizes] == [pytest.approx(sum(1 for a in kept if a and a * 0.01 >= s) / len(kept)) for s in sizes]
+    even = got[100.0].break_even
+    assert even > 0 and basket.net_returns(trades, "x", even).agg(F.avg("net_x")).first()[0] == pytest.approx(0.0, abs=1e-9)
+    assert got[1e8].cagr == -1.0 and got[1e8].max_drawdown == -1.0  # no month loses more than everything
+
+
+def test_capacity_of_nothing_and_of_unknown_turnover(spark):
+    empty = spark.createDataFrame([], "entry_date date, ret_x double, adv double")
+    assert basket.capacity_curve(empty, "ret_x", (1.0,)).count() == 0
+    unknown = spark.createDataFrame([(dt.date(2020, 1, 2), 0.5, None)], "entry_date date, ret_x double, adv double")
+    [one] = basket.capacity_curve(unknown, "ret_x", (1.0,)).collect()
+    assert one.break_even is None and one.fillable == 0.0 and one.mean_net == pytest.approx(0.5 - 0.02 - 0.001 - 0.1)
+
+
+def test_exit_settings_are_chosen_on_settled_years(spark):
+    rng = random.Random(11)
+    days = weekdays(dt.date(2018, 1, 1), 800)
+    closes, price = [], 20.0
+    for _ in days:
+        price = max(1.0, price * (1 + rng.gauss(0.001, 0.06)))
+        closes.append(price)
+    px = spark.createDataFrame([("T", t, c) for t, c in enumerate(closes) if t % 9], "ticker string, t long, close double")
+    picks = [(t, days[t], 1 + t % 3) for t in range(0, 780, 4)]
+    entries = spark.createDataFrame([("T", t, d, w) for t, d, w in picks], "ticker string, entry_t long, entry_date date, weight long")
+    settings, hold, embargo = ((0.1, 0.1, 0.3), (0.05, 0.2, 0.1), (0.1, 0.1, 0.3)), 20, 35
+    got = {(r.fold, r.rule): r for r in basket.exit_walk_forward(entries, px, hold, settings, embargo).collect()}
+    exits = [{r.entry_t: r for r in basket.exit_overlays(px, hold, *s).collect()} for s in settings]
+
+    def mean(setting, rule, keep):
+        gains = [(w, getattr(exits[setting][t], rule) - exits[setting][t].fixed) for t, d, w in picks
+                 if keep(d) and t in exits[setting] and getattr(exits[setting][t], rule) is not None and exits[setting][t].fixed is not None]
+        n = sum(w for w, _ in gains)
+        return n, sum(w * g for w, g in gains) / n if n else None
+
+    assert {f for f, _ in got} == {2019, 2020}
+    for (fold, rule), r in got.items():
+        trained = [mean(i, rule, lambda d: d + dt.timedelta(days=embargo) < dt.date(fold, 1, 1)) for i in range(3)]
+        best = max(range(3), key=lambda i: (trained[i][1], -i))
+        assert r.setting == best and r.setting != 2  # the repeated setting never wins its tie
+        assert (r.n_train, r.train_gain) == (trained[best][0], pytest.approx(trained[best][1]))
+        n, gain = mean(best, rule, lambda d: d.year == fold)
+        assert (r.n_test, r.test_gain) == (n, pytest.approx(gain))

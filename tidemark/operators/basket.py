@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,12 +44,13 @@ def spread(adv: Column) -> Column:
     return cost.otherwise(TIGHTEST_SPREAD)
 
 
-def trading_cost(adv: Column, position: float, width: Column | None = None) -> Column:
+def trading_cost(adv: Column, position: float | Column, width: Column | None = None) -> Column:
     """Spread by liquidity, commission both ways, impact by the share of daily turnover.
 
     A name without known turnover pays the widest spread and full impact. ``width`` is a spread found elsewhere, as by ``with_spreads``.
     """
-    participation = F.coalesce(F.try_divide(F.lit(float(position)), adv), F.lit(1.0))
+    size = position if isinstance(position, Column) else F.lit(float(position))
+    participation = F.coalesce(F.try_divide(size, adv), F.lit(1.0))
     return (spread(adv) if width is None else width) + F.lit(2 * COMMISSION) + F.lit(IMPACT) * participation
 
 
@@ -207,24 +209,67 @@ def performance(trades: DataFrame, value: str, participation: float = 0.01) -> D
             F.sum(F.coalesce(F.col("adv"), F.lit(0.0)) * participation).alias("room"),
         )
     )
-    in_order = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    path = months.withColumn("equity", F.product(1 + F.col("r")).over(in_order)).withColumn(
+    return with_equity(months).agg(
+        *series_stats(),
+        F.sum("n").alias("trades"),
+        (F.sum("wins") / F.sum("n")).alias("hit_rate"),
+        F.avg("n").alias("turnover"),
+        F.avg("room").alias("capacity"),
+    )
+
+
+def with_equity(months: DataFrame, *by: str) -> DataFrame:
+    """Months with return ``r``, in order: adds what one unit has come to, and the highest it has been."""
+    in_order = Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return months.withColumn("equity", F.product(1 + F.col("r")).over(in_order)).withColumn(
         "peak", F.greatest(F.lit(1.0), F.max("equity").over(in_order))
     )
-    return path.agg(
+
+
+def series_stats() -> list[Column]:
+    """Aggregates over ``with_equity``: months, CAGR, Sharpe, largest drawdown."""
+    return [
         F.count(F.lit(1)).alias("months"),
-        F.sum("n").alias("trades"),
         (F.pow(F.product(1 + F.col("r")), F.lit(12.0) / F.count(F.lit(1))) - 1).alias("cagr"),
         (F.try_divide(F.avg("r"), F.stddev("r")) * F.sqrt(F.lit(12.0))).alias("sharpe"),
         F.min(F.col("equity") / F.col("peak") - 1).alias("max_drawdown"),
-        (F.sum("wins") / F.sum("n")).alias("hit_rate"),
-        F.avg("n").alias("turnover"),
-        F.avg("room").alias("capacity"),
+    ]
+
+
+def capacity_curve(trades: DataFrame, value: str, positions: Sequence[float], participation: float = 0.01) -> DataFrame:
+    """One row per position size: what monthly cohorts earn net of costs when every trade has that size.
+
+    Impact is linear in the position, so a month folds to its mean return before impact and its mean impact per unit of position, and all
+    sizes are worked out on months. ``fillable`` is the share of trades whose position is at most ``participation`` of the name's daily turnover; ``break_even`` is the size at which
+    the mean trade earns nothing (0 if it loses at any size, null if no size matters). Names without known turnover pay full impact at any size, and are never
+    fillable. A month loses no more than everything.
+    """
+    adv = F.col("adv")
+    known = adv > 0
+    width = F.col("spread") if "spread" in trades.columns else spread(adv)
+    before = F.col(value) - width - F.lit(2 * COMMISSION) - F.when(known, 0.0).otherwise(IMPACT)
+    fits = [F.count_if(adv * participation >= float(p)).alias(f"fits_{i}") for i, p in enumerate(positions)]
+    months = (
+        trades.filter(F.col(value).isNotNull())
+        .groupBy(F.trunc("entry_date", "MM").alias("month"))
+        .agg(F.count(F.lit(1)).alias("n"), F.avg(before).alias("base"), F.avg(F.when(known, IMPACT / adv).otherwise(0.0)).alias("slope"), *fits)
+    )
+    sizes = F.array(*[F.struct(F.lit(float(p)).alias("position"), F.col(f"fits_{i}").alias("fits")) for i, p in enumerate(positions)])
+    sized = months.select("month", "n", "base", "slope", F.inline(sizes)).withColumn("net", F.col("base") - F.col("slope") * F.col("position"))
+    path = with_equity(sized.withColumn("r", F.greatest(F.col("net"), F.lit(-1.0))), "position")
+    mean = lambda c: F.try_divide(F.sum(F.col("n") * F.col(c)), F.sum("n"))
+    worth = F.try_divide(F.sum(F.col("n") * F.col("base")), F.sum(F.col("n") * F.col("slope")))
+    return path.groupBy("position").agg(
+        *series_stats(),
+        F.sum("n").alias("trades"),
+        F.try_divide(F.sum("fits"), F.sum("n")).alias("fillable"),
+        mean("net").alias("mean_net"),
+        F.when(worth.isNotNull(), F.greatest(worth, F.lit(0.0))).alias("break_even"),
     )
 
 
-def terminal_prints(px: DataFrame, delistings: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Session prices with each delisting as a last print, at its recovery: adds ``life`` and ``terminal``.
+def terminal_prints(px: DataFrame, delistings: DataFrame, calendar: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Session prices with each delisting as a last print, at its recovery: adds ``life`` and ``terminal``, keeps ``carry`` (null in last prints).
 
     The print stands at the first session on or after the delisting; past the calendar's end there is none. A ticker's prints from that
     day on belong to its next life, as in the panel, where an entry on the day itself meets the delisting after.
@@ -234,10 +279,10 @@ def terminal_prints(px: DataFrame, delistings: DataFrame, calendar: DataFrame) -
     )
     ends = sessions.first_tradable_session(daily.filter(F.col("filing_date").isNotNull()), calendar).filter(F.col("entry_t").isNotNull())
     ends = ends.select("ticker", F.col("entry_t").cast("long").alias("t"), F.col("filing_date").alias("day"), "close", F.lit(1).alias("ends"))
-    prints = px.select("ticker", "t", F.col("cal_date").alias("day"), "close", F.lit(0).alias("ends"))
+    prints = px.select("ticker", "t", F.col("cal_date").alias("day"), "close", F.lit(0).alias("ends"), *carry)
     so_far = Window.partitionBy("ticker").orderBy("day", F.desc("ends")).rowsBetween(Window.unboundedPreceding, 0)
-    return prints.unionByName(ends).select(
-        "ticker", "t", "close", (F.sum("ends").over(so_far) - F.col("ends")).alias("life"), (F.col("ends") == 1).alias("terminal")
+    return prints.unionByName(ends, allowMissingColumns=True).select(
+        "ticker", "t", "close", (F.sum("ends").over(so_far) - F.col("ends")).alias("life"), (F.col("ends") == 1).alias("terminal"), *carry
     )
 
 
@@ -327,33 +372,77 @@ def exit_overlays(
     Fixed hold is the baseline. The trailing stop arms at +``activate``. Scale-out sells half on
     a double and leaves the rest under a wide trail that the double arms.
     """
-    entry = F.col("entry_close")
     walked = forward_paths(px, hold, entries).withColumn(
-        "end", _follow(F.col("path"), entry, activate, trail, wide_trail)
+        "end", _follow(F.col("path"), F.col("entry_close"), activate, trail, wide_trail)
     )
-    fixed = simple_return(entry, F.col("hold_close"))
-
-    def filled(hit: str, fill: str) -> Column:
-        return F.when(F.col(f"end.{hit}"), simple_return(entry, F.col(f"end.{fill}"))).otherwise(fixed)
-
-    half = simple_return(entry, F.col("end.double_fill"))
-    scaled = F.when(F.col("end.doubled"), (half + filled("released", "rest_fill")) / 2)
+    fixed, trailing_stop, scale_out = _exit_returns("end")
     return walked.select(
         "ticker",
         "entry_t",
         fixed.alias("fixed"),
-        filled("stopped", "stop_fill").alias("trailing_stop"),
-        scaled.otherwise(fixed).alias("scale_out"),
+        trailing_stop.alias("trailing_stop"),
+        scale_out.alias("scale_out"),
         F.col("end.stopped").alias("stopped"),
         F.col("end.doubled").alias("doubled"),
     )
 
 
-def entry_counts(placed: DataFrame) -> DataFrame:
-    """(ticker, entry_t, weight): a crowded session becomes one row."""
+def _exit_returns(end: str) -> tuple[Column, Column, Column]:
+    """Fixed hold, trailing stop and scale-out of a walked path."""
+    entry = F.col("entry_close")
+    fixed = simple_return(entry, F.col("hold_close"))
+
+    def filled(hit: str, fill: str) -> Column:
+        return F.when(F.col(f"{end}.{hit}"), simple_return(entry, F.col(f"{end}.{fill}"))).otherwise(fixed)
+
+    half = simple_return(entry, F.col(f"{end}.double_fill"))
+    scaled = F.when(F.col(f"{end}.doubled"), (half + filled("released", "rest_fill")) / 2)
+    return fixed, filled("stopped", "stop_fill"), scaled.otherwise(fixed)
+
+
+def exit_walk_forward(
+    entries: DataFrame, px: DataFrame, hold: int, settings: Sequence[tuple[float, float, float]], embargo_days: int
+) -> DataFrame:
+    """(fold, rule, setting, n_train, train_gain, n_test, test_gain): exit rules out of sample, against the fixed hold.
+
+    ``entries`` are (ticker, entry_t, entry_date, weight); a setting is (activate, trail, wide_trail) and goes by its place. Each year, either
+    rule takes the setting that gained most over the fixed hold on entries settled before it (``embargo_days`` after entry, which
+    should cover the hold; ties go to the earlier setting), and is tested on the year's entries. Gains are over entries where both
+    exits are known. Years without training, or without a test, are left out. Paths are built once for all settings, and entries fold to days before they are spread over years.
+    """
+    walked = forward_paths(px, hold, entries)
+    ends = {f"end_{i}": _follow(F.col("path"), F.col("entry_close"), *s) for i, s in enumerate(settings)}
+    cells = []
+    for i, end in enumerate(ends):
+        fixed, stop, scaled = _exit_returns(end)
+        for rule, exit_ in (("trailing_stop", stop), ("scale_out", scaled)):
+            cells.append(F.struct(F.lit(rule).alias("rule"), F.lit(i).cast("long").alias("setting"), (exit_ - fixed).alias("gain")))
+    gains = walked.withColumns(ends).select("ticker", "entry_t", F.inline(F.array(*cells))).filter(F.col("gain").isNotNull())
+    daily = materialize(
+        gains.join(entries, ["ticker", "entry_t"])
+        .groupBy("rule", "setting", "entry_date")
+        .agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("gain")).alias("total"))
+    )
+    year = F.year("entry_date")
+    final = daily.agg(F.max(year)).scalar()
+    settled = F.date_add("entry_date", embargo_days) < F.make_date("fold", F.lit(1), F.lit(1))
+    sided = daily.withColumn("fold", F.explode(F.sequence(year, final))).withColumn("side", F.when(F.col("fold") == year, "test").when(settled, "train"))
+    of = lambda side, c: F.sum(F.when(F.col("side") == side, F.col(c)))
+    wide = sided.groupBy(F.col("fold").cast("long").alias("fold"), "rule", "setting").agg(
+        of("train", "n").alias("n_train"), F.try_divide(of("train", "total"), of("train", "n")).alias("train_gain"),
+        of("test", "n").alias("n_test"), F.try_divide(of("test", "total"), of("test", "n")).alias("test_gain"),
+    )
+    chosen = wide.filter(F.col("n_train") > 0).groupBy("fold", "rule").agg(
+        F.max_by(F.struct("setting", "n_train", "train_gain", "n_test", "test_gain"), F.struct("train_gain", -F.col("setting"))).alias("best")
+    )
+    return chosen.select("fold", "rule", "best.*").filter(F.col("n_test") > 0)
+
+
+def entry_counts(placed: DataFrame, *carry: str) -> DataFrame:
+    """(ticker, entry_t, weight): a crowded session becomes one row. ``carry`` names columns that the session fixes, as its date."""
     return (
         placed.filter(F.col("ticker").isNotNull() & F.col("entry_t").isNotNull())
-        .groupBy("ticker", F.col("entry_t").cast("long").alias("entry_t"))
+        .groupBy("ticker", F.col("entry_t").cast("long").alias("entry_t"), *carry)
         .agg(F.count(F.lit(1)).alias("weight"))
     )
 
