@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.registry import query, r9, study_events, study_panel, unplanned_events
 from tidemark.fixtures import Tables
 from tidemark.functions import returns
-from tidemark.operators import bootstrap, flatten, ladder, listings, sessions
+from tidemark.operators import adjust, bootstrap, flatten, ladder, listings, sessions
 from tidemark.oracle import CTES
 from tidemark.plans import curve as curves
 from tidemark.plans import matched, study
@@ -148,6 +148,43 @@ def v3_delist(t: Tables) -> DataFrame:
     return study_panel(t, delistings=t.delistings())
 
 
+_ADJUSTED = {
+    "actions": "SELECT 'BR' || chr(CAST(65 + o_custkey % 28 AS INTEGER)) AS ticker, CAST(o_orderdate AS DATE) AS ex_date, "
+    "CASE o_orderkey % 400 WHEN 0 THEN 2.0::DOUBLE WHEN 200 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS split, "
+    "CASE WHEN o_orderkey % 1000 = 25 THEN o_totalprice WHEN o_orderkey % 100 = 50 THEN o_totalprice / 1000 ELSE 0 END AS dividend "
+    "FROM orders WHERE o_custkey % 28 < 25 AND o_orderkey % 25 = 0",
+    "day_actions": "SELECT ticker, ex_date, product(split) AS split, sum(dividend) AS dividend FROM actions GROUP BY 1, 2",
+    "quotes": CTES["px"],
+    "valued_actions": "SELECT a.*, q.close AS last_close FROM day_actions a ASOF LEFT JOIN quotes q ON q.ticker = a.ticker AND a.ex_date > q.date",
+    "factors": "SELECT q.ticker, q.date, coalesce(list_product(list(1.0::DOUBLE / v.split * CASE WHEN v.dividend < v.last_close THEN 1 - v.dividend / v.last_close ELSE 1 END ORDER BY v.ex_date DESC)), 1) AS factor, "
+    "coalesce(product(v.split), 1) AS shares FROM quotes q LEFT JOIN valued_actions v ON v.ticker = q.ticker AND v.ex_date > q.date GROUP BY 1, 2",
+    "px": "SELECT q.ticker, q.date, q.open * f.factor AS open, q.close * f.factor AS close, q.volume * f.shares AS volume, f.factor "
+    "FROM quotes q JOIN factors f ON f.ticker = q.ticker AND f.date = q.date",
+}
+
+
+@query("r4_adjusted", "SELECT ticker, date, round(open, 7) AS open, round(close, 7) AS close, round(volume, 7) AS volume, round(factor, 9) AS factor FROM px", **_ADJUSTED)
+def r4_adjusted(t: Tables) -> DataFrame:
+    adjusted = adjust.adjusted_prices(t.prices(), t.corporate_actions())
+    return adjusted.select("ticker", "date", *[F.round(c, 7).alias(c) for c in ("open", "close", "volume")], r9("factor"))
+
+
+@query("r4_unbooked", "SELECT ticker, ex_date AS date, round(dividend, 4) AS dividend, round(last_close, 4) AS last_close FROM valued_actions WHERE dividend >= last_close", **_ADJUSTED)
+def r4_unbooked(t: Tables) -> DataFrame:
+    return adjust.unbooked_dividends(t.prices(), t.corporate_actions()).select("ticker", "date", *[F.round(c, 4).alias(c) for c in ("dividend", "last_close")])
+
+
+@query(
+    "v2_total_return",
+    "SELECT accession, txn_sk, ticker, entry_date, priced, " + ", ".join(f"round(ret_{h}, 9) AS ret_{h}, round(abn_{h}, 9) AS abn_{h}" for h in HORIZONS) + " FROM wide",
+    **_ADJUSTED,
+)
+def v2_total_return(t: Tables) -> DataFrame:
+    """The panel of returns with splits and dividends in them."""
+    panel = abnormal_returns(study_events(t), adjust.adjusted_prices(t.prices(), t.corporate_actions()), t.benchmark())
+    return panel.select("accession", "txn_sk", "ticker", "entry_date", "priced", *[r9(f"{k}_{h}") for h in HORIZONS for k in ("ret", "abn")])
+
+
 _LISTED = {
     "lives": "SELECT * FROM (VALUES ('BRX', 'ID-X1', DATE '1990-01-01', DATE '1997-03-03'), ('BRX', 'ID-X2', DATE '1997-03-03', DATE '1999-06-01'), ('BRX', 'ID-X3', DATE '1999-06-01', NULL), "
     "('BRC', 'ID-BRC', DATE '1990-01-01', DATE '1998-01-01'), ('BRD', 'ID-BRD', DATE '1990-01-01', DATE '1998-01-01'), ('BRD', 'ID-BRC', DATE '1998-01-01', NULL)) AS l(ticker, id, since, until) "

@@ -171,6 +171,16 @@ class Tables:
         ]
         return self.spark.createDataFrame(rows, DELISTING_SCHEMA)
 
+    def corporate_actions(self) -> DataFrame:
+        """Splits and dividends on the days of some orders; a few dividends are larger than the price."""
+        key, letter = F.col("o_orderkey"), F.col("o_custkey") % 28
+        return self.raw("orders").filter((letter < 25) & (key % 25 == 0)).select(
+            F.concat(F.lit("BR"), F.char(letter + 65)).alias("ticker"),
+            F.col("o_orderdate").cast("date").alias("ex_date"),
+            F.when(key % 400 == 0, 2.0).when(key % 400 == 200, 0.5).alias("split"),
+            F.when(key % 1000 == 25, F.col("o_totalprice")).when(key % 100 == 50, F.col("o_totalprice") / 1000).alias("dividend"),
+        )
+
     def listings(self) -> DataFrame:
         """One ticker with three lives, and one that takes over the ticker of another; all others are listed throughout."""
         day = dt.date
