@@ -7,13 +7,13 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.catalog.registry import flat_rows, query
+from tidemark.catalog.registry import flat_rows, query, unplanned_events
 from tidemark.fixtures import Tables
 from tidemark.functions import signals
 from tidemark.plans import events as event_plans
 from tidemark.schemas import EVENT_COLUMNS, RAW_COLUMNS
 from tidemark.session import materialize, scratch_path
-from tidemark.sources import filings, index, landed_quarters, quarters, store
+from tidemark.sources import filings, histories, index, landed_quarters, quarters, store
 from tidemark.streaming import corrections, feed, landed
 
 LATE_BEFORE = dt.date(1996, 1, 1)
@@ -262,3 +262,75 @@ def t2_late_count(t: Tables) -> DataFrame:
     taken = corrections.latest_partials(versions).agg(F.coalesce(F.sum("n_reporting_owners"), F.lit(0)).alias("n"))
     count = lambda rows: rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     return taken.select(F.col("n").alias("in_time"), count(late).alias("late"), count(undated).alias("undated"))
+
+
+_HISTORY_SQL = (
+    "SELECT CAST(CAST(ISSUERCIK AS BIGINT) AS VARCHAR) AS cik, ACCESSION_NUMBER AS accession, DOCUMENT_TYPE AS form_type, "
+    "CAST(try_strptime(FILING_DATE, '%d-%b-%Y') AS DATE) AS filing_date, CAST(strptime(PERIOD_OF_REPORT, '%d-%b-%Y') AS DATE) AS period_of_report FROM sub"
+)
+
+
+def _landed_histories(t: Tables) -> DataFrame:
+    """Every issuer's and every owner's filings, written as histories, a line each; those of one filer and month are one line."""
+    path = scratch_path(t.spark, "histories")
+    day = lambda c: F.coalesce(F.date_format(signals.filing_day(F.col(c)), "yyyy-MM-dd"), F.lit(""))
+    listed = t.submissions().select(
+        "ACCESSION_NUMBER", "ISSUERCIK", F.col("DOCUMENT_TYPE").alias("form"), day("FILING_DATE").alias("filingDate"), day("PERIOD_OF_REPORT").alias("reportDate")
+    )
+    owned = listed.join(t.owners(), "ACCESSION_NUMBER").select(F.concat(F.lit("9"), F.lpad("RPTOWNERCIK", 12, "0")).alias("cik"), *listed.columns)
+    rows = listed.withColumn("cik", F.col("ISSUERCIK")).unionByName(owned)
+    fields = ("ACCESSION_NUMBER", "form", "filingDate", "reportDate")
+    lists = rows.groupBy("cik", F.substring("reportDate", 1, 7).alias("month")).agg(F.collect_list(F.struct(*fields)).alias("f"))
+    recent = F.struct(
+        F.col("f.ACCESSION_NUMBER").alias("accessionNumber"), F.col("f.form").alias("form"), F.col("f.filingDate").alias("filingDate"), F.col("f.reportDate").alias("reportDate")
+    )
+    lists.select("cik", F.struct(recent.alias("recent")).alias("filings")).write.json(path)
+    return histories.read_filing_histories(t.spark, path, lines=True)
+
+
+@query("r9_histories", _HISTORY_SQL + " UNION ALL SELECT '9' || lpad(RPTOWNERCIK, 12, '0'), accession, form_type, filing_date, period_of_report FROM own JOIN listed ON accession = ACCESSION_NUMBER", listed=_HISTORY_SQL)
+def r9_histories(t: Tables) -> DataFrame:
+    return _landed_histories(t).select("cik", "accession", "form_type", "filing_date", "period_of_report")
+
+
+@query(
+    "r9_unpublished",
+    "SELECT accession, filing_date, period_of_report, 1 + (SELECT count(DISTINCT RPTOWNERCIK) FROM own WHERE ACCESSION_NUMBER = accession) AS filers "
+    "FROM listed WHERE form_type = '4' AND NOT (filing_date IS NOT NULL AND filing_date <= DATE '1999-12-31')",
+    listed=_HISTORY_SQL,
+)
+def r9_unpublished(t: Tables) -> DataFrame:
+    """What histories add to tables that end with a quarter."""
+    published = t.submissions().filter(signals.filing_day(F.col("FILING_DATE")) <= F.lit(QUARTER_END))
+    return histories.unpublished(_landed_histories(t), published)
+
+
+def _landed_ticker_map(t: Tables) -> DataFrame:
+    """Companies with an even number are quoted, every sixth under two tickers; a line holds at most a thousand."""
+    path = scratch_path(t.spark, "tickers")
+    key = F.col("c_custkey")
+    quoted = t.raw("customer").filter(key % 2 == 0).select(key, F.explode(F.when(key % 6 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))).alias("nth"))
+    entry = F.struct(key.alias("cik_str"), F.concat(F.lit("BR"), F.char((key + F.col("nth")) % 25 + 65)).alias("ticker"), F.lit("Co").alias("title"))
+    objects = quoted.groupBy(F.expr("c_custkey DIV 1000")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct((key * 2 + F.col("nth")).cast("string").alias("key"), entry.alias("value"))))).alias("value")
+    )
+    objects.select("value").write.text(path)
+    return histories.read_ticker_map(t.spark, path, lines=True)
+
+
+_MAPPED = "SELECT CAST(c_custkey AS VARCHAR) AS cik, 'BR' || chr(CAST(65 + (c_custkey + nth) % 25 AS INTEGER)) AS ticker, c_custkey * 2 + nth AS place FROM customer, range(2) AS r(nth) WHERE c_custkey % 2 = 0 AND (nth = 0 OR c_custkey % 6 = 0)"
+
+
+@query("r9_ticker_map", _MAPPED)
+def r9_ticker_map(t: Tables) -> DataFrame:
+    return _landed_ticker_map(t).select("cik", "ticker", "place")
+
+
+@query(
+    "v6_filled_tickers",
+    "SELECT accession, txn_sk, CASE WHEN bad AND m.ticker IS NOT NULL THEN m.ticker ELSE e.ticker END AS ticker, bad AND m.ticker IS NOT NULL AS ticker_filled "
+    "FROM (SELECT *, NOT coalesce(regexp_matches(ticker, '^[A-Za-z.]+$'), false) AS bad FROM ev) e LEFT JOIN (SELECT cik, arg_min(ticker, place) AS ticker FROM mapped GROUP BY 1) m ON m.cik = e.issuer_cik",
+    mapped=_MAPPED,
+)
+def v6_filled_tickers(t: Tables) -> DataFrame:
+    return histories.fill_tickers(unplanned_events(t), _landed_ticker_map(t)).select("accession", "txn_sk", "ticker", "ticker_filled")
