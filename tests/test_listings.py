@@ -96,3 +96,45 @@ def test_size_matched_returns_equal_brute_force(spark):
             assert r.abn_1w == pytest.approx(own - sum(peers) / len(peers))
         else:
             assert r.abn_1w is None
+
+
+def test_thin_groups_fall_back_to_the_sector(spark):
+    rng = random.Random(8)
+    days = weekdays(on(2020), 45)
+    names = [f"T{k}" for k in range(16)]
+    prices = {(n, t): rng.uniform(5, 50) for n in names for t in range(45) if rng.random() < 0.8}
+    sectors = [(n, on(2019, 6, 3), "x" if k < 9 else "y" if k < 14 else None) for k, n in enumerate(names)] + [("T0", on(2020, 2, 3), "y")]
+    sizes = [(n, on(2020, 1, 1), float(k * 7 % 16)) for k, n in enumerate(names) if k != 3]
+    events = [(f"a{i}", n, d) for i, (n, d) in enumerate((n, d) for n in [*names, "none"] for d in days)]
+    got = matched.sector_matched_returns(
+        spark.createDataFrame([(a, 1, n, d) for a, n, d in events], "accession string, txn_sk long, ticker string, filing_date date"),
+        spark.createDataFrame([(n, days[t], c) for (n, t), c in prices.items()], "ticker string, date date, close double"),
+        spark.createDataFrame([(d, 1.0) for d in days], "date date, close double"),
+        spark.createDataFrame(sectors, "ticker string, effective_date date, sector string"),
+        spark.createDataFrame(sizes, "ticker string, effective_date date, size double"), bands=2, min_names=3, horizons={"1w": 5},
+    )
+    middle = statistics.median(s for _, _, s in sizes)
+    band = {n: 1 + (s > middle) for n, _, s in sizes}
+
+    def sector(n, t):
+        first = dict((m, s) for m, _, s in sectors[:-1])[n]
+        return "y" if n == "T0" and days[t].month > 2 else first  # known on 3 February, in force from March
+
+    def ret(n, t):
+        return prices[n, t + 5] / prices[n, t] - 1 if (n, t) in prices and (n, t + 5) in prices else None
+
+    found, used = {r.accession: r for r in got.collect()}, set()
+    assert len(found) == len(events)
+    for a, n, day in events:
+        t, r = days.index(day), found[a]
+        own = ret(n, t) if n != "none" else None
+        if own is None or sector(n, t) is None:
+            assert r.abn_1w is None
+            continue
+        peers = {m: x for m in names if sector(m, t) == sector(n, t) and (x := ret(m, t)) is not None}
+        close = [x for m, x in peers.items() if n in band and band.get(m) == band[n]]
+        group = close if len(close) >= 3 else list(peers.values()) if len(peers) >= 3 else None
+        used.add("none" if group is None else "band" if group is close else "sector")
+        assert (r.sector, r.band) == (sector(n, t), band.get(n))
+        assert r.abn_1w == (pytest.approx(own - sum(group) / len(group)) if group else None)
+    assert {"band", "sector"} <= used

@@ -228,6 +228,27 @@ def v2_size_matched(t: Tables) -> DataFrame:
     return found.select("accession", "txn_sk", "ticker", "entry_date", "band", *[r9(f"{k}_{h}") for h in HORIZONS for k in ("ret", "abn")])
 
 
+_SECTORED = {
+    **_BANDED,
+    "brands": "SELECT DISTINCT CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS b FROM part",
+    "sectors": "SELECT 'BR' || chr(CAST(64 + b AS INTEGER)) AS ticker, 'S' || CAST(b % 4 AS VARCHAR) AS early, 'S' || CAST((b + 1) % 4 AS VARCHAR) AS late FROM brands WHERE b % 8 <> 0",
+    "grouped": "SELECT e.*, CASE WHEN c.cal_date >= DATE '1998-07-01' THEN s.late ELSE s.early END AS sector FROM every e JOIN cal c ON c.t = e.t LEFT JOIN sectors s ON s.ticker = e.ticker",
+    "sector_band": "SELECT t, sector, band, " + ", ".join(f"CASE WHEN count(ret_{h}) >= 3 THEN avg(ret_{h}) END AS m_{h}" for h in HORIZONS) + " FROM grouped WHERE sector IS NOT NULL AND band IS NOT NULL GROUP BY 1, 2, 3",
+    "sector_all": "SELECT t, sector, " + ", ".join(f"CASE WHEN count(ret_{h}) >= 3 THEN avg(ret_{h}) END AS m_{h}" for h in HORIZONS) + " FROM grouped WHERE sector IS NOT NULL GROUP BY 1, 2",
+}
+
+
+@query(
+    "v2_sector_matched",
+    "SELECT e.accession, e.txn_sk, e.ticker, e.entry_date, x.sector, CASE WHEN x.sector IS NOT NULL THEN x.band END AS band, " + ", ".join(f"round(x.ret_{h}, 9) AS ret_{h}, round(x.ret_{h} - coalesce(b.m_{h}, s.m_{h}), 9) AS abn_{h}" for h in HORIZONS)
+    + " FROM entry e LEFT JOIN grouped x ON x.ticker = e.ticker AND x.t = e.entry_t LEFT JOIN sector_band b ON b.t = x.t AND b.sector = x.sector AND b.band = x.band LEFT JOIN sector_all s ON s.t = x.t AND s.sector = x.sector",
+    **_SECTORED,
+)
+def v2_sector_matched(t: Tables) -> DataFrame:
+    found = matched.sector_matched_returns(study_events(t), t.prices(), t.benchmark(), t.ticker_sectors(), t.ticker_sizes())
+    return found.select("accession", "txn_sk", "ticker", "entry_date", "sector", "band", *[r9(f"{k}_{h}") for h in HORIZONS for k in ("ret", "abn")])
+
+
 _WINDOWED = {
     "bounds": "SELECT min(filing_date) AS first, max(filing_date) + 420 AS last FROM elig",
     "bench": "SELECT date, CAST(sum(cents) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS close FROM lines "

@@ -205,6 +205,12 @@ class Tables:
         """A ticker's size, known at each month's end: that month's traded volume."""
         return self.prices().groupBy("ticker", F.last_day("date").alias("effective_date")).agg(F.sum("volume").alias("size"))
 
+    def ticker_sectors(self) -> DataFrame:
+        """Four sectors by the brand's number; in 1998 every ticker moves on by one, and those of every eighth brand have none."""
+        brand = F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("")).cast("int")
+        moves = F.array(*[F.struct(F.lit(day).alias("effective_date"), F.concat(F.lit("S"), (brand + i) % 4).alias("sector")) for i, day in enumerate((dt.date(1994, 12, 15), dt.date(1998, 7, 1)))])
+        return self.raw("part").select("p_brand").distinct().filter(brand % 8 != 0).select(F.concat(F.lit("BR"), F.char(brand + 64)).alias("ticker"), F.inline(moves))
+
     def issuer_sizes(self) -> DataFrame:
         """Issuer size by effective date: an opening figure, then a restated one."""
         base = self.raw("customer").select(
