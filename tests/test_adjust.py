@@ -79,9 +79,11 @@ def test_against_each_price_and_its_later_actions(spark):
         assert r["close"] == pytest.approx(closes[r["ticker"], r["date"]] * factor)
 
 
-def test_one_exchange_of_prices(spark, tmp_path):
-    spark.createDataFrame(flat(), PRICES).write.parquet(str(tmp_path / "p"))
-    spark.createDataFrame([("T", DAYS[3], 4.0, 1.0)], ACTIONS).write.parquet(str(tmp_path / "a"))
-    plan = adjust.adjusted_prices(spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "a")))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(ticker") == 2  # one to add up actions, one of the course for all windows
-    assert "Join" not in plan
+def test_a_ticker_with_many_copies_of_its_rows(spark):
+    days = spark.createDataFrame([("HOT", d, 10.0, 10.0, 1.0) for d in DAYS[:6]], PRICES)
+    copies = days.crossJoin(spark.range(20_000)).drop("id")
+    actions = spark.createDataFrame([("HOT", DAYS[3], 4.0, 1.0)], ACTIONS)
+    got = adjust.adjusted_prices(copies, actions)
+    assert rows(got.groupBy("date", "factor").count(), "date") == [{"date": d, "factor": 0.225 if i < 3 else 1.0, "count": 20_000} for i, d in enumerate(DAYS[:6])]
+    plan = adjust._course(copies, actions)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min(close" in plan  # copies fold before they travel

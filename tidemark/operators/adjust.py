@@ -1,8 +1,8 @@
 """Prices adjusted for splits and dividends.
 
-An action lowers all prices before its ex-date by one factor, and a price is multiplied by the factors of all actions after it. Prices and actions
-of a ticker meet in one partitioning, as rows of one course in time, so neither an as-of join nor a copy of a price per action is needed; a
-ticker's rows are bounded by the calendar.
+An action lowers all prices before its ex-date by one factor, and a price is multiplied by the factors of all actions after it. Days and actions
+of a ticker meet in one partitioning, as rows of one course in time, so neither an as-of join nor a copy of a price per action is needed. Prices fold to
+one row per ticker and day first, so a ticker's course is bounded by the calendar however often its rows are repeated, and pick up their day's factor by an equi-join.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ def daily_actions(actions: DataFrame) -> DataFrame:
     )
 
 
+def _quoted(prices: DataFrame) -> DataFrame:
+    return daily_prices(prices).filter(F.col("ticker").isNotNull() & F.col("date").isNotNull())
+
+
 def _course(prices: DataFrame, actions: DataFrame) -> DataFrame:
-    """Prices and actions as rows; an action knows the last close before its ex-date."""
-    quoted = daily_prices(prices).filter(F.col("ticker").isNotNull() & F.col("date").isNotNull()).withColumn("printed", F.lit(True))
-    rows = quoted.unionByName(daily_actions(actions).withColumn("printed", F.lit(False)), allowMissingColumns=True)
-    # An action comes before the prints of its own day; of several prints of one day the lowest close counts, as in the ladder.
-    before = Window.partitionBy("ticker").orderBy("date", "printed", F.desc_nulls_first("close")).rowsBetween(Window.unboundedPreceding, -1)
+    """Days with prints (the lowest close of each, as in the ladder) and actions as rows; an action knows the last close before its ex-date."""
+    days = _quoted(prices).groupBy("ticker", "date").agg(F.min("close").alias("close")).withColumn("printed", F.lit(True))
+    rows = days.unionByName(daily_actions(actions).withColumn("printed", F.lit(False)), allowMissingColumns=True)
+    # An action comes before the prints of its own day.
+    before = Window.partitionBy("ticker").orderBy("date", "printed").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("last_close", F.when(~F.col("printed"), F.last("close", ignorenulls=True).over(before)))
 
 
@@ -55,7 +59,7 @@ def adjusted_prices(prices: DataFrame, actions: DataFrame, dividends: bool = Tru
     # Backwards in time, a print of the ex-date comes before the action.
     after = Window.partitionBy("ticker").orderBy(F.desc("date"), F.desc("printed")).rowsBetween(Window.unboundedPreceding, 0)
     factored = marked.withColumns({"factor": F.product("lowered").over(after), "shares": F.product("issued").over(after)}).filter("printed")
-    return factored.select(
+    return _quoted(prices).join(factored.select("ticker", "date", "factor", "shares"), ["ticker", "date"]).select(
         "ticker", "date", (F.col("open") * F.col("factor")).alias("open"), (F.col("close") * F.col("factor")).alias("close"),
         (F.col("volume") * F.col("shares")).alias("volume"), "factor",
     )
