@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from conftest import FLAT_DEFAULTS, FLAT_SCHEMA, rows
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import collapse, flatten
@@ -139,6 +142,24 @@ def test_the_state_of_a_closed_event_is_cleared(spark, tmp_path):
     assert {r.key.event for r in state.collect()} == {'{"accession":"C","txn_sk":10}'}
 
 
+def test_an_event_costs_one_read_one_write_and_one_timer():
+    """The processor takes plain rows: no table is built per event, and the timer is set when the event is new."""
+    calls = []
+    held = SimpleNamespace(get=lambda: calls.append("get") or stored, update=lambda v: calls.append("update") or out.append(v))
+    stored, out = None, []
+    processor = corrections.Corrections(10)
+    processor.init(SimpleNamespace(getValueState=lambda *_: held, registerTimer=lambda at: calls.append(at)))
+    place = collapse.OWNER_COLUMNS.index("title")
+    lead = lambda owner, title: json.dumps([title if k == place else owner if k == 0 else None for k in range(len(collapse.LEAD_COLUMNS))])
+    some = [Row(lead=lead("7", "VP"), roles=1, close_ms=99), Row(lead=lead("3", None), roles=4, close_ms=99)]
+    (first,) = processor.handleInputRows(("E",), iter(some), None)
+    assert calls == ["get", 99, "update"] and (first.event, first.n_reporting_owners, first.version) == ("E", 2, 1)
+    assert first.lead[0] == "3" and first.titled[0] == "7" and [k for k, had in enumerate(first.roles) if had] == [0, 2]
+    stored = out[0]
+    (second,) = processor.handleInputRows(("E",), iter([Row(lead=lead("1", None), roles=0, close_ms=99)]), None)
+    assert calls[3:] == ["get", "update"] and (second.lead[0], second.n_reporting_owners, second.version) == ("1", 3, 2) and second.roles == first.roles
+
+
 def test_order_of_leading_rows_is_sparks(spark):
     rng = random.Random(4)
     pool = {"double": [None, "1.0", "2.5", "10.0", "-3.0", "NaN", "1.0E10"], "string": [None, "", "a", "b", "é", "𝒳", "A"], "date": [None, "2020-01-02", "2021-01-01"], "boolean": [None, "false", "true"], "bigint": [None, "5"]}
