@@ -1,10 +1,8 @@
 """Near duplicates: a Jaccard join over word 5-grams by a MinHash LSH forest, followed by exact verification.
 
 Each distinct set of 5-grams gets a signature per tree: eight MinHash digits of eight bits, one long. In order these longs are a prefix trie, and a prefix of
-some digits is a node of it. Two sets are candidates if they share a node of the matched depth in some tree. The depth starts at whole signatures and is shortened
-digit by digit until the recall measured on the data meets the target: on pairs drawn from the trie's nodes, one half of the trees tells how alike a pair is, the other
-half at which depth it is still matched, and the most different pairs decide. It never goes below the depth that the formula gives for pairs
-right at the threshold, which is also taken where too few pairs are there to measure. Candidates meet in the groups of a component of the candidate graph, large ones cut into
+some digits is a node of it. Two sets are candidates if they share a node of the matched depth in some tree. The depth is the one that the formula gives for pairs
+right at the threshold; it depends on no data, so that easy pairs, however many, can't cost the harder ones their match. Candidates meet in the groups of a component of the candidate graph, large ones cut into
 pairs of chunks, where the Jaccard similarity of each candidate pair is worked out from the whole sets. Only counts and spanning edges leave a task.
 """
 
@@ -170,7 +168,7 @@ def measured_depth(counts: dict[tuple[int, int], int], floor: int, target: float
 
 
 def descended_depth(nodes: DataFrame, floor: int, target: float) -> int:
-    """`measured_depth` on pairs from at most SAMPLE_NODES nodes of the trie at the floor's depth."""
+    """`measured_depth` on pairs from at most SAMPLE_NODES nodes of the trie at the floor's depth: an estimate of how far the data would let one descend. No result depends on it."""
     members = nodes.select("node", "labels", F.posexplode("labels").alias("tree", "label"))
     members = members.select("node", "labels", "tree", F.xxhash64("tree", F.shiftright("label", shift_of(floor))).alias("place"))
     crowded = members.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1")
@@ -284,7 +282,7 @@ def linked(
     recall: float = RECALL, chunk_sets: int = CHUNK_SETS, chunk_grams: int = CHUNK_GRAMS, most: int = MOST_BROADCAST,
 ) -> DataFrame:
     """One row per row of `docs`: id, no_id, digest (of the text), class_id, class_digest, class_no_id, links."""
-    floor = matched_depth(trees, digits, threshold, recall)
+    depth = matched_depth(trees, digits, threshold, recall)
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"),
         F.sha2(normalised(F.col("text")), 256).alias("digest"), F.coalesce("text", F.lit("")).alias("text"),
@@ -298,7 +296,6 @@ def linked(
     nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()))
 
     # A trie node at the matched depth: a tree and a prefix. Its members hang under the lowest one.
-    depth = descended_depth(nodes, floor, recall)
     members = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
     members = members.select("node", F.xxhash64("tree", F.shiftright("label", shift_of(depth))).alias("place"))
     crowded = members.groupBy("place").agg(F.min("node").alias("lowest"), F.count("*").alias("n")).filter("n > 1")
