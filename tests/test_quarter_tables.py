@@ -8,8 +8,11 @@ from pathlib import Path
 
 import pytest
 from conftest import rows
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tidemark import catalog
+from tidemark.catalog import feeds
 from tidemark.plans import events as event_plans
 from tidemark.sources import filings, landed_quarters
 
@@ -113,3 +116,29 @@ def test_headers_of_many_files_take_a_bounded_number_of_jobs(spark, tmp_path):
         return started
 
     assert jobs(6) <= jobs(100) == jobs(250) < 20
+
+
+def test_buckets_grow_with_the_tables():
+    assert [landed_quarters.buckets_for(n) for n in (0, 16_000_000, 16_000_001, 216_000_000)] == [8, 8, 9, 108]
+
+
+def test_each_table_is_built_once_for_both_loads(spark, monkeypatch, tmp_path):
+    """The loads read stored rows, not the joins and aggregates the tables come from."""
+    n = spark.range(20)
+    made = {
+        "orders": n.selectExpr("id AS o_orderkey", "id % 3 AS o_custkey", "timestamp'1996-05-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority"),
+        "customer": n.selectExpr("id AS c_custkey", "'c' AS c_name"),
+        "supplier": n.selectExpr("id AS s_suppkey", "'s' AS s_name"),
+        "documents": n.selectExpr("id AS doc_id", "'text' AS text"),
+        "lineitem": n.selectExpr(
+            "id AS l_orderkey", "id AS l_partkey", "id % 5 AS l_suppkey", "1 AS l_linenumber", "2.0D AS l_quantity", "3.0D AS l_extendedprice", "0.0D AS l_discount",
+            "0.0D AS l_tax", "'A' AS l_returnflag", "'O' AS l_linestatus", "timestamp'1996-05-02' AS l_shipdate",
+        ),
+    }
+    for name, rows_of in made.items():
+        rows_of.write.parquet(f"{tmp_path}/{name}.parquet")
+    seen = []
+    monkeypatch.setattr(feeds.landed_quarters, "load_quarters", lambda rows, name, root, buckets: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    with pytest.raises(AnalysisException):
+        catalog.QUERIES["r3_reload"](spark, str(tmp_path))
+    assert len(seen) == 6 and not any("Join" in plan or "Aggregate" in plan for plan in seen)

@@ -82,9 +82,11 @@ def r3_reload(t: Tables) -> DataFrame:
     subs = t.submissions().withColumn("quarter", F.coalesce(quarters.quarter_label(filed), F.lit("undated")))
     quarter_of = materialize(subs.select("ACCESSION_NUMBER", "quarter"))
     tables = {"submission": subs, "owner": t.owners().join(quarter_of, "ACCESSION_NUMBER"), "trans": t.transactions().join(quarter_of, "ACCESSION_NUMBER")}
+    tables = {name: materialize(rows) for name, rows in tables.items()}  # read by both loads, and twice by each
+    buckets = landed_quarters.buckets_for(max(rows.count() for rows in tables.values()))
     for wanted in (F.lit(True), F.col("quarter") == RELOADED):
         for name, rows in tables.items():
-            landed_quarters.load_quarters(rows.filter(wanted), f"{name}_{mark}", root, buckets=8)
+            landed_quarters.load_quarters(rows.filter(wanted), f"{name}_{mark}", root, buckets=buckets)
     stored = [t.spark.table(f"{name}_{mark}") for name in tables]
     return signals.drop_planned(event_plans.purchase_events(*stored, t.footnotes(), colocated=True))
 
