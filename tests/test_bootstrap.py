@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -169,3 +171,27 @@ def test_ranks_are_among_the_means_there_are(spark):
     means = spark.createDataFrame([("a", float(i)) for i in range(100)] + [("b", float(i)) for i in range(40)], "g string, mean double")
     got = {r.g: (r.ci_lo, r.ci_hi) for r in bootstrap.percentile_interval(means, ["g"], 100).collect()}
     assert got == {"a": (2.0, 97.0), "b": (1.0, 39.0)}
+
+
+def test_a_row_is_never_multiplied_by_its_draws(spark):
+    """One md5 a key and number, as SQL would draw; nulls, infinite values and groups without a key part keep their sums."""
+    data = [(None if k == 3 else f"A{k % 4}", k, g, None if k % 5 == 0 else float("inf") if (k, g) == (7, "n") else k / 3, None if g == "m" else 1.0) for k in range(30) for g in ("m", "n", None)]
+    df = spark.createDataFrame(data, "accession string, txn_sk long, grp string, x double, y double")
+    out = bootstrap.poisson_means(df, ["x", "y"], ["accession", "txn_sk"], ["grp"], 10)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    sums: dict = {}
+    for a, k, g, x, y in data:
+        for q in range(3):
+            digest = hashlib.md5("|".join([*([a] if a is not None else []), str(k), str(q)]).encode()).hexdigest()
+            for slot in range(4):
+                w = sum(int(digest[8 * slot : 8 * slot + 8], 16) >= step for step in bootstrap.POISSON_STEPS)
+                if q * 4 + slot < 10 and w:
+                    cell = sums.setdefault((g, q * 4 + slot), [0.0, 0, 0.0, 0])
+                    for at, v in ((0, x), (2, y)):
+                        if v is not None:
+                            cell[at], cell[at + 1] = cell[at] + w * v, cell[at + 1] + w
+    got = {(r.grp, r.replicate): (r.mean_x, r.mean_y) for r in out.collect()}
+    assert got.keys() == sums.keys()
+    for at, (tx, wx, ty, wy) in sums.items():
+        assert got[at][0] == pytest.approx(tx / wx) and got[at][1] == (ty / wy if wy else None)

@@ -10,20 +10,23 @@ with replacement from the whole group. Seeds depend on (seed, group, chunk, repl
 result does not depend on how Spark places the work.
 
 ``poisson_means`` replaces resampling by independent Poisson(1) weights taken from an md5 of the
-row key, which needs nothing but SQL and combines map-side. ``bucketed_means`` draws such weights in numpy, bucket by
+row key, so that SQL can draw the same ones, and adds them up within each task. ``bucketed_means`` draws such weights in numpy, bucket by
 bucket, and adds them up; ``little_intervals`` bootstraps small subsets at the whole group's size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.joins import splittable_join
 from tidemark.session import materialize
@@ -178,10 +181,59 @@ POISSON_STEPS = tuple(
 )
 
 
-def _weight(word: Column) -> Column:
-    """Poisson weight of a uniform 32-bit word, compared as fixed-width hex text."""
-    passed = [(word >= f"{step:08x}").cast("int") for step in POISSON_STEPS[1:]]
-    return sum(passed, F.lit(1))
+GROUPS_HELD = 256
+
+
+def _keyed_weights(keys: list[str], n_boot: int) -> np.ndarray:
+    """keys x replicates: each key's Poisson weights, from the 32-bit words of md5(key and number of the digest)."""
+    tails = [str(q).encode() for q in range(math.ceil(n_boot / 4))]
+    heads = [k.encode("utf-8", "surrogatepass") for k in keys]
+    words = np.frombuffer(b"".join([hashlib.md5(h + t).digest() for h in heads for t in tails]), ">u4")
+    return np.searchsorted(POISSON_STEPS, words, "right").astype(np.uint8).reshape(len(keys), -1)[:, :n_boot]
+
+
+def _weighted_sums(by: Sequence[str], names: Sequence[str], n_boot: int):
+    """Per group: each replicate's weighted sums and weights, added up over the rows of a task; a bounded number of groups is held."""
+
+    def emit(held: dict) -> Iterator[pa.RecordBatch]:
+        for group, totals, weights, drawn in held.values():
+            (places,) = np.nonzero(drawn)
+            columns = [group.column(c).take(pa.array(np.zeros(len(places), np.int64))) for c in range(len(by))]
+            columns += [pa.array(places, pa.int64())]
+            for k in range(len(names)):
+                columns += [pa.array(totals[places, k]), pa.array(weights[places, k])]
+            sums = [x for v in names for x in (f"total_{v}", f"weight_{v}")]
+            yield pa.RecordBatch.from_arrays(columns, [*by, "replicate", *sums])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Rows of one key, such as those of its segments, draw the same weights.
+            keys, key_names = pd.factorize(batch.column("boot_key").to_pandas())
+            groups, group_names = pd.factorize(batch.column("boot_group").to_pandas())
+            weights = _keyed_weights(list(key_names), n_boot)
+            known = np.column_stack([~np.asarray(batch.column(f"value_{k}").is_null()) for k in range(len(names))])
+            values = np.column_stack([batch.column(f"value_{k}").to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))])
+            finite = known & np.isfinite(values)
+            for g, name in enumerate(group_names):
+                own = np.flatnonzero(groups == g)
+                times = weights[keys[own]].astype(float).T
+                totals = times @ np.where(finite[own], values[own], 0.0)
+                for row, k in np.argwhere(known[own] & ~finite[own]):
+                    totals[times[:, row] > 0, k] += values[own[row], k]
+                made = (totals, times @ known[own].astype(float), times.sum(axis=1))
+                if name not in held:
+                    held[name] = (batch.select(list(by)).slice(int(own[0]), 1), *(np.zeros_like(x) for x in made))
+                for had, new in zip(held[name][1:], made, strict=True):
+                    had += new
+            if len(held) > GROUPS_HELD:
+                yield from emit(held)
+                held = {}
+        yield from emit(held)
+
+    return draw
 
 
 def poisson_means(
@@ -189,39 +241,26 @@ def poisson_means(
 ) -> DataFrame:
     """(by…, replicate, mean_<value>…): Poisson(1) bootstrap of several columns at once.
 
-    One md5 serves four replicates. The expanded rows never leave their task: they are summed
-    per replicate before the exchange. Rows are dealt out by key first, since each of them stands
-    for ``n_boot`` draws.
+    One md5 serves four replicates of a key. A row is never multiplied: a batch's weights meet its values in one matrix product per group, and a
+    task gives one sum per group and replicate. Rows are dealt out by key first, since each of them stands for ``n_boot`` draws.
     """
-    quads = math.ceil(n_boot / 4)
-    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.col("quad")).cast("binary"))
-    words = F.array(*[F.substring("digest", 1 + 8 * i, 8) for i in range(4)])
-    drawn = (
-        rows.select(*by, *key, *values)
-        .repartition(*key)
-        .select(*by, *key, *values, F.explode(F.sequence(F.lit(0), F.lit(quads - 1))).alias("quad"))
-        .withColumn("digest", digest)
-        .select(*by, *values, "quad", F.posexplode(words).alias("slot", "word"))
-        .select(
-            *by,
-            *values,
-            (F.col("quad") * 4 + F.col("slot")).cast("long").alias("replicate"),
-            "word",
-        )
-        .filter((F.col("replicate") < n_boot) & (F.col("word") >= f"{POISSON_STEPS[0]:08x}"))
-        .withColumn("weight", _weight(F.col("word")))
-    )
-    sums = []
-    for v in values:
-        sums.append(F.sum(F.col(v) * F.col("weight")).alias(f"total_{v}"))
-        sums.append(F.sum(F.when(F.col(v).isNotNull(), F.col("weight"))).alias(f"weight_{v}"))
+    # The empty text at the end puts a bar after the last key, as if the number followed.
+    key_text = F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit("")).alias("boot_key")
+    group = (_group_text(by) if by else F.lit("")).alias("boot_group")
+    columns = [F.col(v).cast("double").alias(f"value_{k}") for k, v in enumerate(values)]
+    dealt = rows.repartition(*key).select(*by, group, key_text, *columns)
+    fields = [f for c in by for f in dealt.schema.fields if f.name == c]
+    fields.append(T.StructField("replicate", T.LongType()))
+    fields += [T.StructField(f"{part}_{v}", T.DoubleType()) for v in values for part in ("total", "weight")]
+    sums = dealt.mapInArrow(_weighted_sums(list(by), list(values), n_boot), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+    parts = [F.sum(f"{part}_{v}").alias(f"{part}_{v}") for v in values for part in ("total", "weight")]
     return (
-        drawn.groupBy(*by, "replicate")
-        .agg(*sums)
+        sums.groupBy(*by, "replicate")
+        .agg(*parts)
         .select(
             *by,
             "replicate",
-            *[(F.col(f"total_{v}") / F.col(f"weight_{v}")).alias(f"mean_{v}") for v in values],
+            *[F.when(F.col(f"weight_{v}") > 0, F.col(f"total_{v}") / F.col(f"weight_{v}")).alias(f"mean_{v}") for v in values],
         )
     )
 

@@ -73,7 +73,7 @@ def poisson_curve(
     lo: float = 2.5,
     hi: float = 97.5,
 ) -> DataFrame:
-    """The same curve with Poisson bootstrap intervals, in SQL expressions only."""
+    """The same curve with Poisson bootstrap intervals, whose weights follow from the event's key."""
     labels = list(horizons or HORIZONS)
     groups = [*by, "horizon"]
     wide = bootstrap.poisson_means(panel, [f"abn_{h}" for h in labels], EVENT_KEY, by, n_boot)
