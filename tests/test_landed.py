@@ -142,6 +142,13 @@ def test_the_state_of_a_closed_event_is_cleared(spark, tmp_path):
     assert {r.key.event for r in state.collect()} == {'{"accession":"C","txn_sk":10}'}
 
 
+def test_a_drop_has_a_file_per_day_whatever_the_tasks(spark, tmp_path):
+    rows_in = spark.range(400).repartition(8).selectExpr("id", "date_add(date'2024-03-01', CAST(id % 2 AS INT)) AS landed")
+    landed.land_drop(rows_in, str(tmp_path), "SUBMISSION")
+    files = list(tmp_path.rglob("*.parquet"))
+    assert len(files) == 2 and spark.read.parquet(f"{tmp_path}/SUBMISSION").count() == 400
+
+
 def test_an_event_costs_one_read_one_write_and_one_timer():
     """The processor takes plain rows: no table is built per event, and the timer is set when the event is new."""
     calls = []

@@ -22,6 +22,11 @@ def test_intermediate_tables_go_with_their_scope(spark):
     assert not os.path.exists(path.removeprefix("file://"))
 
 
+def test_the_state_store_does_not_read_before_each_write(spark):
+    store = "spark.sql.streaming.stateStore.rocksdb"
+    assert (spark.conf.get(f"{store}.trackTotalNumberOfRows"), spark.conf.get(f"{store}.changelogCheckpointing.enabled")) == ("false", "true")
+
+
 SCRIPT = """
 import sys
 sys.path.insert(0, {root!r})
