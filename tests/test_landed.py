@@ -194,3 +194,12 @@ def test_late_and_in_time_share_the_rows(spark, keep):
     data = [flat_row("A", 0, n) for n in range(20)] + [flat_row("B", "junk", 3)]
     df = spark.createDataFrame(data, VERSIONED)
     assert corrections.late_rows(df, keep).count() == 19 - keep and df.filter(corrections._in_time(keep)).count() == keep + 1
+
+
+def test_a_join_of_streams_has_one_store_a_partition(spark, tmp_path):
+    """A store is opened and committed in every batch, so four a partition and join are the larger part of a batch's time."""
+    root = str(tmp_path)
+    land(spark, root, [sub("A", 0)] + END[0], [own("A", "1", 0)] + END[1], [trn("A", 1, 0)] + END[2])
+    assert [r.accession for r in run(spark, root).collect()] == ["A"]
+    named = {f.name for f in (tmp_path / "checkpoint/state").glob("*/[0-9]*/*")}
+    assert "1.changelog" in named and not [n for n in named if n.startswith(("left-", "right-"))]
